@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairlight.llm import mixing
+from pairlight.llm import mixing, piece_bpe
 
 QUERIES = {
     "op2_pareto_mix": mixing.op2_pareto_mix,
+    "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
