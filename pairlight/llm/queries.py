@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pairlight.llm import mixing, piece_bpe
+from pairlight.llm import fertility, mixing, piece_bpe
 
 QUERIES = {
+    "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
 }
