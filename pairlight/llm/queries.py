@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pairlight.llm import fertility, mixing, piece_bpe
+from pairlight.llm import fertility, jpeg, mixing, piece_bpe
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
 }
+QUERIES["op8_baseline_jpeg"] = jpeg.op8_baseline_jpeg
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
 }
