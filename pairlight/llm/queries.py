@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pairlight.llm import fertility, jpeg, mixing, piece_bpe
+from pairlight.llm import boosting, chat, fertility, jpeg, mixing, piece_bpe
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
     "op2_pareto_mix": mixing.op2_pareto_mix,
+    "op4_incremental_rendering": chat.op4_incremental_rendering,
     "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
+    "op8_baseline_jpeg": jpeg.op8_baseline_jpeg,
+    "op9_gradient_boosting": boosting.op9_gradient_boosting,
 }
-QUERIES["op8_baseline_jpeg"] = jpeg.op8_baseline_jpeg
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
 }
