@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import boosting, chat, fertility, jpeg, mixing, piece_bpe
+from pairlight.llm import boosting, chat, fertility, jpeg, mixing, piece_bpe, secret_scan
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
     "op8_baseline_jpeg": jpeg.op8_baseline_jpeg,
     "op9_gradient_boosting": boosting.op9_gradient_boosting,
+    "op10_secret_randomness": secret_scan.op10_secret_randomness,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
