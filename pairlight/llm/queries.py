@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pairlight.llm import boosting, chat, fertility, jpeg, mixing, piece_bpe, secret_scan
+from pairlight.llm import boosting, chat, fertility, jpeg, mixing, ngram_join, piece_bpe, secret_scan
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op4_incremental_rendering": chat.op4_incremental_rendering,
     "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
+    "op7_minhash_ngram_join": ngram_join.op7_minhash_ngram_join,
     "op8_baseline_jpeg": jpeg.op8_baseline_jpeg,
     "op9_gradient_boosting": boosting.op9_gradient_boosting,
     "op10_secret_randomness": secret_scan.op10_secret_randomness,
