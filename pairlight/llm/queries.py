@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pairlight.llm import boosting, chat, debruijn, fertility, jpeg, mixing, ngram_join, piece_bpe, secret_scan
+from pairlight.llm import boosting, chat, debruijn, fertility, jpeg, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op3_debruijn_dedup": debruijn.op3_debruijn_dedup,
     "op4_incremental_rendering": chat.op4_incremental_rendering,
+    "op5_skip_chain_crf": pii_crf.op5_skip_chain_crf,
     "op6_sentencepiece_backtracking": piece_bpe.op6_sentencepiece_backtracking,
     "op7_minhash_ngram_join": ngram_join.op7_minhash_ngram_join,
     "op8_baseline_jpeg": jpeg.op8_baseline_jpeg,
