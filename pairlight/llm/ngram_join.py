@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = T
     members = keep(members, "ngram-members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("v", F.lit("block")), F.col("blocks")).cast("int"))
-    text = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("v")).select("root", "v", "k1", "k2", "block", "blocks", "text")
+    # merged at every size: members grow with the corpus, so a broadcast that fits today is no plan for tomorrow
+    text = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("v")).select("root", "v", "k1", "k2", "block", "blocks", "text")
     grams = set_rows(text, width)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = grams.select("root", "v", "block", "grams", other.alias("o")).select("root", "v", "block", "grams", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
