@@ -1,10 +1,491 @@
-"""Query registry: name -> callable, and the oracle SQL beside it."""
+"""Query registry: name -> callable, and the oracle SQL beside it.
+
+Every query runs over whole stand-in tables (see ``stand_ins``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlight.operators import audit, bootstrap, fusion, keyed, matching, pairs, rates, runlog
+from pairlight.operators import manifest as manifests
+from pairlight.plans import stand_ins as S
+from pairlight.plans.stand_ins import GRID_SQL, MANIFEST_SQL, SCORED_SQL, SEED, SPLIT_SQL, hash_sql, pairs_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TARGETS = (0.01, 0.001)
+MAIN, PLAIN = pairs.SCENARIOS, pairs.PLAIN_SCENARIOS
+
+
+def register(oracle: str | None = None):
+    def add(query):
+        QUERIES[query.__name__] = query
+        if oracle:
+            ORACLES[query.__name__] = oracle
+        return query
+
+    return add
+
+
+def with_(*tables: str, select: str) -> str:
+    return "WITH " + ",".join(tables) + "\n" + select
+
+
+def _scored(spark, sf_dir, scenarios=MAIN, second=False) -> DataFrame:
+    made = pairs.all_pairs(S.manifest(spark, sf_dir), scenarios, ["trait"])
+    return S.second_channel(made) if second else S.scored(made)
+
+
+MAIN_SCORES = (MANIFEST_SQL, pairs_sql(MAIN), SCORED_SQL)
+
+
+@register(with_(MANIFEST_SQL, select="SELECT * FROM m"))
+def manifest_from_events(spark, sf_dir):
+    return S.manifest(spark, sf_dir)
+
+
+@register(with_(MANIFEST_SQL, select='SELECT "set", count(*) AS images, count(*) FILTER (excluded = 1) AS excluded, count(DISTINCT subject) AS subjects FROM m GROUP BY 1'))
+def set_summary(spark, sf_dir):
+    return manifests.set_summary(S.manifest(spark, sf_dir))
+
+
+_PAIR = "pair_id, scenario, kind, frgp, probe_image_id, reference_image_id, probe_subject, reference_subject"
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), select=f"SELECT {_PAIR} FROM x WHERE kind = 'genuine'"))
+def genuine_pairs(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    return pairs.genuine_pairs(m, "UxV", "U", "V").unionByName(pairs.genuine_pairs(m, "RxV", "R", "V"))
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), select="SELECT scenario, frgp, count(*) AS pairs FROM x WHERE kind = 'impostor' GROUP BY 1, 2"))
+def impostor_pairs_full(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    both = pairs.impostor_pairs(m, "UxV", "U", "V").unionByName(pairs.impostor_pairs(m, "RxV", "R", "V"))
+    return both.groupBy("scenario", "frgp").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+_IMPOSTOR_HASH = hash_sql("'impostor:' || scenario || ':' || frgp::VARCHAR", "probe_image_id || '|' || reference_image_id")
+_SAMPLE_SQL = f"""
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, frgp ORDER BY {_IMPOSTOR_HASH}, probe_image_id || '|' || reference_image_id) AS rn FROM x WHERE kind = 'impostor') WHERE rn <= 20)"""
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), _SAMPLE_SQL, select=f"SELECT {_PAIR} FROM c"))
+def impostor_sample_keyed(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    return pairs.sampled_impostors(m, "UxV", "U", "V", 20, SEED).unionByName(pairs.sampled_impostors(m, "RxV", "R", "V", 20, SEED))
+
+
+@register(with_(MANIFEST_SQL, SPLIT_SQL, select="SELECT * FROM split"))
+def subject_split(spark, sf_dir):
+    return keyed.development_split(S.manifest(spark, sf_dir), SEED).select("subject", "stratum", "half")
+
+
+_VALIDATION_SQL = f"""
+tv AS (
+  SELECT subject, stratum, CASE WHEN rn <= round_even(n * 0.2, 0) THEN 'validation' ELSE 'train' END AS role
+  FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {hash_sql("'method-validation:' || stratum", 'subject')}, subject) AS rn,
+               count(*) OVER (PARTITION BY stratum) AS n FROM split WHERE half = 'dev'))"""
+
+
+@register(with_(MANIFEST_SQL, SPLIT_SQL, _VALIDATION_SQL, select="SELECT * FROM tv"))
+def train_validation_split(spark, sf_dir):
+    return keyed.train_validation_split(S.manifest(spark, sf_dir), SEED)
+
+
+_F1_SQL = f"""
+fingers AS (SELECT frgp FROM (SELECT unnest(range(1, 11))::INT AS frgp) ORDER BY {hash_sql("'f1-fingers'", 'frgp::VARCHAR')} LIMIT 2),
+whole AS (SELECT subject FROM u WHERE "set" IN ('U', 'V', 'R') AND frgp IN (SELECT frgp FROM fingers) GROUP BY subject HAVING count(DISTINCT "set" || frgp::VARCHAR) = 6),
+chosen AS (SELECT subject FROM split JOIN whole USING (subject) WHERE half = 'dev' AND stratum = 'has_R' ORDER BY {hash_sql("'f1-subjects'", 'subject')}, subject LIMIT 10)"""
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), SPLIT_SQL, _F1_SQL, select=f"SELECT {_PAIR} FROM x WHERE frgp IN (SELECT frgp FROM fingers) AND probe_subject IN (SELECT subject FROM chosen) AND reference_subject IN (SELECT subject FROM chosen)"))
+def f1_sample_like(spark, sf_dir):
+    return pairs.f1_sample(S.manifest(spark, sf_dir), SEED)
+
+
+def _pilot_sql(sets: str, probes: str, reference: str, purpose: str, name: str, thumbs: str) -> str:
+    return with_(MANIFEST_SQL, SPLIT_SQL, f"""
+pool AS (SELECT u.* FROM u JOIN split USING (subject) WHERE half = 'dev' AND "set" IN ({sets}) {thumbs} ORDER BY {hash_sql(f"'{purpose}-images'", 'image_id')}, image_id LIMIT 100),
+both_ AS (SELECT p.image_id AS probe_image_id, r.image_id AS reference_image_id, p.frgp, p.subject AS probe_subject, r.subject AS reference_subject,
+                 CASE WHEN p.subject = r.subject AND p.frgp = r.frgp THEN 'genuine' ELSE 'impostor' END AS kind
+          FROM pool p, pool r WHERE p."set" IN ({probes}) AND r."set" = '{reference}')""",
+        select=f"SELECT '{name}:' || probe_image_id || ':' || reference_image_id AS pair_id, '{name}' AS scenario, * FROM both_ ORDER BY {hash_sql(f"'{purpose}-pairs'", "probe_image_id || '|' || reference_image_id")} LIMIT 1000")
+
+
+@register(_pilot_sql("'U', 'V', 'R'", "'U', 'R'", "V", "pilot", "pilot", ""))
+def pilot_pairs_cross(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    images = pairs.pilot_images(m, SEED, ["U", "V", "R"], "pilot-images", 100)
+    return pairs.cross_position_pairs(m, images, ["U", "R"], "V", SEED, "pilot-pairs", "pilot", 1000)
+
+
+@register(_pilot_sql("'R', 'Q', 'J'", "'R', 'Q'", "J", "pilot-plain", "pilot-plain", "AND frgp NOT IN (1, 6)"))
+def pilot_pairs_plain(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    images = pairs.pilot_images(m, SEED, ["R", "Q", "J"], "pilot-plain-images", 100, thumbs=False)
+    return pairs.cross_position_pairs(m, images, ["R", "Q"], "J", SEED, "pilot-plain-pairs", "pilot-plain", 1000)
+
+
+_HALF_SQL = """
+h AS (SELECT x.*, coalesce(a.half, 'test') AS half FROM x LEFT JOIN split a ON probe_subject = a.subject LEFT JOIN split b ON reference_subject = b.subject
+      WHERE coalesce(a.half, 'test') = coalesce(b.half, 'test'))"""
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(PLAIN), SPLIT_SQL, _HALF_SQL, select="SELECT scenario, half, kind, count(*) AS pairs, count(DISTINCT probe_image_id) AS probes FROM h GROUP BY 1, 2, 3"))
+def half_restricted_pairs(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    half = pairs.with_half(pairs.all_pairs(m, PLAIN), keyed.development_split(m, SEED))
+    return half.groupBy("scenario", "half", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("probe_image_id").alias("probes"))
+
+
+_WORKLOAD = with_(MANIFEST_SQL, pairs_sql(MAIN), _SAMPLE_SQL, "\ncc AS (SELECT probe_image_id AS p, reference_image_id AS q FROM c UNION ALL SELECT probe_image_id, reference_image_id FROM x WHERE kind = 'genuine')", select="""
+SELECT 'compact' AS design, (SELECT count(DISTINCT i) FROM (SELECT p AS i FROM cc UNION ALL SELECT q FROM cc)) AS images, (SELECT count(*) FROM cc) AS comparisons
+UNION ALL SELECT 'full', (SELECT count(*) FROM u WHERE "set" IN ('U', 'V', 'R')), (SELECT count(*) FROM x)""")
+
+
+def _compact(spark, sf_dir) -> DataFrame:
+    return genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed(spark, sf_dir))
+
+
+@register(_WORKLOAD)
+def workload_counts(spark, sf_dir):
+    return pairs.workload(S.manifest(spark, sf_dir), _compact(spark, sf_dir))
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), _SAMPLE_SQL, select="SELECT scenario, kind, count(*) AS pairs FROM x WHERE kind = 'impostor' AND pair_id NOT IN (SELECT pair_id FROM c) GROUP BY 1, 2"))
+def rest_of_design(spark, sf_dir):
+    rest = pairs.rest_of(pairs.all_pairs(S.manifest(spark, sf_dir)), _compact(spark, sf_dir))
+    return rest.groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@register(with_(MANIFEST_SQL, select="SELECT image_id FROM u WHERE image_id NOT IN (SELECT image_id FROM u WHERE trait % 2 = 0)"))
+def reuse_antijoin(spark, sf_dir):
+    usable = S.manifest(spark, sf_dir).where("excluded = 0")
+    return pairs.missing_features(usable, usable.where("trait % 2 = 0")).select("image_id")
+
+
+@register(with_(MANIFEST_SQL, select='SELECT subject, frgp, string_agg("set", \'\' ORDER BY "set") AS sets, count(*) AS n FROM u GROUP BY 1, 2'))
+def finger_view_sets(spark, sf_dir):
+    views = pairs.finger_views(S.manifest(spark, sf_dir))
+    return views.select("subject", "frgp", F.array_join(F.array_sort(F.map_keys("views")), "").alias("sets"), F.size("views").cast("long").alias("n"))
+
+
+def _tar_sql(source: str = "r", targets=TARGETS) -> str:
+    rows = ", ".join(f"({t!r}::DOUBLE)" for t in targets)
+    return f"""
+SELECT scenario, far_target, CASE WHEN score = '-inf'::DOUBLE THEN NULL ELSE score END AS threshold, gt::BIGINT AS genuine, ga::BIGINT AS true_accepts,
+       (gt - ga)::BIGINT AS false_rejects, it::BIGINT AS impostor, ia::BIGINT AS false_accepts, 1 - frr AS tar, frr, far
+FROM (SELECT *, row_number() OVER (PARTITION BY scenario, far_target ORDER BY score) AS rn
+      FROM {source}, (VALUES {rows}) t(far_target) WHERE ia <= far_target * it + 1e-9 * greatest(1.0, it)) WHERE rn = 1"""
+
+
+@register(with_(*MAIN_SCORES, GRID_SQL, select=f"SELECT a.*, f.failures FROM ({_tar_sql()}) a JOIN (SELECT scenario, count(*) FILTER (score IS NULL) AS failures FROM y GROUP BY 1) f USING (scenario)"))
+def result_tables_tar_far(spark, sf_dir):
+    return rates.result_tables(_scored(spark, sf_dir), ["scenario"], TARGETS)
+
+
+_EER_SQL = """
+SELECT scenario, coalesce(max_by(CASE WHEN gap >= 0 THEN v END, CASE WHEN gap >= 0 THEN score END), min_by(m_, score)) AS eer FROM (
+  SELECT scenario, score, gap, (far + frr) / 2 AS m_,
+         CASE WHEN gap0 IS NULL THEN (far + frr) / 2 ELSE far0 + gap0 / (gap0 - gap) * (far - far0) END AS v
+  FROM (SELECT *, far - frr AS gap, lag(far - frr) OVER d AS gap0, lag(far) OVER d AS far0 FROM r WINDOW d AS (PARTITION BY scenario ORDER BY score DESC))) GROUP BY scenario"""
+
+
+@register(with_(*MAIN_SCORES, GRID_SQL, select=_EER_SQL))
+def eer(spark, sf_dir):
+    return rates.eer(rates.rates(rates.grid(_scored(spark, sf_dir), ["scenario"]), ["scenario"]), ["scenario"])
+
+
+@register("""
+WITH s AS (SELECT quality, length(text) AS score FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL)
+SELECT count(*) FILTER (a.score > b.score) * 1.0::DOUBLE / count(*) + 0.5::DOUBLE * count(*) FILTER (a.score = b.score) / count(*) AS auc
+FROM s a JOIN s b ON a.quality = 1 AND b.quality = 0""")
+def auc_of_labels(spark, sf_dir):
+    """How well a text's length tells quality 1 from 0."""
+    rows = S.table(spark, sf_dir, "labels").join(S.table(spark, sf_dir, "documents"), "doc_id")
+    return rates.auc(rows.select(F.when(F.col("quality") == 1, "genuine").otherwise("impostor").alias("kind"), F.length("text").alias("score")), [])
+
+
+@register(with_(*MAIN_SCORES, """
+g2 AS (SELECT scenario, score, (count(*) FILTER (kind = 'genuine'))::DOUBLE AS gen, (count(*) FILTER (kind = 'impostor'))::DOUBLE AS imp FROM y WHERE score IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, gen * (coalesce(sum(imp) OVER (PARTITION BY scenario ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + imp / 2) AS won FROM g2)""",
+    select="SELECT scenario, sum(won) / (sum(gen) * sum(imp)) AS auc FROM w GROUP BY 1"))
+def auc(spark, sf_dir):
+    return rates.auc(_scored(spark, sf_dir), ["scenario"])
+
+
+_TOP_SQL = "\nt AS (SELECT scenario, max(score) FILTER (kind = 'impostor') AS top FROM y GROUP BY 1)"
+
+
+@register(with_(*MAIN_SCORES, _TOP_SQL, select="""
+SELECT scenario, threshold, genuine, true_accepts, impostor, genuine - true_accepts AS false_rejects, true_accepts / genuine::DOUBLE AS tar, 1 - true_accepts / genuine::DOUBLE AS frr
+FROM (SELECT y.scenario, max(top) AS threshold, count(*) FILTER (kind = 'genuine') AS genuine, count(*) FILTER (kind = 'genuine' AND score > top) AS true_accepts, count(*) FILTER (kind = 'impostor') AS impostor
+      FROM y JOIN t USING (scenario) GROUP BY 1)"""))
+def no_false_accept(spark, sf_dir):
+    return rates.no_false_accept_point(_scored(spark, sf_dir), ["scenario"])
+
+
+@register(with_(*MAIN_SCORES, """
+n AS (SELECT scenario, kind, score, row_number() OVER (PARTITION BY scenario, kind ORDER BY score) AS rn, count(*) OVER (PARTITION BY scenario, kind) AS c FROM y WHERE score IS NOT NULL)""",
+    select="""SELECT scenario, kind, count(*) AS count, avg(score) AS mean, quantile_cont(score, 0.5) AS median,
+max(score) FILTER (rn = greatest(1, least(c, round_even(c * 0.95, 0)::BIGINT))) AS p95, min(score) AS min, max(score) AS max FROM n GROUP BY 1, 2"""))
+def score_summary(spark, sf_dir):
+    return rates.summary(_scored(spark, sf_dir), ["scenario", "kind"], "score")
+
+
+@register(with_(*MAIN_SCORES, GRID_SQL, "\nk AS (SELECT scenario, far, frr, row_number() OVER (PARTITION BY scenario ORDER BY score DESC) - 1 AS k, count(*) OVER (PARTITION BY scenario) - 1 AS last FROM r WHERE far > 0 AND far < 1 AND frr > 0 AND frr < 1)",
+    select="SELECT scenario, k, far, frr FROM k WHERE last < 40 OR floor(ceil(k / (last / 39.0::DOUBLE)) * (last / 39.0::DOUBLE)) = k"))
+def det_points(spark, sf_dir):
+    return rates.det_points(rates.rates(rates.grid(_scored(spark, sf_dir), ["scenario"]), ["scenario"]), ["scenario"], 40)
+
+
+@register(with_(*MAIN_SCORES, GRID_SQL, select="SELECT scenario, max(ia) FILTER (score = '-inf'::DOUBLE)::BIGINT AS impostor_accepts, max(ga) FILTER (score = '-inf'::DOUBLE)::BIGINT AS genuine_accepts, max(it)::BIGINT AS impostor, max(gt)::BIGINT AS genuine FROM r GROUP BY 1"))
+def failures_never_accepted(spark, sf_dir):
+    """What the lowest threshold accepts: all pairs but the failures, which still count."""
+    r = rates.rates(rates.grid(_scored(spark, sf_dir), ["scenario"]), ["scenario"]).where(F.col("score") == rates.FAILED)
+    return r.select("scenario", *[F.col(a).cast("long").alias(b) for a, b in (("impostor_above", "impostor_accepts"), ("genuine_above", "genuine_accepts"), ("impostor_total", "impostor"), ("genuine_total", "genuine"))])
+
+
+@register(with_(*MAIN_SCORES, _TOP_SQL, select="SELECT scenario, frgp, (count(*) FILTER (score > top))::VARCHAR || '/' || count(*)::VARCHAR AS accepted FROM y JOIN t USING (scenario) WHERE kind = 'genuine' GROUP BY 1, 2"))
+def per_finger_accepts(spark, sf_dir):
+    return rates.accepts_by_finger(_scored(spark, sf_dir), ["scenario"])
+
+
+_GROUPED_SQL = """
+z AS (SELECT y.*, CASE WHEN a.half = 'dev' AND b.half = 'dev' THEN 'dev' WHEN coalesce(a.half, '') <> 'dev' AND coalesce(b.half, '') <> 'dev' THEN 'test' ELSE 'other' END AS "group"
+      FROM y LEFT JOIN split a ON probe_subject = a.subject LEFT JOIN split b ON reference_subject = b.subject)"""
+
+
+def _grouped(scores: DataFrame, m: DataFrame) -> DataFrame:
+    dev = keyed.development_split(m, SEED).where("half = 'dev'")
+    return pairs.group_of(scores, dev, dev)
+
+
+@register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, GRID_SQL.replace(" FROM y", " FROM (SELECT * FROM z WHERE \"group\" = 'dev')"), f"\nth AS ({_tar_sql(targets=(0.01,))})", select="""
+SELECT *, true_accepts / genuine::DOUBLE AS tar, false_accepts / impostor::DOUBLE AS far FROM (
+  SELECT z.scenario, max(threshold) AS threshold, count(*) FILTER (kind = 'genuine' AND score > threshold) AS true_accepts, count(*) FILTER (kind = 'genuine') AS genuine,
+         count(*) FILTER (kind = 'impostor' AND score > threshold) AS false_accepts, count(*) FILTER (kind = 'impostor') AS impostor
+  FROM z JOIN th USING (scenario) WHERE "group" = 'test' GROUP BY 1)"""))
+def operational_threshold(spark, sf_dir):
+    m = S.manifest(spark, sf_dir)
+    z = _grouped(_scored(spark, sf_dir), m)
+    return rates.operational(z.where("group = 'dev'"), z.where("group = 'test'"), ["scenario"], 0.01)
+
+
+_AUDIT_SQL = with_(MANIFEST_SQL, """
+c AS (SELECT a.image_id, a."set", a.subject, a.frgp, b.image_id AS rid, b.subject AS rs, b.frgp AS rf,
+             CASE WHEN (a.trait + b.trait) % 53 <> 0 THEN ((a.trait * 31 + b.trait * 17) % 97 + CASE WHEN a.subject = b.subject AND a.frgp = b.frgp THEN 20 ELSE 0 END)::DOUBLE END AS score
+      FROM u a JOIN u b ON a."set" IN ('Q', 'J') AND b."set" = 'V' AND (a.subject = b.subject OR a.frgp = b.frgp)),
+th AS (SELECT coalesce(max(score), '-inf'::DOUBLE) AS t FROM (SELECT score, row_number() OVER (ORDER BY score DESC NULLS LAST) AS rn, count(*) OVER () AS n FROM c WHERE subject <> rs) WHERE rn = floor(n * 0.0001 + 1e-9) + 1),
+o AS (SELECT image_id, max(score) AS own FROM c WHERE subject = rs AND frgp = rf GROUP BY 1),
+b AS (SELECT * FROM (SELECT image_id, score AS best, rid, rs, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, rid) AS rn FROM c WHERE NOT (subject = rs AND frgp = rf) AND score IS NOT NULL) WHERE rn = 1)""",
+    select="""SELECT u.image_id, u."set", u.subject, u.frgp, own AS own_score, best AS best_other_score, rid AS best_other_image_id, (rs = u.subject)::INT AS best_other_same_subject,
+CASE WHEN best IS NOT NULL AND best > t AND (own IS NULL OR best > own) THEN 'suspected' WHEN own IS NULL THEN 'no_reference'
+     WHEN own > t AND (best IS NULL OR own > best) THEN 'confirmed' ELSE 'undetermined' END AS category
+FROM u LEFT JOIN o ON u.image_id = o.image_id LEFT JOIN b ON u.image_id = b.image_id, th WHERE u."set" IN ('Q', 'J')""")
+
+
+@register(_AUDIT_SQL)
+def label_audit(spark, sf_dir):
+    m = S.manifest(spark, sf_dir).where("excluded = 0")
+    rows, references = m.where("set in ('Q', 'J')"), m.where("set = 'V'")
+    c = audit.candidate_pairs(rows, references)
+    traits = lambda side, key: m.select(F.col("image_id").alias(key), F.col("trait").alias(side))
+    c = c.join(traits("a", "image_id"), "image_id").join(traits("b", "reference_image_id"), "reference_image_id")
+    own = (F.col("subject") == F.col("reference_subject")) & (F.col("frgp") == F.col("reference_frgp"))
+    score = (F.col("a") * 31 + F.col("b") * 17) % 97 + F.when(own, 20).otherwise(0)
+    c = c.withColumn("score", F.when((F.col("a") + F.col("b")) % 53 != 0, score.cast("double"))).drop("a", "b")
+    t = rates.share_threshold(c.where("subject != reference_subject"), 0.0001).first()["threshold"]
+    return audit.classify(rows.drop("trait", "excluded"), c, t)
+
+
+_NN_SQL = """
+WITH d AS (SELECT label::VARCHAR || '_' || (vec_id % 2)::VARCHAR AS image, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.image AS probe_image_id, b.image AS reference_image_id, a.vec_id AS i, b.vec_id AS j, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(a.v, b.v)]) AS dist
+      FROM d a JOIN d b ON a.image LIKE '%\\_0' ESCAPE '\\' AND b.image LIKE '%\\_1' ESCAPE '\\'),
+q AS (SELECT *, row_number() OVER (PARTITION BY probe_image_id, reference_image_id, i ORDER BY dist, j) AS ri, row_number() OVER (PARTITION BY probe_image_id, reference_image_id, j ORDER BY dist, i) AS rj,
+             lead(dist) OVER (PARTITION BY probe_image_id, reference_image_id, i ORDER BY dist, j) AS di, lead(dist) OVER (PARTITION BY probe_image_id, reference_image_id, j ORDER BY dist, i) AS dj FROM p)
+SELECT probe_image_id, reference_image_id, count(*) FILTER (ri = 1 AND rj = 1 AND ((di IS NULL OR dj IS NULL) OR (dist < 0.95 * di AND dist < 0.95 * dj)))::DOUBLE AS score FROM q GROUP BY 1, 2"""
+
+
+@register(_NN_SQL)
+def mutual_nn_ratio(spark, sf_dir):
+    """embeddings as descriptors: a label's even vectors are a probe, its odd ones a reference."""
+    vectors = S.table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
+    image = F.concat_ws("_", F.col("label").cast("string"), (F.col("vec_id") % 2).cast("string"))
+    features = vectors.groupBy(image.alias("image_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("descriptors"))
+    ids = features.select("image_id", F.substring_index("image_id", "_", -1).alias("parity"), F.lit(1).alias("k"))
+    listed = ids.where("parity = '0'").select(F.col("image_id").alias("probe_image_id"), "k").join(ids.where("parity = '1'").select(F.col("image_id").alias("reference_image_id"), "k"), "k").drop("k")
+    return matching.score_pairs(listed, features, lambda p, r: matching.batched_scores(p, r, 0.95)).select("probe_image_id", "reference_image_id", "score")
+
+
+_WEIGHTS = (1.25, 0.75)
+_FUSED_SQL = f"""
+fl AS (SELECT scenario, min(score) AS f1, min(score2) AS f2 FROM z WHERE "group" = 'dev' GROUP BY 1),
+fu AS (SELECT z.pair_id, z.scenario, z.kind, {_WEIGHTS[0]}::DOUBLE * ln(1 + coalesce(score, f1)) + {_WEIGHTS[1]}::DOUBLE * ln(1 + coalesce(score2, f2)) AS fused FROM z JOIN fl USING (scenario) WHERE "group" = 'test')"""
+
+
+def _channels(spark, sf_dir) -> DataFrame:
+    keys = ["pair_id", "scenario", "kind", "frgp", "probe_subject", "reference_subject"]
+    both = fusion.align_channels({"one": _scored(spark, sf_dir), "two": _scored(spark, sf_dir, second=True)}, keys)
+    return _grouped(both, S.manifest(spark, sf_dir))
+
+
+@register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, _FUSED_SQL, select="SELECT scenario, kind, count(*) AS pairs, round(min(fused), 9) AS low, round(max(fused), 9) AS high, round(sum(round(fused, 6)), 3) AS total FROM fu GROUP BY 1, 2"))
+def fusion_fused_scores(spark, sf_dir):
+    z, out = _channels(spark, sf_dir), None
+    for scenario in MAIN:
+        part = z.where(F.col("scenario") == scenario)
+        low = fusion.floors(part.where("group = 'dev'"), ["one", "two"])
+        done = fusion.fused(part.where("group = 'test'"), ["one", "two"], low, _WEIGHTS)
+        out = done if out is None else out.unionByName(done)
+    stats = [F.count(F.lit(1)).alias("pairs"), F.round(F.min("fused"), 9).alias("low"), F.round(F.max("fused"), 9).alias("high"), F.round(F.sum(F.round("fused", 6)), 3).alias("total")]
+    return out.groupBy("scenario", "kind").agg(*stats)
+
+
+@register()
+def fusion_fit(spark, sf_dir):
+    """Weights of the fitted fusion; held against numpy in the tests."""
+    z = _channels(spark, sf_dir).where("scenario = 'UxV' and group = 'dev'")
+    low = fusion.floors(z, ["one", "two"])
+    rows = fusion.with_features(z, ["one", "two"], low).withColumn("y", (F.col("kind") == "genuine").cast("int")).persist()
+    w = fusion.fit_logistic(rows, ["x_one", "x_two"], "y")
+    rows.unpersist()
+    return spark.createDataFrame([(n, float(x)) for n, x in zip(("one", "two", "bias"), w)], "channel string, weight double")
+
+
+REPLICATES = 12
+
+
+def _both_channels(spark, sf_dir) -> DataFrame:
+    keep = ["channel", "kind", "score", "probe_subject", "reference_subject"]
+    chosen = lambda second, name: _scored(spark, sf_dir, {"UxV": MAIN["UxV"]}, second).withColumn("channel", F.lit(name)).select(*keep)
+    return chosen(False, "one").unionByName(chosen(True, "two"))
+
+
+def _boot(spark, sf_dir) -> DataFrame:
+    scores = _both_channels(spark, sf_dir)
+    m = S.manifest(spark, sf_dir).where("excluded = 0 and set in ('U', 'V')")
+    index = bootstrap.subject_index(m)
+    draws = bootstrap.keyed_draws(index.count(), REPLICATES, SEED)
+    return bootstrap.subject_bootstrap(scores, index, draws, ["channel"], (0.01,))
+
+
+_BOOT_SQL = (MANIFEST_SQL, pairs_sql({"UxV": MAIN["UxV"]}), SCORED_SQL, f"""
+ix AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS idx FROM (SELECT DISTINCT subject FROM u WHERE "set" IN ('U', 'V'))),
+dr AS (SELECT r, ('0x' || substr({hash_sql("'draw'", "r::VARCHAR || ':' || k::VARCHAR")}, 1, 8))::BIGINT % (SELECT count(*) FROM ix) AS idx
+       FROM (SELECT unnest(range({REPLICATES})) AS r), (SELECT idx AS k FROM ix)),
+wt AS (SELECT r, subject, count(*)::DOUBLE AS w FROM dr JOIN ix USING (idx) GROUP BY 1, 2),
+ch AS (SELECT 'one' AS channel, kind, score, probe_subject, reference_subject FROM y UNION ALL SELECT 'two', kind, score2, probe_subject, reference_subject FROM y),
+wg AS (SELECT channel, a.r AS r, coalesce(score, '-inf'::DOUBLE) AS score, sum(CASE WHEN kind = 'genuine' THEN a.w ELSE 0 END) AS gen, sum(CASE WHEN kind = 'impostor' THEN a.w * b.w ELSE 0 END) AS imp
+       FROM ch JOIN wt a ON probe_subject = a.subject JOIN wt b ON reference_subject = b.subject AND a.r = b.r GROUP BY 1, 2, 3),
+wr AS (SELECT *, ia / it AS far, 1 - ga / gt AS frr FROM (
+  SELECT channel, r, score, coalesce(sum(gen) OVER a, 0) AS ga, coalesce(sum(imp) OVER a, 0) AS ia, sum(gen) OVER (PARTITION BY channel, r) AS gt, sum(imp) OVER (PARTITION BY channel, r) AS it
+  FROM (SELECT * FROM wg UNION ALL SELECT DISTINCT channel, r, '-inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM wg WHERE (channel, r) NOT IN (SELECT (channel, r) FROM wg WHERE score = '-inf'::DOUBLE))
+  WINDOW a AS (PARTITION BY channel, r ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+ev AS (SELECT channel, r, coalesce(max_by(CASE WHEN gap >= 0 THEN v END, CASE WHEN gap >= 0 THEN score END), min_by(m_, score)) AS value FROM (
+  SELECT channel, r, score, gap, (far + frr) / 2 AS m_, CASE WHEN gap0 IS NULL THEN (far + frr) / 2 ELSE far0 + gap0 / (gap0 - gap) * (far - far0) END AS v
+  FROM (SELECT *, far - frr AS gap, lag(far - frr) OVER d AS gap0, lag(far) OVER d AS far0 FROM wr WINDOW d AS (PARTITION BY channel, r ORDER BY score DESC))) GROUP BY 1, 2),
+bv AS (SELECT channel, r, 'eer' AS metric, value FROM ev UNION ALL
+       SELECT channel, r, 'tar_at_0.01', 1 - frr FROM (SELECT *, row_number() OVER (PARTITION BY channel, r ORDER BY score) AS rn FROM wr WHERE ia <= 0.01::DOUBLE * it + 1e-9 * greatest(1.0, it)) WHERE rn = 1)""")
+
+
+@register(with_(*_BOOT_SQL, select="SELECT channel, metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM bv GROUP BY 1, 2"))
+def bootstrap_intervals(spark, sf_dir):
+    found = bootstrap.intervals(_boot(spark, sf_dir), ["channel"])
+    return found.select("channel", "metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@register(with_(*_BOOT_SQL, select="""SELECT b.channel AS minuend, a.channel AS subtrahend, metric, round(quantile_cont(b.value - a.value, 0.025), 9) AS low, round(quantile_cont(b.value - a.value, 0.975), 9) AS high
+FROM bv a JOIN bv b USING (r, metric) WHERE a.channel < b.channel GROUP BY 1, 2, 3"""))
+def paired_differences(spark, sf_dir):
+    found = bootstrap.paired_differences(_boot(spark, sf_dir), [], "channel")
+    return found.select("minuend", "subtrahend", "metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def _checksums(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Parts as files: two of three are listed, one of those with another hash; and names that no part has."""
+    parts = S.table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("name"), "p_partkey", F.sha2(F.col("p_brand"), 256).alias("sha256"))
+    found = parts.select(F.lit("P").alias("set"), "name", "sha256")
+    listed = F.when(F.col("p_partkey") % 3 == 1, F.col("sha256")).otherwise(F.sha2(F.lit("other"), 256))
+    lists = parts.where("p_partkey % 3 != 0").select(F.lit("P").alias("set"), F.when(F.col("p_partkey") % 7 == 0, F.concat("name", F.lit("-gone"))).otherwise(F.col("name")).alias("name"), listed.alias("listed"))
+    return found, lists
+
+
+_CHECK_SQL = """WITH p AS (SELECT p_name || '-' || p_partkey::VARCHAR AS name, p_partkey AS k, sha256(p_brand) AS h FROM part),
+l AS (SELECT name || CASE WHEN k % 7 = 0 THEN '-gone' ELSE '' END AS name, CASE WHEN k % 3 = 1 THEN h ELSE sha256('other') END AS listed FROM p WHERE k % 3 <> 0)
+"""
+
+
+@register(_CHECK_SQL + "SELECT CASE WHEN listed IS NULL THEN 'not_listed' WHEN listed = h THEN 'ok' ELSE 'mismatch' END AS checksum, count(*) AS files FROM p LEFT JOIN l USING (name) GROUP BY 1")
+def checksum_status(spark, sf_dir):
+    found, lists = _checksums(spark, sf_dir)
+    joined = found.join(lists, ["set", "name"], "left").select(manifests.checksum_status(F.col("listed"), F.col("sha256")).alias("checksum"))
+    return joined.groupBy("checksum").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register(_CHECK_SQL + "SELECT 'P' AS \"set\", name FROM l WHERE name NOT IN (SELECT name FROM p)")
+def missing_on_disk(spark, sf_dir):
+    found, lists = _checksums(spark, sf_dir)
+    return manifests.missing_files(lists, found)
+
+
+_CHUNK = 200
+_COST = {"U": 0.5, "V": 0.5, "R": 0.25, "Q": 0.25, "J": 0.2}
+_PLAN_SQL = f"""
+cost("set", seconds) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _COST.items())}),
+pl AS (SELECT image_id AS item, floor((row_number() OVER (ORDER BY "set", image_id) - 1) / {_CHUNK})::BIGINT AS chunk, row_number() OVER (ORDER BY "set", image_id) - 1 AS pos, seconds AS expected_s FROM u JOIN cost USING ("set")),
+hd AS (SELECT 'extract' AS stage, chunk, count(*) AS count, min_by(item, pos) AS first, max_by(item, pos) AS last, sum(expected_s) AS expected_s FROM pl GROUP BY 2)"""
+
+
+def _heads(spark, sf_dir) -> DataFrame:
+    usable = S.manifest(spark, sf_dir).where("excluded = 0")
+    cost = spark.createDataFrame(list(_COST.items()), "set string, seconds double")
+    return runlog.chunk_heads(runlog.chunk_plan(usable, "extract", _CHUNK, ["set", "image_id"], "image_id", cost))
+
+
+def _log(heads: DataFrame) -> DataFrame:
+    """Two of three chunks as finished, each 1.5 times as long as expected."""
+    start = F.lit(1000.0) + F.col("chunk") * 10.0
+    return heads.where("chunk % 3 != 0").select("*", start.alias("started"), (start + F.col("expected_s") * 1.5).alias("finished"))
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select="SELECT stage, chunk, count, first, last, round(expected_s, 6) AS expected_s FROM hd"))
+def chunk_plan(spark, sf_dir):
+    return _heads(spark, sf_dir).withColumn("expected_s", F.round("expected_s", 6))
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select="SELECT stage, chunk, count FROM hd WHERE chunk % 3 = 0"))
+def missing_chunks(spark, sf_dir):
+    heads = _heads(spark, sf_dir)
+    return runlog.missing_chunks(heads, runlog.checked_log(_log(heads), heads)).select("stage", "chunk", "count")
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select="""
+SELECT 'extract' AS stage, items, items_done, chunks, chunks_done, round((total - spent) * 1.5 / least(4, chunks - chunks_done), 6) AS remaining_s,
+       round(greatest(total * 1.5 / least(4, chunks), (total - spent) * 1.5 / least(4, chunks - chunks_done)), 6) AS duration_s
+FROM (SELECT sum(count)::BIGINT AS items, (sum(count) FILTER (chunk % 3 <> 0))::BIGINT AS items_done, count(*) AS chunks, count(*) FILTER (chunk % 3 <> 0) AS chunks_done, sum(expected_s) AS total, sum(expected_s) FILTER (chunk % 3 <> 0) AS spent FROM hd)"""))
+def pace_forecast(spark, sf_dir):
+    heads = _heads(spark, sf_dir)
+    stages = spark.createDataFrame([("extract", "one", "extract")], "stage string, algorithm string, kind string")
+    table = runlog.progress(heads, _log(heads), stages, 1e9, 4)
+    return table.select("stage", "items", "items_done", "chunks", "chunks_done", F.round("remaining_s", 6).alias("remaining_s"), F.round("duration_s", 6).alias("duration_s"))
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select="SELECT stage, sum(count)::BIGINT AS items, round(sum(expected_s * 1.5), 1) AS worker_seconds, min(1000.0::DOUBLE + chunk * 10.0) AS first_start, round(max(1000.0::DOUBLE + chunk * 10.0 + expected_s * 1.5), 6) AS last_finish FROM hd WHERE chunk % 3 <> 0 GROUP BY 1"))
+def stage_runtime(spark, sf_dir):
+    return runlog.runtime(_log(_heads(spark, sf_dir))).withColumn("last_finish", F.round("last_finish", 6))
+
+
+@register()
+def plan_fingerprint(spark, sf_dir):
+    """Digest of the plan's ordered items; equal inputs give equal digests."""
+    usable = S.manifest(spark, sf_dir).where("excluded = 0")
+    return runlog.fingerprint(runlog.chunk_plan(usable, "extract", _CHUNK, ["set", "image_id"], "image_id"))
+
+

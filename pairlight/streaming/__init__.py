@@ -1 +1,23 @@
+"""The run log as a stream: totals of stages as their chunks finish."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pairlight.operators.runlog import LOG
+
+
+def log_stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(LOG).parquet(path)
+
+
+def stage_totals(log: DataFrame) -> DataFrame:
+    """stage, items, chunks, seconds; works on a table and on a stream (state: a row a stage)."""
+    return log.groupBy("stage").agg(F.sum("count").alias("items"), F.count(F.lit(1)).alias("chunks"), F.sum(F.col("finished") - F.col("started")).alias("seconds"))
+
+
+def start_totals(spark: SparkSession, path: str, name: str, checkpoint: str) -> StreamingQuery:
+    """Totals kept in an in-memory table ``name``; takes what is there and ends."""
+    return stage_totals(log_stream(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
