@@ -60,7 +60,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     """Boost depth-limited trees on the logistic loss over binned features."""
     inner, leaves = (1 << depth) - 1, 1 << depth
     rate = float(y.mean()) if len(y) else 0.5
-    if not 0 < rate < 1:
+    if not len(y) or not 0 < rate < 1:
         base = 0.0 if not len(y) else np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5))
         return Forest(float(base), np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
@@ -129,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(got[NAMES].to_numpy(float), got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id) and the score of each document."""
+def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns (default doc_id) and the score of each document, as column ``name``."""
     keep = keep or ["doc_id"]
     chosen = docs.select(*keep, F.col("text").alias("__text"))
 
@@ -138,9 +138,9 @@ def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> Dat
         for whole in batches:
             for batch in steps(whole, "__text"):
                 values = forest.score(statistics(Texts(batch.column("__text"))))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values)], [*keep, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + f", `{name}` double"
     return chosen.mapInArrow(run, schema)
 
 
