@@ -26,15 +26,15 @@ from pairlight.scratch import keep
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     forest = boosting.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = boosting.score(docs, forest, docs.columns)
-    return scored.where(F.col("score") >= boosting.THRESHOLD).select(*docs.columns)
+    scored = boosting.score(docs, forest, docs.columns, "__score")
+    return scored.where(F.col("__score") >= boosting.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates; rows without a doc_id stay, exact repeats of a row count once."""
     classes = ngram_join.near_duplicates(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     return left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
@@ -46,10 +46,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.pareto_mix(docs).groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.min("copies").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (mixing.word_count(F.col("text")) == F.col("m_size"))
-    taken = docs.join(copies.where("copies > 0"), same)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    copies = mixing.pareto_mix(docs).groupBy(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("size").alias("__m_size")).agg(F.min("copies").alias("__copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__m_id")) & F.col("source").eqNullSafe(F.col("__m_source")) & (mixing.word_count(F.col("text")) == F.col("__m_size"))
+    taken = docs.join(copies.where("__copies > 0"), same)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
