@@ -41,7 +41,8 @@ TRAIN_DOCS = 6_000
 #: Shapes that are fitted on at most, the commonest first.
 TRAIN_SHAPES = 20_000
 #: OBSERVED is what a base span adds to its words' potentials, which links then carry to their likes.
-ROUNDS, DAMPING, COUPLING, SURE, OBSERVED = 12, 0.5, 0.7, 0.9, 8.0
+#: AGREE is how many agreeing links a label starts with: likes are labelled alike unless the corpus says otherwise.
+ROUNDS, DAMPING, COUPLING, SURE, OBSERVED, AGREE = 12, 0.5, 0.7, 0.9, 8.0, 25.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -230,7 +231,7 @@ def fit(shapes: np.ndarray, labels: np.ndarray, counts: np.ndarray, pairs: dict[
         p = (n + 0.5) / (n + 0.5).sum()
         return COUPLING * np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -4, 4)
 
-    return Field(w, mutual(pairs["near"]), mutual(pairs["skip"] + pairs["skip"].T))
+    return Field(w, mutual(pairs["near"]), mutual(pairs["skip"] + pairs["skip"].T + AGREE * np.eye(len(LABELS))))
 
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS, most_shapes: int = TRAIN_SHAPES) -> Field | None:
