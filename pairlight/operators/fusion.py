@@ -20,9 +20,8 @@ def align_channels(channels: dict[str, DataFrame], keys: list[str]) -> DataFrame
     whole = F.lit(True)
     for name in channels:
         whole = whole & F.coalesce(F.col(f"has_{name}"), F.lit(False))
-    first = next(iter(channels))
-    checked = F.when(whole, F.col(first)).otherwise(F.raise_error(F.lit("the channels do not list identical pairs")).cast("double"))
-    return joined.withColumn(first, checked).drop(*[f"has_{n}" for n in channels])
+    same = F.when(whole, True).otherwise(F.raise_error(F.lit("the channels do not list identical pairs")).cast("boolean"))
+    return joined.where(same).drop(*[f"has_{n}" for n in channels])
 
 
 def floors(fit: DataFrame, channels: list[str]) -> dict[str, float]:

@@ -29,8 +29,9 @@ def keyed_sample(df: DataFrame, seed: str, purpose: Column | str, key: Column, b
     kept = keyed_rank(df, seed, purpose, key, by).where(F.col("rank") <= k)
     if exact:
         kept = kept.withColumn("last", F.max("rank").over(Window.partitionBy(*by)))
-        enough = F.when(F.col("last") < k, F.raise_error(F.concat_ws(" ", F.lit("a group has fewer candidates than asked for:"), *[F.col(c).cast("string") for c in by])).cast("int")).otherwise(F.col("rank"))
-        kept = kept.withColumn("rank", enough).drop("last")
+        short = F.concat_ws(" ", F.lit("a group has fewer candidates than asked for:"), *[F.col(c).cast("string") for c in by])
+        # a filter, so that pruning columns cannot drop the check
+        kept = kept.where(F.when(F.col("last") < k, F.raise_error(short).cast("boolean")).otherwise(True)).drop("last")
     return kept
 
 

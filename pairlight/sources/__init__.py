@@ -40,7 +40,7 @@ def read_checksums(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """set, name, listed from checksum lists, a folder or glob for each set; the hash column has either name, the last file of a set wins."""
     out = None
     for code, path in paths.items():
-        lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
+        lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
         head = F.transform(F.split(F.col("lines")[0], ","), lambda h: F.trim(h))
         cells = lines.select("file", head.alias("head"), F.posexplode("lines").alias("pos", "line")).where("pos > 0 and trim(line) != ''").withColumn("cell", F.split("line", ","))
         hash_at = F.when(F.array_contains("head", "sha256"), F.array_position("head", "sha256")).otherwise(F.array_position("head", "checksum"))
