@@ -5,7 +5,8 @@ certain; for the rest documents are ranked by random odds divided by inclusion
 odds (Rosen's Pareto sampling) and the smallest ratios are taken until the
 source's remaining budget, counted in words, is filled as nearly as whole
 documents allow. The ranking is cut by a histogram of the ratio (``BINS`` rows a
-source), so no task ever sorts a whole source.
+source) and a second one inside the bin where the budget ends, so a task sorts a
+part in ``BINS`` squared of a source and never a whole one.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 sorted last; repeated rows are separate documents; zero-size documents take 0
@@ -27,8 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No source's target exceeds so many times its size.
 MAX_REPEATS = 2.0
-#: Histogram bins of the Pareto ratio for each source.
-BINS = 4096
+#: Bins of the Pareto ratio's histogram for each source, at each of two levels.
+BINS = 512
 
 
 def word_count(text: Column) -> Column:
@@ -70,6 +71,23 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _filled(bin_: str) -> Column:
+    """Words of the cell that ranking may take."""
+    return F.sum(F.when(F.col(bin_).isNotNull(), F.col("size")).otherwise(0))
+
+
+def _cuts(cells: DataFrame, bin_: str) -> DataFrame:
+    """For each source the bin that its budget ends in, and the words before it. ``cells`` has at most ``BINS`` + 1 rows a source."""
+    upto = Window.partitionBy("source").orderBy(F.col(bin_).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.withColumn("before", F.col("start") + F.coalesce(F.sum("cell").over(upto), F.lit(0)))
+    return before.where(F.col("before") <= F.col("budget")).groupBy("source").agg(F.max(F.struct(F.coalesce(bin_, F.lit(-1)).alias("bin"), "before", "budget")).alias("cut"))
+
+
+def _with_cut(rows: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
+    named = cuts.select(F.col("source").alias("c_source"), F.col("cut").alias(name))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+
+
 def pareto_mix(docs: DataFrame, *, seed: str = "mix", propensity: Column | None = None, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, bins: int = BINS) -> DataFrame:
     """Copies of each document in the mix.
 
@@ -91,34 +109,27 @@ def pareto_mix(docs: DataFrame, *, seed: str = "mix", propensity: Column | None
         .withColumn("part", F.col("inclusion") - F.col("certain"))
         .withColumn("u", uniform(F.col("doc_id"), seed))
         .withColumn("odds", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
-        .withColumn("bin", F.when(F.col("odds").isNotNull(), F.least(F.lit(bins - 1), F.floor(bins * F.col("odds") / (1 + F.col("odds"))))))
-    )
-    cells = dealt.groupBy("source", "bin").agg(
-        F.sum(F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)).alias("cell"),
-        F.sum(F.col("certain") * F.col("size")).alias("sure"),
-        F.max("target").alias("target"),
-    )
-    whole = Window.partitionBy("source")
-    upto = whole.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        cells.withColumn("budget", F.col("target") - F.sum("sure").over(whole))
-        .withColumn("before", F.coalesce(F.sum("cell").over(upto), F.lit(0)))
-        .where(F.col("before") <= F.col("budget"))
-        .groupBy(F.col("source").alias("c_source"))
-        .agg(F.max(F.struct(F.coalesce("bin", F.lit(-1)).alias("bin"), "before", "budget")).alias("cut"))
+        .withColumn("fine", F.when(F.col("odds").isNotNull(), F.least(F.lit(bins * bins - 1), F.floor(bins * bins * F.col("odds") / (1 + F.col("odds"))))))
+        .withColumn("coarse", F.floor(F.col("fine") / bins))
     )
-    marked = dealt.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left")
-    edge = (F.col("bin") == F.col("cut.bin")) & F.col("odds").isNotNull()
-    inside = Window.partitionBy("source", "bin").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    sure = marked.where(~F.coalesce(edge, F.lit(False))).withColumn("extra", F.coalesce((F.col("bin") < F.col("cut.bin")).cast("long"), F.lit(0)))
+    sure = F.sum(F.sum(F.col("certain") * F.col("size"))).over(Window.partitionBy("source"))
+    coarse = dealt.groupBy("source", "coarse").agg(_filled("coarse").alias("cell"), (F.max("target") - sure).alias("budget")).withColumn("start", F.lit(0))
+    marked = _with_cut(dealt, _cuts(coarse, "coarse"), "one")
+    edge = F.coalesce(F.col("coarse") == F.col("one.bin"), F.lit(False))
+    inner = marked.where(edge).groupBy("source", "fine").agg(_filled("fine").alias("cell"), F.max("one.budget").alias("budget"), F.max("one.before").alias("start"))
+    marked = _with_cut(marked, _cuts(inner, "fine"), "two")
+    last = edge & F.coalesce(F.col("fine") == F.col("two.bin"), F.lit(False))
+    inside = Window.partitionBy("source", "fine").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    below = (F.col("coarse") < F.col("one.bin")) | (edge & (F.col("fine") < F.col("two.bin")))
+    clear = marked.where(~last).withColumn("extra", F.coalesce(below.cast("long"), F.lit(0)))
     close = (
-        marked.where(edge)
-        .withColumn("reach", F.col("cut.before") + F.sum("size").over(inside) - F.col("size") / 2)
-        .withColumn("extra", (F.col("reach") <= F.col("cut.budget")).cast("long"))
+        marked.where(last)
+        .withColumn("reach", F.col("two.before") + F.sum("size").over(inside) - F.col("size") / 2)
+        .withColumn("extra", (F.col("reach") <= F.col("one.budget")).cast("long"))
         .drop("reach")
     )
     copies = (F.col("certain") + F.col("extra")).cast("long")
-    return sure.unionByName(close).select("doc_id", "source", "size", "source_size", "target", "inclusion", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return clear.unionByName(close).select("doc_id", "source", "size", "source_size", "target", "inclusion", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 #: The same mix in DuckDB, with one plain window over each source.
