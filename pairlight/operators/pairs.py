@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.functions import set_of
-from pairlight.operators.keyed import development_split, keyed_rank, keyed_sample, keyed_top
+from pairlight.operators.keyed import development_split, keyed_sample, keyed_top
 
 PAIR_COLUMNS = ["pair_id", "scenario", "kind", "frgp", "probe_image_id", "reference_image_id", "probe_subject", "reference_subject"]
 SCENARIOS = {"UxV": ("U", "V"), "RxV": ("R", "V")}
@@ -24,11 +24,11 @@ def usable(manifest: DataFrame, set_code: str) -> DataFrame:
     return manifest.where((F.col("set") == set_code) & (F.col("excluded") == 0))
 
 
-def _side(rows: DataFrame, side: str, extra: list[str]) -> DataFrame:
+def _side(rows: DataFrame, side: str, extra: tuple[str, ...]) -> DataFrame:
     return rows.select(F.col("image_id").alias(f"{side}_image_id"), F.col("subject").alias(f"{side}_subject"), F.col("frgp").alias(f"{side}_frgp"), *[F.col(c).alias(f"{side}_{c}") for c in extra])
 
 
-def _record(joined: DataFrame, scenario: str, kind: Column, extra: list[str]) -> DataFrame:
+def _record(joined: DataFrame, scenario: str, kind: Column, extra: tuple[str, ...]) -> DataFrame:
     return joined.select(
         F.concat_ws(":", F.lit(scenario), "probe_image_id", "reference_image_id").alias("pair_id"), F.lit(scenario).alias("scenario"), kind.alias("kind"),
         F.col("probe_frgp").alias("frgp"), "probe_image_id", "reference_image_id", "probe_subject", "reference_subject",
@@ -36,7 +36,7 @@ def _record(joined: DataFrame, scenario: str, kind: Column, extra: list[str]) ->
     )
 
 
-def genuine_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, extra: list[str] = []) -> DataFrame:
+def genuine_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Same subject and same finger position. A repeated reference key keeps its greatest image_id."""
     probe = _side(usable(manifest, probe_set), "probe", extra)
     reference = _side(usable(manifest, reference_set), "reference", extra)
@@ -54,15 +54,15 @@ def salted(probe: DataFrame, reference: DataFrame, salts: int = SALTS) -> tuple[
     )
 
 
-def impostor_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, extra: list[str] = []) -> DataFrame:
+def impostor_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Same finger position, other subject."""
-    probe, reference = salted(_side(usable(manifest, probe_set), "probe", extra), _side(usable(manifest, reference_set), "reference", extra).withColumnRenamed("salt", "salt"))
+    probe, reference = salted(_side(usable(manifest, probe_set), "probe", extra), _side(usable(manifest, reference_set), "reference", extra))
     reference = reference.withColumnRenamed("salt", "reference_salt")
     other = (F.col("probe_frgp") == F.col("reference_frgp")) & (F.col("salt") == F.col("reference_salt")) & (F.col("probe_subject") != F.col("reference_subject"))
     return _record(probe.join(reference, other), scenario, F.lit("impostor"), extra)
 
 
-def all_pairs(manifest: DataFrame, scenarios: dict[str, tuple[str, str]] = SCENARIOS, extra: list[str] = []) -> DataFrame:
+def all_pairs(manifest: DataFrame, scenarios: dict[str, tuple[str, str]] = SCENARIOS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Genuine and impostor pairs of the scenarios."""
     parts = [make(manifest, name, *sets, extra) for name, sets in scenarios.items() for make in (genuine_pairs, impostor_pairs)]
     out = parts[0]
@@ -152,11 +152,11 @@ def cross_position_pairs(manifest: DataFrame, images: DataFrame, probe_sets: lis
     expanded in place.
     """
     references = images.where(F.col("set") == reference_set).agg(F.collect_list(F.struct(F.col("image_id").alias("reference_image_id"), F.col("subject").alias("reference_subject"), F.col("frgp").alias("reference_frgp"))).alias("all")).withColumn("k", F.lit(0))
-    probes = _side(images.where(F.col("set").isin(*probe_sets)), "probe", []).withColumn("k", F.lit(0))
+    probes = _side(images.where(F.col("set").isin(*probe_sets)), "probe", ()).withColumn("k", F.lit(0))
     both = probes.join(F.broadcast(references), "k").select("*", F.explode("all").alias("r")).select("probe_image_id", "probe_subject", "probe_frgp", "r.*")
     chosen = keyed_top(both, seed, purpose, F.concat_ws("|", "probe_image_id", "reference_image_id"), n_pairs)
     kind = F.when((F.col("probe_subject") == F.col("reference_subject")) & (F.col("probe_frgp") == F.col("reference_frgp")), "genuine").otherwise("impostor")
-    return _record(chosen, scenario, kind, [])
+    return _record(chosen, scenario, kind, ())
 
 
 def pilot_images(manifest: DataFrame, seed: str, sets: list[str], purpose: str, n: int, thumbs: bool = True, fraction: float = 0.5) -> DataFrame:
@@ -172,5 +172,3 @@ def in_order(pairs: DataFrame, sets: str = "VUR") -> DataFrame:
     """Pairs ordered by the probe's set as listed, position, probe and reference."""
     return pairs.orderBy(F.instr(F.lit(sets), set_of(F.col("probe_image_id"))), "frgp", "probe_image_id", "reference_image_id")
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("keyed_rank",)]

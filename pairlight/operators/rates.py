@@ -113,7 +113,7 @@ def summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def share_threshold(scores: DataFrame, share: float, by: list[str] = []) -> DataFrame:
+def share_threshold(scores: DataFrame, share: float, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """by, threshold: the lowest that at most ``share`` of the scores lie above; -Infinity where all may."""
     counted = scores.groupBy(*by, F.coalesce(F.col("score").cast("double"), F.lit(FAILED)).alias("score")).agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -36,7 +36,7 @@ def with_(*tables: str, select: str) -> str:
 
 
 def _scored(spark, sf_dir, scenarios=MAIN, second=False) -> DataFrame:
-    made = pairs.all_pairs(S.manifest(spark, sf_dir), scenarios, ["trait"])
+    made = pairs.all_pairs(S.manifest(spark, sf_dir), scenarios, ("trait",))
     return S.second_channel(made) if second else S.scored(made)
 
 

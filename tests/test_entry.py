@@ -27,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry_module.oracle_sql() if not n.startswith("op")))
+@pytest.mark.parametrize("name", sorted(n for n in entry_module.oracle_sql() if not (n.startswith("op") and n[2:3].isdigit())))
 def test_query_equals_its_sql(spark, duck, name):
     got, want = entry_module.queries()[name](spark, "/root/testdata/sf0.01").toPandas(), duck.sql(entry_module.oracle_sql()[name]).df()
     assert rows_of(got) == rows_of(want)
