@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one array step takes; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
+#: Bytes whose sums are held at once while spans are hashed, and the unit in which the tables of powers grow.
+HASH_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,7 +30,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
     if len(_POWERS[0]) < n:
-        n = max(n, 2 * len(_POWERS[0]), STEP_BYTES + 1)
+        n = -(-n // HASH_BYTES) * HASH_BYTES
         for k, base in enumerate((_ODD, _INVERSE)):
             full = np.full(n, base, np.uint64)
             full[0] = 1
@@ -71,7 +73,7 @@ class Texts:
         data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
         self.data = data[offsets[0] : offsets[-1]]
         self.off = offsets - offsets[0]
-        self._sums: np.ndarray | None = None
+        self._hashes: np.ndarray | None = None
         self._words()
 
     def _words(self) -> None:
@@ -99,14 +101,23 @@ class Texts:
         return np.bincount(self.doc if chosen is None else self.doc[chosen], minlength=self.n)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        up, down = powers(len(self.data) + 1)
-        if self._sums is None:
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * up[: len(self.data)], dtype=np.uint64)])
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
+        """Hashes of byte ranges in ascending order; a range hashes alike wherever it lies, so blocks of bytes are taken one by one."""
+        out, at = np.zeros(len(start), np.uint64), 0
+        while at < len(start):
+            first = start[at]
+            to = int(np.searchsorted(start, first + HASH_BYTES, "left"))
+            data = self.data[first : end[at:to].max()]
+            up, down = powers(len(data) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)])
+            a, b = start[at:to] - first, end[at:to] - first
+            out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
+            at = to
+        return out
 
     def word_hash(self) -> np.ndarray:
-        return self.span_hash(self.start, self.end)
+        if self._hashes is None:
+            self._hashes = self.span_hash(self.start, self.end)
+        return self._hashes
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and documents of the lines, which ``\\n`` splits."""
