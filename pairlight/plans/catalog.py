@@ -1,15 +1,19 @@
 """Query registry: name -> callable, and the oracle SQL beside it.
 
-Every query runs over whole stand-in tables (see ``stand_ins``).
+Every query runs over whole stand-in tables (see ``stand_ins``), with the reference's
+parameters. A query named ``..._small`` is the same code under smaller ones, so that
+its SQL stays quick or a cut shows on the test tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlight.functions import SEPARATOR
 from pairlight.operators import audit, bootstrap, fusion, keyed, matching, pairs, rates, runlog
 from pairlight.operators import manifest as manifests
 from pairlight.plans import stand_ins as S
@@ -18,6 +22,10 @@ from pairlight.plans.stand_ins import GRID_SQL, MANIFEST_SQL, SCORED_SQL, SEED,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TARGETS = (0.01, 0.001)
+#: The reference's parameters (protocol.toml, samples.py, evaluate.py, det.py).
+IMPOSTORS, PILOT_PAIRS, REPLICATES, CURVE_POINTS, BOOT_TARGETS = 1000, 2000, 1000, 3000, (0.01, 0.001, 0.0001)
+#: The same for the forms named _small.
+SMALL_IMPOSTORS, SMALL_PAIRS, SMALL_REPLICATES, SMALL_POINTS = 20, 1000, 12, 40
 MAIN, PLAIN = pairs.SCENARIOS, pairs.PLAIN_SCENARIOS
 
 
@@ -70,14 +78,27 @@ def impostor_pairs_full(spark, sf_dir):
 
 
 _IMPOSTOR_HASH = hash_sql("'impostor:' || scenario || ':' || frgp::VARCHAR", "probe_image_id || '|' || reference_image_id")
-_SAMPLE_SQL = f"""
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, frgp ORDER BY {_IMPOSTOR_HASH}, probe_image_id || '|' || reference_image_id) AS rn FROM x WHERE kind = 'impostor') WHERE rn <= 20)"""
 
 
-@register(with_(MANIFEST_SQL, pairs_sql(MAIN), _SAMPLE_SQL, select=f"SELECT {_PAIR} FROM c"))
-def impostor_sample_keyed(spark, sf_dir):
+def _sample_sql(k: int) -> str:
+    return f"""
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, frgp ORDER BY {_IMPOSTOR_HASH}, probe_image_id || '|' || reference_image_id) AS rn FROM x WHERE kind = 'impostor') WHERE rn <= {k})"""
+
+
+def _sample(spark, sf_dir, k: int, exact: bool) -> DataFrame:
     m = S.manifest(spark, sf_dir)
-    return pairs.sampled_impostors(m, "UxV", "U", "V", 20, SEED).unionByName(pairs.sampled_impostors(m, "RxV", "R", "V", 20, SEED))
+    return pairs.sampled_impostors(m, "UxV", "U", "V", k, SEED, exact).unionByName(pairs.sampled_impostors(m, "RxV", "R", "V", k, SEED, exact))
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), _sample_sql(IMPOSTORS), select=f"SELECT {_PAIR} FROM c"))
+def impostor_sample_keyed(spark, sf_dir):
+    """A finger with fewer impostors than asked for gives all of them."""
+    return _sample(spark, sf_dir, IMPOSTORS, exact=False)
+
+
+@register(with_(MANIFEST_SQL, pairs_sql(MAIN), _sample_sql(SMALL_IMPOSTORS), select=f"SELECT {_PAIR} FROM c"))
+def impostor_sample_keyed_small(spark, sf_dir):
+    return _sample(spark, sf_dir, SMALL_IMPOSTORS, exact=True)
 
 
 @register(with_(MANIFEST_SQL, SPLIT_SQL, select="SELECT * FROM split"))
@@ -108,27 +129,48 @@ def f1_sample_like(spark, sf_dir):
     return pairs.f1_sample(S.manifest(spark, sf_dir), SEED)
 
 
-def _pilot_sql(sets: str, probes: str, reference: str, purpose: str, name: str, thumbs: str) -> str:
+def _pilot_sql(sets: str, probes: str, reference: str, purpose: str, name: str, thumbs: str, n_pairs: int) -> str:
     return with_(MANIFEST_SQL, SPLIT_SQL, f"""
 pool AS (SELECT u.* FROM u JOIN split USING (subject) WHERE half = 'dev' AND "set" IN ({sets}) {thumbs} ORDER BY {hash_sql(f"'{purpose}-images'", 'image_id')}, image_id LIMIT 100),
 both_ AS (SELECT p.image_id AS probe_image_id, r.image_id AS reference_image_id, p.frgp, p.subject AS probe_subject, r.subject AS reference_subject,
                  CASE WHEN p.subject = r.subject AND p.frgp = r.frgp THEN 'genuine' ELSE 'impostor' END AS kind
           FROM pool p, pool r WHERE p."set" IN ({probes}) AND r."set" = '{reference}')""",
-        select=f"SELECT '{name}:' || probe_image_id || ':' || reference_image_id AS pair_id, '{name}' AS scenario, * FROM both_ ORDER BY {hash_sql(f"'{purpose}-pairs'", "probe_image_id || '|' || reference_image_id")} LIMIT 1000")
+        select=f"SELECT '{name}:' || probe_image_id || ':' || reference_image_id AS pair_id, '{name}' AS scenario, * FROM both_ ORDER BY {hash_sql(f"'{purpose}-pairs'", "probe_image_id || '|' || reference_image_id")} LIMIT {n_pairs}")
 
 
-@register(_pilot_sql("'U', 'V', 'R'", "'U', 'R'", "V", "pilot", "pilot", ""))
-def pilot_pairs_cross(spark, sf_dir):
+_CROSS, _PLAIN_PILOT = ("'U', 'V', 'R'", "'U', 'R'", "V", "pilot", "pilot", ""), ("'R', 'Q', 'J'", "'R', 'Q'", "J", "pilot-plain", "pilot-plain", "AND frgp NOT IN (1, 6)")
+
+
+def _pilot_cross(spark, sf_dir, n_pairs: int) -> DataFrame:
     m = S.manifest(spark, sf_dir)
     images = pairs.pilot_images(m, SEED, ["U", "V", "R"], "pilot-images", 100)
-    return pairs.cross_position_pairs(m, images, ["U", "R"], "V", SEED, "pilot-pairs", "pilot", 1000)
+    return pairs.cross_position_pairs(m, images, ["U", "R"], "V", SEED, "pilot-pairs", "pilot", n_pairs)
 
 
-@register(_pilot_sql("'R', 'Q', 'J'", "'R', 'Q'", "J", "pilot-plain", "pilot-plain", "AND frgp NOT IN (1, 6)"))
-def pilot_pairs_plain(spark, sf_dir):
+def _pilot_plain(spark, sf_dir, n_pairs: int) -> DataFrame:
     m = S.manifest(spark, sf_dir)
     images = pairs.pilot_images(m, SEED, ["R", "Q", "J"], "pilot-plain-images", 100, thumbs=False)
-    return pairs.cross_position_pairs(m, images, ["R", "Q"], "J", SEED, "pilot-plain-pairs", "pilot-plain", 1000)
+    return pairs.cross_position_pairs(m, images, ["R", "Q"], "J", SEED, "pilot-plain-pairs", "pilot-plain", n_pairs)
+
+
+@register(_pilot_sql(*_CROSS, PILOT_PAIRS))
+def pilot_pairs_cross(spark, sf_dir):
+    return _pilot_cross(spark, sf_dir, PILOT_PAIRS)
+
+
+@register(_pilot_sql(*_CROSS, SMALL_PAIRS))
+def pilot_pairs_cross_small(spark, sf_dir):
+    return _pilot_cross(spark, sf_dir, SMALL_PAIRS)
+
+
+@register(_pilot_sql(*_PLAIN_PILOT, PILOT_PAIRS))
+def pilot_pairs_plain(spark, sf_dir):
+    return _pilot_plain(spark, sf_dir, PILOT_PAIRS)
+
+
+@register(_pilot_sql(*_PLAIN_PILOT, SMALL_PAIRS))
+def pilot_pairs_plain_small(spark, sf_dir):
+    return _pilot_plain(spark, sf_dir, SMALL_PAIRS)
 
 
 _HALF_SQL = """
@@ -143,24 +185,39 @@ def half_restricted_pairs(spark, sf_dir):
     return half.groupBy("scenario", "half", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("probe_image_id").alias("probes"))
 
 
-_WORKLOAD = with_(MANIFEST_SQL, pairs_sql(MAIN), _SAMPLE_SQL, "\ncc AS (SELECT probe_image_id AS p, reference_image_id AS q FROM c UNION ALL SELECT probe_image_id, reference_image_id FROM x WHERE kind = 'genuine')", select="""
+def _workload_sql(k: int) -> str:
+    return with_(MANIFEST_SQL, pairs_sql(MAIN), _sample_sql(k), "\ncc AS (SELECT probe_image_id AS p, reference_image_id AS q FROM c UNION ALL SELECT probe_image_id, reference_image_id FROM x WHERE kind = 'genuine')", select="""
 SELECT 'compact' AS design, (SELECT count(DISTINCT i) FROM (SELECT p AS i FROM cc UNION ALL SELECT q FROM cc)) AS images, (SELECT count(*) FROM cc) AS comparisons
 UNION ALL SELECT 'full', (SELECT count(*) FROM u WHERE "set" IN ('U', 'V', 'R')), (SELECT count(*) FROM x)""")
 
 
-def _compact(spark, sf_dir) -> DataFrame:
-    return genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed(spark, sf_dir))
+def _rest_sql(k: int) -> str:
+    return with_(MANIFEST_SQL, pairs_sql(MAIN), _sample_sql(k), select="SELECT scenario, kind, count(*) AS pairs FROM x WHERE kind = 'impostor' AND pair_id NOT IN (SELECT pair_id FROM c) GROUP BY 1, 2")
+
 
+def _rest(spark, sf_dir, sample: DataFrame) -> DataFrame:
+    rest = pairs.rest_of(pairs.all_pairs(S.manifest(spark, sf_dir)), genuine_pairs(spark, sf_dir).unionByName(sample))
+    return rest.groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("pairs"))
 
-@register(_WORKLOAD)
+
+@register(_workload_sql(IMPOSTORS))
 def workload_counts(spark, sf_dir):
-    return pairs.workload(S.manifest(spark, sf_dir), _compact(spark, sf_dir))
+    return pairs.workload(S.manifest(spark, sf_dir), genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed(spark, sf_dir)))
+
+
+@register(_workload_sql(SMALL_IMPOSTORS))
+def workload_counts_small(spark, sf_dir):
+    return pairs.workload(S.manifest(spark, sf_dir), genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed_small(spark, sf_dir)))
 
 
-@register(with_(MANIFEST_SQL, pairs_sql(MAIN), _SAMPLE_SQL, select="SELECT scenario, kind, count(*) AS pairs FROM x WHERE kind = 'impostor' AND pair_id NOT IN (SELECT pair_id FROM c) GROUP BY 1, 2"))
+@register(_rest_sql(IMPOSTORS))
 def rest_of_design(spark, sf_dir):
-    rest = pairs.rest_of(pairs.all_pairs(S.manifest(spark, sf_dir)), _compact(spark, sf_dir))
-    return rest.groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("pairs"))
+    return _rest(spark, sf_dir, impostor_sample_keyed(spark, sf_dir))
+
+
+@register(_rest_sql(SMALL_IMPOSTORS))
+def rest_of_design_small(spark, sf_dir):
+    return _rest(spark, sf_dir, impostor_sample_keyed_small(spark, sf_dir))
 
 
 @register(with_(MANIFEST_SQL, select="SELECT image_id FROM u WHERE image_id NOT IN (SELECT image_id FROM u WHERE trait % 2 = 0)"))
@@ -238,10 +295,23 @@ def score_summary(spark, sf_dir):
     return rates.summary(_scored(spark, sf_dir), ["scenario", "kind"], "score")
 
 
-@register(with_(*MAIN_SCORES, GRID_SQL, "\nk AS (SELECT scenario, far, frr, row_number() OVER (PARTITION BY scenario ORDER BY score DESC) - 1 AS k, count(*) OVER (PARTITION BY scenario) - 1 AS last FROM r WHERE far > 0 AND far < 1 AND frr > 0 AND frr < 1)",
-    select="SELECT scenario, k, far, frr FROM k WHERE last < 40 OR floor(ceil(k / (last / 39.0::DOUBLE)) * (last / 39.0::DOUBLE)) = k"))
+def _det_sql(most: int) -> str:
+    return with_(*MAIN_SCORES, GRID_SQL, "\nk AS (SELECT scenario, far, frr, row_number() OVER (PARTITION BY scenario ORDER BY score DESC) - 1 AS k, count(*) OVER (PARTITION BY scenario) - 1 AS last FROM r WHERE far > 0 AND far < 1 AND frr > 0 AND frr < 1)",
+        select=f"SELECT scenario, k, far, frr FROM k WHERE last < {most} OR floor(ceil(k / (last / {most - 1}.0::DOUBLE)) * (last / {most - 1}.0::DOUBLE)) = k")
+
+
+def _det(spark, sf_dir, most: int) -> DataFrame:
+    return rates.det_points(rates.rates(rates.grid(_scored(spark, sf_dir), ["scenario"]), ["scenario"]), ["scenario"], most)
+
+
+@register(_det_sql(CURVE_POINTS))
 def det_points(spark, sf_dir):
-    return rates.det_points(rates.rates(rates.grid(_scored(spark, sf_dir), ["scenario"]), ["scenario"]), ["scenario"], 40)
+    return _det(spark, sf_dir, CURVE_POINTS)
+
+
+@register(_det_sql(SMALL_POINTS))
+def det_points_small(spark, sf_dir):
+    return _det(spark, sf_dir, SMALL_POINTS)
 
 
 @register(with_(*MAIN_SCORES, GRID_SQL, select="SELECT scenario, max(ia) FILTER (score = '-inf'::DOUBLE)::BIGINT AS impostor_accepts, max(ga) FILTER (score = '-inf'::DOUBLE)::BIGINT AS genuine_accepts, max(it)::BIGINT AS impostor, max(gt)::BIGINT AS genuine FROM r GROUP BY 1"))
@@ -359,7 +429,24 @@ def fusion_fit(spark, sf_dir):
     return spark.createDataFrame([(n, float(x)) for n, x in zip(("one", "two", "bias"), w)], "channel string, weight double")
 
 
-REPLICATES = 12
+def _designs(spark, sf_dir) -> dict[str, DataFrame]:
+    """Scores of both channels and scenarios by design: every pair, and the pairs without a development subject."""
+    keep = ["scenario", "channel", "kind", "score", "probe_subject", "reference_subject"]
+    chosen = lambda second, name: _scored(spark, sf_dir, second=second).withColumn("channel", F.lit(name)).select(*keep)
+    every = chosen(False, "one").unionByName(chosen(True, "two"))
+    return {"full": every, "test": _grouped(every, S.manifest(spark, sf_dir)).where("group = 'test'").drop("group")}
+
+
+def _boot(spark, sf_dir, replicates: int = REPLICATES) -> DataFrame:
+    """Every replicate of each design; a design draws from the subjects of its own pairs, as evaluate.py does."""
+    out = None
+    for design, scores in _designs(spark, sf_dir).items():
+        index = bootstrap.subject_index(scores.where("channel = 'one'").select(F.explode(F.array("probe_subject", "reference_subject")).alias("subject")))
+        seed = int(hashlib.sha256(SEPARATOR.join((SEED, f"bootstrap:{design}", "")).encode()).hexdigest()[:16], 16)
+        draws = bootstrap.numpy_draws(index.count(), replicates, seed)
+        part = bootstrap.subject_bootstrap(scores, index, draws, ["scenario", "channel"], BOOT_TARGETS).withColumn("design", F.lit(design))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _both_channels(spark, sf_dir) -> DataFrame:
@@ -368,18 +455,18 @@ def _both_channels(spark, sf_dir) -> DataFrame:
     return chosen(False, "one").unionByName(chosen(True, "two"))
 
 
-def _boot(spark, sf_dir) -> DataFrame:
+def _boot_small(spark, sf_dir) -> DataFrame:
     scores = _both_channels(spark, sf_dir)
     m = S.manifest(spark, sf_dir).where("excluded = 0 and set in ('U', 'V')")
     index = bootstrap.subject_index(m)
-    draws = bootstrap.keyed_draws(index.count(), REPLICATES, SEED)
+    draws = bootstrap.keyed_draws(index.count(), SMALL_REPLICATES, SEED)
     return bootstrap.subject_bootstrap(scores, index, draws, ["channel"], (0.01,))
 
 
 _BOOT_SQL = (MANIFEST_SQL, pairs_sql({"UxV": MAIN["UxV"]}), SCORED_SQL, f"""
 ix AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS idx FROM (SELECT DISTINCT subject FROM u WHERE "set" IN ('U', 'V'))),
 dr AS (SELECT r, ('0x' || substr({hash_sql("'draw'", "r::VARCHAR || ':' || k::VARCHAR")}, 1, 8))::BIGINT % (SELECT count(*) FROM ix) AS idx
-       FROM (SELECT unnest(range({REPLICATES})) AS r), (SELECT idx AS k FROM ix)),
+       FROM (SELECT unnest(range({SMALL_REPLICATES})) AS r), (SELECT idx AS k FROM ix)),
 wt AS (SELECT r, subject, count(*)::DOUBLE AS w FROM dr JOIN ix USING (idx) GROUP BY 1, 2),
 ch AS (SELECT 'one' AS channel, kind, score, probe_subject, reference_subject FROM y UNION ALL SELECT 'two', kind, score2, probe_subject, reference_subject FROM y),
 wg AS (SELECT channel, a.r AS r, coalesce(score, '-inf'::DOUBLE) AS score, sum(CASE WHEN kind = 'genuine' THEN a.w ELSE 0 END) AS gen, sum(CASE WHEN kind = 'impostor' THEN a.w * b.w ELSE 0 END) AS imp
@@ -396,18 +483,29 @@ bv AS (SELECT channel, r, 'eer' AS metric, value FROM ev UNION ALL
 
 
 @register(with_(*_BOOT_SQL, select="SELECT channel, metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM bv GROUP BY 1, 2"))
-def bootstrap_intervals(spark, sf_dir):
-    found = bootstrap.intervals(_boot(spark, sf_dir), ["channel"])
+def bootstrap_intervals_small(spark, sf_dir):
+    found = bootstrap.intervals(_boot_small(spark, sf_dir), ["channel"])
     return found.select("channel", "metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @register(with_(*_BOOT_SQL, select="""SELECT b.channel AS minuend, a.channel AS subtrahend, metric, round(quantile_cont(b.value - a.value, 0.025), 9) AS low, round(quantile_cont(b.value - a.value, 0.975), 9) AS high
 FROM bv a JOIN bv b USING (r, metric) WHERE a.channel < b.channel GROUP BY 1, 2, 3"""))
-def paired_differences(spark, sf_dir):
-    found = bootstrap.paired_differences(_boot(spark, sf_dir), [], "channel")
+def paired_differences_small(spark, sf_dir):
+    found = bootstrap.paired_differences(_boot_small(spark, sf_dir), [], "channel")
     return found.select("minuend", "subtrahend", "metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+@register()
+def bootstrap_intervals(spark, sf_dir):
+    """Both designs and scenarios; too slow for SQL, so the tests hold it against numpy."""
+    return bootstrap.intervals(_boot(spark, sf_dir), ["design", "scenario", "channel"])
+
+
+@register()
+def paired_differences(spark, sf_dir):
+    return bootstrap.paired_differences(_boot(spark, sf_dir), ["design", "scenario"], "channel")
+
+
 def _checksums(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Parts as files: two of three are listed, one of those with another hash; and names that no part has."""
     parts = S.table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("name"), "p_partkey", F.sha2(F.col("p_brand"), 256).alias("sha256"))
