@@ -1,7 +1,8 @@
 """Secrets by patterns and by a battery of randomness tests, in DataFrame operations only.
 
 Three patterns give the base spans. Beyond them every long run of token
-characters is a candidate: its encoding (alphabet) is inferred from the
+characters is a candidate, cut at "=" and, where it mixes both base64 alphabets,
+into its maximal parts of each: its encoding (alphabet) is inferred from the
 characters it has, and three tests ask whether it could be uniformly random in
 that encoding: chi-squared uniformity of the alphabet, runs of character classes,
 and lag-one serial correlation of alphabet positions. Fisher's method combines
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the method: maximal runs of token characters, and the least length judged.
-RUN, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
+#: Candidates of the method: maximal runs of token characters with their padding, and the least length judged. Another "=" separates.
+_PAD = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+RUN, LEAST = r"[A-Za-z0-9+/_-]{20,}" + _PAD, 20
+#: A run with characters of both base64 alphabets has no encoding of its own: its maximal parts of either one are judged.
+MIXED = r"[+/].*[_-]|[_-].*[+/]"
+PARTS = (r"[A-Za-z0-9_-]{20,}" + _PAD, r"(?=[A-Za-z0-9]*[+/])[A-Za-z0-9+/]{20,}" + _PAD)
 #: Lower ends of the length classes, and the level of the false-discovery control.
 LENGTH_CLASSES, LEVEL = (20, 28, 40, 64, 128), 0.05
 #: Encodings, the narrowest first: name, what a token must match, alphabet in order of position.
@@ -128,11 +133,11 @@ def p_value(token: Column) -> Column:
 
     def of(core: Column) -> Column:
         alphabet = reduce(lambda other, e: F.when(core.rlike(e[1]), F.lit(e[2])).otherwise(other), ENCODINGS[::-1], F.lit(None).cast("string"))
-        judged = (F.length(core) >= LEAST) & core.rlike("[0-9]") & core.rlike("[^0-9]")
+        judged = (F.length(core) >= LEAST) & core.rlike("[^0-9]")
         return F.when(judged, let(alphabet, lambda alphabet: tests(core, alphabet)))
 
     def tests(core: Column, alphabet: Column) -> Column:
-        chars = F.transform(F.sequence(F.lit(1), F.length(core)), lambda i: F.substr(core, i, F.lit(1)))
+        chars = F.split(core, "")
         n, a = F.length(core).cast("double"), F.length(alphabet).cast("double")
         three = let(chars, lambda c: F.array(_uniformity(core, alphabet, n, a), _runs(c, alphabet, n, a), _serial(c, alphabet, n, a)))
         # Fisher's method; chi-squared with six degrees has a closed tail
@@ -146,10 +151,31 @@ def _length_class(size: Column) -> Column:
     return reduce(lambda other, low: F.when(size >= low, F.lit(low)).otherwise(other), LENGTH_CLASSES, F.lit(LENGTH_CLASSES[0]))
 
 
+def _parts(token: Column, start: Column) -> Column:
+    """Maximal parts of a run in one encoding, as structs of start, end, size."""
+    placed = lambda found: F.transform(found, lambda m: F.struct((start + m["start"]).alias("start"), (start + m["end"]).alias("end"), m["size"].alias("size")))
+    whole = F.array(F.struct(start.alias("start"), (start + F.length(token)).alias("end"), F.length(token).alias("size")))
+    return F.when(token.rlike(MIXED), placed(F.concat(*[matches(token, part) for part in PARTS]))).otherwise(whole)
+
+
 def candidates(text: Column) -> Column:
-    """Judged runs as structs of start, end, p, length class."""
+    """Judged runs and parts as structs of start, end, p, length class."""
+    cut = lambda m: let(F.substr(text, m["start"] + 1, m["size"]), lambda token: _parts(token, m["start"]))
     judge = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), p_value(F.substr(text, m["start"] + 1, m["size"])).alias("p"), _length_class(m["size"]).alias("klass"))
-    return F.filter(F.transform(matches(text, RUN), judge), lambda c: c["p"].isNotNull())
+    return F.filter(F.transform(F.flatten(F.transform(matches(text, RUN), cut)), judge), lambda c: c["p"].isNotNull())
+
+
+def _merged(spans: Column) -> Column:
+    """Spans of start and end in order, those that overlap as one."""
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(held: Column, s: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] > s["start"], F.concat(F.slice(held, 1, F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(s)))
+
+    pairs = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    return F.aggregate(pairs, nothing, step)
 
 
 def cutoffs(docs: DataFrame, level: float = LEVEL) -> dict[int, float]:
@@ -171,7 +197,7 @@ def all_spans(text: Column, cuts: dict[int, float]) -> Column:
 
     def joined(item: Column) -> Column:
         free = F.filter(item["random"], lambda c: ~F.exists(item["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return F.array_sort(F.concat(item["base"], F.transform(free, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))
+        return F.array_sort(F.concat(item["base"], F.transform(_merged(free), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))
 
     return let(F.struct(base_spans(text).alias("base"), random.alias("random")), joined)
 

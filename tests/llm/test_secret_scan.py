@@ -69,3 +69,39 @@ def test_plan_is_native(odd_docs):
     for made in (secret_scan.scan(odd_docs), secret_scan.redact(odd_docs)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_glued_keys_are_judged(spark):
+    """Keys behind a name, in a path, between both base64 alphabets, with padding: each is in a span, words around them are not."""
+    r = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    glue = ("session={}", "auth={}==", "DB_PASS={}", "/v1/the_path/{}", "my_key/{}", "a=b={}&c", "x-y+{}")
+    key = lambda k: "".join(r.choices(letters, k=k))
+    rows = [(g, key(60) if g != "my_key/{}" else "+".join((key(12), key(17), key(30)))) for _ in range(12) for g in glue]
+    words = [(f"see session=the_name_of_some_setting_{k} or /usr/lib/the_long_name_of_a_module_{k}/of-it", None) for k in range(80)]
+    docs = table(spark, [(k, f"at {g.format(v)} end") for k, (g, v) in enumerate(rows)] + [(1000 + k, w) for k, (w, _) in enumerate(words)])
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    hit = {g: 0 for g in glue}
+    for row in secret_scan.scan(docs).collect():
+        spans = [(s["start"], s["end"]) for s in row.secrets]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        if row.doc_id < 1000:
+            g, v = rows[row.doc_id]
+            at = texts[row.doc_id].index(v)
+            hit[g] += any(a <= at and b >= at + len(v) for a, b in spans)
+        else:
+            assert not spans, texts[row.doc_id]
+    assert all(n >= 9 for n in hit.values()), hit  # the level allows for a few
+    got = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
+    assert sum(v in got[k] for k, (_, v) in enumerate(rows)) <= 8
+
+
+def test_tokens_without_digits_are_judged(spark):
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    names = ["internationalizations", "getElementsByTagNameFromNode", "the_long_name_of_a_function", "ABSTRACT-FACTORY-OF-FACTORIES", "src/main/java/org/example"]
+    keys = ["".join(r.choices(letters, k=24)) for _ in range(50)]
+    rows = spark.createDataFrame([(v,) for v in names + keys], "t string")
+    p = {x.t: x.p for x in rows.select("t", secret_scan.p_value(F.col("t")).alias("p")).collect()}
+    assert None not in p.values()
+    assert max(p[v] for v in names) < 0.05 and sum(p[v] > 0.05 for v in keys) >= 35, p
