@@ -8,13 +8,14 @@ end in the same seven digits. Loopy belief propagation passes messages over all
 documents of a step at once until mentions of one thing agree; runs of words with
 a confident label that touch no base span are added.
 
-The field is trained piecewise: the base spans of at most ``TRAIN_DOCS`` documents
-(smallest hashes of their ids) label their words; Spark counts shapes and label
-pairs, and the driver fits a softmax on shape counts and takes pair potentials
-from the counts.
-
-Equal words are linked from each occurrence to the next, so a word that occurs n
-times costs n links. Defined cases: a null text is an empty text without spans;
+The field is trained piecewise: the base spans of all documents label their
+words; Spark counts shapes and label pairs, and the driver fits a softmax on shape
+counts and takes pair potentials from the counts.
+
+Every occurrence of a key is linked to one of them, the first that a base span
+covers or else the first, so a word that occurs n times costs n - 1 links and no
+mention is more than two links from another. Messages are passed until none of a
+document changes by TOLERANCE. Defined cases: a null text is an empty text without spans;
 texts are searched whole; repeated rows give equal results; without training
 words the field adds nothing; an empty table gives an empty result; only doc_id
 and text are read.
@@ -37,12 +38,13 @@ from pairlight.llm.text_arrays import Texts, steps
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-TRAIN_DOCS = 6_000
 #: Shapes that are fitted on at most, the commonest first.
 TRAIN_SHAPES = 20_000
 #: OBSERVED is what a base span adds to its words' potentials, which links then carry to their likes.
 #: AGREE is how many agreeing links a label starts with: likes are labelled alike unless the corpus says otherwise.
-ROUNDS, DAMPING, COUPLING, SURE, OBSERVED, AGREE = 12, 0.5, 0.7, 0.9, 8.0, 25.0
+DAMPING, COUPLING, SURE, OBSERVED, AGREE = 0.5, 0.7, 0.9, 8.0, 25.0
+#: Largest change of a message that counts as none; a document that still swings after STEADY rounds gets steps that shrink by SHRINK a round.
+TOLERANCE, STEADY, SHRINK = 1e-5, 1000, 0.98
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -164,13 +166,14 @@ def graph(t: Texts, column: pa.Array) -> Graph:
             s, e = start[low:high], end[low:high]
             for kind, a, b in spans:
                 label[low + np.searchsorted(e, a, "right") : low + np.searchsorted(s, b, "left")] = LABELS.index(kind)
-        seen: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         for i in range(low, high):
             for key in likeness(words[i]):
-                j = seen.get(key, -1)
-                if j >= 0:
-                    skip.append((j, i))
-                seen[key] = i
+                alike.setdefault(key, []).append(i)
+        for found in alike.values():
+            if len(found) > 1:
+                hub = next((i for i in found if label[i]), found[0])
+                skip.extend((min(hub, i), max(hub, i)) for i in found if i != hub)
     near = np.flatnonzero((active[1:] == active[:-1] + 1) & (doc[1:] == doc[:-1])) if len(active) else np.zeros(0, np.int64)
     links = np.unique(np.array(skip, np.int64).reshape(-1, 2), axis=0)
     return Graph(doc, start, end, kinds, label, np.stack([near, near + 1], axis=1), links, base)
@@ -189,21 +192,33 @@ class Field:
         return on @ self.shape
 
     def posteriors(self, g: Graph) -> np.ndarray:
-        """Label probabilities by damped loopy belief propagation."""
+        """Label probabilities by damped loopy belief propagation, each document until its messages stand still."""
         unary = self.unary(g.shape)
         unary[np.arange(len(g.label)), g.label] += np.where(g.label > 0, OBSERVED, 0.0)
-        a, b = np.concatenate([g.near, g.skip]).T
-        power = np.concatenate([np.broadcast_to(self.near, (len(g.near), *self.near.shape)), np.broadcast_to(self.skip, (len(g.skip), *self.skip.shape))])
+        links = np.concatenate([g.near, g.skip])
+        order = np.argsort(g.doc[links[:, 0]], kind="stable")
+        (a, b), similar = links[order].T, order >= len(g.near)
+        powers = np.stack([self.near, self.skip])
         forth, back = np.zeros((2, len(a), len(LABELS)))
-        belief = unary
-        for _ in range(ROUNDS if len(a) else 0):
-            to_b = _log_sum((belief[a] - back)[:, :, None] + power, 1)
-            to_a = _log_sum((belief[b] - forth)[:, None, :] + power, 2)
-            forth = DAMPING * forth + (1 - DAMPING) * (to_b - to_b.max(1, keepdims=True))
-            back = DAMPING * back + (1 - DAMPING) * (to_a - to_a.max(1, keepdims=True))
-            belief = unary.copy()
+        belief, step, rounds = unary.copy(), 1 - DAMPING, 0
+        nodes = np.arange(len(unary))  # of the documents that still change; a and b are places in it
+        while len(a):
+            held, power = belief[nodes], powers[similar.astype(int)]
+            to_b = _log_sum((held[a] - back)[:, :, None] + power, 1)
+            to_a = _log_sum((held[b] - forth)[:, None, :] + power, 2)
+            more_b, more_a = step * (to_b - to_b.max(1, keepdims=True) - forth), step * (to_a - to_a.max(1, keepdims=True) - back)
+            forth, back = forth + more_b, back + more_a
             for k in range(len(LABELS)):
-                belief[:, k] += np.bincount(b, weights=forth[:, k], minlength=len(unary)) + np.bincount(a, weights=back[:, k], minlength=len(unary))
+                belief[nodes, k] = unary[nodes, k] + np.bincount(b, weights=forth[:, k], minlength=len(nodes)) + np.bincount(a, weights=back[:, k], minlength=len(nodes))
+            doc = g.doc[nodes[a]]
+            heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            going = np.maximum.reduceat(np.maximum(np.abs(more_b).max(1), np.abs(more_a).max(1)), heads) >= TOLERANCE
+            rounds += 1
+            step *= SHRINK if rounds > STEADY else 1.0
+            if not going.all():
+                left, stay = np.repeat(going, np.diff([*heads, len(doc)])), np.isin(g.doc[nodes], doc[heads][going])
+                place = np.cumsum(stay) - 1
+                a, b, similar, forth, back, nodes = place[a[left]], place[b[left]], similar[left], forth[left], back[left], nodes[stay]
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -234,10 +249,8 @@ def fit(shapes: np.ndarray, labels: np.ndarray, counts: np.ndarray, pairs: dict[
     return Field(w, mutual(pairs["near"]), mutual(pairs["skip"] + pairs["skip"].T + AGREE * np.eye(len(LABELS))))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_DOCS, most_shapes: int = TRAIN_SHAPES) -> Field | None:
-    """The field from the base spans of a bounded sample; None if it has no word to label."""
-    chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # at most ``rows`` ids
+def train(docs: DataFrame, most_shapes: int = TRAIN_SHAPES) -> Field | None:
+    """The field from the base spans of all documents; None if they have no word to label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -248,7 +261,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, most_shapes: int = TRAIN_SHAP
                     cells, n = np.unique(np.stack([x, y], axis=1).reshape(-1, 2), axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(n, pa.int64())], ["kind", "x", "y", "n"])
 
-    counted = sample.mapInArrow(count, "kind string, x long, y long, n long").groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(count, "kind string, x long, y long, n long").groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
     got = counted.orderBy(F.col("kind") == "word", F.desc("n"), "x", "y").limit(most_shapes + 2 * len(LABELS) ** 2).toPandas()
     words = got[got.kind == "word"]
     if words.empty:

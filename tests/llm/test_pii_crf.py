@@ -87,3 +87,38 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = pii_crf.find_spans(odd_docs).collect()
     assert len(rows) == 13 and not any(r.base for r in rows if r.doc_id in (1, 2, 3))
     assert pii_crf.find_spans(no_docs).count() == 0
+
+
+def test_agreement_reaches_every_mention_of_a_long_document():
+    """One full form anchors all 60 later short forms alike; agreement does not fade with the number of mentions between."""
+    column = pa.array(["ring +1 (988) 555-2485 now " + "or 555-2485 then " * 60, "555-2485 or " * 30 + "+1 (988) 555-2485"])
+    g = pii_crf.graph(Texts(column), column)
+    labels = len(pii_crf.LABELS)
+    field = pii_crf.Field(np.zeros((len(pii_crf.FEATURES), labels)), np.zeros((labels, labels)), 5 * np.eye(labels))
+    phone = field.posteriors(g)[:, pii_crf.LABELS.index("phone")]
+    assert phone.min() > 0.9
+    assert len(g.skip) == 60 + 30
+
+
+def test_messages_stand_still_whatever_else_is_in_the_step():
+    texts = ["a1 b2 c3 x d4", "k9876 x k9876 y 5552485 z 5552485 k9876", "7 8 9 " * 40, "nothing"]
+    column = pa.array(texts)
+    for seed in range(4):
+        field = some_field(seed)
+        g = pii_crf.graph(Texts(column), column)
+        together = field.posteriors(g)
+        for d, text in enumerate(texts):
+            alone = pa.array([text])
+            one = pii_crf.graph(Texts(alone), alone)
+            assert np.array_equal(field.posteriors(one), together[g.doc == d])
+
+
+def test_training_counts_all_documents(spark):
+    rows = [(k, f"page {k}") for k in range(6_500)] + [(None, "from 10.0.3.7")]
+    seen = []
+    keep, pii_crf.fit = pii_crf.fit, lambda shapes, labels, counts, pairs: seen.append(counts.sum())
+    try:
+        pii_crf.train(table(spark, rows))
+    finally:
+        pii_crf.fit = keep
+    assert seen == [6_501]
