@@ -9,7 +9,8 @@ kept only where it starts first (smallest doc_id, then smallest start).
    bucket of their minimiser and a run costs one row. Before the shuffle each step
    of a task drops windows it has seen: only the first of a step travels, so a
    passage that very many documents share sends a row a step and not a row a
-   document.
+   document. Windows are counted first, by cells of minimisers; those of a hot cell
+   are dealt by minimiser and window together, since only equal windows must meet.
 2. A bucket's runs arrive sorted by coordinate. Its first occurrence of an edge is
    the source; every later one is repeated. Successive repeated edges whose
    sources also succeed each other form a path that does not branch between the
@@ -45,6 +46,8 @@ WIDTH, INNER = 20, 5
 #: Bytes of text in one step, inside which repeated windows are dropped before the shuffle.
 STEP = 8 << 20
 CODE_BYTES = 6
+#: Cells that minimisers are counted in; a cell is hot beyond HOT windows and beyond UNEVEN times the mean cell.
+CELLS, HOT, UNEVEN = 1 << 16, 1 << 20, 4
 _CODE = np.uint64((1 << 8 * CODE_BYTES) - 1)
 NULL_ID = np.iinfo(np.int64).min
 RUNS = "bucket long, doc long, start int, n int, codes binary, src_doc long, src_start int"
@@ -80,8 +83,12 @@ def _batch(bucket, doc, start, n, codes, src_doc, src_start) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([bucket, pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), codes, src_doc, src_start], ["bucket", "doc", "start", "n", "codes", "src_doc", "src_start"])
 
 
-def step_runs(batch: pa.RecordBatch, width: int, inner: int) -> Iterator[pa.RecordBatch]:
-    """Runs to be dealt by bucket, and pieces that the step itself has resolved (codes null)."""
+def _cell(bucket: np.ndarray) -> np.ndarray:
+    return (mix(bucket) % np.uint64(CELLS)).astype(np.int64)
+
+
+def step_runs(batch: pa.RecordBatch, width: int, inner: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs to be dealt by bucket, and pieces that the step itself has resolved (codes null). ``hot`` tells the cells whose windows are dealt one by one."""
     ids = batch.column("doc_id")
     ids = pc.fill_null(ids, NULL_ID).to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
@@ -95,6 +102,8 @@ def step_runs(batch: pa.RecordBatch, width: int, inner: int) -> Iterator[pa.Reco
         return
     edge = window_hash(words, width)[first]
     bucket = sliding_min(window_hash(words, inner), width - inner + 1)[first]
+    if hot is not None:
+        bucket = np.where(hot[_cell(bucket)], mix(bucket ^ mix(edge)), bucket)
     count = t.words_per_doc()
     row = t.doc[first]
     doc, start = ids[row], first - (np.cumsum(count) - count)[row]
@@ -167,18 +176,45 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_bucket, held = bucket[-1], (code[last], doc[last], start[last])
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
-    """doc, start, n (windows), src_doc, src_start: the compacted paths that occur earlier, words counted from 0.
+def hot_cells(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> np.ndarray | None:
+    """Which cells are hot, of the windows that steps do not resolve; None if none is."""
 
-    A span covers the words from start to start + n + width - 2.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for whole in batches:
+            for batch in steps(whole, limit=STEP):
+                for runs in step_runs(batch, width, inner):
+                    runs = runs.filter(pc.is_valid(runs.column("codes")))
+                    total += np.bincount(_cell(runs.column("bucket").to_numpy().view(np.uint64)), weights=runs.column("n").to_numpy(), minlength=CELLS).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["cell", "n"])
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = counted.toPandas()  # at most CELLS rows
+    cells = got.cell[got.n > max(HOT, UNEVEN * got.n.sum() / CELLS)].to_numpy(int)
+    hot = np.zeros(CELLS, bool)
+    hot[cells] = True
+    return hot if len(cells) else None
+
+
+def dealt_runs(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
+    """The runs of all steps; equal windows that are left have equal buckets."""
+    hot = hot_cells(docs, width, inner)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, limit=STEP):
-                yield from step_runs(batch, width, inner)
+                yield from step_runs(batch, width, inner, hot)
+
+    return docs.select("doc_id", "text").mapInArrow(edges, RUNS)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(edges, RUNS).repartition("bucket").sortWithinPartitions("bucket", "doc", "start")
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
+    """doc, start, n (windows), src_doc, src_start: the compacted paths that occur earlier, words counted from 0.
+
+    A span covers the words from start to start + n + width - 2.
+    """
+    dealt = dealt_runs(docs, width, inner).repartition("bucket").sortWithinPartitions("bucket", "doc", "start")
     found = dealt.mapInArrow(_resolve, PIECES)
     along = Window.partitionBy("doc").orderBy("start")
     before = F.lag(F.struct("start", "n", "src_doc", "src_start")).over(along)

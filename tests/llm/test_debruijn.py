@@ -86,3 +86,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == 13 and sum(r.n_removed for r in rows) == 0
     assert {r.n_words for r in rows if r.doc_id == 4} == {60_000}
     assert debruijn.remove_spans(no_docs, debruijn.repeated_spans(no_docs)).count() == 0
+
+
+def test_hot_buckets_are_dealt_by_window(spark, monkeypatch):
+    """A five-word phrase in very many surroundings does not meet in one bucket; the result stays the same."""
+    options = [[f"phrase{k}word{j}" for j in range(5)] for k in range(500)]
+    words = debruijn.Texts(pa.array([" ".join(w for p in options for w in p)])).word_hash()
+    phrase = options[int(np.argmin(debruijn.window_hash(words, 5)[::5]))]  # the phrase that is most often the minimiser
+    r = random.Random(5)
+    own = lambda i: [f"d{i}x{j}" for j in range(20)]
+    rows = [(i, " ".join([*own(i), *phrase, *own(-i)])) for i in range(400)]
+    rows += [(1000 + k, rows[r.randrange(400)][1] + " tail") for k in range(30)]
+    docs = table(spark, rows).repartition(5)
+    largest = lambda: debruijn.dealt_runs(docs).where("codes is not null").groupBy("bucket").sum("n").toPandas()["sum(n)"].max()
+    assert largest() > 3000
+    monkeypatch.setattr(debruijn, "HOT", 200)
+    assert largest() <= 200
+    found = debruijn.repeated_spans(docs)
+    got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in debruijn.remove_spans(docs, found).collect()}
+    assert got == brute(rows) and sum(v[1] for v in got.values()) >= 30 * 45
+    spans = {tuple(x) for x in found.collect()}
+    monkeypatch.setattr(debruijn, "HOT", 1 << 20)
+    assert spans == {tuple(x) for x in debruijn.repeated_spans(docs).collect()}
