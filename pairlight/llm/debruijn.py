@@ -16,17 +16,23 @@ kept only where it starts first (smallest doc_id, then smallest start).
    sources also succeed each other form a path that does not branch between the
    copy and its source, and are compacted to one piece with both coordinates.
 3. Pieces that continue each other, in the document and in the source, are glued
-   into spans, and the spans are joined to the texts.
+   into spans.
+4. The texts are dealt once more, with what is asked of each: the words of a span at
+   the copy and at the source. Both sides answer with a 128-bit digest of the words
+   themselves, in blocks of the source, so that a source answers a bounded number
+   of questions a word. The same pass removes the spans.
 
-An edge is identified by 112 bits (64 of the minimiser, 48 of the window).
-Spans carry the coordinates of their source, by which ``verify_spans`` compares
-the words themselves.
+Edges are told apart by hashes (64 bits of the minimiser, 40 of the window). Two
+different windows under one hash would make some span differ from its source, so
+when all spans are found equal at both coordinates the result is exact; when one
+is not, the work is done again with other hashes.
 
 Defined cases: null and empty texts and texts with fewer than ``width`` words have
 no windows and lose nothing; a null doc_id counts as smaller than all others; rows
-that repeat a doc_id are one document given twice, and neither is the earlier one
-of the other; whole texts are used; an empty table gives an empty result; only
-doc_id and text are read.
+that share a doc_id and a text are one document given twice, and neither is the
+earlier one of the other; different texts under one doc_id, or without one, are
+different documents, in the order of their SHA-256; whole texts are used; an empty
+table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -41,15 +47,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlight.llm.text_arrays import Texts, mix, steps, window_hash
+from pairlight.scratch import keep
 
 WIDTH, INNER = 20, 5
 #: Bytes of text in one step, inside which repeated windows are dropped before the shuffle.
 STEP = 8 << 20
-CODE_BYTES = 6
+CODE_BYTES = 5
 #: Cells that minimisers are counted in; a cell is hot beyond HOT windows and beyond UNEVEN times the mean cell.
 CELLS, HOT, UNEVEN = 1 << 16, 1 << 20, 4
 _CODE = np.uint64((1 << 8 * CODE_BYTES) - 1)
 NULL_ID = np.iinfo(np.int64).min
+#: Windows of a source in a block of the comparison, and sets of hashes to try.
+BLOCK, SEEDS = 64, 8
 RUNS = "bucket long, doc long, start int, n int, codes binary, src_doc long, src_start int"
 PIECES = "doc long, start int, n int, src_doc long, src_start int"
 
@@ -87,14 +96,13 @@ def _cell(bucket: np.ndarray) -> np.ndarray:
     return (mix(bucket) % np.uint64(CELLS)).astype(np.int64)
 
 
-def step_runs(batch: pa.RecordBatch, width: int, inner: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def step_runs(batch: pa.RecordBatch, width: int, inner: int, hot: np.ndarray | None = None, seed: int = 0) -> Iterator[pa.RecordBatch]:
     """Runs to be dealt by bucket, and pieces that the step itself has resolved (codes null). ``hot`` tells the cells whose windows are dealt one by one."""
-    ids = batch.column("doc_id")
-    ids = pc.fill_null(ids, NULL_ID).to_numpy(zero_copy_only=False)
+    ids = batch.column("doc").to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     t = Texts(batch.column("text").take(pa.array(order)))
-    words = t.word_hash()
+    words = t.word_hash(seed)
     if len(words) < width:
         return
     first = np.flatnonzero(t.doc[: len(words) - width + 1] == t.doc[width - 1 :])
@@ -176,20 +184,38 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_bucket, held = bucket[-1], (code[last], doc[last], start[last])
 
 
-def hot_cells(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> np.ndarray | None:
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, text: doc orders the documents, and is the doc_id itself unless that is null or names several rows.
+
+    Otherwise rows are ranked by doc_id (nulls first) and text; positions come
+    from a range partitioning, so no task holds them all.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").limit(1).count()
+    if not odd:
+        return docs.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text")
+    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    ranged = keep(named.select("key", "digest").distinct().repartitionByRange("key", "digest").withColumn("part", F.spark_partition_id()), "span-documents")
+    sizes = ranged.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "digest"))
+    ranks = ranged.withColumn("place", place).join(sizes.select("part", before.alias("offset")), "part").select("key", "digest", (F.col("place") + F.col("offset")).cast("long").alias("doc"))
+    return named.join(ranks, ["key", "digest"]).select("doc", "doc_id", "text")
+
+
+def hot_cells(texts: DataFrame, width: int = WIDTH, inner: int = INNER, seed: int = 0) -> np.ndarray | None:
     """Which cells are hot, of the windows that steps do not resolve; None if none is."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for whole in batches:
             for batch in steps(whole, limit=STEP):
-                for runs in step_runs(batch, width, inner):
+                for runs in step_runs(batch, width, inner, None, seed):
                     runs = runs.filter(pc.is_valid(runs.column("codes")))
                     total += np.bincount(_cell(runs.column("bucket").to_numpy().view(np.uint64)), weights=runs.column("n").to_numpy(), minlength=CELLS).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["cell", "n"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = texts.select("doc", "text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most CELLS rows
     cells = got.cell[got.n > max(HOT, UNEVEN * got.n.sum() / CELLS)].to_numpy(int)
     hot = np.zeros(CELLS, bool)
@@ -197,24 +223,24 @@ def hot_cells(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> np.nda
     return hot if len(cells) else None
 
 
-def dealt_runs(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
+def dealt_runs(texts: DataFrame, width: int = WIDTH, inner: int = INNER, seed: int = 0) -> DataFrame:
     """The runs of all steps; equal windows that are left have equal buckets."""
-    hot = hot_cells(docs, width, inner)
+    hot = hot_cells(texts, width, inner, seed)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, limit=STEP):
-                yield from step_runs(batch, width, inner, hot)
+                yield from step_runs(batch, width, inner, hot, seed)
 
-    return docs.select("doc_id", "text").mapInArrow(edges, RUNS)
+    return texts.select("doc", "text").mapInArrow(edges, RUNS)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
-    """doc, start, n (windows), src_doc, src_start: the compacted paths that occur earlier, words counted from 0.
+def repeated_spans(texts: DataFrame, width: int = WIDTH, inner: int = INNER, seed: int = 0) -> DataFrame:
+    """doc, start, n (windows), src_doc, src_start: the compacted paths that occur earlier by their hashes, words counted from 0.
 
-    A span covers the words from start to start + n + width - 2.
+    ``texts`` has doc and text (see ``numbered``). A span covers the words from start to start + n + width - 2.
     """
-    dealt = dealt_runs(docs, width, inner).repartition("bucket").sortWithinPartitions("bucket", "doc", "start")
+    dealt = dealt_runs(texts, width, inner, seed).repartition("bucket").sortWithinPartitions("bucket", "doc", "start")
     found = dealt.mapInArrow(_resolve, PIECES)
     along = Window.partitionBy("doc").orderBy("start")
     before = F.lag(F.struct("start", "n", "src_doc", "src_start")).over(along)
@@ -227,49 +253,94 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
     )
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every row of ``docs``."""
-    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # a document's own spans
-    key = F.coalesce(F.col("doc_id"), F.lit(int(NULL_ID)))
-    joined = docs.select("doc_id", "text", key.alias("key")).join(listed, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "spans")
+def questions(spans: DataFrame) -> DataFrame:
+    """What is asked of each text, in blocks of the source: kind 1 at the copy, kind 2 at the source (each once)."""
+    first, last = F.floor(F.col("src_start") / BLOCK), F.floor((F.col("src_start") + F.col("n") - 1) / BLOCK)
+    cut = spans.withColumn("block", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("src_start"), F.col("block") * BLOCK)
+    high = F.least(F.col("src_start") + F.col("n"), (F.col("block") + 1) * BLOCK)
+    cut = cut.select("doc", (F.col("start") + low - F.col("src_start")).cast("int").alias("start"), (high - low).cast("int").alias("n"), "src_doc", low.cast("int").alias("src_start"))
+    there = cut.select("src_doc", "src_start", "n").distinct().select(F.col("src_doc").alias("doc"), F.col("src_start").alias("start"), "n", "src_doc", "src_start", F.lit(2).alias("kind"))
+    return cut.withColumn("kind", F.lit(1)).unionByName(there)
+
+
+_ANSWERS = "kind int, doc_id long, n_words long, n_removed long, kept string, src_doc long, src_start int, n int, words binary"
+
+
+def answered(texts: DataFrame, spans: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
+    """One pass over the texts and what is asked of them.
+
+    Rows of kind 0 are the texts without their spans (``kept``: the words left,
+    joined by one space, or its SHA-256 if ``digest``); rows of kind 1 and 2 are
+    digests of words at copies and sources. A task holds one text at a time.
+    """
+    nothing = lambda kind: F.lit(None).cast(kind)
+    rows = texts.select("doc", F.lit(0).alias("kind"), "doc_id", "text", nothing("int").alias("start"), nothing("int").alias("n"), nothing("long").alias("src_doc"), nothing("int").alias("src_start"))
+    asked = questions(spans).select("doc", "kind", nothing("long").alias("doc_id"), nothing("string").alias("text"), "start", "n", "src_doc", "src_start")
+    dealt = rows.unionByName(asked).repartition("doc").sortWithinPartitions("doc", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in _ANSWERS.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        out: list[tuple] = []
+        held, size = None, 0  # held: document, ids of its rows, words, which of them stay
+
+        def close():
+            _, ids, words, stay = held
+            left = b" ".join(words) if stay.all() else b" ".join([words[i] for i in np.flatnonzero(stay).tolist()])
+            kept = hashlib.sha256(left).hexdigest() if digest else left.decode()
+            out.extend((0, i, len(words), int(len(words) - stay.sum()), kept, None, None, None, None) for i in ids)
+            return len(kept)
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                counts, gone, kept = [], [], []
-                for text, spans in zip(part.column("text"), part.column("spans")):
-                    words = (text.as_py() or "").encode().split()
-                    total = len(words)
-                    if spans.is_valid:
-                        stay = np.ones(total, bool)
-                        for s in spans.as_py():
-                            stay[s["start"] : s["start"] + s["n"] + width - 1] = False
-                        words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                    counts.append(total)
-                    gone.append(total - len(words))
-                    kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def verify_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``spans`` with same: whether the words at both coordinates are equal. Joins the texts twice; doc_id must be unique."""
-
-    def words_at(side: str, start: str) -> DataFrame:
-        key = F.coalesce(F.col("doc_id"), F.lit(int(NULL_ID)))
-        words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        texts = docs.select(key.alias("key"), words.alias("words"))
-        cut = F.sha2(F.concat_ws(" ", F.slice("words", F.col(start) + 1, F.col("n") + width - 1)), 256)
-        return spans.join(texts, F.col(side) == F.col("key")).select("doc", "start", cut.alias(f"{side}_words"))
-
-    both = words_at("doc", "start").join(words_at("src_doc", "src_start"), ["doc", "start"])
-    return spans.join(both, ["doc", "start"]).select(*spans.columns, (F.col("doc_words") == F.col("src_doc_words")).alias("same"))
+            columns = [batch.column(c) for c in ("doc", "kind", "doc_id", "text", "start", "n", "src_doc", "src_start")]
+            docs, kind, starts, ns, src_docs, src_starts = (columns[k].to_numpy(zero_copy_only=False) if k < 2 else columns[k].to_pylist() for k in (0, 1, 4, 5, 6, 7))
+            for k in range(batch.num_rows):
+                if kind[k] == 0:
+                    if held is None or held[0] != docs[k]:
+                        if held is not None:
+                            size += close()
+                        words = (columns[3][k].as_py() or "").encode().split()
+                        held = docs[k], [], words, np.ones(len(words), bool)
+                    held[1].append(columns[2][k].as_py())
+                else:
+                    _, _, words, stay = held
+                    at, to = starts[k], starts[k] + ns[k] + width - 1
+                    if kind[k] == 1:
+                        stay[at:to] = False
+                    out.append((int(kind[k]), None, None, None, None, src_docs[k], src_starts[k], ns[k], hashlib.blake2b(b" ".join(words[at:to]), digest_size=16).digest()))
+                if len(out) >= 4096 or size > STEP:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out, size = [], 0
+        if held is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return dealt.mapInArrow(run, _ANSWERS)
+
+
+def differing(answers: DataFrame) -> DataFrame:
+    """src_doc, src_start, n of the blocks whose words are not the same at all coordinates."""
+    compared = answers.where("kind > 0").groupBy("src_doc", "src_start", "n").agg(F.min("words").alias("low"), F.max("words").alias("high"))
+    return compared.where("low != high").select("src_doc", "src_start", "n")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (or kept_sha256 if ``digest``) of every row of ``docs`` (doc_id, text).
+
+    Runs the search, and the comparison of all spans with the words at their
+    sources; where any differs, both once more with other hashes.
+    """
+    texts = numbered(docs)
+    for seed in range(SEEDS):
+        spans = keep(repeated_spans(texts, width, inner, seed), "spans")
+        answers = keep(answered(texts, spans, width, digest), "span-answers")
+        if not differing(answers).limit(1).count():
+            return answers.where("kind = 0").select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    raise RuntimeError("equal hashes of different windows under every seed")
 
 
 def op3_debruijn_dedup(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` without the windows of 20 words that start earlier elsewhere."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    left = remove_spans(docs, repeated_spans(docs))
-    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)

@@ -2,12 +2,15 @@
 
 Texts are read straight from Arrow buffers as UTF-8 bytes. A word is a run of
 bytes other than space and 0x09-0x0D; UTF-8 never uses those inside a character.
-Hashes are 64-bit polynomials over random byte values, mixed at the end, so runs
-of words hash in a few array operations whatever their number.
+A byte range is hashed eight bytes at a time through two chained states, the one
+mixed non-linearly after every lane, so no pattern of letters makes different
+words equal by construction; ranges beyond ``LANES`` lanes take BLAKE2b. Where a
+count has to be exact, equal hashes are followed by a comparison of the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,26 +19,14 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one array step takes; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
-#: Bytes whose sums are held at once while spans are hashed, and the unit in which the tables of powers grow.
-HASH_BYTES = 1 << 20
+#: Lanes of eight bytes that are hashed and compared by array operations; longer ranges one by one.
+LANES = 8
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        n = -(-n // HASH_BYTES) * HASH_BYTES
-        for k, base in enumerate((_ODD, _INVERSE)):
-            full = np.full(n, base, np.uint64)
-            full[0] = 1
-            _POWERS[k] = np.cumprod(full)
-    return _POWERS[0][:n], _POWERS[1][:n]
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,7 +64,8 @@ class Texts:
         data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
         self.data = data[offsets[0] : offsets[-1]]
         self.off = offsets - offsets[0]
-        self._hashes: np.ndarray | None = None
+        self._hashes: dict[int, np.ndarray] = {}
+        self._lanes: np.ndarray | None = None
         self._words()
 
     def _words(self) -> None:
@@ -100,24 +92,68 @@ class Texts:
     def words_per_doc(self, chosen: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.doc if chosen is None else self.doc[chosen], minlength=self.n)
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges in ascending order; a range hashes alike wherever it lies, so blocks of bytes are taken one by one."""
-        out, at = np.zeros(len(start), np.uint64), 0
-        while at < len(start):
-            first = start[at]
-            to = int(np.searchsorted(start, first + HASH_BYTES, "left"))
-            data = self.data[first : end[at:to].max()]
-            up, down = powers(len(data) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)])
-            a, b = start[at:to] - first, end[at:to] - first
-            out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
-            at = to
+    def lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place as a number, of which ``left`` bytes count."""
+        if self._lanes is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        return self._lanes[at] & _MASKS[np.minimum(left, 8)]
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hashes of byte ranges, the same wherever a range lies."""
+        size = end - start
+        one = mix(size.astype(np.uint64) * _ODD + np.uint64(seed))
+        two = one ^ _SECOND
+        active = np.arange(len(size))
+        for k in range(LANES):
+            active = active[size[active] > 8 * k]
+            if not len(active):
+                break
+            lane = self.lane(start[active] + 8 * k, size[active] - 8 * k)
+            one[active] = mix(one[active] ^ lane)
+            two[active] = (two[active] + lane) * _SECOND
+        out = mix(one + (two ^ (two >> np.uint64(29))))
+        for i in np.flatnonzero(size > 8 * LANES).tolist():
+            digest = hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(digest, "little")
         return out
 
-    def word_hash(self) -> np.ndarray:
-        if self._hashes is None:
-            self._hashes = self.span_hash(self.start, self.end)
-        return self._hashes
+    def word_hash(self, seed: int = 0) -> np.ndarray:
+        if seed not in self._hashes:
+            self._hashes[seed] = self.span_hash(self.start, self.end, seed)
+        return self._hashes[seed]
+
+    def same_bytes(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ``size`` bytes from a are those from b."""
+        same = np.ones(len(size), bool)
+        active = np.flatnonzero(a != b)
+        for k in range(LANES):
+            active = active[size[active] > 8 * k]
+            if not len(active):
+                break
+            left = size[active] - 8 * k
+            same[active] &= self.lane(a[active] + 8 * k, left) == self.lane(b[active] + 8 * k, left)
+        for i in np.flatnonzero(same & (size > 8 * LANES) & (a != b)).tolist():
+            same[i] = np.array_equal(self.data[a[i] : a[i] + size[i]], self.data[b[i] : b[i] + size[i]])
+        return same
+
+    def numbers(self, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """A number for each byte range, equal if and only if the bytes are: ``hashes`` only sort, bytes decide."""
+        if not len(start):
+            return np.zeros(0, np.int64)
+        order = np.argsort(hashes, kind="stable")
+        size = end - start
+        here, before = order[1:], order[:-1]
+        alike = hashes[here] == hashes[before]
+        h, b = here[alike], before[alike]
+        out = np.empty(len(order), np.int64)
+        if ((size[h] == size[b]) & self.same_bytes(start[h], start[b], np.minimum(size[h], size[b]))).all():
+            out[order] = np.concatenate([[0], np.cumsum(~alike)])
+            return out
+        known: dict[bytes, int] = {}  # different bytes met under one hash
+        for i, (x, y) in enumerate(zip(start.tolist(), end.tolist())):
+            out[i] = known.setdefault(self.data[x:y].tobytes(), len(known))
+        return out
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and documents of the lines, which ``\\n`` splits."""
@@ -131,14 +167,25 @@ class Texts:
         return start, end, doc[order]
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring runs from the hashes of both; not symmetric and not linear."""
+    return mix(a * _SECOND + (b ^ (b >> np.uint64(32)) ^ _ODD))
+
+
 def window_hash(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of every ``width`` consecutive entries, over document borders too."""
-    n = len(hashes)
-    if n < width:
+    """Hashes of every ``width`` consecutive entries, over document borders too, by doubling."""
+    if len(hashes) < width:
         return np.zeros(0, np.uint64)
-    up, down = powers(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
-    return mix((total[width:] - total[:-width]) * down[: n - width + 1] + np.uint64(width))
+    n, have, out = len(hashes), 0, None  # out: runs of the first ``have`` entries
+    size, power = 1, hashes
+    while size <= width:
+        if width & size:
+            runs = n - have - size + 1
+            out = power if out is None else _join(out[:runs], power[have : have + runs])
+            have += size
+        power = _join(power[: n - 2 * size + 1], power[size:]) if 2 * size <= width else power
+        size *= 2
+    return mix(out + np.uint64(width))
 
 
 def windows(doc: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +209,27 @@ def repeats(keys: np.ndarray, later_only: bool = False) -> np.ndarray:
     return flags
 
 
+def repeated_rows(*columns: np.ndarray, later_only: bool = False) -> np.ndarray:
+    """``repeats`` of rows of several columns, decided by the columns themselves and not by a hash of them."""
+    n = len(columns[0])
+    flags = np.zeros(n, bool)
+    if n < 2:
+        return flags
+    key = np.zeros(n, np.uint64)
+    for c in columns:
+        key = mix(key * _SECOND + c.astype(np.uint64))
+    equal = lambda order: np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
+    order = np.argsort(key, kind="stable")
+    same = equal(order)
+    if (same != (key[order[1:]] == key[order[:-1]])).any():
+        order = np.lexsort(columns[::-1])
+        same = equal(order)
+    flags[order[1:][same]] = True
+    if not later_only:
+        flags[order[:-1][same]] = True
+    return flags
+
+
 def keyed(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Hashes that also tell documents apart."""
     return mix(hashes + (doc.astype(np.uint64) + np.uint64(1)) * _ODD)

@@ -2,10 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 
 from pairlight.llm import fertility
-from pairlight.llm.text_arrays import Texts, steps
+from pairlight.llm.text_arrays import Texts, repeated_rows, steps, window_hash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -40,8 +41,39 @@ def test_counts_equal_brute_force():
     assert got == [expected(t or "") for t in texts]
 
 
+def test_words_and_lines_of_one_pattern_are_told_apart():
+    """Thue-Morse words and their complements, alone, as lines, and as the words of a line."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one}\n{other}\n{one}", f"{' '.join(one)}\n{' '.join(other)}", f"x {one} y x {other} y x {one} y"]
+    base = fertility.base_counts(Texts(pa.array(texts)))
+    assert list(zip(*(base[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [expected(t) for t in texts]
+
+
+def test_bytes_decide_whatever_the_hashes_say():
+    texts = random_texts(60, seed=5)
+    t = Texts(pa.array(texts))
+    for hashes in (t.word_hash(), t.word_hash() % 2, np.zeros(len(t.start), np.uint64)):
+        numbers = t.numbers(t.start, t.end, hashes)
+        words = [t.data[a:b].tobytes() for a, b in zip(t.start, t.end)]
+        assert len(set(zip(words, numbers.tolist()))) == len(set(words)) == len(set(numbers.tolist()))
+    columns = [np.random.default_rng(k).integers(0, 4, 500) for k in (1, 2, 3)]
+    rows = list(zip(*columns))
+    assert repeated_rows(*columns).tolist() == [rows.count(r) > 1 for r in rows]
+    assert repeated_rows(*columns, later_only=True).tolist() == [r in rows[:k] for k, r in enumerate(rows)]
+
+
+def test_window_hashes_depend_on_their_entries_alone():
+    h = np.random.default_rng(0).integers(0, 1 << 63, 60, dtype=np.uint64)
+    for width in (1, 2, 3, 5, 7, 16, 19, 20, 60):
+        whole = window_hash(h, width)
+        assert whole.tolist() == [window_hash(h[k : k + width], width)[0] for k in range(61 - width)]
+    assert len(window_hash(h[:3], 4)) == 0
+
+
 def test_measures_equal_the_library():
-    import numpy as np
     import public_tokenizers
     import sentencepiece
 
