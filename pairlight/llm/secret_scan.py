@@ -6,17 +6,19 @@ into its maximal parts of each: its encoding (alphabet) is inferred from the
 characters it has, and three tests ask whether it could be uniformly random in
 that encoding: chi-squared uniformity of the alphabet, runs of character classes,
 and lag-one serial correlation of alphabet positions. Fisher's method combines
-them into one p-value.
+them into one value: near 0 for words and names, uniform for random tokens.
 
-The null hypothesis is "random". Benjamini-Hochberg control over all candidates
-of a length class (long tokens give the tests more power than short ones) decides
-which are declared not random; the others are secrets. The step-up runs on a
-histogram of p-values (0.01 wide in log10), which partial aggregation builds, so
-only a few hundred counts per length class meet and only one threshold a class
-reaches the driver.
+A candidate's p-value is the share of ordinary tokens of its length class (long
+tokens give the tests more power than short ones) whose value is as large: a
+stated table, from text outside the corpus. Benjamini-Hochberg control over all
+candidates of a class decides which are declared secret, so at most ``level`` of
+the method's secrets are expected to be ordinary tokens. The p-values are steps
+of the table, so only a count for each step and class reaches the driver.
 
 Positions come from splitting a text by the pattern that its matches were
-extracted with: a match starts after all earlier gaps and matches.
+extracted with: a match starts after all earlier gaps and matches. Sums and
+maxima over a text's matches are taken in blocks, and characters from one split,
+so the work grows with the length of a text and not with its square.
 
 Defined cases: a null text is an empty text without spans; whole texts are
 scanned; the same span found twice is one span; method spans that touch a base
@@ -28,9 +30,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlight.scratch import keep
+
 #: The base patterns, fixed by the contract: kind, pattern, group whose length counts, least length.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
@@ -38,11 +42,23 @@ KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the method: maximal runs of token characters with their padding, and the least length judged. Another "=" separates.
 _PAD = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
 RUN, LEAST = r"[A-Za-z0-9+/_-]{20,}" + _PAD, 20
-#: A run with characters of both base64 alphabets has no encoding of its own: its maximal parts of either one are judged.
-MIXED = r"[+/].*[_-]|[_-].*[+/]"
-PARTS = (r"[A-Za-z0-9_-]{20,}" + _PAD, r"(?=[A-Za-z0-9]*[+/])[A-Za-z0-9+/]{20,}" + _PAD)
+#: A run with characters of both base64 alphabets has no encoding of its own: its maximal parts of either one are judged, those of the second if they have any of its signs.
+URL_SIGNS, SIGNS = "[_-]", "[+/]"
+PARTS = (r"[A-Za-z0-9_-]{20,}" + _PAD, r"[A-Za-z0-9+/]{20,}" + _PAD)
 #: Lower ends of the length classes, and the level of the false-discovery control.
 LENGTH_CLASSES, LEVEL = (20, 28, 40, 64, 128), 0.05
+#: Points of the battery's p-value, and for each length class the share of ordinary tokens that reach them: 182,000 names, paths and long words of
+#: installed software, which are made of common words, and joins of them for the two longest classes; one is added to both counts.
+GRID = (1e-8, 1e-6, 1e-5, 1e-4, 3e-4, 1e-3, 3e-3, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+ORDINARY = {
+    20: (0.84, 0.48, 0.32, 0.21, 0.16, 0.11, 0.079, 0.048, 0.035, 0.019, 0.01, 0.0071, 0.0051, 0.0028, 0.0016, 0.00077, 0.00035, 0.00015, 5.9e-05, 2e-05),
+    28: (0.48, 0.15, 0.062, 0.029, 0.021, 0.014, 0.0094, 0.005, 0.0031, 0.0014, 0.00089, 0.00061, 0.00043, 0.00018, 0.0001, 5.9e-05, 3e-05, 1.5e-05, 1.5e-05, 1.5e-05),
+    40: (0.12, 0.053, 0.029, 0.013, 0.0085, 0.0041, 0.0019, 0.00068, 0.00032, *[4.6e-05] * 11),
+    64: (0.015, 0.0036, 0.0013, 0.00027, 0.00013, 5e-05, *[1.7e-05] * 14),
+    128: (2.5e-05,) * 20,
+}
+#: Arrays are folded in blocks of so many entries; texts with more spans than MANY are cut through their characters.
+BLOCK, MANY, LAST = 64, 64, 2**31 - 1
 #: Encodings, the narrowest first: name, what a token must match, alphabet in order of position.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -57,21 +73,51 @@ ENCODINGS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def running(values: Column, op, first: int) -> Column:
+    """For each entry of an int array what ``op`` makes, from ``first`` on, of all entries before it.
+
+    Folded in blocks, then over the blocks' totals, so no array grows entry by entry over the whole length.
+    """
+    empty = F.array().cast("array<int>")
+
+    def fold(items: Column, start: Column) -> Column:
+        step = lambda held, x: F.struct(op(held["at"], x).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("at"), empty.alias("out")), step, lambda held: held["out"])
+
+    def blocked(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, fold(F.transform(b, lambda x: F.aggregate(x, F.lit(first), op)), F.lit(first)), fold)))
+
+    return F.when(F.size(values) > 0, let(values, blocked)).otherwise(empty)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost matches as structs of start, end (code points) and the length of ``group``."""
-    whole, chosen = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("hit"), chosen.alias("part"))
+    """All leftmost matches as structs of start, end (code points), the length of ``group`` and the match itself."""
+    hits, chosen, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+    lengths = lambda strings: F.transform(strings, lambda x: F.length(x))
 
-    def step(held: Column, part: Column) -> Column:
-        start = held["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), F.length(part["part"]).alias("size"))
-        return F.struct(end.alias("at"), F.concat(held["found"], F.array(found)).alias("found"))
+    def placed(x: Column) -> Column:
+        both = F.zip_with(F.slice(x["gap"], 1, F.size(x["hit"])), F.transform(x["hit"], lambda h: F.length(h)), lambda g, h: g + h)
+        return F.arrays_zip(running(both, lambda a, b: a + b, 0).alias("at"), F.slice(x["gap"], 1, F.size(x["hit"])).alias("gap"), x["hit"].alias("hit"), x["size"].alias("size"))
 
-    nothing = F.array().cast("array<struct<start:int,end:int,size:int>>")
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda held: held["found"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(nothing)
+    def named(m: Column) -> Column:
+        return let(m["at"] + m["gap"], lambda start: F.struct(start.alias("start"), (start + F.length(m["hit"])).alias("end"), m["size"].alias("size"), m["hit"].alias("hit")))
+
+    found = F.transform(let(F.struct(hits.alias("hit"), lengths(chosen).alias("size"), lengths(gaps).alias("gap")), placed), named)
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,size:int,hit:string>>"))
 
 
 def _kept(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -84,11 +130,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_kept(text, KINDS.index(kind), *rule) for kind, *rule in BASE]))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
-
-
 def normal_tail(z: Column) -> Column:
     """The upper tail of the normal distribution (Abramowitz and Stegun 7.1.26)."""
 
@@ -109,7 +150,7 @@ def _uniformity(core: Column, alphabet: Column, n: Column, a: Column) -> Column:
 
 def _runs(chars: Column, alphabet: Column, n: Column, a: Column) -> Column:
     """Neighbours of different character class, against what independent characters give."""
-    kind = lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2).otherwise(3)
+    kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3)
     changes = let(F.transform(chars, kind), lambda k: F.size(F.filter(F.zip_with(F.slice(k, 2, F.size(k)), k, lambda x, y: F.coalesce(x != y, F.lit(False))), lambda d: d)))
     shares = F.array(*[F.length(F.regexp_replace(alphabet, f"[^{c}]", "")) / a for c in ("0-9", "A-Z", "a-z", "+/_-")])
     power = lambda k: F.aggregate(shares, F.lit(0.0), lambda s, q: s + F.pow(q, F.lit(float(k))))
@@ -144,84 +185,98 @@ def p_value(token: Column) -> Column:
         half = F.aggregate(three, F.lit(0.0), lambda s, p: s - F.log(F.greatest(F.lit(1e-14), p)))
         return F.when(alphabet.isNotNull(), let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2)))
 
-    return let(F.regexp_replace(token, "=+$", ""), of)
+    return let(F.rtrim(token, F.lit("=")), of)
 
 
 def _length_class(size: Column) -> Column:
     return reduce(lambda other, low: F.when(size >= low, F.lit(low)).otherwise(other), LENGTH_CLASSES, F.lit(LENGTH_CLASSES[0]))
 
 
-def _parts(token: Column, start: Column) -> Column:
-    """Maximal parts of a run in one encoding, as structs of start, end, size."""
-    placed = lambda found: F.transform(found, lambda m: F.struct((start + m["start"]).alias("start"), (start + m["end"]).alias("end"), m["size"].alias("size")))
-    whole = F.array(F.struct(start.alias("start"), (start + F.length(token)).alias("end"), F.length(token).alias("size")))
-    return F.when(token.rlike(MIXED), placed(F.concat(*[matches(token, part) for part in PARTS]))).otherwise(whole)
+def _parts(run: Column) -> Column:
+    """Maximal parts of a run in one encoding, as structs of start, end, size, hit."""
+    move = lambda m: F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"), m["size"].alias("size"), m["hit"].alias("hit"))
+    signed = F.filter(matches(run["hit"], PARTS[1]), lambda m: m["hit"].rlike(SIGNS))
+    mixed = run["hit"].rlike(URL_SIGNS) & run["hit"].rlike(SIGNS)
+    return F.when(mixed, F.transform(F.concat(matches(run["hit"], PARTS[0]), signed), move)).otherwise(F.array(run))
 
 
 def candidates(text: Column) -> Column:
-    """Judged runs and parts as structs of start, end, p, length class."""
-    cut = lambda m: let(F.substr(text, m["start"] + 1, m["size"]), lambda token: _parts(token, m["start"]))
-    judge = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), p_value(F.substr(text, m["start"] + 1, m["size"])).alias("p"), _length_class(m["size"]).alias("klass"))
-    return F.filter(F.transform(F.flatten(F.transform(matches(text, RUN), cut)), judge), lambda c: c["p"].isNotNull())
-
-
-def _merged(spans: Column) -> Column:
-    """Spans of start and end in order, those that overlap as one."""
-    nothing = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(held: Column, s: Column) -> Column:
-        last = F.try_element_at(held, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(last["end"] > s["start"], F.concat(F.slice(held, 1, F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(s)))
-
-    pairs = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
-    return F.aggregate(pairs, nothing, step)
-
-
-def cutoffs(docs: DataFrame, level: float = LEVEL) -> dict[int, float]:
-    """For each length class the largest p-value that is declared not random."""
+    """Judged runs and parts as structs of start, end, cell (how many points of GRID their p-value reaches) and length class."""
+    reached = lambda p: reduce(lambda other, k: F.when(p >= F.lit(GRID[k - 1]), F.lit(k)).otherwise(other), range(1, len(GRID) + 1), F.when(p.isNotNull(), F.lit(0)))
+    judge = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), let(p_value(m["hit"]), reached).alias("cell"), _length_class(m["size"]).alias("klass"))
+    return F.filter(F.transform(F.flatten(F.transform(matches(text, RUN), _parts)), judge), lambda c: c["cell"].isNotNull())
+
+
+def _free(base: Column, random: Column) -> Column:
+    """The random spans that overlap no base span, overlapping ones of them as one; structs of start, kind, end in order."""
+
+    def clear(every: Column) -> Column:
+        ends = F.transform(every, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0))
+        starts = F.reverse(F.transform(every, lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(LAST)))
+        before, after = running(ends, larger, 0), F.reverse(running(starts, smaller, LAST))
+        known = F.arrays_zip(every.alias("s"), before.alias("before"), after.alias("after"))
+        return F.transform(F.filter(known, lambda x: (x["s"]["kind"] == 3) & (x["before"] <= x["s"]["start"]) & (x["after"] >= x["s"]["end"])), lambda x: x["s"])
+
+    def joined(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), larger, 0)
+        known = F.arrays_zip(spans.alias("s"), reach.alias("reach"))
+        heads = F.filter(known, lambda x: x["reach"] <= x["s"]["start"])  # a new span begins where all before it have ended
+        tails = F.concat(F.slice(F.transform(heads, lambda x: x["reach"]), 2, F.greatest(F.size(heads), F.lit(1))), F.array(F.array_max(F.transform(spans, lambda s: s["end"]))))
+        return F.zip_with(heads, tails, lambda x, end: F.struct(x["s"]["start"].alias("start"), F.lit(3).alias("kind"), end.alias("end")))
+
+    every = F.array_sort(F.concat(base, random))
+    return let(let(every, clear), lambda spans: F.when(F.size(spans) > 0, joined(spans)).otherwise(spans))
+
+
+def least_cells(counts: list[tuple[int, int, int]], level: float = LEVEL, null=ORDINARY) -> dict[int, int]:
+    """For each length class the lowest cell that is declared secret, by Benjamini and Hochberg, from (class, cell, candidates)."""
+    cuts: dict[int, int] = {}
+    for klass in {k for k, _, _ in counts}:
+        inside = {cell: n for k, cell, n in counts if k == klass}
+        total, above = sum(inside.values()), 0
+        for cell in sorted(inside, reverse=True):
+            above += inside[cell]
+            if cell and null[klass][cell - 1] <= level * above / total:
+                cuts[klass] = cell
+    return cuts
+
+
+def found(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of ``docs``, base spans and candidates of every whole text; written, so texts are searched once."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.where(F.rlike(text, F.lit(RUN))).select(F.explode(candidates(text)).alias("c")).select("c.p", "c.klass")
-    cell = F.floor(F.log10(F.greatest("p", F.lit(1e-18))) * 100)
-    cells = found.groupBy("klass", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
-    whole = Window.partitionBy("klass")
-    ranked = cells.withColumn("m", F.sum("n").over(whole)).withColumn("k", F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
-    cuts = ranked.where(F.col("p") <= F.col("k") * F.lit(level) / F.col("m")).groupBy("klass").agg(F.max("p").alias("cut"))
-    return {r["klass"]: r["cut"] for r in cuts.collect()}  # a row for each of the length classes at most
+    return keep(docs.select(*[F.col(f"`{c}`") for c in columns], base_spans(text).alias("__base"), candidates(text).alias("__tokens")), "secret-candidates")
 
 
-def all_spans(text: Column, cuts: dict[int, float]) -> Column:
-    """Base spans and the method's, in order of start and kind."""
-    limit = lambda c: reduce(lambda other, item: F.when(c["klass"] == item[0], F.lit(item[1])).otherwise(other), cuts.items(), F.lit(-1.0))
-    random = F.filter(candidates(text), lambda c: c["p"] > limit(c))
+def with_secrets(marked: DataFrame, level: float = LEVEL) -> DataFrame:
+    """``found`` rows with __secrets: base spans and the method's, in order of start and kind."""
+    tokens = marked.select(F.explode("__tokens").alias("c")).groupBy("c.klass", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+    cuts = least_cells([tuple(r) for r in tokens.collect()], level)  # a row a length class and cell at most
+    limit = lambda c: reduce(lambda other, item: F.when(c["klass"] == item[0], F.lit(item[1])).otherwise(other), cuts.items(), F.lit(len(GRID) + 1))
+    random = F.transform(F.filter("__tokens", lambda c: c["cell"] >= limit(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    secrets = let(random, lambda r: F.when(F.size(r) > 0, F.array_sort(F.concat("__base", _free(F.col("__base"), r)))).otherwise(F.col("__base")))
+    return marked.withColumn("__secrets", secrets).drop("__base", "__tokens")
 
-    def joined(item: Column) -> Column:
-        free = F.filter(item["random"], lambda c: ~F.exists(item["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return F.array_sort(F.concat(item["base"], F.transform(_merged(free), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))
 
-    return let(F.struct(base_spans(text).alias("base"), random.alias("random")), joined)
-
-
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), level: float = LEVEL) -> DataFrame:
-    """``keep`` columns and ``secrets``: array of (start, kind number, end) of each whole text."""
-    cuts = cutoffs(docs, level)
-    return docs.select(*keep, all_spans(F.coalesce("text", F.lit("")), cuts).alias("secrets"))
+def scan(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), level: float = LEVEL) -> DataFrame:
+    """``columns`` and ``secrets``: array of (start, kind number, end) of each whole text."""
+    return with_secrets(found(docs, columns), level).withColumnRenamed("__secrets", "secrets")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", level: float = LEVEL) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are replaced once."""
-    cuts = cutoffs(docs, level)
     text = F.col("text")
 
-    def step(held: Column, s: Column) -> Column:
-        fresh = s["start"] >= held["at"]
-        gap = F.substr(text, held["at"] + 1, F.greatest(F.lit(0), s["start"] - held["at"]))
-        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.when(fresh, F.concat(held["out"], gap, F.lit(mark))).otherwise(held["out"]).alias("out"))
-
-    clean = F.aggregate(
-        F.col("__secrets"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda held: F.concat(held["out"], F.substr(text, held["at"] + 1, F.length(text)))
-    )
-    marked = docs.withColumn("__secrets", F.when(text.isNotNull(), all_spans(text, cuts)))
+    def left(spans: Column) -> Column:
+        """The stretches before, between and after spans that overlap no other."""
+        reach = running(F.transform(spans, lambda s: s["end"]), larger, 0)
+        heads = F.filter(F.arrays_zip(spans.alias("s"), reach.alias("reach")), lambda x: x["reach"] <= x["s"]["start"])
+        stretches = F.transform(heads, lambda x: F.struct(x["reach"].alias("start"), x["s"]["start"].alias("end")))
+        return F.concat(stretches, F.array(F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length(text).alias("end"))))
+
+    cut = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
+    by_characters = lambda g: let(F.split(text, ""), lambda chars: F.transform(g, lambda s: F.array_join(F.slice(chars, s["start"] + 1, s["end"] - s["start"]), "")))
+    clean = let(left(F.col("__secrets")), lambda g: F.array_join(F.when(F.size(g) > MANY, by_characters(g)).otherwise(F.transform(g, cut)), mark))
+    marked = with_secrets(found(docs, tuple(docs.columns)), level)
     return marked.withColumn("text", F.when(F.size("__secrets") > 0, clean).otherwise(text)).drop("__secrets")
 
 

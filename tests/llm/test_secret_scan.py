@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairlight.llm import secret_scan
@@ -105,3 +107,82 @@ def test_tokens_without_digits_are_judged(spark):
     p = {x.t: x.p for x in rows.select("t", secret_scan.p_value(F.col("t")).alias("p")).collect()}
     assert None not in p.values()
     assert max(p[v] for v in names) < 0.05 and sum(p[v] > 0.05 for v in keys) >= 35, p
+
+
+def plain_cut(values, level):
+    """Benjamini and Hochberg over sorted p-values: the largest that is declared, None if none is."""
+    ranked, best = sorted(values), None
+    for k, p in enumerate(ranked, 1):
+        if p <= level * k / len(ranked):
+            best = p
+    return best
+
+
+def test_cutoffs_are_benjamini_and_hochbergs():
+    r = random.Random(13)
+    grid = len(secret_scan.GRID)
+    for _ in range(400):
+        level = r.choice((0.01, 0.05, 0.2))
+        counts = {(k, c): r.randint(1, 9) ** r.randint(1, 4) for k in secret_scan.LENGTH_CLASSES for c in r.sample(range(grid + 1), r.randint(1, 9))}
+        cuts = secret_scan.least_cells([(k, c, n) for (k, c), n in counts.items()], level)
+        for klass in secret_scan.LENGTH_CLASSES:
+            p_of = lambda c: secret_scan.ORDINARY[klass][c - 1] if c else 1.0  # noqa: E731, B023
+            cut = plain_cut([p_of(c) for (k, c), n in counts.items() if k == klass for _ in range(n)], level)
+            declared = {c for (k, c) in counts if k == klass and c >= cuts.get(klass, grid + 1)}
+            assert declared == {c for (k, c) in counts if k == klass and cut is not None and p_of(c) <= cut}
+
+
+def test_few_ordinary_tokens_are_no_secrets(spark):
+    """Names, paths and long words are not declared for want of company; the level allows for one in twenty."""
+    names = ["internationalizations", "some/long/path/to_a_file", "getElementsByTagNameFromNode", "a_rather_long_name_of_a_function_that_does_nothing", "https-proxy-and-cache-server"]
+    assert sum(bool(row.secrets) for row in secret_scan.scan(table(spark, list(enumerate(names)))).collect()) <= 1
+    assert not any(row.secrets for name in names[3:] for row in secret_scan.scan(table(spark, [(1, name)])).collect())
+
+
+@pytest.mark.parametrize("op", [lambda a, b: a + b, secret_scan.larger])
+def test_running(spark, op):
+    values = [list(range(1, n + 1)) for n in (0, 1, 5, 64, 65, 300)]
+    plain = max if op is secret_scan.larger else lambda a, b: a + b
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v array<int>")
+    for r in rows.select("k", secret_scan.running(F.col("v"), op, 0).alias("r")).collect():
+        want, at = [], 0
+        for x in values[r.k]:
+            want.append(at)
+            at = plain(at, x)
+        assert r.r == want
+
+
+def test_long_tokens_and_many_matches_take_linear_time(spark):
+    r = random.Random(14)
+    token = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    many = " ".join(f"secret=abcdef{k}" for k in range(100_000))
+    began = time.time()
+    docs = table(spark, [(1, f"data {token} end"), (2, many), (3, "é" + many)])
+    got = {row.doc_id: row.secrets for row in secret_scan.scan(docs).collect()}
+    assert [tuple(s) for s in got[1]] == [(5, 3, 1_000_005)] and len(got[2]) == 100_000
+    assert [(s["start"], s["kind"], s["end"]) for s in got[2]] == base(many)
+    clean = {row.doc_id: row.text for row in secret_scan.redact(docs).collect()}
+    assert clean[1] == "data [SECRET] end" and clean[2] == " ".join(["[SECRET]"] * 100_000) and clean[3] == "é" + clean[2]
+    assert time.time() - began < 120
+
+
+def test_spans_that_overlap_are_one(spark):
+    """The method's spans against a plain interval sweep."""
+    r = random.Random(15)
+    rows = []
+    for _ in range(200):
+        mark = lambda kind, n: sorted({(a := r.randint(0, 300), kind, a + r.randint(1, 40)) for _ in range(r.randint(0, n))})
+        rows.append((mark(0, 5), mark(3, 12)))
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], f"k int, base {kind}, random {kind}")
+    for got in docs.select("k", secret_scan._free(F.col("base"), F.col("random")).alias("f")).collect():
+        base_, random_ = rows[got.k]
+        want = []
+        for a, _, b in random_:
+            if any(x < b and a < y for x, _, y in base_):
+                continue
+            if want and want[-1][1] > a:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        assert [[s["start"], s["end"]] for s in got.f] == want
