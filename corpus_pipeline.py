@@ -31,11 +31,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates; rows without a doc_id stay, exact repeats of a row count once."""
+    """One document of each class of near duplicates, told by doc_id and text; rows without a doc_id stay, exact repeats of a row count once."""
     classes = ngram_join.near_duplicates(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    gone = classes.where("not stays").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    left = keyed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__gone_key")), "left_anti")
+    return left.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

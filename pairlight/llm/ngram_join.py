@@ -6,21 +6,21 @@ doc_id as representative; all further work is on representatives.
 
 1. Signatures are cut into bands; band and row counts are the least selective that
    reach the wanted recall at the threshold. Band hashes are shuffled and buckets
-   of two or more kept. A bucket links its members to its smallest member, so it
-   costs a row a member, whatever its size.
-2. Components of these links hold every candidate pair. Members of a component
-   are dealt to blocks bounded in rows and bytes, and every pair of blocks is a
-   group of its own: intersections of full n-gram sets are counted there by a
-   blocked matrix product. A large component thus spreads over many groups, and no
-   operator emits pairs: groups return a number of links for each member and the
-   links of a spanning forest.
+   of two or more kept.
+2. A set lives in its largest bucket, in blocks bounded in rows and bytes. Two
+   blocks meet only if some bucket has members of both, and every such pair of
+   blocks is a group of its own: intersections of full n-gram sets are counted
+   there by a blocked matrix product. Sets that share no band are thus not brought
+   together, a large bucket spreads over many groups, and no operator emits pairs of
+   sets: groups return a number of links for each member and the links of a spanning
+   forest. A pair meets in one group only, so links are counted once.
 3. Components of the verified links are the classes of near duplicates.
 
 Defined cases: null and empty texts have no n-grams, are never linked and are
 their own class; repeated rows are copies of each other; rows with a null doc_id
-are returned unlinked with a null class; one doc_id with several texts is linked
-by each of them; texts are whole, whatever their length; an empty table gives an
-empty result; only doc_id and text are read.
+are returned unlinked with a null class; several texts under one doc_id are
+documents of their own, told apart by their sets; texts are whole, whatever their
+length; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.llm.components import components
+from pairlight.llm.hot_join import spread_join
 from pairlight.llm.text_arrays import Texts, keyed, mix, repeats, steps, window_hash
 from pairlight.scratch import keep
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 256
-#: Bounds of a block: rows, and bytes of n-gram hashes.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 24 << 20
+#: Bounds of a block: rows, and bytes of n-gram hashes. A bucket that has the members is dealt to FEW blocks of EVEN rows at least, so that no task has most of it.
+BLOCK_ROWS, BLOCK_BYTES, FEW, EVEN = 1024, 24 << 20, 16, 128
 _COLUMNS = 2048
 
 
@@ -92,7 +93,7 @@ def signatures(t: Texts, width: int, bands: int, rows: int) -> tuple[np.ndarray,
 
 
 def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1, k2 (key of the n-gram set, null without n-grams), n, bands."""
+    """doc_id, text_key (hash of the text), k1, k2 (key of the n-gram set, null without n-grams), n, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,15 +108,15 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 lists = np.zeros(n + 1, np.int32)
                 lists[1:][at] = bands
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum(lists), pa.int32()), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(full[0], mask=missing), pa.array(full[1], mask=missing), pa.array(full[2]), listed], ["doc_id", "k1", "k2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(full[0], mask=missing), pa.array(full[1], mask=missing), pa.array(full[2]), listed], ["doc_id", "text_key", "k1", "k2", "n", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, k1 long, k2 long, n long, bands array<long>")
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """The columns of ``docs`` without its text, and grams: the distinct n-grams' hashes as bytes. Rows whose set is not the one k1, k2 name are left out."""
+    """The columns of ``docs`` without its text, and grams: the distinct n-grams' hashes as bytes. Rows whose set is not the one that k1 names are left out."""
     names = [c for c in docs.columns if c != "text"]
-    seeds = np.random.default_rng(7).integers(0, 1 << 64, (2, 2), dtype=np.uint64)
+    seed = np.random.default_rng(7).integers(0, 1 << 64, (2, 2), dtype=np.uint64)[0, 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,10 +124,8 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
                 doc, hashes = ngram_sets(Texts(batch.column("text")), width)
                 ends = np.searchsorted(doc, np.arange(batch.num_rows), "right")
                 begins = np.concatenate([[0], ends[:-1]])
-                total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ s), dtype=np.uint64)]) for s in seeds[:, 0]]
-                same = np.ones(batch.num_rows, bool)
-                for name, sums in zip(("k1", "k2"), total):
-                    same &= (sums[ends] - sums[begins]).view(np.int64) == batch.column(name).to_numpy(zero_copy_only=False)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ seed), dtype=np.uint64)])
+                same = (total[ends] - total[begins]).view(np.int64) == batch.column("k1").to_numpy(zero_copy_only=False)
                 grams = [hashes[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(grams, pa.binary())], [*names, "grams"]).filter(pa.array(same))
 
@@ -154,17 +153,17 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def link_group(v: np.ndarray, block: np.ndarray, sets: list[np.ndarray], cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each member its links (between the two blocks if ``cross``) and the smallest member its links reach."""
+def link_group(block: np.ndarray, sets: list[np.ndarray], cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each member its links (between the two blocks if ``cross``) and the first member its links reach."""
     size = np.array([len(s) for s in sets], np.float64)
     inside = overlaps(sets).astype(np.float64)
     linked = inside >= threshold * (size[:, None] + size[None, :] - inside) - 1e-9
     np.fill_diagonal(linked, False)
     if cross:
         linked &= block[:, None] != block[None, :]
-    reach = v.copy()
+    reach = np.arange(len(sets))
     while True:
-        near = np.where(linked, reach[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+        near = np.where(linked, reach[None, :], len(sets)).min(1, initial=len(sets))
         after = np.minimum(reach, near)
         if (after == reach).all():
             return linked.sum(1), reach
@@ -172,71 +171,94 @@ def link_group(v: np.ndarray, block: np.ndarray, sets: list[np.ndarray], cross:
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """v, links, reach from rows (root, i, j, block, v, grams), one group for each root and pair of blocks."""
+    """v, k1 (a member), links, to_v, to_k1 (the first member it reaches) from rows (i, j, place, v, k1, grams), one group for each pair of blocks i, j."""
+    names = ["v", "k1", "links", "to_v", "to_k1"]
 
     def close(key, held):
-        seen: dict[int, tuple[int, bytes]] = {}
-        for v, block, grams in held:
-            seen.setdefault(v, (block, grams))  # repeated rows of one document
+        seen: dict[tuple[int, int], tuple[str, bytes]] = {}
+        for place, v, k1, grams in held:
+            seen.setdefault((v, k1), (place, grams))  # a row given twice
         if len(seen) < 2:
             return None
-        v = np.fromiter(seen, np.int64, len(seen))
-        links, reach = link_group(v, np.array([b for b, _ in seen.values()]), [np.frombuffer(g, np.uint64) for _, g in seen.values()], key[1] != key[2], threshold)
+        members = sorted(seen)
+        v, k1 = np.array(members, np.int64).T
+        block = np.array([seen[m][0] == key[0] for m in members])
+        links, reach = link_group(block, [np.frombuffer(seen[m][1], np.uint64) for m in members], key[0] != key[1], threshold)
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(links[some].astype(np.int64)), pa.array(reach[some])], ["v", "links", "reach"]) if some.any() else None
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (v, k1, links.astype(np.int64), v[reach], k1[reach])], names) if some.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "v", "block", "grams"))):
-                if row[:3] != key:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "place", "v", "k1", "grams"))):
+                if row[:2] != key:
                     if len(held) > 1 and (done := close(key, held)) is not None:
                         yield done
-                    key, held = row[:3], []
-                held.append(row[3:])
+                    key, held = row[:2], []
+                held.append(row[2:])
         if len(held) > 1 and (done := close(key, held)) is not None:
             yield done
 
-    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "v", "block", "grams")
-    return dealt.mapInArrow(run, "v long, links long, reach long")
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j").select("i", "j", "place", "v", "k1", "grams")
+    return dealt.mapInArrow(run, "v long, k1 long, links long, to_v long, to_k1 long")
+
+
+def meetings(sets: DataFrame) -> DataFrame:
+    """v, k1, place and pairs: each set's block and the pairs of blocks (i, j) that it takes part in; sets that share no band with any are left out.
+
+    ``sets`` has rep, k1, n, bands.
+    """
+    spread = sets.select(F.struct(F.col("rep").alias("v"), "k1").alias("s"), F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("band", "hash")).select("s", "n", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = spread.groupBy("bucket").agg(F.min("s").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    company = keep(spread.join(buckets, "bucket"), "ngram-company")
+    homes = company.groupBy("s").agg(F.min(F.struct(-F.col("m"), "hub")).alias("h"), F.first("n").alias("n")).select("s", "n", F.col("h.hub").alias("home"))
+    homes = keep(homes, "ngram-homes")
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("grams") * 8 / BLOCK_BYTES), F.least(F.ceil(F.col("m") / EVEN), F.lit(FEW)))
+    dealt = spread_join(homes, sizes.select("home", "m", blocks.cast("int").alias("blocks")), "home", "m")
+    place = F.concat_ws(":", F.col("home.v").cast("string"), F.col("home.k1").cast("string"), F.pmod(F.xxhash64("s.v", "s.k1", F.lit("block")), F.col("blocks")).cast("string"))
+    placed = keep(dealt.select("s", place.alias("place")), "ngram-places")
+    at = company.select("s", "bucket").join(placed, "s").select("bucket", "place").distinct()
+    mixed = at.groupBy("bucket").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("bucket")
+    several = at.join(mixed, "bucket")
+    across = several.select("bucket", F.col("place").alias("i")).join(several.select("bucket", F.col("place").alias("j")), "bucket").where("i < j").select("i", "j").distinct()
+    inside = placed.groupBy("place").count().where("count > 1").select(F.col("place").alias("i"), F.col("place").alias("j"))
+    each = across.select(F.explode(F.array("i", "j")).alias("place"), "i", "j").unionByName(inside.select(F.col("i").alias("place"), "i", "j"))
+    listed = each.groupBy("place").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))  # pairs of blocks, not of sets
+    return placed.join(listed, "place").select("s.v", "s.k1", "place", "pairs")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, set_id, n_copies for every row of ``docs`` (doc_id, text).
+    """doc_id, class_id, n_links, set_id, n_copies, stays, text_key for every row of ``docs`` (doc_id, text).
 
     class_id is the smallest doc_id of the component of verified links, set_id
     the smallest doc_id with an equal n-gram set, n_copies how many rows have that
-    set, n_links how many other sets are at least ``threshold`` similar.
+    set, n_links how many other sets are at least ``threshold`` similar. stays is
+    true for the rows of one document of each class (repeated rows all of them) and
+    for rows without a class; text_key is xxhash64 of the text.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = keep(sign(docs, width, bands, rows), "ngram-signatures")
     filled = signed.where(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
-    sets = keep(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "ngram-sets")
-    spread = sets.select("rep", F.posexplode("bands").alias("band", "hash")).select("rep", F.xxhash64("band", "hash").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where(F.col("hub") < F.col("last")).drop("last")
-    stars = spread.join(hubs, "bucket").where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    candidate = keep(components(stars), "ngram-candidates")
-    members = candidate.join(sets, F.col("v") == F.col("rep")).select("root", "v", "k1", "k2", "n")
-    members = keep(members, "ngram-members")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("v", F.lit("block")), F.col("blocks")).cast("int"))
+    sets = filled.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = keep(sets.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "n_copies", "n", "bands"), "ngram-sets")
+    members = keep(meetings(sets), "ngram-members")
     # merged at every size: members grow with the corpus, so a broadcast that fits today is no plan for tomorrow
-    text = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("v")).select("root", "v", "k1", "k2", "block", "blocks", "text")
-    grams = set_rows(text, width)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = grams.select("root", "v", "block", "grams", other.alias("o")).select("root", "v", "block", "grams", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    found = keep(_verified(pairs, threshold), "ngram-links")
-    links = found.groupBy("v").agg(F.sum("links").alias("n_links"))
-    classes = components(found.select(F.col("v").alias("a"), F.col("reach").alias("b")))
-    known = (
-        sets.select("k1", "k2", "rep", "n_copies")
-        .join(links, F.col("rep") == F.col("v"), "left").drop("v")
-        .join(classes, F.col("rep") == F.col("v"), "left").drop("v")
-    )
-    out = signed.select("doc_id", F.col("k1").alias("d1"), F.col("k2").alias("d2")).join(known, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("doc_id").isNotNull(), "left")
+    text = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("v")).select("v", "k1", "place", "pairs", "text")
+    grams = set_rows(text, width).select("v", "k1", "place", "grams", F.explode("pairs").alias("p")).select("p.i", "p.j", "place", "v", "k1", "grams")
+    found = keep(_verified(grams, threshold), "ngram-links")
+    links = found.groupBy(F.col("v").alias("rep"), "k1").agg(F.sum("links").alias("n_links"))
+    classes = components(found.select(F.struct("v", "k1").alias("a"), F.struct(F.col("to_v").alias("v"), F.col("to_k1").alias("k1")).alias("b")))
+    classes = classes.select(F.col("v.v").alias("rep"), F.col("v.k1").alias("k1"), "root")
+    known = sets.select("k1", "k2", "rep", "rep_key", "n_copies").join(links, ["rep", "k1"], "left").join(classes, ["rep", "k1"], "left")
+    known = known.withColumn("own", F.coalesce(F.col("root") == F.struct(F.col("rep").alias("v"), "k1"), F.lit(True)))
+    known = known.select(F.struct("k1", "k2").alias("set"), "rep", "rep_key", "n_copies", "n_links", "root", "own", F.col("n_copies").alias("m"))
+    keyed_rows = signed.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull() & F.col("k1").isNotNull(), F.struct("k1", "k2")).alias("set"))
+    out = spread_join(keyed_rows, known, "set", "m", "left")
+    kept = F.col("rep").isNull() | (F.col("own") & (F.col("doc_id") == F.col("rep")) & F.col("text_key").eqNullSafe(F.col("rep_key")))
     return out.select(
-        "doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("rep", "doc_id").alias("set_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "doc_id", F.coalesce("root.v", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("rep", "doc_id").alias("set_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), kept.alias("stays"), "text_key",
     )
 
 

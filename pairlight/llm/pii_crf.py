@@ -9,8 +9,10 @@ documents of a step at once until mentions of one thing agree; runs of words wit
 a confident label that touch no base span are added.
 
 The field is trained piecewise: the base spans of all documents label their
-words; Spark counts shapes and label pairs, and the driver fits a softmax on shape
-counts and takes pair potentials from the counts.
+words, but for words outside them whose likes are inside: what those are is not
+known, and they teach nothing. Spark counts shapes and label pairs, and the driver
+fits a softmax on shape counts and takes pair potentials from the counts. A shape is a combination of the
+features, of which some thousands occur however large the corpus is.
 
 Every occurrence of a key is linked to one of them, the first that a base span
 covers or else the first, so a word that occurs n times costs n - 1 links and no
@@ -23,6 +25,7 @@ and text are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -38,13 +41,13 @@ from pairlight.llm.text_arrays import Texts, steps
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Shapes that are fitted on at most, the commonest first.
-TRAIN_SHAPES = 20_000
 #: OBSERVED is what a base span adds to its words' potentials, which links then carry to their likes.
 #: AGREE is how many agreeing links a label starts with: likes are labelled alike unless the corpus says otherwise.
 DAMPING, COUPLING, SURE, OBSERVED, AGREE = 0.5, 0.7, 0.9, 8.0, 25.0
 #: Largest change of a message that counts as none; a document that still swings after STEADY rounds gets steps that shrink by SHRINK a round.
-TOLERANCE, STEADY, SHRINK = 1e-5, 1000, 0.98
+TOLERANCE, STEADY, SHRINK = 1e-4, 1000, 0.98
+#: Nodes whose messages are passed together, if no document has more.
+NODES = 1 << 17
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -145,38 +148,52 @@ class Graph:
 
 
 def graph(t: Texts, column: pa.Array) -> Graph:
-    """The graph of a step's texts; positions are code points of their text."""
-    marks = np.concatenate([[0], np.cumsum((t.data >= 0x30) & (t.data <= 0x39) | (t.data == 0x40))])
+    """The graph of a step's texts; positions are code points of their text. Distinct words are looked at once."""
+    marks = np.concatenate([[0], np.cumsum((t.data >= 0x30) & (t.data <= 0x39) | (t.data == 0x40), dtype=np.int32)])
     active = np.flatnonzero(marks[t.end] > marks[t.start]) if len(t.start) else np.zeros(0, np.int64)
+    low, high = t.start[active], t.end[active]
     doc = t.doc[active] if len(active) else np.zeros(0, np.int64)
-    points = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
+    points = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80, dtype=np.int32)])
     first = points[t.off[doc]]
-    start, end = points[t.start[active]] - first, points[t.end[active]] - first
-    raw = t.data
-    words = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(t.start[active].tolist(), t.end[active].tolist())]
-    kinds = np.fromiter(map(shape, words), np.int64, len(words))
-    label, base = np.zeros(len(words), np.int64), {}
-    lows = np.searchsorted(doc, np.unique(doc)).tolist()
-    skip = []
-    for low, high in zip(lows, [*lows[1:], len(doc)]):
-        d = int(doc[low])
+    start, end = points[low] - first, points[high] - first
+    number = t.numbers(low, high, t.span_hash(low, high))
+    _, at, number = np.unique(number, return_index=True, return_inverse=True)
+    words = [t.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(low[at].tolist(), high[at].tolist())]
+    kinds = np.fromiter(map(shape, words), np.int64, len(words))[number]
+    label, base = np.zeros(len(active), np.int8), {}
+    heads = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
+    for a, b in zip(heads, [*heads[1:], len(doc)]):
+        d = int(doc[a])
         spans = base_spans(column[d].as_py())
         if spans:
             base[d] = spans
-            s, e = start[low:high], end[low:high]
-            for kind, a, b in spans:
-                label[low + np.searchsorted(e, a, "right") : low + np.searchsorted(s, b, "left")] = LABELS.index(kind)
-        alike: dict[str, list[int]] = {}
-        for i in range(low, high):
-            for key in likeness(words[i]):
-                alike.setdefault(key, []).append(i)
-        for found in alike.values():
-            if len(found) > 1:
-                hub = next((i for i in found if label[i]), found[0])
-                skip.extend((min(hub, i), max(hub, i)) for i in found if i != hub)
+            s, e = start[a:b], end[a:b]
+            for kind, x, y in spans:
+                label[a + np.searchsorted(e, x, "right") : a + np.searchsorted(s, y, "left")] = LABELS.index(kind)
     near = np.flatnonzero((active[1:] == active[:-1] + 1) & (doc[1:] == doc[:-1])) if len(active) else np.zeros(0, np.int64)
-    links = np.unique(np.array(skip, np.int64).reshape(-1, 2), axis=0)
-    return Graph(doc, start, end, kinds, label, np.stack([near, near + 1], axis=1), links, base)
+    return Graph(doc, start, end, kinds, label, np.stack([near, near + 1], axis=1), alike(doc, number, words, label), base)
+
+
+def alike(doc: np.ndarray, number: np.ndarray, words: list[str], label: np.ndarray) -> np.ndarray:
+    """Links of words of one document that share a key, each to the key's first labelled word or else its first; ``number`` says which of ``words`` each is."""
+    known: dict[str, int] = {}
+    keys = np.full((len(words) + 1, 2), -1, np.int64)
+    for k, word in enumerate(words):
+        for c, key in enumerate(likeness(word)):
+            keys[k, c] = known.setdefault(key, len(known))
+    own = keys[number]
+    node, which = np.nonzero(own >= 0)
+    key = own[node, which]
+    order = np.lexsort((node, key, doc[node]))
+    node, key = node[order], key[order]
+    if not len(node):
+        return np.zeros((0, 2), np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[node[1:]] != doc[node[:-1]])]))
+    size = np.diff([*begin.tolist(), len(node)])
+    labelled = np.minimum.reduceat(np.where(label[node] > 0, node, len(label)), begin)
+    hub = np.repeat(np.where(labelled < len(label), labelled, node[begin]), size)
+    other = node != hub
+    return np.unique(np.stack([np.minimum(hub, node)[other], np.maximum(hub, node)[other]], axis=1), axis=0)
 
 
 @dataclass
@@ -189,43 +206,72 @@ class Field:
 
     def unary(self, shapes: np.ndarray) -> np.ndarray:
         on = (shapes[:, None] >> np.arange(len(FEATURES))) & 1
-        return on @ self.shape
+        return (on[:, :, None] * self.shape).sum(1)
 
     def posteriors(self, g: Graph) -> np.ndarray:
-        """Label probabilities by damped loopy belief propagation, each document until its messages stand still."""
-        unary = self.unary(g.shape)
-        unary[np.arange(len(g.label)), g.label] += np.where(g.label > 0, OBSERVED, 0.0)
-        links = np.concatenate([g.near, g.skip])
-        order = np.argsort(g.doc[links[:, 0]], kind="stable")
-        (a, b), similar = links[order].T, order >= len(g.near)
-        powers = np.stack([self.near, self.skip])
-        forth, back = np.zeros((2, len(a), len(LABELS)))
-        belief, step, rounds = unary.copy(), 1 - DAMPING, 0
-        nodes = np.arange(len(unary))  # of the documents that still change; a and b are places in it
-        while len(a):
-            held, power = belief[nodes], powers[similar.astype(int)]
-            to_b = _log_sum((held[a] - back)[:, :, None] + power, 1)
-            to_a = _log_sum((held[b] - forth)[:, None, :] + power, 2)
-            more_b, more_a = step * (to_b - to_b.max(1, keepdims=True) - forth), step * (to_a - to_a.max(1, keepdims=True) - back)
-            forth, back = forth + more_b, back + more_a
+        """Label probabilities by loopy belief propagation, each document until its messages stand still; documents are taken in blocks of NODES."""
+        out = np.empty((len(g.doc), len(LABELS)), np.float32)
+        heads = np.flatnonzero(np.diff(g.doc, prepend=-1)).tolist()
+        low = 0
+        for head, end in zip(heads, [*heads[1:], len(g.doc)]):
+            if end - low > NODES and head > low:
+                out[low:head] = self._block(g, low, head)
+                low = head
+        if len(g.doc):
+            out[low:] = self._block(g, low, len(g.doc))
+        return out
+
+    def _block(self, g: Graph, low: int, high: int) -> np.ndarray:
+        """Probabilities of the nodes from low to high, which are whole documents. Arrays have a row a label."""
+        shapes, number = np.unique(g.shape[low:high], return_inverse=True)
+        unary = self.unary(shapes).T.astype(np.float32)[:, number]
+        label, doc = g.label[low:high], (g.doc[low:high] - g.doc[low]).astype(np.int32)
+        unary[label, np.arange(high - low)] += np.where(label > 0, OBSERVED, 0).astype(np.float32)
+        belief = unary.copy()
+        sides = []
+        for links, power in ((g.near, self.near), (g.skip, self.skip)):
+            a, b = np.searchsorted(links[:, 0], [low, high])
+            part = (links[a:b] - low).astype(np.int32)
+            sides.append([part[:, 0], part[:, 1], np.exp(power).astype(np.float32), np.zeros((len(LABELS), b - a), np.float32), np.zeros((len(LABELS), b - a), np.float32)])
+        looped = np.zeros(int(doc[-1]) + 1, bool)
+        looped[doc[sides[1][0]]] = True  # without such links a document is chains, which need no damping
+        rate = np.where(looped, np.float32(1 - DAMPING), np.float32(1))
+        going, shrink, rounds = np.ones(len(looped), bool), np.float32(1), 0
+        live = np.ones(len(label), bool)
+        while any(len(side[0]) for side in sides):
+            change = np.zeros(len(looped), np.float32)
+            for a, b, power, forth, back in sides:
+                for at in range(0, len(a), NODES):  # a slice of links needs only its own messages and the beliefs
+                    x, y, there, here = a[at : at + NODES], b[at : at + NODES], back[:, at : at + NODES], forth[:, at : at + NODES]
+                    step = rate[doc[x]] * shrink
+                    more = [step * (_passed(belief[:, x] - there, power) - here), step * (_passed(belief[:, y] - here, power.T) - there)]
+                    here += more[0]
+                    there += more[1]
+                    np.maximum.at(change, doc[x], np.maximum(np.abs(more[0]).max(0, initial=0), np.abs(more[1]).max(0, initial=0)))
             for k in range(len(LABELS)):
-                belief[nodes, k] = unary[nodes, k] + np.bincount(b, weights=forth[:, k], minlength=len(nodes)) + np.bincount(a, weights=back[:, k], minlength=len(nodes))
-            doc = g.doc[nodes[a]]
-            heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            going = np.maximum.reduceat(np.maximum(np.abs(more_b).max(1), np.abs(more_a).max(1)), heads) >= TOLERANCE
+                sums = sum(np.bincount(x, weights=m[k], minlength=len(label)) for a, b, _, forth, back in sides for x, m in ((b, forth), (a, back)))
+                belief[k] = np.where(live, unary[k] + sums, belief[k])
             rounds += 1
-            step *= SHRINK if rounds > STEADY else 1.0
-            if not going.all():
-                left, stay = np.repeat(going, np.diff([*heads, len(doc)])), np.isin(g.doc[nodes], doc[heads][going])
-                place = np.cumsum(stay) - 1
-                a, b, similar, forth, back, nodes = place[a[left]], place[b[left]], similar[left], forth[left], back[left], nodes[stay]
-        p = np.exp(belief - belief.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
+            shrink *= np.float32(SHRINK if rounds > STEADY else 1)
+            still = change >= TOLERANCE
+            if not (still | ~going).all():  # documents that stand still leave
+                going &= still
+                live = going[doc]
+                for side in sides:
+                    left = live[side[0]]
+                    side[0], side[1], side[3], side[4] = side[0][left], side[1][left], side[3][:, left], side[4][:, left]
+        p = np.exp(belief - belief.max(0))
+        return (p / p.sum(0)).T
+
+
+def _passed(x: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Messages of beliefs ``x`` (labels x links) through exponentiated potentials, the largest entry 0. Term by term, so a link's message does not depend on its block."""
+    e = np.exp(x - x.max(0, initial=-np.inf))
+    out = e[0] * power[0][:, None]
+    for k in range(1, len(power)):
+        out += e[k] * power[k][:, None]
+    out = np.log(out)
+    return out - out.max(0, initial=-np.inf)
 
 
 def fit(shapes: np.ndarray, labels: np.ndarray, counts: np.ndarray, pairs: dict[str, np.ndarray], steps: int = 400) -> Field:
@@ -249,7 +295,15 @@ def fit(shapes: np.ndarray, labels: np.ndarray, counts: np.ndarray, pairs: dict[
     return Field(w, mutual(pairs["near"]), mutual(pairs["skip"] + pairs["skip"].T + AGREE * np.eye(len(LABELS))))
 
 
-def train(docs: DataFrame, most_shapes: int = TRAIN_SHAPES) -> Field | None:
+def observed(g: Graph) -> np.ndarray:
+    """Which words have a known label: a base span's, or none where no like of the word is in a base span."""
+    known = np.ones(len(g.label), bool)
+    for a, b in (g.skip.T, g.skip[:, ::-1].T):
+        known[b[(g.label[a] > 0) & (g.label[b] == 0)]] = False
+    return known
+
+
+def train(docs: DataFrame) -> Field | None:
     """The field from the base spans of all documents; None if they have no word to label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +311,14 @@ def train(docs: DataFrame, most_shapes: int = TRAIN_SHAPES) -> Field | None:
             for batch in steps(whole):
                 column = batch.column("text")
                 g = graph(Texts(column), column)
-                for kind, (x, y) in (("word", (g.shape, g.label)), ("near", (g.label[g.near[:, 0]], g.label[g.near[:, 1]])), ("skip", (g.label[g.skip[:, 0]], g.label[g.skip[:, 1]]))):
-                    cells, n = np.unique(np.stack([x, y], axis=1).reshape(-1, 2), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(n, pa.int64())], ["kind", "x", "y", "n"])
+                known = observed(g)
+                linked = lambda links: tuple(g.label[links[known[links].all(1)]].T)  # noqa: E731, B023
+                for kind, (x, y) in (("word", (g.shape[known], g.label[known])), ("near", linked(g.near)), ("skip", linked(g.skip))):
+                    cells, n = np.unique(x.astype(np.int64) * len(LABELS) + y, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), pa.array(cells // len(LABELS)), pa.array(cells % len(LABELS)), pa.array(n, pa.int64())], ["kind", "x", "y", "n"])
 
     counted = docs.select("text").mapInArrow(count, "kind string, x long, y long, n long").groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.col("kind") == "word", F.desc("n"), "x", "y").limit(most_shapes + 2 * len(LABELS) ** 2).toPandas()
+    got = counted.orderBy("kind", "x", "y").toPandas()  # a row a shape and label, and a row a pair of labels
     words = got[got.kind == "word"]
     if words.empty:
         return None
@@ -277,25 +333,32 @@ def train(docs: DataFrame, most_shapes: int = TRAIN_SHAPES) -> Field | None:
 def added_spans(g: Graph, p: np.ndarray, column: pa.Array) -> dict[int, list[tuple[str, int, int]]]:
     """Runs of neighbouring words with one confident label that touch no base span."""
     best = np.where(p.max(1) >= SURE, p.argmax(1), 0)
+    chosen = np.flatnonzero(best)
+    joined = np.zeros(len(best) + 1, bool)  # to the word before
+    joined[g.near[:, 1]] = True
+    begins = ~joined[chosen] | (best[chosen - 1] != best[chosen]) if len(chosen) else np.zeros(0, bool)
+    heads = chosen[begins]
+    tails = chosen[np.flatnonzero(np.concatenate([begins[1:], [True]]))] if len(chosen) else heads
     out: dict[int, list[tuple[str, int, int]]] = {}
-    joined = {int(b) for _, b in g.near.tolist()}
-    k = 0
-    while k < len(best):
-        if not best[k]:
-            k += 1
-            continue
-        to = k
-        while to + 1 < len(best) and to + 1 in joined and best[to + 1] == best[k]:
-            to += 1
+    texts: dict[int, str] = {}
+    taken = {d: sorted((x, y) for _, x, y in spans) for d, spans in g.base.items()}
+    for k, to in zip(heads.tolist(), tails.tolist()):
         d, a, b = int(g.doc[k]), int(g.start[k]), int(g.end[to])
-        text = column[d].as_py()[a:b]
+        if d not in texts:
+            texts = {d: column[d].as_py()}
+        text = texts[d][a:b]
         a, b = a + len(text) - len(text.lstrip(_EDGE)), b - (len(text) - len(text.rstrip(_EDGE)))
-        if a < b and not any(x < b and a < y for _, x, y in g.base.get(d, ())):
+        if a < b and not _touches(taken.get(d, []), a, b):
             out.setdefault(d, []).append((LABELS[best[k]], a, b))
-        k = to + 1
     return out
 
 
+def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether any of sorted spans, of which at most one a kind covers a place, overlaps a to b."""
+    at = bisect.bisect_left(spans, (b, 0))
+    return any(y > a for _, y in spans[max(0, at - 2 * len(KINDS)) : at])
+
+
 def find_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base and added: spans (kind, start, end) of every whole text."""
     field = field if field is not None else train(docs)

@@ -3,8 +3,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pairlight.llm import ngram_join
+from pairlight.llm import hot_join, ngram_join
 from pairlight.llm.components import components
 from tests.llm.conftest import table
 from tests.llm.test_words import WORD
@@ -57,8 +58,9 @@ def corpus(seed=1):
 def test_classes_and_links_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     want = brute(rows)
-    for block in (1024, 4):  # whole components in a block, and components over many blocks
+    for block, hot in ((1024, 1 << 17), (4, 5)):  # whole buckets in a block, and buckets over many blocks with spread joins
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+        monkeypatch.setattr(hot_join, "HOT_ROWS", hot)
         got = {r.doc_id: (r.class_id, r.n_links, r.set_id, r.n_copies) for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
         assert got == want
 
@@ -91,3 +93,40 @@ def test_components_of_paths_and_stars(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 500 for k in range(500, 540)} | {7: 7, 9: 7}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(hot_join, "HOT_ROWS", 50)
+    rows = spark.createDataFrame([(k % 3 if k < 300 else k, k) for k in range(400)] + [(None, -1)], "key long, x long")
+    named = rows.where("key is not null").groupBy("key").count().withColumn("twice", F.col("key") * 2).where("key != 399")
+    inner, left = (sorted(map(tuple, hot_join.spread_join(rows, named, "key", "count", how).select("x", "twice").collect()), key=repr) for how in ("inner", "left"))
+    want = sorted(((k, 2 * (k % 3) if k < 300 else 2 * k) for k in range(399)), key=repr)
+    assert inner == want and left == sorted([*want, (399, None), (-1, None)], key=repr)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of 0.80 to 0.85, made one by one: their share that is linked."""
+    r = random.Random(21)
+    rows, pairs = [], []
+    for k in range(1500):
+        words = [f"w{r.random()}" for _ in range(120)]
+        other = list(words)
+        at = r.randint(8, 100)
+        while len(grams(" ".join(words)) & grams(" ".join(other))) > 0.85 * len(grams(" ".join(words)) | grams(" ".join(other))):
+            other[at % 120] = f"e{r.random()}"
+            at += 7
+        share = len(grams(" ".join(words)) & grams(" ".join(other))) / len(grams(" ".join(words)) | grams(" ".join(other)))
+        if share >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {x.doc_id: x.n_links for x in ngram_join.near_duplicates(table(spark, rows)).collect()}
+    found = sum(got[a] == got[b] == 1 for a, b in pairs)
+    assert len(pairs) > 500 and found >= 0.99 * len(pairs), (found, len(pairs))
+
+
+def test_several_texts_under_one_id(spark):
+    """Each text has the links of its own set, and of one class one document stays."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (9, "something else"), (None, a), (5, b)]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.stays) for r in ngram_join.near_duplicates(table(spark, rows)).collect() if r.doc_id is not None)
+    assert got == [(3, 3, 1, True), (5, 3, 1, False), (5, 5, 1, True), (5, 5, 1, True), (7, 5, 1, False), (9, 9, 0, True)]

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +124,48 @@ def test_training_counts_all_documents(spark):
     finally:
         pii_crf.fit = keep
     assert seen == [6_501]
+
+
+def test_blocks_of_any_size_give_the_same(monkeypatch):
+    texts = ["a1 b2 c3 x d4", "k9876 x k9876 y 5552485 z 5552485 k9876", "7 8 9 " * 40, "nothing", "1 22 1 333 22 4444 4444"]
+    column = pa.array(texts)
+    g = pii_crf.graph(Texts(column), column)
+    field = some_field(1)
+    whole = field.posteriors(g)
+    for nodes in (1, 7, 50):
+        monkeypatch.setattr(pii_crf, "NODES", nodes)
+        assert np.array_equal(field.posteriors(g), whole)
+
+
+def test_tables_of_numbers_stay_cheap():
+    """Two megabytes of one-digit words: seconds, and memory by the word and not by the link's matrix."""
+    r = random.Random(6)
+    column = pa.array([" ".join(str(r.randint(0, 9)) for _ in range(1_000_000))])
+    field = some_field(2)
+    began = time.time()
+    tracemalloc.start()
+    g = pii_crf.graph(Texts(column), column)
+    assert pii_crf.added_spans(g, field.posteriors(g), column) is not None
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert time.time() - began < 60
+
+
+def test_what_the_field_adds_over_the_base_spans(spark):
+    """Planted short forms of a number that the text gives in full elsewhere, and numbers of the same shape that it does not."""
+    r = random.Random(31)
+    number = lambda: f"{r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    rows, planted, decoys = [], [], []
+    for k in range(400):
+        own, other = number(), number()
+        words = [f"word{r.randint(0, 50)}".rstrip("0123456789") for _ in range(60)]
+        for at, text in sorted(((r.randint(0, 60), f"+1 ({r.randint(200, 999)}) {own}"), (r.randint(0, 60), f"ring {own} again"), (r.randint(0, 60), f"order {other} shipped")), reverse=True):
+            words.insert(at, text)
+        text = " ".join(words)
+        rows.append((k, text))
+        planted.append((k, text.index(f"ring {own}") + 5, len(own)))
+        decoys.append((k, text.index(f"order {other}") + 6, len(other)))
+    added = {x.doc_id: [(s.start, s.end) for s in x.added] for x in pii_crf.find_spans(table(spark, rows)).collect()}
+    hit = lambda marks: sum(any(a <= at and b >= at + n for a, b in added[k]) for k, at, n in marks) / len(marks)
+    assert hit(planted) >= 0.9 and hit(decoys) <= 0.02, (hit(planted), hit(decoys))
+    print("recall of the planted short forms", hit(planted), "decoys", hit(decoys))
