@@ -1,8 +1,9 @@
 """Tables written between jobs, in the folder all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset
-(tests, a laptop) a folder of this process is used instead. A written table cuts
-the lineage and survives lost executors; Parquet keeps it small and columnar.
+``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset and
+the master is local (tests, a laptop) a folder of this process is used instead; on
+a cluster that is an error. A written table cuts the lineage and survives lost
+executors; Parquet keeps it small and columnar.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="pairlight-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -40,10 +43,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete the tables that this process has written; call it when no result that reads them is needed any more."""
+def written() -> int:
+    """How many tables this process holds; a place for ``sweep`` to start from."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the tables written after the first ``since``, all but the last ``but``; call it when no result that reads them is needed any more."""
     conf, n = spark._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    old = _WRITTEN[since : len(_WRITTEN) - but]
+    del _WRITTEN[since : len(_WRITTEN) - but]
+    for name in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
