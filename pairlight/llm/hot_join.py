@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot beyond so many rows and beyond one in SHARE of all, so that at most SHARE keys are; rows of a hot key go to SALTS tasks.
-HOT_ROWS, SHARE, SALTS = 1 << 17, 10_000, 256
+#: A key is hot beyond HOT_ROWS rows and beyond one in SHARE of all, so at most SHARE keys are hot, and their salts are at most twice as many.
+HOT_ROWS, SHARE = 128, 10_000
 
 
 def spread_join(rows: DataFrame, named: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
     """``rows`` joined on ``key`` to ``named``, one row a key, whose column ``count`` says how many of ``rows`` have it.
 
-    Rows of hot keys are dealt at random to SALTS tasks and meet a copy of their
-    key's row there. Only the hot keys themselves, SHARE at most, are broadcast.
-    Null keys find nothing; ``how`` is inner or left. ``count`` is dropped.
+    Rows of a hot key are dealt by their other columns to as many tasks as they
+    fill and meet a copy of their key's row there. Only the hot keys themselves,
+    SHARE at most, are broadcast. Null keys find nothing; ``how`` is inner or left.
+    ``count`` is dropped. ``named`` is read twice, so let it be a written table or
+    cheap.
     """
     top = named.agg(F.coalesce(F.sum(count) / SHARE, F.lit(0.0)).alias("share"), F.coalesce(F.max(count), F.lit(0)).alias("most")).first()
-    limit = max(HOT_ROWS, top["share"])
+    limit = max(float(HOT_ROWS), top["share"])
     if top["most"] <= limit:
         return rows.join(named.drop(count), key, how)
-    hot = named.where(F.col(count) > F.lit(limit)).limit(SHARE).select(key)
-    marks = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    salt = F.when(F.col("__hot"), F.floor(F.rand(7) * SALTS)).otherwise(0).cast("int")
-    salts = F.when(F.col(count) > F.lit(limit), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.join(marks, key, "left").withColumn("__salt", salt).drop("__hot")
-    return dealt.join(named.withColumn("__salt", F.explode(salts)).drop(count), [key, "__salt"], how).drop("__salt")
+    salts = F.ceil(F.col(count) / F.lit(limit)).cast("int")
+    hot = F.broadcast(named.where(F.col(count) > F.lit(limit)).limit(SHARE).select(key, salts.alias("__salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns, F.lit("salt")), F.col("__salts")), F.lit(0)).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.when(F.col(count) > F.lit(limit), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(named.withColumn("__salt", F.explode(copies)).drop(count), [key, "__salt"], how).drop("__salt")

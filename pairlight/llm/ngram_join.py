@@ -209,8 +209,8 @@ def meetings(sets: DataFrame) -> DataFrame:
     ``sets`` has rep, k1, n, bands.
     """
     spread = sets.select(F.struct(F.col("rep").alias("v"), "k1").alias("s"), F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("band", "hash")).select("s", "n", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("s").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    company = keep(spread.join(buckets, "bucket"), "ngram-company")
+    buckets = spread.groupBy("bucket").agg(F.min("s").alias("hub"), F.count(F.lit(1)).alias("members"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    company = keep(spread_join(spread, keep(buckets, "ngram-buckets"), "bucket", "members"), "ngram-company")
     homes = company.groupBy("s").agg(F.min(F.struct(-F.col("m"), "hub")).alias("h"), F.first("n").alias("n")).select("s", "n", F.col("h.hub").alias("home"))
     homes = keep(homes, "ngram-homes")
     sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = T
     known = known.withColumn("own", F.coalesce(F.col("root") == F.struct(F.col("rep").alias("v"), "k1"), F.lit(True)))
     known = known.select(F.struct("k1", "k2").alias("set"), "rep", "rep_key", "n_copies", "n_links", "root", "own", F.col("n_copies").alias("m"))
     keyed_rows = signed.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull() & F.col("k1").isNotNull(), F.struct("k1", "k2")).alias("set"))
-    out = spread_join(keyed_rows, known, "set", "m", "left")
+    out = spread_join(keyed_rows, keep(known, "ngram-known"), "set", "m", "left")
     kept = F.col("rep").isNull() | (F.col("own") & (F.col("doc_id") == F.col("rep")) & F.col("text_key").eqNullSafe(F.col("rep_key")))
     return out.select(
         "doc_id", F.coalesce("root.v", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

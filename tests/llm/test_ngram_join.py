@@ -58,7 +58,7 @@ def corpus(seed=1):
 def test_classes_and_links_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     want = brute(rows)
-    for block, hot in ((1024, 1 << 17), (4, 5)):  # whole buckets in a block, and buckets over many blocks with spread joins
+    for block, hot in ((1024, 1 << 17), (4, 3)):  # whole buckets in a block, and buckets over many blocks with spread joins
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
         monkeypatch.setattr(hot_join, "HOT_ROWS", hot)
         got = {r.doc_id: (r.class_id, r.n_links, r.set_id, r.n_copies) for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
