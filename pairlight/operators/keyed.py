@@ -11,6 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlight.functions import keyed_hash, round_half_even
+from pairlight.scratch import keep
+
+
+def offsets(rows: DataFrame, order: list[str], count: str | None = None) -> DataFrame:
+    """``rows`` with offset: how many rows, or how much of ``count``, come before in ``order``; ``count`` is dropped.
+
+    Rows are dealt by range and numbered inside their partition; only one row a
+    partition meets to add up what the partitions before it hold. The ranges are
+    sampled once, so the dealt rows are written before they are used twice.
+    """
+    size = F.col(count) if count else F.lit(1)
+    dealt = keep(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__part").agg(F.sum(size).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("__inside", inside).join(totals.select("__part", before.alias("__before")), "__part")
+    return placed.withColumn("offset", (F.col("__inside") + F.col("__before")).cast("long")).drop("__part", "__inside", "__before", *([count] if count else []))
 
 
 def keyed_rank(df: DataFrame, seed: str, purpose: Column | str, key: Column, by: list[str] | None = None, name: str = "rank") -> DataFrame:

@@ -17,7 +17,8 @@ from pairlight.operators.keyed import development_split, keyed_sample, keyed_top
 PAIR_COLUMNS = ["pair_id", "scenario", "kind", "frgp", "probe_image_id", "reference_image_id", "probe_subject", "reference_subject"]
 SCENARIOS = {"UxV": ("U", "V"), "RxV": ("R", "V")}
 PLAIN_SCENARIOS = {"RxJ": ("R", "J"), "QxJ": ("Q", "J")}
-SALTS = 8
+#: Parts of a finger position at least, and probes in a part beyond that.
+SALTS, ROWS_A_PART = 8, 20_000
 
 
 def usable(manifest: DataFrame, set_code: str) -> DataFrame:
@@ -46,12 +47,19 @@ def genuine_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_
     return _record(probe.join(reference, same), scenario, F.lit("genuine"), extra)
 
 
-def salted(probe: DataFrame, reference: DataFrame, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt: one for each probe, every one for each reference."""
-    return (
-        probe.withColumn("salt", F.pmod(F.xxhash64("probe_image_id"), F.lit(salts)).cast("int")),
-        reference.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-    )
+def salts_of(rows: DataFrame) -> int:
+    """How many parts each finger position is dealt to: as many as keep a part near ROWS_A_PART probes."""
+    return max(1, -(-rows.count() // (10 * ROWS_A_PART)))  # ten finger positions
+
+
+def salted_by(probe: DataFrame, key: str, salts: int) -> DataFrame:
+    return probe.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+
+
+def salted(probe: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: one for each probe, every one for each reference; their number grows with the probes."""
+    salts = max(SALTS, salts_of(probe))
+    return salted_by(probe, "probe_image_id", salts), reference.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def impostor_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, extra: tuple[str, ...] = ()) -> DataFrame:
