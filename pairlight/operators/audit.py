@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.operators.pairs import SALTS
+from pairlight.operators.pairs import SALTS, salted_by, salts_of
 
 
-def candidate_pairs(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """Every row with the references of its subject, and with those of its finger position.
+def candidate_pairs(rows: DataFrame, references: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Every row with the references of its subject, and with those of its finger position; ``extra`` columns of both sides, the references' as reference_<name>.
 
     "Same subject or same position" would be a nested loop; as a union of two
     equi-joins, the second without the first's matches, no pair is made twice. The
     position has few values, so that join is salted.
     """
-    a = rows.select("image_id", "set", "subject", "frgp")
-    b = references.select(F.col("image_id").alias("reference_image_id"), F.col("subject").alias("reference_subject"), F.col("frgp").alias("reference_frgp"))
+    a = rows.select("image_id", "set", "subject", "frgp", *extra)
+    b = references.select(*[F.col(c).alias(f"reference_{c}") for c in ("image_id", "subject", "frgp", *extra)])
     own = a.join(b, F.col("subject") == F.col("reference_subject"))
-    dealt = a.withColumn("salt", F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int"))
-    every = b.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = max(SALTS, salts_of(a))
+    dealt = salted_by(a, "image_id", salts)
+    every = b.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     across = dealt.join(every, (F.col("frgp") == F.col("reference_frgp")) & (F.col("salt") == F.col("r_salt")) & (F.col("subject") != F.col("reference_subject"))).drop("salt", "r_salt")
     return own.unionByName(across)
 
@@ -29,20 +30,15 @@ def classify(rows: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
 
     ``scored`` has the columns of ``candidate_pairs`` and score (null: not scored).
     Ties of the best other go to the smallest reference id. A row without
-    candidates has no reference.
+    candidates has no reference. The pass over all pairs keeps two numbers an
+    image, which hash aggregation can; only pairs that reach the best are named.
     """
     own = (F.col("reference_subject") == F.col("subject")) & (F.col("reference_frgp") == F.col("frgp"))
-    rank = F.struct(F.col("score"), F.lit(0).alias("z"))
-    top = (
-        scored.where(F.col("score").isNotNull()).groupBy("image_id")
-        .agg(F.max(F.when(own, F.col("score"))).alias("own_score"), F.max(F.when(~own, rank)).alias("top"))
-    )
-    best = scored.where(F.col("score").isNotNull() & ~own).select("image_id", "score", "reference_image_id", "reference_subject")
-    named = (
-        best.join(top.select("image_id", F.col("top.score").alias("top_score")), "image_id").where("score = top_score")
-        .groupBy("image_id").agg(F.min(F.struct("reference_image_id", "reference_subject")).alias("r"))
-    )
-    found = rows.join(top, "image_id", "left").join(named, "image_id", "left").withColumn("best_other_score", F.col("top.score"))
+    known = scored.where(F.col("score").isNotNull())
+    top = known.groupBy("image_id").agg(F.max(F.when(own, F.col("score"))).alias("own_score"), F.max(F.when(~own, F.col("score"))).alias("best_other_score"))
+    reach = known.where(~own).select("image_id", "score", "reference_image_id", "reference_subject").join(top.select("image_id", "best_other_score"), "image_id").where("score = best_other_score")
+    named = reach.groupBy("image_id").agg(F.min(F.struct(F.col("reference_image_id").alias("id"), F.col("reference_subject").alias("subject"))).alias("other"))
+    found = rows.join(top, "image_id", "left").join(named, "image_id", "left")
     o, b, t = F.col("own_score"), F.col("best_other_score"), F.lit(float(threshold))
     category = (
         F.when(b.isNotNull() & (b > t) & (o.isNull() | (b > o)), "suspected")
@@ -51,6 +47,6 @@ def classify(rows: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
         .otherwise("undetermined")
     )
     return found.select(
-        "image_id", "set", "subject", "frgp", "own_score", "best_other_score", F.col("r.reference_image_id").alias("best_other_image_id"),
-        (F.col("r.reference_subject") == F.col("subject")).cast("int").alias("best_other_same_subject"), category.alias("category"),
+        "image_id", "set", "subject", "frgp", "own_score", "best_other_score", F.col("other.id").alias("best_other_image_id"),
+        (F.col("other.subject") == F.col("subject")).cast("int").alias("best_other_same_subject"), category.alias("category"),
     )

@@ -12,16 +12,21 @@ RIDGE, STEPS, SETTLED = 1e-9, 100, 1e-12
 
 
 def align_channels(channels: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """One row a pair with a score column for each channel; channels that list different pairs are an error."""
+    """One row a pair with a score column for each channel; channels that list different pairs are an error. Null keys are equal to null keys."""
     joined = None
     for name, df in channels.items():
-        part = df.select(*keys, F.col("score").cast("double").alias(name), F.lit(True).alias(f"has_{name}"))
-        joined = part if joined is None else joined.join(part, keys, "full_outer")
+        part = df.select(F.struct(*keys).alias("pair"), F.col("score").cast("double").alias(name), F.lit(True).alias(f"has_{name}"))
+        if joined is None:
+            joined = part
+            continue
+        same = F.to_json("pair")  # equal for equal keys, nulls too, so the join stays an equi-join
+        left, right = joined.withColumn("key", same), part.select(same.alias("key"), F.col("pair").alias("other"), name, f"has_{name}")
+        joined = left.join(right, "key", "full_outer").withColumn("pair", F.coalesce("pair", "other")).drop("key", "other")
     whole = F.lit(True)
     for name in channels:
         whole = whole & F.coalesce(F.col(f"has_{name}"), F.lit(False))
     same = F.when(whole, True).otherwise(F.raise_error(F.lit("the channels do not list identical pairs")).cast("boolean"))
-    return joined.where(same).drop(*[f"has_{n}" for n in channels])
+    return joined.where(same).select(*[F.col(f"pair.{k}").alias(k) for k in keys], *channels)
 
 
 def floors(fit: DataFrame, channels: list[str]) -> dict[str, float]:

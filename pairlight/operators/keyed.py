@@ -41,15 +41,27 @@ def keyed_top(df: DataFrame, seed: str, purpose: str, key: Column, k: int) -> Da
     return df.orderBy(keyed_hash(seed, purpose, key), key).limit(k)
 
 
-def keyed_sample(df: DataFrame, seed: str, purpose: Column | str, key: Column, by: list[str], k: int, exact: bool = True) -> DataFrame:
-    """The first k rows of each group in keyed order. With ``exact`` a group of fewer than k rows is an error."""
+def keyed_sample(df: DataFrame, seed: str, purpose: Column | str, key: Column, by: list[str], k: int, exact: bool = True, size: str | None = None) -> DataFrame:
+    """The first k rows of each group in keyed order. With ``exact`` a group of fewer than k rows is an error.
+
+    ``size`` may name a column with the number of rows of the row's group. Hashes
+    are uniform, so rows far beyond the k-th are then left out by their hash alone,
+    before anything is shuffled or sorted; that a group should be left short by it
+    is less likely than a failing machine, and would be an error.
+    """
+    expected = F.lit(k) if exact else F.lit(0)
+    if size:
+        share = F.lit(k + 12 * k**0.5 + 40) / F.col(size)
+        last = F.lpad(F.lower(F.hex(F.floor(share * F.lit(float(2**52))))), 13, "0")
+        df = df.where((share >= 1) | (F.substring(keyed_hash(seed, purpose, key), 1, 13) <= last))
+        expected = F.lit(k) if exact else F.least(F.lit(k), F.col(size))
     kept = keyed_rank(df, seed, purpose, key, by).where(F.col("rank") <= k)
-    if exact:
+    if exact or size:
         kept = kept.withColumn("last", F.max("rank").over(Window.partitionBy(*by)))
         short = F.concat_ws(" ", F.lit("a group has fewer candidates than asked for:"), *[F.col(c).cast("string") for c in by])
         # a filter, so that pruning columns cannot drop the check
-        kept = kept.where(F.when(F.col("last") < k, F.raise_error(short).cast("boolean")).otherwise(True)).drop("last")
-    return kept
+        kept = kept.where(F.when(F.col("last") < expected, F.raise_error(short).cast("boolean")).otherwise(True)).drop("last")
+    return kept.drop(size) if size else kept
 
 
 def stratified_split(strata: DataFrame, seed: str, fraction: float, prefix: str = "split") -> DataFrame:

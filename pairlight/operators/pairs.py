@@ -79,12 +79,31 @@ def all_pairs(manifest: DataFrame, scenarios: dict[str, tuple[str, str]] = SCENA
     return out
 
 
+def impostor_counts(manifest: DataFrame, probe_set: str, reference_set: str) -> DataFrame:
+    """frgp, n: the number of impostor pairs of each position, from the sides' own counts."""
+    count = lambda code, name: usable(manifest, code).groupBy("frgp", "subject").agg(F.count(F.lit(1)).alias(name))
+    both = count(probe_set, "p").join(count(reference_set, "r"), ["frgp", "subject"], "full_outer").fillna(0, ["p", "r"])
+    return both.groupBy("frgp").agg((F.sum("p") * F.sum("r") - F.sum(F.col("p") * F.col("r"))).alias("n"))
+
+
 def sampled_impostors(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, k: int, seed: str, exact: bool = True) -> DataFrame:
     """k impostor pairs of every finger position of the probe set, in keyed order of their image ids."""
-    pairs = impostor_pairs(manifest, scenario, probe_set, reference_set)
+    sizes = F.broadcast(impostor_counts(manifest, probe_set, reference_set))  # a row a finger position, ten
+    pairs = impostor_pairs(manifest, scenario, probe_set, reference_set).join(sizes, "frgp")
     key = F.concat_ws("|", "probe_image_id", "reference_image_id")
     purpose = F.concat(F.lit(f"impostor:{scenario}:"), F.col("frgp").cast("string"))
-    return keyed_sample(pairs, seed, purpose, key, ["frgp"], k, exact).select(*PAIR_COLUMNS)
+    return keyed_sample(pairs, seed, purpose, key, ["frgp"], k, exact, "n").select(*PAIR_COLUMNS)
+
+
+def with_flag(images: DataFrame, subjects: DataFrame, name: str) -> DataFrame:
+    """``images`` with ``name``: whether their subject is among ``subjects``. Flags on images travel with pairs, which need no join then."""
+    marks = subjects.select("subject").distinct().withColumn(name, F.lit(True))
+    return images.join(marks, "subject", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def group_of_flags(probe: str, reference: str) -> Column:
+    """dev if both images' subjects are development subjects, test if neither is, else other."""
+    return F.when(F.col(probe) & F.col(reference), "dev").when(~F.col(probe) & ~F.col(reference), "test").otherwise("other")
 
 
 def with_half(pairs: DataFrame, split: DataFrame) -> DataFrame:

@@ -124,16 +124,18 @@ def share_threshold(scores: DataFrame, share: float, by: list[str] | tuple[str,
     return marked.groupBy(*by).agg(F.coalesce(found, F.lit(FAILED)).alias("threshold"))
 
 
-def operational(fit: DataFrame, test: DataFrame, by: list[str], target: float) -> DataFrame:
-    """The threshold that ``fit`` sets at ``target``, and what it accepts of ``test``."""
-    set_ = tar_at_far(rates(grid(fit, by), by), by, (target,)).select(*by, F.coalesce("threshold", F.lit(FAILED)).alias("threshold"))
+def operational(fit: DataFrame, test: DataFrame, by: list[str], target: float, weight: str | None = None) -> DataFrame:
+    """The threshold that ``fit`` sets at ``target``, and what it accepts of ``test``; ``weight`` names a column of counts of equal scores."""
+    n = F.col(weight) if weight else F.lit(1)
+    set_ = tar_at_far(rates(grid(fit, by, n), by), by, (target,)).select(*by, F.coalesce("threshold", F.lit(FAILED)).alias("threshold"))
     over = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))
     genuine = F.col("kind") == "genuine"
+    total = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0)).cast("long")
     return (
         test.join(set_, by).groupBy(*by)
         .agg(
-            F.max("threshold").alias("threshold"), F.count_if(genuine & over).alias("true_accepts"), F.count_if(genuine).alias("genuine"),
-            F.count_if(~genuine & over).alias("false_accepts"), F.count_if(~genuine).alias("impostor"),
+            F.max("threshold").alias("threshold"), total(genuine & over).alias("true_accepts"), total(genuine).alias("genuine"),
+            total(~genuine & over).alias("false_accepts"), total(~genuine).alias("impostor"),
         )
         .withColumn("tar", F.when(F.col("genuine") > 0, F.col("true_accepts") / F.col("genuine")))
         .withColumn("far", F.when(F.col("impostor") > 0, F.col("false_accepts") / F.col("impostor")))

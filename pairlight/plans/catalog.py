@@ -18,6 +18,7 @@ from pairlight.operators import audit, bootstrap, fusion, keyed, matching, pairs
 from pairlight.operators import manifest as manifests
 from pairlight.plans import stand_ins as S
 from pairlight.plans.stand_ins import GRID_SQL, MANIFEST_SQL, SCORED_SQL, SEED, SPLIT_SQL, hash_sql, pairs_sql
+from pairlight.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +45,7 @@ def with_(*tables: str, select: str) -> str:
 
 
 def _scored(spark, sf_dir, scenarios=MAIN, second=False) -> DataFrame:
-    made = pairs.all_pairs(S.manifest(spark, sf_dir), scenarios, ("trait",))
+    made = pairs.all_pairs(S.stored(spark, sf_dir), scenarios, ("trait",))
     return S.second_channel(made) if second else S.scored(made)
 
 
@@ -66,13 +67,13 @@ _PAIR = "pair_id, scenario, kind, frgp, probe_image_id, reference_image_id, prob
 
 @register(with_(MANIFEST_SQL, pairs_sql(MAIN), select=f"SELECT {_PAIR} FROM x WHERE kind = 'genuine'"))
 def genuine_pairs(spark, sf_dir):
-    m = S.manifest(spark, sf_dir)
+    m = S.stored(spark, sf_dir)
     return pairs.genuine_pairs(m, "UxV", "U", "V").unionByName(pairs.genuine_pairs(m, "RxV", "R", "V"))
 
 
 @register(with_(MANIFEST_SQL, pairs_sql(MAIN), select="SELECT scenario, frgp, count(*) AS pairs FROM x WHERE kind = 'impostor' GROUP BY 1, 2"))
 def impostor_pairs_full(spark, sf_dir):
-    m = S.manifest(spark, sf_dir)
+    m = S.stored(spark, sf_dir)
     both = pairs.impostor_pairs(m, "UxV", "U", "V").unionByName(pairs.impostor_pairs(m, "RxV", "R", "V"))
     return both.groupBy("scenario", "frgp").agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -86,7 +87,7 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, frgp OR
 
 
 def _sample(spark, sf_dir, k: int, exact: bool) -> DataFrame:
-    m = S.manifest(spark, sf_dir)
+    m = S.stored(spark, sf_dir)
     return pairs.sampled_impostors(m, "UxV", "U", "V", k, SEED, exact).unionByName(pairs.sampled_impostors(m, "RxV", "R", "V", k, SEED, exact))
 
 
@@ -103,7 +104,7 @@ def impostor_sample_keyed_small(spark, sf_dir):
 
 @register(with_(MANIFEST_SQL, SPLIT_SQL, select="SELECT * FROM split"))
 def subject_split(spark, sf_dir):
-    return keyed.development_split(S.manifest(spark, sf_dir), SEED).select("subject", "stratum", "half")
+    return keyed.development_split(S.stored(spark, sf_dir), SEED).select("subject", "stratum", "half")
 
 
 _VALIDATION_SQL = f"""
@@ -115,7 +116,7 @@ tv AS (
 
 @register(with_(MANIFEST_SQL, SPLIT_SQL, _VALIDATION_SQL, select="SELECT * FROM tv"))
 def train_validation_split(spark, sf_dir):
-    return keyed.train_validation_split(S.manifest(spark, sf_dir), SEED)
+    return keyed.train_validation_split(S.stored(spark, sf_dir), SEED)
 
 
 _F1_SQL = f"""
@@ -126,7 +127,7 @@ chosen AS (SELECT subject FROM split JOIN whole USING (subject) WHERE half = 'de
 
 @register(with_(MANIFEST_SQL, pairs_sql(MAIN), SPLIT_SQL, _F1_SQL, select=f"SELECT {_PAIR} FROM x WHERE frgp IN (SELECT frgp FROM fingers) AND probe_subject IN (SELECT subject FROM chosen) AND reference_subject IN (SELECT subject FROM chosen)"))
 def f1_sample_like(spark, sf_dir):
-    return pairs.f1_sample(S.manifest(spark, sf_dir), SEED)
+    return pairs.f1_sample(S.stored(spark, sf_dir), SEED)
 
 
 def _pilot_sql(sets: str, probes: str, reference: str, purpose: str, name: str, thumbs: str, n_pairs: int) -> str:
@@ -142,13 +143,13 @@ _CROSS, _PLAIN_PILOT = ("'U', 'V', 'R'", "'U', 'R'", "V", "pilot", "pilot", ""),
 
 
 def _pilot_cross(spark, sf_dir, n_pairs: int) -> DataFrame:
-    m = S.manifest(spark, sf_dir)
+    m = S.stored(spark, sf_dir)
     images = pairs.pilot_images(m, SEED, ["U", "V", "R"], "pilot-images", 100)
     return pairs.cross_position_pairs(m, images, ["U", "R"], "V", SEED, "pilot-pairs", "pilot", n_pairs)
 
 
 def _pilot_plain(spark, sf_dir, n_pairs: int) -> DataFrame:
-    m = S.manifest(spark, sf_dir)
+    m = S.stored(spark, sf_dir)
     images = pairs.pilot_images(m, SEED, ["R", "Q", "J"], "pilot-plain-images", 100, thumbs=False)
     return pairs.cross_position_pairs(m, images, ["R", "Q"], "J", SEED, "pilot-plain-pairs", "pilot-plain", n_pairs)
 
@@ -180,7 +181,7 @@ h AS (SELECT x.*, coalesce(a.half, 'test') AS half FROM x LEFT JOIN split a ON p
 
 @register(with_(MANIFEST_SQL, pairs_sql(PLAIN), SPLIT_SQL, _HALF_SQL, select="SELECT scenario, half, kind, count(*) AS pairs, count(DISTINCT probe_image_id) AS probes FROM h GROUP BY 1, 2, 3"))
 def half_restricted_pairs(spark, sf_dir):
-    m = S.manifest(spark, sf_dir)
+    m = S.stored(spark, sf_dir)
     half = pairs.with_half(pairs.all_pairs(m, PLAIN), keyed.development_split(m, SEED))
     return half.groupBy("scenario", "half", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("probe_image_id").alias("probes"))
 
@@ -196,18 +197,18 @@ def _rest_sql(k: int) -> str:
 
 
 def _rest(spark, sf_dir, sample: DataFrame) -> DataFrame:
-    rest = pairs.rest_of(pairs.all_pairs(S.manifest(spark, sf_dir)), genuine_pairs(spark, sf_dir).unionByName(sample))
+    rest = pairs.rest_of(pairs.all_pairs(S.stored(spark, sf_dir)), keep(genuine_pairs(spark, sf_dir).unionByName(sample), "compact"))
     return rest.groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @register(_workload_sql(IMPOSTORS))
 def workload_counts(spark, sf_dir):
-    return pairs.workload(S.manifest(spark, sf_dir), genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed(spark, sf_dir)))
+    return pairs.workload(S.stored(spark, sf_dir), keep(genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed(spark, sf_dir)), "compact"))
 
 
 @register(_workload_sql(SMALL_IMPOSTORS))
 def workload_counts_small(spark, sf_dir):
-    return pairs.workload(S.manifest(spark, sf_dir), genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed_small(spark, sf_dir)))
+    return pairs.workload(S.stored(spark, sf_dir), keep(genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed_small(spark, sf_dir)), "compact"))
 
 
 @register(_rest_sql(IMPOSTORS))
@@ -222,13 +223,13 @@ def rest_of_design_small(spark, sf_dir):
 
 @register(with_(MANIFEST_SQL, select="SELECT image_id FROM u WHERE image_id NOT IN (SELECT image_id FROM u WHERE trait % 2 = 0)"))
 def reuse_antijoin(spark, sf_dir):
-    usable = S.manifest(spark, sf_dir).where("excluded = 0")
+    usable = S.stored(spark, sf_dir).where("excluded = 0")
     return pairs.missing_features(usable, usable.where("trait % 2 = 0")).select("image_id")
 
 
 @register(with_(MANIFEST_SQL, select='SELECT subject, frgp, string_agg("set", \'\' ORDER BY "set") AS sets, count(*) AS n FROM u GROUP BY 1, 2'))
 def finger_view_sets(spark, sf_dir):
-    views = pairs.finger_views(S.manifest(spark, sf_dir))
+    views = pairs.finger_views(S.stored(spark, sf_dir))
     return views.select("subject", "frgp", F.array_join(F.array_sort(F.map_keys("views")), "").alias("sets"), F.size("views").cast("long").alias("n"))
 
 
@@ -331,9 +332,14 @@ z AS (SELECT y.*, CASE WHEN a.half = 'dev' AND b.half = 'dev' THEN 'dev' WHEN co
       FROM y LEFT JOIN split a ON probe_subject = a.subject LEFT JOIN split b ON reference_subject = b.subject)"""
 
 
-def _grouped(scores: DataFrame, m: DataFrame) -> DataFrame:
-    dev = keyed.development_split(m, SEED).where("half = 'dev'")
-    return pairs.group_of(scores, dev, dev)
+def _flagged(spark, sf_dir) -> DataFrame:
+    """All pairs with both sides' trait and whether their subjects are development subjects."""
+    m = S.stored(spark, sf_dir)
+    return pairs.all_pairs(pairs.with_flag(m, keyed.development_split(m, SEED).where("half = 'dev'"), "dev"), MAIN, ("trait", "dev"))
+
+
+def _with_group(made: DataFrame) -> DataFrame:
+    return made.withColumn("group", pairs.group_of_flags("probe_dev", "reference_dev")).drop("probe_dev", "reference_dev")
 
 
 @register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, GRID_SQL.replace(" FROM y", " FROM (SELECT * FROM z WHERE \"group\" = 'dev')"), f"\nth AS ({_tar_sql(targets=(0.01,))})", select="""
@@ -342,9 +348,9 @@ SELECT *, true_accepts / genuine::DOUBLE AS tar, false_accepts / impostor::DOUBL
          count(*) FILTER (kind = 'impostor' AND score > threshold) AS false_accepts, count(*) FILTER (kind = 'impostor') AS impostor
   FROM z JOIN th USING (scenario) WHERE "group" = 'test' GROUP BY 1)"""))
 def operational_threshold(spark, sf_dir):
-    m = S.manifest(spark, sf_dir)
-    z = _grouped(_scored(spark, sf_dir), m)
-    return rates.operational(z.where("group = 'dev'"), z.where("group = 'test'"), ["scenario"], 0.01)
+    z = _with_group(S.scored(_flagged(spark, sf_dir)))
+    counted = keep(z.groupBy("scenario", "group", "kind", "score").agg(F.count(F.lit(1)).alias("n")), "operational")
+    return rates.operational(counted.where("group = 'dev'"), counted.where("group = 'test'"), ["scenario"], 0.01, "n")
 
 
 _AUDIT_SQL = with_(MANIFEST_SQL, """
@@ -362,14 +368,13 @@ FROM u LEFT JOIN o ON u.image_id = o.image_id LEFT JOIN b ON u.image_id = b.imag
 
 @register(_AUDIT_SQL)
 def label_audit(spark, sf_dir):
-    m = S.manifest(spark, sf_dir).where("excluded = 0")
+    m = S.stored(spark, sf_dir).where("excluded = 0")
     rows, references = m.where("set in ('Q', 'J')"), m.where("set = 'V'")
-    c = audit.candidate_pairs(rows, references)
-    traits = lambda side, key: m.select(F.col("image_id").alias(key), F.col("trait").alias(side))
-    c = c.join(traits("a", "image_id"), "image_id").join(traits("b", "reference_image_id"), "reference_image_id")
+    c = audit.candidate_pairs(rows, references, ("trait",))
     own = (F.col("subject") == F.col("reference_subject")) & (F.col("frgp") == F.col("reference_frgp"))
-    score = (F.col("a") * 31 + F.col("b") * 17) % 97 + F.when(own, 20).otherwise(0)
-    c = c.withColumn("score", F.when((F.col("a") + F.col("b")) % 53 != 0, score.cast("double"))).drop("a", "b")
+    a, b = F.col("trait"), F.col("reference_trait")
+    score = (a * 31 + b * 17) % 97 + F.when(own, 20).otherwise(0)
+    c = c.withColumn("score", F.when((a + b) % 53 != 0, score.cast("double"))).drop("trait", "reference_trait")
     t = rates.share_threshold(c.where("subject != reference_subject"), 0.0001).first()["threshold"]
     return audit.classify(rows.drop("trait", "excluded"), c, t)
 
@@ -401,9 +406,19 @@ fu AS (SELECT z.pair_id, z.scenario, z.kind, {_WEIGHTS[0]}::DOUBLE * ln(1 + coal
 
 
 def _channels(spark, sf_dir) -> DataFrame:
-    keys = ["pair_id", "scenario", "kind", "frgp", "probe_subject", "reference_subject"]
-    both = fusion.align_channels({"one": _scored(spark, sf_dir), "two": _scored(spark, sf_dir, second=True)}, keys)
-    return _grouped(both, S.manifest(spark, sf_dir))
+    """scenario, kind, both subjects, one, two, group of every pair, made once."""
+    made = _with_group(S.both_channels(_flagged(spark, sf_dir)))
+    return keep(made.select("scenario", "kind", "probe_subject", "reference_subject", "one", "two", "group"), "channels")
+
+
+_PAIR_KEYS = ["pair_id", "scenario", "kind", "frgp", "probe_subject", "reference_subject"]
+
+
+@register(with_(*MAIN_SCORES, select=f"SELECT {', '.join(_PAIR_KEYS)}, score AS one, score2 AS two FROM y WHERE kind = 'genuine'"))
+def aligned_channels(spark, sf_dir):
+    """The genuine pairs of two score tables side by side; tables of different pairs are an error."""
+    genuine = lambda second: _scored(spark, sf_dir, second=second).where("kind = 'genuine'")
+    return fusion.align_channels({"one": genuine(False), "two": genuine(True)}, _PAIR_KEYS)
 
 
 @register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, _FUSED_SQL, select="SELECT scenario, kind, count(*) AS pairs, round(min(fused), 9) AS low, round(max(fused), 9) AS high, round(sum(round(fused, 6)), 3) AS total FROM fu GROUP BY 1, 2"))
@@ -431,10 +446,10 @@ def fusion_fit(spark, sf_dir):
 
 def _designs(spark, sf_dir) -> dict[str, DataFrame]:
     """Scores of both channels and scenarios by design: every pair, and the pairs without a development subject."""
-    keep = ["scenario", "channel", "kind", "score", "probe_subject", "reference_subject"]
-    chosen = lambda second, name: _scored(spark, sf_dir, second=second).withColumn("channel", F.lit(name)).select(*keep)
-    every = chosen(False, "one").unionByName(chosen(True, "two"))
-    return {"full": every, "test": _grouped(every, S.manifest(spark, sf_dir)).where("group = 'test'").drop("group")}
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in ("one", "two")])).alias("c")
+    every =  _channels(spark, sf_dir).select("*", listed)
+    every = every.select("scenario", F.col("c.channel").alias("channel"), "kind", F.col("c.score").alias("score"), "probe_subject", "reference_subject", "group")
+    return {"full": every.drop("group"), "test": every.where("group = 'test'").drop("group")}
 
 
 def _boot(spark, sf_dir, replicates: int = REPLICATES) -> DataFrame:
@@ -457,7 +472,7 @@ def _both_channels(spark, sf_dir) -> DataFrame:
 
 def _boot_small(spark, sf_dir) -> DataFrame:
     scores = _both_channels(spark, sf_dir)
-    m = S.manifest(spark, sf_dir).where("excluded = 0 and set in ('U', 'V')")
+    m = S.stored(spark, sf_dir).where("excluded = 0 and set in ('U', 'V')")
     index = bootstrap.subject_index(m)
     draws = bootstrap.keyed_draws(index.count(), SMALL_REPLICATES, SEED)
     return bootstrap.subject_bootstrap(scores, index, draws, ["channel"], (0.01,))
@@ -542,7 +557,7 @@ hd AS (SELECT 'extract' AS stage, chunk, count(*) AS count, min_by(item, pos) AS
 
 
 def _heads(spark, sf_dir) -> DataFrame:
-    usable = S.manifest(spark, sf_dir).where("excluded = 0")
+    usable = S.stored(spark, sf_dir).where("excluded = 0")
     cost = spark.createDataFrame(list(_COST.items()), "set string, seconds double")
     return runlog.chunk_heads(runlog.chunk_plan(usable, "extract", _CHUNK, ["set", "image_id"], "image_id", cost))
 
@@ -583,7 +598,7 @@ def stage_runtime(spark, sf_dir):
 @register()
 def plan_fingerprint(spark, sf_dir):
     """Digest of the plan's ordered items; equal inputs give equal digests."""
-    usable = S.manifest(spark, sf_dir).where("excluded = 0")
+    usable = S.stored(spark, sf_dir).where("excluded = 0")
     return runlog.fingerprint(runlog.chunk_plan(usable, "extract", _CHUNK, ["set", "image_id"], "image_id"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlight.functions import image_id
+from pairlight.scratch import keep
 
 SEED = "pairlight-v1"
 SETS = {"signup": "U", "view": "V", "click": "R", "purchase": "Q", "error": "J"}
@@ -31,6 +32,11 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as the table that a study writes once and every later step reads."""
+    return keep(manifest(spark, sf_dir), "manifest")
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Pairs with an integer score from both images' traits; every 53rd sum of traits is a failure."""
     p, r = F.col("probe_trait"), F.col("reference_trait")
@@ -44,6 +50,13 @@ def second_channel(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.when((p + r) % 41 != 0, score.cast("double"))).drop("probe_trait", "reference_trait")
 
 
+def both_channels(pairs: DataFrame) -> DataFrame:
+    """Pairs with one and two: both channels' scores, from one pass."""
+    first = scored(pairs.withColumn("p2", F.col("probe_trait")).withColumn("r2", F.col("reference_trait"))).withColumnRenamed("score", "one")
+    second = second_channel(first.withColumnRenamed("p2", "probe_trait").withColumnRenamed("r2", "reference_trait"))
+    return second.withColumnRenamed("score", "two")
+
+
 #: The same in DuckDB, as common table expressions.
 MANIFEST_SQL = """
 e AS (

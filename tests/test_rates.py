@@ -10,15 +10,17 @@ def at_far(spark, genuine, impostor, far):
     return rates.tar_at_far(rates.rates(rates.grid(scores(spark, genuine, impostor), ["scenario"]), ["scenario"]), ["scenario"], (far,)).first()
 
 
-def test_fixed_points(spark):
-    r = at_far(spark, [4, 5, 6, None], [0] * 95 + [1, 2, 3, 4, 5], 0.01)
-    assert (r.threshold, r.false_accepts, r.true_accepts, r.false_rejects) == (4, 1, 2, 2)
-    r = at_far(spark, [3, 4], [3] * 3 + [0] * 97, 0.01)
-    assert (r.threshold, r.false_accepts, r.tar) == (3, 0, 0.5)
-    r = at_far(spark, [1, None], [None, 1], 1.0)
-    assert (r.threshold, r.false_accepts, r.true_accepts) == (None, 1, 1)
-    r, strict = at_far(spark, [5, 9, 12, None], [1, 7, 3, None], 0.0), rates.no_false_accept_point(scores(spark, [5, 9, 12, None], [1, 7, 3, None]), ["scenario"]).first()
-    assert (r.threshold, r.true_accepts) == (strict.threshold, strict.true_accepts) == (7, 2)
+def test_small_lists_by_hand(spark):
+    """Ten impostors allow one of them at 10 %: the threshold is the second score from above, and failures count but never pass."""
+    r = at_far(spark, [31, 17, 44, None, 90], [8, 12, 25, 3, 30, 11, 2, 19, None, 6], 0.1)
+    assert (r.threshold, r.false_accepts, r.true_accepts, r.false_rejects, r.genuine, r.impostor) == (25, 1, 3, 2, 5, 10)
+    r = at_far(spark, [13, 14], [13] * 4 + [2] * 36, 0.05)  # all four ties or none
+    assert (r.threshold, r.false_accepts, r.tar) == (13, 0, 0.5)
+    r = at_far(spark, [0.25, None, -3], [None, -7], 1.0)
+    assert (r.threshold, r.false_accepts, r.true_accepts) == (None, 1, 2)
+    genuine, impostor = [61, 48, None, 70, 52], [49, None, 33, 51]
+    r, strict = at_far(spark, genuine, impostor, 0.0), rates.no_false_accept_point(scores(spark, genuine, impostor), ["scenario"]).first()
+    assert (r.threshold, r.true_accepts) == (strict.threshold, strict.true_accepts) == (51, 3)
 
 
 def brute(genuine, impostor, far):
@@ -29,19 +31,24 @@ def brute(genuine, impostor, far):
     return top, over(genuine), over(impostor)
 
 
-def test_grid_form_equals_list_form(spark):
-    r = np.random.default_rng(1)
-    genuine = [int(x) for x in r.integers(0, 60, 300)] + [None] * 5
-    impostor = [int(x) for x in r.integers(0, 30, 5000)] + [None] * 20
-    for far in (0.0, 0.0001, 0.001, 0.01, 0.2):
+@pytest.mark.parametrize("levels", [7, 250, 10**6])
+def test_thresholds_equal_brute_force(spark, levels):
+    """Few, some and next to no ties."""
+    r = np.random.default_rng(levels)
+    draw = lambda n, shift, lost: [None if r.random() < lost else float(np.floor(levels * min(0.999, r.beta(2 + shift, 5)))) for _ in range(n)]
+    genuine, impostor = draw(140, 4, 0.03), draw(2600, 0, 0.01)
+    for far in (0.0, 0.0007, 0.013, 0.45):
         got = at_far(spark, genuine, impostor, far)
         top, accepts, false = brute(genuine, impostor, far)
         assert (got.threshold, got.true_accepts, got.false_accepts) == (top, accepts, false)
 
 
-@pytest.mark.parametrize("genuine,impostor,want", [([3, 4], [1, 2], 1), ([1, 2], [3, 4], 0), ([5, 5], [5, 5], 0.5), ([2, 4], [1, 3], 0.75)])
-def test_auc(spark, genuine, impostor, want):
-    assert rates.auc(scores(spark, genuine, impostor), ["scenario"]).first().auc == want
+def test_auc_is_the_share_of_ordered_pairs(spark):
+    r = np.random.default_rng(77)
+    for spread in (1, 3, 40):
+        genuine, impostor = (r.integers(0, spread, 30) + 1).tolist(), r.integers(0, spread, 50).tolist()
+        want = np.mean([(g > i) + 0.5 * (g == i) for g in genuine for i in impostor])
+        assert abs(rates.auc(scores(spark, genuine, impostor), ["scenario"]).first().auc - want) < 1e-12
 
 
 def test_auc_needs_both_classes(spark):
@@ -50,44 +57,55 @@ def test_auc_needs_both_classes(spark):
 
 
 def test_summary(spark):
-    r = rates.summary(scores(spark, range(1, 101), []), ["scenario"], "score").first()
-    assert (r["count"], r["mean"], r["median"], r["p95"], r["min"], r["max"]) == (100, 50.5, 50.5, 95, 1, 100)
-    r = rates.summary(scores(spark, [7], []), ["scenario"], "score").first()
-    assert (r["median"], r["p95"]) == (7, 7)
-    assert rates.summary(scores(spark, [], []), ["scenario"], "score").count() == 0
+    """Against the sorted list: halves of the middle two, and the nearest rank of 95 %."""
+    r = np.random.default_rng(5)
+    for n in (1, 2, 19, 61):
+        values = r.integers(-9, 9, n).tolist()
+        got, ranked = rates.summary(scores(spark, [*values, None], []), ["scenario"], "score").first(), sorted(values)
+        want = (n, float(np.mean(values)), float(np.median(values)), ranked[min(n, max(1, round(0.95 * n))) - 1], ranked[0], ranked[-1])
+        assert np.allclose([got[c] for c in ("count", "mean", "median", "p95", "min", "max")], want)
+    assert rates.summary(scores(spark, [None], []), ["scenario"], "score").count() == 0
 
 
 def test_eer(spark):
     of = lambda g, i: rates.eer(rates.rates(rates.grid(scores(spark, g, i), ["scenario"]), ["scenario"]), ["scenario"]).first().eer
-    assert of([2, 3, 4, 5], [0, 1, 2, 3]) == 0.25
-    assert of([5, 6], [1, 2]) == 0
-    assert of([None], [1]) == 1.0  # meets where everything scored is accepted
+    assert of([40, 60, 80, 90, 70], [10, 20, 30, 50, 65]) == pytest.approx(0.2)
+    assert of([9.5, 8], [-1, 0, 3]) == 0
+    assert of([None, None], [4, 2]) == 1.0  # meets where everything scored is accepted
 
 
 def test_weights_repeat_pairs(spark):
     from pyspark.sql import functions as F
 
-    plain = scores(spark, [5, 6, 7, 1], [0, 1, 2, 3, 6, 2])
-    weight = F.when(F.col("score") > 4, 2).otherwise(1)
-    repeated = plain.unionByName(plain.where("score > 4"))
+    plain = scores(spark, [12, 30, 18, 45], [3, 22, 9, 30, 14])
+    weight = F.when(F.col("score") >= 18, 3).otherwise(1)
+    repeated = plain.unionByName(plain.where("score >= 18")).unionByName(plain.where("score >= 18"))
     of = lambda df, w=None: sorted(map(tuple, rates.rates(rates.grid(df, ["scenario"], w), ["scenario"]).collect()))
     assert of(plain, weight) == of(repeated)
 
 
 def test_share_threshold(spark):
-    of = lambda v, s: rates.share_threshold(scores(spark, v, []), s).first().threshold
-    assert of(range(10_000), 0.0001) == 9998 and of([4], 0.0001) == 4 and of([1, 2], 1.0) == float("-inf")
+    r = np.random.default_rng(8)
+    values = r.integers(0, 300, 2000)
+    for share in (0.0, 0.001, 0.03, 0.5):
+        got = rates.share_threshold(scores(spark, values.tolist(), []), share).first().threshold
+        above = lambda t: (values > t).sum()
+        assert got == min(t for t in set(values.tolist()) if above(t) <= np.floor(share * len(values) + 1e-9))
+    assert rates.share_threshold(scores(spark, [3, 8], []), 1.0).first().threshold == float("-inf")
 
 
 def test_operational(spark):
-    fit, test = scores(spark, [5, 9, 12], [0] * 98 + [7, 10]), scores(spark, [8, 6, 20, None], [7.5, 3, 11, 7])
-    r = rates.operational(fit, test, ["scenario"], 0.01).first()
-    assert (r.threshold, r.true_accepts, r.genuine, r.false_accepts, r.impostor) == (7, 2, 4, 2, 4)
+    """The threshold comes from one list and is applied to the other; counts of equal scores give the same."""
+    fit, test = scores(spark, [21, 35], [4] * 60 + [15, 26, 26]), scores(spark, [30, 14, 26, None, 16], [17, 2, 15, 31, None])
+    r = rates.operational(fit, test, ["scenario"], 0.04).first()
+    assert (r.threshold, r.true_accepts, r.genuine, r.false_accepts, r.impostor) == (15, 3, 5, 2, 5)
+    counted = [df.groupBy("scenario", "kind", "score").count().withColumnRenamed("count", "n") for df in (fit, test)]
+    assert rates.operational(*counted, ["scenario"], 0.04, "n").first() == r
 
 
 def test_det_thinning(spark):
-    r = np.random.default_rng(2)
-    table = rates.rates(rates.grid(scores(spark, r.normal(1, 1, 300).tolist(), r.normal(0, 1, 300).tolist()), ["scenario"]), ["scenario"])
+    r = np.random.default_rng(19)
+    table = rates.rates(rates.grid(scores(spark, r.gamma(5, 2, 220).tolist(), r.gamma(3, 2, 340).tolist()), ["scenario"]), ["scenario"])
     full, thin = (sorted((x.k, x.far) for x in rates.det_points(table, ["scenario"], n).collect()) for n in (3000, 40))
     want = sorted(set(np.linspace(0, len(full) - 1, 40).astype(int).tolist()))
     assert [k for k, _ in thin] == want and set(thin) <= set(full)
