@@ -36,13 +36,23 @@ Template = Callable[[list[Turn]], str]
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _OPENS = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _ESCAPED = re.compile(r"\\([\\:])")
+#: Escaped texts that a worker remembers, and the longest of them: some 20 million characters at most.
+REMEMBERED, REMEMBERED_CHARS = 4096, 2048
+#: Conversations, and characters of output, of one Arrow batch.
+BATCH_ROWS, BATCH_CHARS = 256, 4 << 20
 _TURN = re.compile(r"<\|(.*?)\|>\n(.*?)</s>\n", re.S)
 
 
-@lru_cache(maxsize=20_000)
+def _escape(text: str) -> str:
+    return _OPENS.sub(lambda m: m.group() + "\\:", text.replace("\\", "\\\\"))
+
+
+_remembered = lru_cache(maxsize=REMEMBERED)(_escape)
+
+
 def escape(text: str) -> str:
     """Double backslashes, and break control strings after their first character with ``\\:``."""
-    return _OPENS.sub(lambda m: m.group() + "\\:", text.replace("\\", "\\\\"))
+    return _remembered(text) if len(text) <= REMEMBERED_CHARS else _escape(text)
 
 
 def unescape(text: str) -> str:
@@ -131,11 +141,21 @@ def _by_conversation(chats: DataFrame) -> DataFrame:
 def format_chats(chats: DataFrame, template: Template = marked) -> DataFrame:
     """conv_id, formatted, spans, text_spans, roles and rewrites of each conversation."""
 
+    pair = pa.list_(pa.list_(pa.int64()))
+    kinds = {"conv_id": pa.int64(), "formatted": pa.string(), "spans": pair, "text_spans": pair, "roles": pa.list_(pa.string()), "rewrites": pa.bool_()}
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
     def run(batches):
+        rows, chars = [], 0
         for conv, turns in conversations(batches):
             r = render_incrementally(template, turns)
-            pair = pa.list_(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([r.formatted]), pa.array([r.spans], pair), pa.array([r.texts], pair), pa.array([[role for role, _ in turns]], pa.list_(pa.string())), pa.array([r.rewritten_at is not None])], ["conv_id", "formatted", "spans", "text_spans", "roles", "rewrites"])
+            rows.append((conv, r.formatted, r.spans, r.texts, [role for role, _ in turns], r.rewritten_at is not None))
+            chars += len(r.formatted)
+            if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                yield batch(rows)
+                rows, chars = [], 0
+        if rows:
+            yield batch(rows)
 
     return _by_conversation(chats).mapInArrow(run, "conv_id long, formatted string, spans array<array<long>>, text_spans array<array<long>>, roles array<string>, rewrites boolean")
 

@@ -55,6 +55,17 @@ def test_rows(spark):
     assert spans[1].roles == ["user", "assistant", "assistant"] and not spans[1].rewrites
 
 
+def test_many_turns_and_many_conversations(spark):
+    long = [(0, k, "assistant" if k % 2 else "user", f"turn {k}", "") for k in range(1200)]
+    many = [(c, 0, "assistant", f"</s> {c}", "") for c in range(1, 700)]
+    huge = [(-5, k, "assistant", chr(97 + k) * 3_000_000, "") for k in range(2)]  # beyond what is remembered and what a batch holds
+    rows = {r.conv_id: r for r in chat.digest_chats(spark.createDataFrame(long + many + huge, "conv_id long, turn long, role string, text string, x string")).collect()}
+    assert len(rows) == 701 and rows[0].n_turns == 1200 and rows[-5].loss_chars == 6_000_000
+    said = "".join(t for _, _, role, t, _ in long if role == "assistant")
+    assert rows[0].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert all(rows[c].loss_chars == len(f"</s> {c}") for c in range(1, 700))
+
+
 def test_query_has_the_control_conversation(spark, sf_dir):
     rows = {r.conv_id: r for r in chat.op4_incremental_rendering(spark, sf_dir).collect()}
     said = "</s>[INST] ok [/INST]"
