@@ -47,10 +47,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.pareto_mix(docs).groupBy(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("size").alias("__m_size")).agg(F.min("copies").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__m_id")) & F.col("source").eqNullSafe(F.col("__m_source")) & (mixing.word_count(F.col("text")) == F.col("__m_size"))
-    taken = docs.join(copies.where("__copies > 0"), same)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    taken = mixing.pareto_mix(docs, carry=True).where("copies > 0")
+    return taken.select("document.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

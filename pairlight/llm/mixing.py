@@ -9,7 +9,8 @@ source) and a second one inside the bin where the budget ends, so a task sorts a
 part in ``BINS`` squared of a source and never a whole one.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-sorted last; repeated rows are separate documents; zero-size documents take 0
+sorted last; repeated rows are separate documents; a row without a doc_id draws
+its random number by its text; zero-size documents take 0
 words; an empty table gives an empty result. Input columns other than the three
 named ones are not read, so clashing names do no harm.
 """
@@ -88,26 +89,29 @@ def _with_cut(rows: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
     return rows.join(named, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
 
 
-def pareto_mix(docs: DataFrame, *, seed: str = "mix", propensity: Column | None = None, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, bins: int = BINS) -> DataFrame:
+def pareto_mix(docs: DataFrame, *, seed: str = "mix", propensity: Column | None = None, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, bins: int = BINS, carry: bool = False) -> DataFrame:
     """Copies of each document in the mix.
 
     ``docs`` has doc_id, source, text. ``propensity`` (default equal) tilts the
     inclusion probabilities inside a source; a document never gets more than
     ``max_repeats`` copies. Returns doc_id, source, size, source_size, target,
-    inclusion (expected copies), copies, taken.
+    inclusion (expected copies), copies, taken; with ``carry`` also document, a
+    struct of the row's own columns, so that nothing has to be joined back.
     """
     tilt = F.lit(1.0) if propensity is None else F.coalesce(propensity.cast("double"), F.lit(0.0))
-    sizes = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tilt.alias("tilt")), "mix-sizes")
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")] if carry else []
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))
+    sizes = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tilt.alias("tilt"), uniform(key, seed).alias("u"), *carried), "mix-sizes")
     plan = source_targets(sizes, weights, share, max_repeats)
     means = sizes.groupBy(F.col("source").alias("m_source")).agg((F.sum(F.col("tilt") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0))).alias("mean_tilt"))
     plan = plan.join(means, F.col("source").eqNullSafe(F.col("m_source"))).drop("m_source").withColumnRenamed("source", "p_source")
+    plan = keep(plan, "mix-targets")  # a row a source, read several times
     rate = F.col("target") / F.col("source_size") / F.col("mean_tilt") * F.col("tilt")
     dealt = (
         sizes.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
         .withColumn("inclusion", F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.lit(float(max_repeats)), F.coalesce(rate, F.lit(0.0)))))
         .withColumn("certain", F.floor("inclusion"))
         .withColumn("part", F.col("inclusion") - F.col("certain"))
-        .withColumn("u", uniform(F.col("doc_id"), seed))
         .withColumn("odds", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
         .withColumn("fine", F.when(F.col("odds").isNotNull(), F.least(F.lit(bins * bins - 1), F.floor(bins * bins * F.col("odds") / (1 + F.col("odds"))))))
         .withColumn("coarse", F.floor(F.col("fine") / bins))
@@ -129,13 +133,13 @@ def pareto_mix(docs: DataFrame, *, seed: str = "mix", propensity: Column | None
         .drop("reach")
     )
     copies = (F.col("certain") + F.col("extra")).cast("long")
-    return clear.unionByName(close).select("doc_id", "source", "size", "source_size", "target", "inclusion", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return clear.unionByName(close).select("doc_id", "source", "size", "source_size", "target", "inclusion", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["document"] if carry else []))
 
 
 #: The same mix in DuckDB, with one plain window over each source.
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(text) AS digest,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size
   FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -148,7 +152,7 @@ t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS tar
 e AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
          CASE WHEN d.size = 0 THEN 0.0 ELSE least(2.0, t.target / t.source_size) END::DOUBLE AS inclusion,
-         (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, d.digest, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 o AS (SELECT *, floor(inclusion) AS certain, inclusion - floor(inclusion) AS part FROM e),
 q AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM o),

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+import corpus_pipeline
 from pairlight.llm import mixing
 
 
@@ -46,6 +47,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert mixing.pareto_mix(no_docs).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_copies(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    docs = spark.range(600).select((F.col("id") % 3).alias("doc_id"), F.lit("s").alias("source"), F.format_string("a b w%d", F.col("id") % 200).alias("text"), F.col("id").alias("copies"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
+    mixed = mixing.pareto_mix(docs, carry=True)
+    rows = mixed.select("doc_id", "taken", F.col("document.copies").alias("own"), F.col("copies").alias("n")).collect()
+    assert sorted(r.own for r in rows) == list(range(600)) and abs(sum(r.taken for r in rows) - 2700) <= 2
+    # rows without an id draw by their texts, so both outcomes occur among them
+    assert set(Counter(r.n for r in rows if r.doc_id is None)) == {1, 2}
+    stage = corpus_pipeline.mix(spark, docs, "")
+    assert stage.columns == docs.columns
+    assert Counter(r.copies for r in stage.collect()) == {r.own: r.n for r in rows if r.n}
+
+
 def test_plan_is_native(spark, sf_dir):
     plan = mixing.pareto_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
