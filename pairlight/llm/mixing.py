@@ -6,7 +6,9 @@ odds (Rosen's Pareto sampling) and the smallest ratios are taken until the
 source's remaining budget, counted in words, is filled as nearly as whole
 documents allow. The ranking is cut by a histogram of the ratio (``BINS`` rows a
 source) and a second one inside the bin where the budget ends, so a task sorts a
-part in ``BINS`` squared of a source and never a whole one.
+part in ``BINS`` squared of a source and never a whole one. Targets and cuts have
+a row a source and are written, so the planner knows their sizes before it joins:
+small ones are broadcast and the documents are not shuffled for them.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 sorted last; repeated rows are separate documents; a row without a doc_id draws
@@ -118,10 +120,10 @@ def pareto_mix(docs: DataFrame, *, seed: str = "mix", propensity: Column | None
     )
     sure = F.sum(F.sum(F.col("certain") * F.col("size"))).over(Window.partitionBy("source"))
     coarse = dealt.groupBy("source", "coarse").agg(_filled("coarse").alias("cell"), (F.max("target") - sure).alias("budget")).withColumn("start", F.lit(0))
-    marked = _with_cut(dealt, _cuts(coarse, "coarse"), "one")
+    marked = _with_cut(dealt, keep(_cuts(coarse, "coarse"), "mix-cuts"), "one")
     edge = F.coalesce(F.col("coarse") == F.col("one.bin"), F.lit(False))
     inner = marked.where(edge).groupBy("source", "fine").agg(_filled("fine").alias("cell"), F.max("one.budget").alias("budget"), F.max("one.before").alias("start"))
-    marked = _with_cut(marked, _cuts(inner, "fine"), "two")
+    marked = _with_cut(marked, keep(_cuts(inner, "fine"), "mix-cuts"), "two")
     last = edge & F.coalesce(F.col("fine") == F.col("two.bin"), F.lit(False))
     inside = Window.partitionBy("source", "fine").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     below = (F.col("coarse") < F.col("one.bin")) | (edge & (F.col("fine") < F.col("two.bin")))
