@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.functions import SEPARATOR
+from pairlight.operators.keyed import offsets
 from pairlight.operators.rates import FAILED
 
 #: Bytes of draws that a task may carry, and replicates that are finished together.
@@ -42,8 +43,8 @@ def keyed_draws(n: int, replicates: int, seed: str) -> np.ndarray:
 
 
 def subject_index(subjects: DataFrame) -> DataFrame:
-    """subject, idx: 0-based in order of the subject. One row a subject, far fewer than pairs."""
-    return subjects.select("subject").distinct().withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("subject")) - 1).cast("int"))
+    """subject, idx: 0-based in order of the subject, numbered by ranges, so that no task holds all subjects."""
+    return offsets(subjects.select("subject").distinct(), ["subject"]).select("subject", F.col("offset").cast("int").alias("idx"))
 
 
 def replicate_rates(genuine: np.ndarray, impostor: np.ndarray, scores: np.ndarray, targets: tuple[float, ...]) -> dict[str, np.ndarray]:

@@ -7,13 +7,15 @@ the log, so a stopped run goes on where it ended and no chunk runs twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LOG = "stage string, chunk long, count long, first string, last string, expected_s double, started double, finished double"
 RECENT_S = 7200
+#: Chunks whose hashes are hashed together.
+DIGEST_BLOCK = 4096
+#: Megabytes that a run needs beside its features.
+MARGIN_MB = 2000.0
 
 
 def chunk_plan(items: DataFrame, stage: str, size: int, order: list, item: str, cost: DataFrame | None = None) -> DataFrame:
@@ -50,41 +52,33 @@ def missing_chunks(heads: DataFrame, log: DataFrame) -> DataFrame:
     return heads.join(log.select("stage", "chunk"), ["stage", "chunk"], "left_anti")
 
 
-def fingerprint(plan: DataFrame) -> DataFrame:
-    """stage, items, chunks, digest: equal for equal plans. Items are hashed by chunk and the chunks' hashes once more."""
-    by_chunk = plan.groupBy("stage", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])), 256).alias("d"))
-    return by_chunk.groupBy("stage").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("chunks"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"])), 256).alias("digest"))
+def _digests(rows: DataFrame, by: list[str], order: str, value: str, **sums) -> DataFrame:
+    """One SHA-256 a group of ``by`` over the group's values in order."""
+    held = F.array_sort(F.collect_list(F.struct(order, value)))
+    return rows.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.transform(held, lambda x: x[value])), 256).alias("digest"), *[F.sum(c).alias(n) for n, c in sums.items()])
 
 
-def execute(spark: SparkSession, plan: DataFrame, work: Callable[[DataFrame], DataFrame], results_path: str, log_path: str, now: Callable[[], float], stop: Callable[[], bool] = lambda: False, group: int = 8) -> int:
-    """Run the chunks that are not in the log, ``group`` at a time, and return how many ran.
+def fingerprint(plan: DataFrame) -> DataFrame:
+    """stage, items, chunks, digest: equal for equal plans.
 
-    ``work`` maps plan rows to result rows with stage, chunk and item. Results of
-    a group are written before its log rows, and results without a log row are
-    ignored by ``stage_results``, so a crash between the two only repeats a group.
+    Items are hashed by chunk, chunks by ``DIGEST_BLOCK`` of them, and the blocks
+    once more, so a row holds a chunk or a block and, at the top, one hash for
+    ``DIGEST_BLOCK`` chunks.
     """
-    heads = chunk_heads(plan)
-    log = spark.read.schema(LOG).parquet(log_path) if _exists(spark, log_path) else spark.createDataFrame([], LOG)
-    todo = missing_chunks(heads, checked_log(log, heads)).orderBy("stage", "chunk").select("stage", "chunk").collect()  # a row a chunk
-    ran = 0
-    for k in range(0, len(todo), group):
-        if stop():
-            break
-        started = now()
-        chosen = spark.createDataFrame([tuple(r) for r in todo[k : k + group]], "stage string, chunk long")
-        part = plan.join(F.broadcast(chosen), ["stage", "chunk"], "left_semi")
-        done = work(part)
-        done.withColumn("started", F.lit(started)).write.mode("append").partitionBy("stage").parquet(results_path)
-        finished = now()
-        rows = heads.join(F.broadcast(chosen), ["stage", "chunk"], "left_semi").select("stage", "chunk", "count", "first", "last", "expected_s", F.lit(started).alias("started"), F.lit(finished).alias("finished"))
-        rows.write.mode("append").parquet(log_path)
-        ran += len(todo[k : k + group])
-    return ran
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    chunks = _digests(plan.withColumn("one", F.lit(1)), ["stage", "chunk"], "pos", "item", items="one")
+    numbered = chunks.select("stage", "chunk", "items", F.lit(1).alias("one"), F.floor(F.col("chunk") / DIGEST_BLOCK).alias("block"), F.col("digest").alias("of_chunk"))
+    blocks = _digests(numbered, ["stage", "block"], "chunk", "of_chunk", items="items", chunks="one").withColumnRenamed("digest", "of_block")
+    return _digests(blocks, ["stage"], "block", "of_block", items="items", chunks="chunks").select("stage", "items", "chunks", "digest")
+
+
+def remaining(plan: DataFrame, log: DataFrame) -> DataFrame:
+    """The plan's rows whose chunk is not in the log; what they give is one job, and lost tasks are Spark's to repeat."""
+    return plan.join(log.select("stage", "chunk"), ["stage", "chunk"], "left_anti")
+
+
+def log_rows(done: DataFrame, started: float, finished: float) -> DataFrame:
+    """Rows to append to the log for plan rows whose results, marked with the same ``started``, are written."""
+    return chunk_heads(done).select("*", F.lit(float(started)).alias("started"), F.lit(float(finished)).alias("finished"))
 
 
 def stage_results(results: DataFrame, log: DataFrame) -> DataFrame:
@@ -129,3 +123,24 @@ def overall(table: DataFrame) -> DataFrame:
 def runtime(log: DataFrame) -> DataFrame:
     """stage, items, worker_seconds, first_start, last_finish."""
     return log.groupBy("stage").agg(F.sum("count").alias("items"), F.round(F.sum(F.col("finished") - F.col("started")), 1).alias("worker_seconds"), F.min("started").alias("first_start"), F.max("finished").alias("last_finish"))
+
+
+def disk_need(table: DataFrame, sizes: DataFrame, margin: float = MARGIN_MB) -> DataFrame:
+    """needed_mb: what the items left of a progress table will write; ``sizes`` has stage, item_mb, and a stage without a size writes nothing."""
+    left = (F.col("items") - F.col("items_done")) * F.coalesce("item_mb", F.lit(0.0))
+    return table.join(sizes, "stage", "left").agg((F.coalesce(F.sum(left), F.lit(0.0)) + F.lit(float(margin))).alias("needed_mb"))
+
+
+def hours(designs: DataFrame, timings: DataFrame, walls: DataFrame) -> DataFrame:
+    """design, images, comparisons, single_thread_hours, parallel_hours.
+
+    timings: kind (extract or compare), seconds of one item in one thread. walls:
+    kind, items, seconds of a parallel run. Both give one row of numbers.
+    """
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    single = timings.agg(*[F.avg(of(k, F.col("seconds"))).alias(f"{k}_s") for k in ("extract", "compare")])
+    rate = walls.agg(*[(F.sum(of(k, F.col("items"))) / F.sum(of(k, F.col("seconds")))).alias(f"{k}_rate") for k in ("extract", "compare")])
+    both = designs.join(single.join(rate), how="cross")  # a row
+    one = (F.col("images") * F.col("extract_s") + F.col("comparisons") * F.col("compare_s")) / 3600
+    many = (F.col("images") / F.col("extract_rate") + F.col("comparisons") / F.col("compare_rate")) / 3600
+    return both.select("design", "images", "comparisons", F.round(one, 2).alias("single_thread_hours"), F.round(many, 2).alias("parallel_hours"))

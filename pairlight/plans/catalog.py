@@ -433,15 +433,36 @@ def fusion_fused_scores(spark, sf_dir):
     return out.groupBy("scenario", "kind").agg(*stats)
 
 
-@register()
+def _newton_sql(steps: int = 15) -> str:
+    """The fit's Newton steps one after another; each solves its three equations by Cramer's rule."""
+    ridge = fusion.RIDGE
+    parts = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(steps):
+        parts.append(f"""q{k} AS MATERIALIZED (SELECT sum(s * (p - y) * x1) + {ridge} * max(a) AS g1, sum(s * (p - y) * x2) + {ridge} * max(b) AS g2, sum(s * (p - y)) + {ridge} * max(c) AS g3,
+  sum(s * p * (1 - p) * x1 * x1) + {ridge} AS h11, sum(s * p * (1 - p) * x1 * x2) AS h12, sum(s * p * (1 - p) * x1) AS h13, sum(s * p * (1 - p) * x2 * x2) + {ridge} AS h22, sum(s * p * (1 - p) * x2) AS h23,
+  sum(s * p * (1 - p)) + {ridge} AS h33, max(a) AS a, max(b) AS b, max(c) AS c FROM (SELECT *, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS p FROM fs, w{k}))""")
+        parts.append(f"""w{k + 1} AS MATERIALIZED (SELECT a - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det AS a,
+  b - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det AS b, c - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det AS c
+  FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM q{k}))""")
+    return ",\n".join([*parts, f"wf AS (SELECT * FROM w{steps})"])
+
+
+_FIT_SQL = f"""
+lo AS (SELECT min(score) AS f1, min(score2) AS f2 FROM z WHERE "group" = 'dev' AND scenario = 'UxV'),
+fd AS (SELECT ln(1 + coalesce(score, f1)) AS x1, ln(1 + coalesce(score2, f2)) AS x2, (kind = 'genuine')::INT AS y, count(*)::DOUBLE AS n FROM z, lo WHERE "group" = 'dev' AND scenario = 'UxV' GROUP BY 1, 2, 3),
+fs AS MATERIALIZED (SELECT x1, x2, y, n * 0.5 / sum(n) OVER (PARTITION BY y) AS s FROM fd),
+{_newton_sql()}"""
+
+
+@register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, _FIT_SQL, select="SELECT unnest(['one', 'two', 'bias']) AS channel, unnest([round(a, 6), round(b, 6), round(c, 6)]) AS weight FROM wf"))
 def fusion_fit(spark, sf_dir):
-    """Weights of the fitted fusion; held against numpy in the tests."""
+    """Weights of the fitted fusion, to six decimals."""
     z = _channels(spark, sf_dir).where("scenario = 'UxV' and group = 'dev'")
     low = fusion.floors(z, ["one", "two"])
     rows = fusion.with_features(z, ["one", "two"], low).withColumn("y", (F.col("kind") == "genuine").cast("int")).persist()
     w = fusion.fit_logistic(rows, ["x_one", "x_two"], "y")
     rows.unpersist()
-    return spark.createDataFrame([(n, float(x)) for n, x in zip(("one", "two", "bias"), w)], "channel string, weight double")
+    return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(("one", "two", "bias"), w)], "channel string, weight double")
 
 
 def _designs(spark, sf_dir) -> dict[str, DataFrame]:
@@ -549,6 +570,7 @@ def missing_on_disk(spark, sf_dir):
 
 
 _CHUNK = 200
+_ITEM_MB = 0.4
 _COST = {"U": 0.5, "V": 0.5, "R": 0.25, "Q": 0.25, "J": 0.2}
 _PLAN_SQL = f"""
 cost("set", seconds) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _COST.items())}),
@@ -568,6 +590,12 @@ def _log(heads: DataFrame) -> DataFrame:
     return heads.where("chunk % 3 != 0").select("*", start.alias("started"), (start + F.col("expected_s") * 1.5).alias("finished"))
 
 
+def _progress(spark, sf_dir) -> DataFrame:
+    heads = _heads(spark, sf_dir)
+    stages = spark.createDataFrame([("extract", "one", "extract")], "stage string, algorithm string, kind string")
+    return runlog.progress(heads, _log(heads), stages, 1e9, 4)
+
+
 @register(with_(MANIFEST_SQL, _PLAN_SQL, select="SELECT stage, chunk, count, first, last, round(expected_s, 6) AS expected_s FROM hd"))
 def chunk_plan(spark, sf_dir):
     return _heads(spark, sf_dir).withColumn("expected_s", F.round("expected_s", 6))
@@ -584,10 +612,7 @@ SELECT 'extract' AS stage, items, items_done, chunks, chunks_done, round((total
        round(greatest(total * 1.5 / least(4, chunks), (total - spent) * 1.5 / least(4, chunks - chunks_done)), 6) AS duration_s
 FROM (SELECT sum(count)::BIGINT AS items, (sum(count) FILTER (chunk % 3 <> 0))::BIGINT AS items_done, count(*) AS chunks, count(*) FILTER (chunk % 3 <> 0) AS chunks_done, sum(expected_s) AS total, sum(expected_s) FILTER (chunk % 3 <> 0) AS spent FROM hd)"""))
 def pace_forecast(spark, sf_dir):
-    heads = _heads(spark, sf_dir)
-    stages = spark.createDataFrame([("extract", "one", "extract")], "stage string, algorithm string, kind string")
-    table = runlog.progress(heads, _log(heads), stages, 1e9, 4)
-    return table.select("stage", "items", "items_done", "chunks", "chunks_done", F.round("remaining_s", 6).alias("remaining_s"), F.round("duration_s", 6).alias("duration_s"))
+    return _progress(spark, sf_dir).select("stage", "items", "items_done", "chunks", "chunks_done", F.round("remaining_s", 6).alias("remaining_s"), F.round("duration_s", 6).alias("duration_s"))
 
 
 @register(with_(MANIFEST_SQL, _PLAN_SQL, select="SELECT stage, sum(count)::BIGINT AS items, round(sum(expected_s * 1.5), 1) AS worker_seconds, min(1000.0::DOUBLE + chunk * 10.0) AS first_start, round(max(1000.0::DOUBLE + chunk * 10.0 + expected_s * 1.5), 6) AS last_finish FROM hd WHERE chunk % 3 <> 0 GROUP BY 1"))
@@ -595,10 +620,84 @@ def stage_runtime(spark, sf_dir):
     return runlog.runtime(_log(_heads(spark, sf_dir))).withColumn("last_finish", F.round("last_finish", 6))
 
 
-@register()
+_PRINT_SQL = f"""
+fc AS (SELECT chunk, count(*) AS n, sha256(string_agg(item, chr(10) ORDER BY pos)) AS d FROM pl GROUP BY 1),
+fb AS (SELECT chunk // {runlog.DIGEST_BLOCK} AS block, sum(n) AS n, count(*) AS c, sha256(string_agg(d, chr(10) ORDER BY chunk)) AS d FROM fc GROUP BY 1)"""
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, _PRINT_SQL, select="SELECT 'extract' AS stage, sum(n)::BIGINT AS items, sum(c)::BIGINT AS chunks, sha256(string_agg(d, chr(10) ORDER BY block)) AS digest FROM fb"))
 def plan_fingerprint(spark, sf_dir):
     """Digest of the plan's ordered items; equal inputs give equal digests."""
     usable = S.stored(spark, sf_dir).where("excluded = 0")
     return runlog.fingerprint(runlog.chunk_plan(usable, "extract", _CHUNK, ["set", "image_id"], "image_id"))
 
 
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select="""
+SELECT round((total - spent) * 1.5 / least(4, left_), 6) AS remaining_s,
+       round(100 * (1 - ((total - spent) / least(4, left_)) / greatest(total / least(4, chunks), (total - spent) / least(4, left_))), 6) AS percent
+FROM (SELECT count(*) AS chunks, count(*) FILTER (chunk % 3 = 0) AS left_, sum(expected_s) AS total, coalesce(sum(expected_s) FILTER (chunk % 3 <> 0), 0) AS spent FROM hd)"""))
+def run_progress(spark, sf_dir):
+    """What is left of the whole run, in seconds and as a share."""
+    total = runlog.overall(_progress(spark, sf_dir))
+    return total.select(F.round("remaining_s", 6).alias("remaining_s"), F.round("percent", 6).alias("percent"))
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select=f"SELECT round((sum(count) FILTER (chunk % 3 = 0)) * {_ITEM_MB}::DOUBLE + {runlog.MARGIN_MB}, 6) AS needed_mb FROM hd"))
+def disk_need(spark, sf_dir):
+    """Megabytes that the features of the missing items take, with the margin."""
+    sizes = spark.createDataFrame([("extract", _ITEM_MB)], "stage string, item_mb double")
+    return runlog.disk_need(_progress(spark, sf_dir), sizes).select(F.round("needed_mb", 6).alias("needed_mb"))
+
+
+_HOURS_SQL = """
+t AS (SELECT CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'compare' END AS kind, value AS seconds FROM events WHERE event_type IN ('view', 'click')),
+k AS (SELECT avg(seconds) FILTER (kind = 'extract') AS e, avg(seconds) FILTER (kind = 'compare') AS c FROM t),
+ds AS (SELECT "set" AS design, count(*) AS images, count(*) * count(DISTINCT subject) AS comparisons FROM m GROUP BY 1)"""
+
+
+@register(with_(MANIFEST_SQL, _HOURS_SQL, select="""SELECT design, images, comparisons, round((images * e + comparisons * c) / 3600, 2) AS single_thread_hours,
+round((images * e / 4 + comparisons * c / 4) / 3600, 2) AS parallel_hours FROM ds, k"""))
+def design_hours(spark, sf_dir):
+    """Hours of each set's images against all its subjects; events' values as seconds, and a wall clock of a quarter of them."""
+    kind = F.when(F.col("event_type") == "view", "extract").when(F.col("event_type") == "click", "compare")
+    timings = S.table(spark, sf_dir, "events").select(kind.alias("kind"), F.col("value").alias("seconds")).where("kind is not null")
+    walls = timings.groupBy("kind").agg(F.count("seconds").alias("items"), (F.sum("seconds") / 4).alias("seconds"))
+    sets = manifests.set_summary(S.manifest(spark, sf_dir)).select(F.col("set").alias("design"), "images", (F.col("images") * F.col("subjects")).alias("comparisons"))
+    return runlog.hours(sets, timings, walls)
+
+
+@register(with_(MANIFEST_SQL, select="""SELECT "set", frgp, images, images = max(images) OVER (PARTITION BY "set") AS best FROM (SELECT "set", frgp, count(*) AS images FROM m GROUP BY 1, 2)"""))
+def best_positions(spark, sf_dir):
+    """The positions of each set, those with most images marked, ties too."""
+    counted = S.manifest(spark, sf_dir).groupBy("set", "frgp").agg(F.count(F.lit(1)).alias("images"))
+    return fusion.best_marks(counted, ["set"], "images")
+
+
+#: set: capture label, impression, device and directory of the stand-in files.
+_SET_ROWS = {"U": ("roll", "rolled", "one", "a"), "V": ("slap", "plain", "two", "b"), "R": ("roll", "rolled", "three", "c"), "Q": ("touch", "plain", "four", "d"), "J": ("palm", "plain", "five", "e")}
+_BUILD_SQL = f"""
+st("set", cap, impression, device_model, dir) AS (VALUES {', '.join(f"('{k}', " + ", ".join(f"'{x}'" for x in v) + ")" for k, v in _SET_ROWS.items())}),
+im AS (SELECT m.*, cap, impression, device_model, dir, subject || '_' || "set" || '_1000_' || cap || '_' || lpad(frgp::VARCHAR, 2, '0') || '.png' AS name, sha256(image_id) AS sha,
+              CASE WHEN trait % 11 = 0 THEN NULL WHEN trait % 13 = 0 THEN 500.0::DOUBLE ELSE 1000.0::DOUBLE END AS ppi_x, 1000.0::DOUBLE AS ppi_y,
+              CASE WHEN trait % 3 = 0 THEN 'not_listed' WHEN trait % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS checksum, subject::BIGINT % 13 <> 0 AS known FROM m JOIN st USING ("set")),
+rs AS (SELECT *, concat_ws('; ', CASE WHEN excluded = 1 THEN 'R1: no ridges' END, CASE WHEN checksum <> 'ok' THEN 'R2: checksum ' || checksum END,
+              CASE WHEN ppi_x IS NULL OR ppi_x <> 1000 THEN 'R2: header resolution ' || coalesce(ppi_x::VARCHAR, 'None') || 'x1000.0 ppi' END, CASE WHEN NOT known THEN 'subject missing from participants.csv' END) AS why FROM im)"""
+
+
+@register(with_(MANIFEST_SQL, _BUILD_SQL, select="""SELECT image_id, "set", subject, frgp, impression, cap AS capture_label, device_model, dir || '/png/' || name AS relpath, (500 + trait % 300)::INT AS width, 600 AS height, 8 AS bit_depth,
+ppi_x, ppi_y, sha AS sha256, checksum, CASE WHEN known THEN 'day ' || (subject::BIGINT % 28)::VARCHAR ELSE '' END AS collection_day, (why <> '')::INT AS excluded, why AS exclusion_reason FROM rs"""))
+def manifest_build(spark, sf_dir):
+    """The manifest from file names, headers, checksum lists, exclusions and participants, as a study builds it from its files."""
+    sets = spark.createDataFrame([(k, *v) for k, v in _SET_ROWS.items()], "set string, capture_label string, impression string, device_model string, directory string")
+    trait = F.col("trait")
+    name = F.concat("subject", F.lit("_"), "set", F.lit("_1000_"), "capture_label", F.lit("_"), F.lpad(F.col("frgp").cast("string"), 2, "0"), F.lit(".png"))
+    files = S.stored(spark, sf_dir).join(sets.select("set", "capture_label"), "set").select("*", name.alias("name"), F.sha2("image_id", 256).alias("sha256"))
+    ppi = F.when(trait % 11 == 0, None).when(trait % 13 == 0, 500.0).otherwise(1000.0)
+    images = files.select("set", "name", "sha256", (500 + trait % 300).cast("int").alias("width"), F.lit(600).alias("height"), F.lit(8).alias("bit_depth"), ppi.alias("ppi_x"), F.lit(1000.0).alias("ppi_y"))
+    checksums = files.where(trait % 3 != 0).select("set", "name", F.when(trait % 5 == 0, "other").otherwise(F.col("sha256")).alias("listed"))
+    exclusions = files.where("excluded = 1").select("set", "subject", "frgp", F.lit("R1").alias("decision"), F.lit("no ridges").alias("reason"))
+    number = F.col("subject").cast("long")
+    people = files.select("subject").distinct().where(number % 13 != 0).select(F.col("subject").alias("id"), F.concat(F.lit("day "), (number % 28).cast("string")).alias("collection_day"))
+    return manifests.build(images, checksums, exclusions, people, sets)

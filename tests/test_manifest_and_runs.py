@@ -94,30 +94,25 @@ def test_chunks_are_contiguous(spark):
 
 
 def test_resume_runs_every_chunk_once(spark, tmp_path):
-    plan, clock, seen = plan_of(spark).cache(), iter(range(1000)), []
-
-    def work(part):
-        if len(seen) == 2:
-            raise RuntimeError("lost")
-        seen.append([r.chunk for r in part.select("chunk").distinct().collect()])
-        return part.select("stage", "chunk", "item", F.length("item").alias("score"))
-
-    args = (str(tmp_path / "results"), str(tmp_path / "log"), lambda: float(next(clock)))
-    with pytest.raises(RuntimeError):
-        runlog.execute(spark, plan, work, *args, group=2)
-    assert sum(map(len, seen)) == 4
-    seen.append([])  # the executor is well again
-    assert runlog.execute(spark, plan, work, *args, stop=lambda: True) == 0
-    assert runlog.execute(spark, plan, work, *args, group=2) == 2
-    assert runlog.execute(spark, plan, work, *args, group=2) == 0
-    ran = [c for group in seen for c in group]
-    assert sorted(ran) == list(range(6))
-    log = spark.read.schema(runlog.LOG).parquet(args[1])
-    results = runlog.stage_results(spark.read.parquet(args[0]), log)
+    plan, paths = plan_of(spark).cache(), (str(tmp_path / "results"), str(tmp_path / "log"))
+
+    def run(todo, started, logged=True):
+        todo.select("stage", "chunk", "item", F.length("item").alias("score"), F.lit(started).alias("started")).write.mode("append").parquet(paths[0])
+        if logged:
+            runlog.log_rows(todo, started, started + 1).write.mode("append").parquet(paths[1])
+
+    run(plan.where("chunk < 4"), 1.0)
+    run(plan.where("chunk = 4"), 2.0, logged=False)  # stopped between results and log
+    left = runlog.remaining(plan, spark.read.schema(runlog.LOG).parquet(paths[1]))
+    assert {r.chunk for r in left.collect()} == {4, 5}
+    run(left, 3.0)
+    log = spark.read.schema(runlog.LOG).parquet(paths[1])
+    assert runlog.remaining(plan, log).count() == 0 and log.count() == 6
+    results = runlog.stage_results(spark.read.parquet(paths[0]), log)
     assert results.count() == 53 and results.select("item").distinct().count() == 53
     with pytest.raises(Exception, match="not of this plan"):
         runlog.checked_log(log, runlog.chunk_heads(plan_of(spark, 40))).collect()
-    query = start_totals(spark, args[1], "totals", str(tmp_path / "checkpoint"))
+    query = start_totals(spark, paths[1], "totals", str(tmp_path / "checkpoint"))
     query.processAllAvailable()
     query.stop()
     assert spark.table("totals").first()["items"] == 53 == stage_totals(log).first()["items"]
