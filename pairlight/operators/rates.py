@@ -2,16 +2,22 @@
 
 A score table has group columns, kind (genuine or impostor) and a nullable score.
 A null score is a failed comparison: never accepted, always counted. Scores are
-first counted by value, so windows run over distinct scores and not over pairs.
+first counted by value, so windows run over distinct scores and not over pairs;
+running sums go through bins of scores, so no task has to hold all the distinct
+scores of a group, which with continuous scores are as many as the pairs.
 Acceptance is strictly above a threshold.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAILED = float("-inf")
+#: Bins of scores for each doubling of a score.
+FINE = 512
 
 
 def grid(scores: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -20,17 +26,45 @@ def grid(scores: DataFrame, by: list[str], weight: Column | None = None) -> Data
     at = F.coalesce(F.col("score").cast("double"), F.lit(FAILED)).alias("score")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, w).otherwise(0.0)).alias(kind)
     counted = scores.groupBy(*by, at).agg(of("genuine"), of("impostor"))
-    floor = counted.select(*by).distinct().select(*by, F.lit(FAILED).alias("score"), F.lit(0.0).alias("genuine"), F.lit(0.0).alias("impostor"))
-    return counted.unionByName(floor).groupBy(*by, "score").agg(F.sum("genuine").alias("genuine"), F.sum("impostor").alias("impostor"))
+    floor = F.struct(F.lit(FAILED).alias("score"), F.lit(0.0).alias("genuine"), F.lit(0.0).alias("impostor"))
+    # beside each row, and combined in its task, so that the pairs are not gone over again for it
+    each = counted.select(*by, F.explode(F.array(F.struct("score", "genuine", "impostor"), floor)).alias("x")).select(*by, "x.*")
+    return each.groupBy(*by, "score").agg(F.sum("genuine").alias("genuine"), F.sum("impostor").alias("impostor"))
 
 
-def rates(grid_table: DataFrame, by: list[str]) -> DataFrame:
-    """by, score (the threshold), genuine_above, impostor_above, genuine_total, impostor_total, far, frr."""
+def score_bin(score: Column) -> Column:
+    """A whole number that never falls as the score rises: ``FINE`` steps a doubling on each side of 0; NaN, which sorts last, has the highest."""
+    size = F.greatest(F.lit(-1080.0), F.least(F.lit(1030.0), F.log2(F.abs(score))))
+    step = F.floor((size + 1100) * FINE).cast("long")
+    return F.when(F.isnan(score), F.lit(1 << 40)).when(score == 0, F.lit(0)).when(score < 0, -step).otherwise(step)
+
+
+def running(table: DataFrame, by: list[str], score: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``table``, one row a score in each group of ``by``, with {c}_before and {c}_total of each of ``columns``: the sum before the row in order of score, and the group's.
+
+    Two levels: a window over the bins' sums, and one inside each bin.
+    """
+    down = lambda name: F.col(name).desc() if descending else F.col(name).asc()
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    above = group.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    out = grid_table
-    for kind in ("genuine", "impostor"):
-        out = out.withColumn(f"{kind}_above", F.coalesce(F.sum(kind).over(above), F.lit(0.0))).withColumn(f"{kind}_total", F.sum(kind).over(group))
+    binned = table.withColumn("__bin", score_bin(F.col(score).cast("double")))
+    sums = binned.groupBy(*by, "__bin").agg(*[F.sum(c).alias(c) for c in columns])
+    earlier = group.orderBy(down("__bin")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    bins = sums.select(
+        F.struct(*by, "__bin").alias("__cell"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in columns],
+        *[F.sum(c).over(group).alias(f"{c}_total") for c in columns],
+    )
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__cell.`{c}`")) for c in (*by, "__bin")]
+    inside = Window.partitionBy(*by, "__bin").orderBy(down(score)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = binned.join(bins, reduce(lambda a, b: a & b, same)).drop("__cell")
+    for c in columns:
+        joined = joined.withColumn(f"{c}_before", F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return joined.drop("__bin", *[f"__{c}" for c in columns])
+
+
+def rates(grid_table: DataFrame, by: list[str]) -> DataFrame:
+    """by, score (the threshold), genuine, impostor, genuine_above, impostor_above, genuine_total, impostor_total, far, frr."""
+    out = running(grid_table, by, "score", ["genuine", "impostor"], descending=True)
+    out = out.withColumnsRenamed({"genuine_before": "genuine_above", "impostor_before": "impostor_above"})
     far = F.when(F.col("impostor_total") > 0, F.col("impostor_above") / F.col("impostor_total"))
     frr = F.when(F.col("genuine_total") > 0, 1 - F.col("genuine_above") / F.col("genuine_total"))
     return out.withColumn("far", far).withColumn("frr", frr)
@@ -52,21 +86,25 @@ def tar_at_far(rate_table: DataFrame, by: list[str], targets: tuple[float, ...])
 
 
 def eer(rate_table: DataFrame, by: list[str]) -> DataFrame:
-    """by, eer: where the rates meet, interpolated between the thresholds around the first crossing."""
-    down = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.col("score").desc())
-    steps = rate_table.withColumn("gap", F.col("far") - F.col("frr")).withColumn("far0", F.lag("far").over(down)).withColumn("gap0", F.lag("gap").over(down))
-    mean = (F.col("far") + F.col("frr")) / 2
-    at = F.when(F.col("gap0").isNull(), mean).otherwise(F.col("far0") + F.col("gap0") / (F.col("gap0") - F.col("gap")) * (F.col("far") - F.col("far0")))
-    crossed = F.max_by(F.when(F.col("gap") >= 0, at), F.when(F.col("gap") >= 0, F.col("score")))
-    return steps.groupBy(*by).agg(F.coalesce(crossed, F.min_by(mean, "score")).alias("eer"))
+    """by, eer: where the rates meet, interpolated between the thresholds around the first crossing.
+
+    As the threshold falls the gap between the rates never does, so the threshold
+    before the crossing is the lowest with a gap below 0.
+    """
+    points = rate_table.withColumn("gap", F.col("far") - F.col("frr")).withColumn("mean", (F.col("far") + F.col("frr")) / 2)
+    point = F.struct("far", "gap", "mean")
+    at = points.groupBy(*by).agg(
+        F.max_by(F.when(F.col("gap") >= 0, point), F.when(F.col("gap") >= 0, F.col("score"))).alias("one"),
+        F.min_by(F.when(F.col("gap") < 0, point), F.when(F.col("gap") < 0, F.col("score"))).alias("zero"), F.min_by("mean", "score").alias("last"),
+    )
+    between = F.col("zero.far") + F.col("zero.gap") / (F.col("zero.gap") - F.col("one.gap")) * (F.col("one.far") - F.col("zero.far"))
+    return at.select(*by, F.coalesce(F.when(F.col("zero").isNull(), F.col("one.mean")).otherwise(between), F.col("last")).alias("eer"))
 
 
 def auc(scores: DataFrame, by: list[str]) -> DataFrame:
     """by, auc: chance that a genuine score exceeds an impostor one, ties half; null scores are left out, an empty class is an error."""
     counted = grid(scores.where(F.col("score").isNotNull()), by)
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("impostor").over(group.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = counted.withColumn("won", F.col("genuine") * (below + F.col("impostor") / 2))
+    won = running(counted, by, "score", ["impostor"]).withColumn("won", F.col("genuine") * (F.col("impostor_before") + F.col("impostor") / 2))
     total = F.sum("genuine") * F.sum("impostor")
     return won.groupBy(*by).agg(F.when(total > 0, F.sum("won") / total).otherwise(F.raise_error(F.lit("both classes are needed")).cast("double")).alias("auc"))
 
@@ -98,13 +136,11 @@ def accepts_by_finger(scores: DataFrame, by: list[str]) -> DataFrame:
 def summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, count, mean, median, p95 (nearest rank, half-even), min, max of the values that are not null."""
     counted = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    total = F.sum("n").over(group)
-    upto = F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = running(counted, by, "v", ["n"]).withColumn("upto", F.col("n_before") + F.col("n")).withColumnRenamed("n_total", "total")
     rank = lambda r: F.min(F.when(F.col("upto") >= r, F.col("v")))  # noqa: E731  the r-th smallest
     p95 = F.greatest(F.lit(1), F.least(F.col("total"), F.bround(F.col("total") * 0.95).cast("long")))
     return (
-        counted.withColumn("total", total).withColumn("upto", upto).groupBy(*by)
+        placed.groupBy(*by)
         .agg(
             F.sum("n").alias("count"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
             ((rank(F.floor((F.col("total") + 1) / 2)) + rank(F.ceil((F.col("total") + 1) / 2))) / 2).alias("median"),
@@ -116,10 +152,8 @@ def summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
 def share_threshold(scores: DataFrame, share: float, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """by, threshold: the lowest that at most ``share`` of the scores lie above; -Infinity where all may."""
     counted = scores.groupBy(*by, F.coalesce(F.col("score").cast("double"), F.lit(FAILED)).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    above = F.coalesce(F.sum("n").over(group.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    allowed = F.floor(F.sum("n").over(group) * F.lit(float(share)) + 1e-9)
-    marked = counted.withColumn("above", above).withColumn("allowed", allowed).withColumn("upto", F.col("above") + F.col("n"))
+    placed = running(counted, by, "score", ["n"], descending=True)
+    marked = placed.withColumn("allowed", F.floor(F.col("n_total") * F.lit(float(share)) + 1e-9)).withColumn("upto", F.col("n_before") + F.col("n"))
     found = F.max(F.when(F.col("upto") > F.col("allowed"), F.col("score")))
     return marked.groupBy(*by).agg(F.coalesce(found, F.lit(FAILED)).alias("threshold"))
 
@@ -150,9 +184,8 @@ def result_tables(scores: DataFrame, by: list[str], targets: tuple[float, ...])
 
 def det_points(rate_table: DataFrame, by: list[str], most: int = 3000) -> DataFrame:
     """by, k, far, frr: the curve's inner points (no rate 0 or 1), thinned to ``most`` evenly spaced ones, first and last kept."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    inner = rate_table.where("far > 0 and far < 1 and frr > 0 and frr < 1")
-    numbered = inner.withColumn("k", F.row_number().over(group.orderBy(F.col("score").desc())) - 1).withColumn("last", F.count(F.lit(1)).over(group) - 1)
+    inner = rate_table.where("far > 0 and far < 1 and frr > 0 and frr < 1").withColumn("one", F.lit(1).cast("long"))
+    numbered = running(inner, by, "score", ["one"], descending=True).withColumnRenamed("one_before", "k").withColumn("last", F.col("one_total") - 1)
     step = F.col("last") / F.lit(float(most - 1))
     picked = F.floor(F.ceil(F.col("k") / step) * step) == F.col("k")
     return numbered.where((F.col("last") < most) | picked).select(*by, F.col("k").cast("long").alias("k"), "far", "frr")

@@ -120,3 +120,30 @@ def test_probit_and_labels(spark):
     got = [r.x for r in spark.createDataFrame([(v,) for v in p], "p double").select(probit(F.col("p")).alias("x")).collect()]
     assert all(abs(x - NormalDist().inv_cdf(v)) < 5e-4 for x, v in zip(got, p))
     assert [far_label(x) for x in (0.01, 0.001, 0.0001)] == ["1%", "0.1%", "0.01%"]
+
+
+def test_bins_never_fall_as_scores_rise(spark):
+    """Ordered doubles of every size, either sign, neighbours of powers of two, infinities and NaN."""
+    r = np.random.default_rng(5)
+    some = np.concatenate([r.normal(size=4000) * 10.0 ** r.integers(-300, 300, 4000), 2.0 ** np.arange(-1074, 1024), [0.0, -0.0, 5e-324, np.inf, np.nan]])
+    some = np.unique(np.concatenate([some, -some, np.nextafter(some, np.inf), np.nextafter(some, -np.inf)]))  # NaN last
+    rows = spark.createDataFrame([(k, float(x)) for k, x in enumerate(some)], "k int, score double")
+    got = [x.b for x in rows.select("k", rates.score_bin(rows.score).alias("b")).orderBy("k").collect()]
+    assert all(a <= b for a, b in zip(got, got[1:])) and len(set(got)) > 1000
+
+
+def test_running_sums_through_bins(spark):
+    """Groups, null groups among them, against sums over the sorted list, both ways."""
+    r = np.random.default_rng(6)
+    values = np.unique(np.concatenate([r.normal(size=700) * 10.0 ** r.integers(-6, 6, 700), 1 + r.random(700) * 1e-3, [-np.inf]]))
+    rows = [(g, float(v), int(n)) for g in ("a", None) for v, n in zip(values, r.integers(0, 9, len(values)))]
+    table = spark.createDataFrame(rows, "g string, score double, n long")
+    for down in (False, True):
+        got = {(x.g, x.score): (x.n_before, x.n_total) for x in rates.running(table, ["g"], "score", ["n"], down).collect()}
+        for g in ("a", None):
+            mine, before = sorted(((v, n) for h, v, n in rows if h == g), reverse=down), 0
+            for v, n in mine:
+                assert got[g, v] == (before, sum(k for _, k in mine))
+                before += n
+    empty = rates.running(table.where("n < 0"), [], "score", ["n"])
+    assert empty.count() == 0
