@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import boosting, chat, debruijn, fertility, fim, jpeg, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
+from pairlight.llm import boosting, chat, debruijn, fertility, fim, jpeg, merkle, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_gradient_boosting": boosting.op9_gradient_boosting,
     "op10_secret_randomness": secret_scan.op10_secret_randomness,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
