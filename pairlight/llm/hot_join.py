@@ -28,3 +28,9 @@ def spread_join(rows: DataFrame, named: DataFrame, key: str, count: str, how: st
     dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
     copies = F.when(F.col(count) > F.lit(limit), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     return dealt.join(named.withColumn("__salt", F.explode(copies)).drop(count), [key, "__salt"], how).drop("__salt")
+
+
+def once(rows: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with those of one ``key`` fewer, if any key has very many: before a shuffle every task drops what it has already. ``listed`` has the same keys."""
+    many = listed.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARE).limit(1).count()
+    return rows.dropDuplicates(key) if many else rows

@@ -7,13 +7,10 @@ doc_id as representative; all further work is on representatives.
 1. Signatures are cut into bands; band and row counts are the least selective that
    reach the wanted recall at the threshold. Band hashes are shuffled and buckets
    of two or more kept.
-2. A set lives in its largest bucket, in blocks bounded in rows and bytes. Two
-   blocks meet only if some bucket has members of both, and every such pair of
-   blocks is a group of its own: intersections of full n-gram sets are counted
-   there by a blocked matrix product. Sets that share no band are thus not brought
-   together, a large bucket spreads over many groups, and no operator emits pairs of
-   sets: groups return a number of links for each member and the links of a spanning
-   forest. A pair meets in one group only, so links are counted once.
+2. Sets that share a bucket are verified on their full n-gram sets (``set_links``), block
+   against block. In a large bucket the exact distance to a pivot settles most pairs: close
+   copies cost one comparison each, and only pairs on the boundary are compared. Links are
+   counted exactly either way, and a pair is counted once.
 3. Components of the verified links are the classes of near duplicates.
 
 Defined cases: null and empty texts have no n-grams, are never linked and are
@@ -33,15 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlight.llm import hot_join
 from pairlight.llm.components import components
 from pairlight.llm.hot_join import spread_join
+from pairlight.llm.set_links import linked
 from pairlight.llm.text_arrays import Texts, keyed, mix, repeats, steps, window_hash
 from pairlight.scratch import keep
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 256
-#: Bounds of a block: rows, and bytes of n-gram hashes. A bucket that has the members is dealt to FEW blocks of EVEN rows at least, so that no task has most of it.
-BLOCK_ROWS, BLOCK_BYTES, FEW, EVEN = 1024, 24 << 20, 16, 128
-_COLUMNS = 2048
 
 
 def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -75,6 +71,13 @@ def ngram_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], hashes[new]
 
 
+def set_keys(doc: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Two halves of a key of every set that has members."""
+    seeds = np.random.default_rng(7).integers(0, 1 << 64, (2, 2), dtype=np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    return [np.add.reduceat(mix(hashes ^ seeds[k, 0]), begin).view(np.int64) for k in (0, 1)]
+
+
 def signatures(t: Texts, width: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents with n-grams; two key halves and the size of their sets; their band hashes."""
     doc, hashes = ngram_sets(t, width)
@@ -83,7 +86,7 @@ def signatures(t: Texts, width: int, bands: int, rows: int) -> tuple[np.ndarray,
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     size = np.diff(np.concatenate([begin, [len(doc)]]))
     seeds = np.random.default_rng(7).integers(0, 1 << 64, (bands * rows + 2, 2), dtype=np.uint64)
-    keys = [np.add.reduceat(mix(hashes ^ seeds[k, 0]), begin).view(np.int64) for k in (0, 1)]
+    keys = set_keys(doc, hashes)
     out = np.zeros((bands, len(begin)), np.uint64)
     for k in range(bands * rows):
         a, b = seeds[k + 2]
@@ -113,121 +116,6 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, k1 long, k2 long, n long, bands array<long>")
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """The columns of ``docs`` without its text, and grams: the distinct n-grams' hashes as bytes. Rows whose set is not the one that k1 names are left out."""
-    names = [c for c in docs.columns if c != "text"]
-    seed = np.random.default_rng(7).integers(0, 1 << 64, (2, 2), dtype=np.uint64)[0, 0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in steps(whole):
-                doc, hashes = ngram_sets(Texts(batch.column("text")), width)
-                ends = np.searchsorted(doc, np.arange(batch.num_rows), "right")
-                begins = np.concatenate([[0], ends[:-1]])
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ seed), dtype=np.uint64)])
-                same = (total[ends] - total[begins]).view(np.int64) == batch.column("k1").to_numpy(zero_copy_only=False)
-                grams = [hashes[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(grams, pa.binary())], [*names, "grams"]).filter(pa.array(same))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, grams binary")
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by a matrix product over blocks of shared n-grams."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = seen > 1
-    number = np.cumsum(shared) - 1
-    chosen = shared[column]
-    owner, column = owner[chosen], number[column[chosen]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((m, m), np.float32)
-    for low in range(0, int(shared.sum()), _COLUMNS):
-        a, b = np.searchsorted(column, [low, low + _COLUMNS])
-        block = np.zeros((m, _COLUMNS), np.float32)
-        block[owner[a:b], column[a:b] - low] = 1
-        out += block @ block.T
-    return out
-
-
-def link_group(block: np.ndarray, sets: list[np.ndarray], cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each member its links (between the two blocks if ``cross``) and the first member its links reach."""
-    size = np.array([len(s) for s in sets], np.float64)
-    inside = overlaps(sets).astype(np.float64)
-    linked = inside >= threshold * (size[:, None] + size[None, :] - inside) - 1e-9
-    np.fill_diagonal(linked, False)
-    if cross:
-        linked &= block[:, None] != block[None, :]
-    reach = np.arange(len(sets))
-    while True:
-        near = np.where(linked, reach[None, :], len(sets)).min(1, initial=len(sets))
-        after = np.minimum(reach, near)
-        if (after == reach).all():
-            return linked.sum(1), reach
-        reach = after
-
-
-def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """v, k1 (a member), links, to_v, to_k1 (the first member it reaches) from rows (i, j, place, v, k1, grams), one group for each pair of blocks i, j."""
-    names = ["v", "k1", "links", "to_v", "to_k1"]
-
-    def close(key, held):
-        seen: dict[tuple[int, int], tuple[str, bytes]] = {}
-        for place, v, k1, grams in held:
-            seen.setdefault((v, k1), (place, grams))  # a row given twice
-        if len(seen) < 2:
-            return None
-        members = sorted(seen)
-        v, k1 = np.array(members, np.int64).T
-        block = np.array([seen[m][0] == key[0] for m in members])
-        links, reach = link_group(block, [np.frombuffer(seen[m][1], np.uint64) for m in members], key[0] != key[1], threshold)
-        some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (v, k1, links.astype(np.int64), v[reach], k1[reach])], names) if some.any() else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "place", "v", "k1", "grams"))):
-                if row[:2] != key:
-                    if len(held) > 1 and (done := close(key, held)) is not None:
-                        yield done
-                    key, held = row[:2], []
-                held.append(row[2:])
-        if len(held) > 1 and (done := close(key, held)) is not None:
-            yield done
-
-    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j").select("i", "j", "place", "v", "k1", "grams")
-    return dealt.mapInArrow(run, "v long, k1 long, links long, to_v long, to_k1 long")
-
-
-def meetings(sets: DataFrame) -> DataFrame:
-    """v, k1, place and pairs: each set's block and the pairs of blocks (i, j) that it takes part in; sets that share no band with any are left out.
-
-    ``sets`` has rep, k1, n, bands.
-    """
-    spread = sets.select(F.struct(F.col("rep").alias("v"), "k1").alias("s"), F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("band", "hash")).select("s", "n", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("s").alias("hub"), F.count(F.lit(1)).alias("members"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    company = keep(spread_join(spread, keep(buckets, "ngram-buckets"), "bucket", "members"), "ngram-company")
-    homes = company.groupBy("s").agg(F.min(F.struct(-F.col("m"), "hub")).alias("h"), F.first("n").alias("n")).select("s", "n", F.col("h.hub").alias("home"))
-    homes = keep(homes, "ngram-homes")
-    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("grams") * 8 / BLOCK_BYTES), F.least(F.ceil(F.col("m") / EVEN), F.lit(FEW)))
-    dealt = spread_join(homes, sizes.select("home", "m", blocks.cast("int").alias("blocks")), "home", "m")
-    place = F.concat_ws(":", F.col("home.v").cast("string"), F.col("home.k1").cast("string"), F.pmod(F.xxhash64("s.v", "s.k1", F.lit("block")), F.col("blocks")).cast("string"))
-    placed = keep(dealt.select("s", place.alias("place")), "ngram-places")
-    at = company.select("s", "bucket").join(placed, "s").select("bucket", "place").distinct()
-    mixed = at.groupBy("bucket").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("bucket")
-    several = at.join(mixed, "bucket")
-    across = several.select("bucket", F.col("place").alias("i")).join(several.select("bucket", F.col("place").alias("j")), "bucket").where("i < j").select("i", "j").distinct()
-    inside = placed.groupBy("place").count().where("count > 1").select(F.col("place").alias("i"), F.col("place").alias("j"))
-    each = across.select(F.explode(F.array("i", "j")).alias("place"), "i", "j").unionByName(inside.select(F.col("i").alias("place"), "i", "j"))
-    listed = each.groupBy("place").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))  # pairs of blocks, not of sets
-    return placed.join(listed, "place").select("s.v", "s.k1", "place", "pairs")
-
-
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, set_id, n_copies, stays, text_key for every row of ``docs`` (doc_id, text).
 
@@ -242,16 +130,13 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = T
     filled = signed.where(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
     sets = filled.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = keep(sets.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "n_copies", "n", "bands"), "ngram-sets")
-    members = keep(meetings(sets), "ngram-members")
-    # merged at every size: members grow with the corpus, so a broadcast that fits today is no plan for tomorrow
-    text = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("v")).select("v", "k1", "place", "pairs", "text")
-    grams = set_rows(text, width).select("v", "k1", "place", "grams", F.explode("pairs").alias("p")).select("p.i", "p.j", "place", "v", "k1", "grams")
-    found = keep(_verified(grams, threshold), "ngram-links")
-    links = found.groupBy(F.col("v").alias("rep"), "k1").agg(F.sum("links").alias("n_links"))
-    classes = components(found.select(F.struct("v", "k1").alias("a"), F.struct(F.col("to_v").alias("v"), F.col("to_k1").alias("k1")).alias("b")))
-    classes = classes.select(F.col("v.v").alias("rep"), F.col("v.k1").alias("k1"), "root")
-    known = sets.select("k1", "k2", "rep", "rep_key", "n_copies").join(links, ["rep", "k1"], "left").join(classes, ["rep", "k1"], "left")
-    known = known.withColumn("own", F.coalesce(F.col("root") == F.struct(F.col("rep").alias("v"), "k1"), F.lit(True)))
+    named = sets.select(F.struct(F.col("rep").alias("v"), "k1").alias("s"), F.col("rep_key").alias("t"), "n", F.col("bands").alias("keys"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = linked(named, hot_join.once(texts, filled, ["doc_id", "text_key"]), lambda column: ngram_sets(Texts(column), width), threshold)
+    links = found.groupBy("s").agg(F.sum("links").alias("n_links"))
+    classes = components(found.select(F.col("s").alias("a"), F.col("to").alias("b"))).select(F.col("v").alias("s"), "root")
+    known = sets.select(F.struct(F.col("rep").alias("v"), "k1").alias("s"), "k1", "k2", "rep", "rep_key", "n_copies").join(links, "s", "left").join(classes, "s", "left")
+    known = known.withColumn("own", F.coalesce(F.col("root") == F.col("s"), F.lit(True)))
     known = known.select(F.struct("k1", "k2").alias("set"), "rep", "rep_key", "n_copies", "n_links", "root", "own", F.col("n_copies").alias("m"))
     keyed_rows = signed.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull() & F.col("k1").isNotNull(), F.struct("k1", "k2")).alias("set"))
     out = spread_join(keyed_rows, keep(known, "ngram-known"), "set", "m", "left")

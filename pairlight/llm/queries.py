@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import boosting, chat, debruijn, fertility, fim, jpeg, merkle, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
+from pairlight.llm import boosting, bottom_k, chat, debruijn, fertility, fim, jpeg, merkle, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_randomness": secret_scan.op10_secret_randomness,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_bottom_k_sketches": bottom_k.op13_bottom_k_sketches,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,

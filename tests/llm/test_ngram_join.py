@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlight.llm import hot_join, ngram_join
+from pairlight.llm import hot_join, ngram_join, set_links
 from pairlight.llm.components import components
 from tests.llm.conftest import table
 from tests.llm.test_words import WORD
@@ -59,7 +59,8 @@ def test_classes_and_links_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     want = brute(rows)
     for block, hot in ((1024, 1 << 17), (4, 3)):  # whole buckets in a block, and buckets over many blocks with spread joins
-        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+        monkeypatch.setattr(set_links, "BLOCK_ROWS", block)
+        monkeypatch.setattr(set_links, "EVEN", 128 if block > 4 else 4)
         monkeypatch.setattr(hot_join, "HOT_ROWS", hot)
         got = {r.doc_id: (r.class_id, r.n_links, r.set_id, r.n_copies) for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
         assert got == want
@@ -76,7 +77,7 @@ def test_bands_reach_the_recall():
 def test_overlaps():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 6000, n).astype(np.uint64)) for n in (0, 1, 3000, 5000, 2999)]
-    got = ngram_join.overlaps(sets)
+    got = set_links.overlaps(sets)
     assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
