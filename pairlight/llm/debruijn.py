@@ -9,8 +9,10 @@ kept only where it starts first (smallest doc_id, then smallest start).
    bucket of their minimiser and a run costs one row. Before the shuffle each step
    of a task drops windows it has seen: only the first of a step travels, so a
    passage that very many documents share sends a row a step and not a row a
-   document. Windows are counted first, by cells of minimisers; those of a hot cell
-   are dealt by minimiser and window together, since only equal windows must meet.
+   document. A minimiser that more windows share than a bucket may hold is hot, and its
+   windows are dealt by minimiser and window together, since only equal windows must
+   meet. Which are hot is told by a sample of the documents; it decides how windows are
+   dealt and never what is found, and the bound of a bucket is the same for any corpus.
 2. A bucket's runs arrive sorted by coordinate. Its first occurrence of an edge is
    the source; every later one is repeated. Successive repeated edges whose
    sources also succeed each other form a path that does not branch between the
@@ -53,8 +55,8 @@ WIDTH, INNER = 20, 5
 #: Bytes of text in one step, inside which repeated windows are dropped before the shuffle.
 STEP = 8 << 20
 CODE_BYTES = 5
-#: Cells that minimisers are counted in; a cell is hot beyond HOT windows and beyond UNEVEN times the mean cell.
-CELLS, HOT, UNEVEN = 1 << 16, 1 << 20, 4
+#: Windows of a bucket; one of SAMPLE documents is counted, and a minimiser with an estimate over half of HOT is hot. Beyond MOST hot ones every window is dealt by itself.
+HOT, SAMPLE, MOST = 1 << 20, 16, 1 << 20
 _CODE = np.uint64((1 << 8 * CODE_BYTES) - 1)
 NULL_ID = np.iinfo(np.int64).min
 #: Windows of a source in a block of the comparison, and sets of hashes to try.
@@ -92,12 +94,13 @@ def _batch(bucket, doc, start, n, codes, src_doc, src_start) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([bucket, pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), codes, src_doc, src_start], ["bucket", "doc", "start", "n", "codes", "src_doc", "src_start"])
 
 
-def _cell(bucket: np.ndarray) -> np.ndarray:
-    return (mix(bucket) % np.uint64(CELLS)).astype(np.int64)
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted list."""
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
 def step_runs(batch: pa.RecordBatch, width: int, inner: int, hot: np.ndarray | None = None, seed: int = 0) -> Iterator[pa.RecordBatch]:
-    """Runs to be dealt by bucket, and pieces that the step itself has resolved (codes null). ``hot`` tells the cells whose windows are dealt one by one."""
+    """Runs to be dealt by bucket, and pieces that the step itself has resolved (codes null). ``hot`` lists the minimisers whose windows are dealt one by one, none of them for all."""
     ids = batch.column("doc").to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
@@ -111,7 +114,7 @@ def step_runs(batch: pa.RecordBatch, width: int, inner: int, hot: np.ndarray | N
     edge = window_hash(words, width)[first]
     bucket = sliding_min(window_hash(words, inner), width - inner + 1)[first]
     if hot is not None:
-        bucket = np.where(hot[_cell(bucket)], mix(bucket ^ mix(edge)), bucket)
+        bucket = np.where(_among(bucket, hot) if len(hot) else True, mix(bucket ^ mix(edge)), bucket)
     count = t.words_per_doc()
     row = t.doc[first]
     doc, start = ids[row], first - (np.cumsum(count) - count)[row]
@@ -202,30 +205,31 @@ def numbered(docs: DataFrame) -> DataFrame:
     return named.join(ranks, ["key", "digest"]).select("doc", "doc_id", "text")
 
 
-def hot_cells(texts: DataFrame, width: int = WIDTH, inner: int = INNER, seed: int = 0) -> np.ndarray | None:
-    """Which cells are hot, of the windows that steps do not resolve; None if none is."""
+def hot_minimisers(texts: DataFrame, width: int = WIDTH, inner: int = INNER, seed: int = 0) -> np.ndarray | None:
+    """Sorted minimisers of too many windows, by one of SAMPLE documents and what their steps do not resolve; None if there are none, empty if there are too many to list.
+
+    A minimiser over the bound is missed only if few documents have most of its
+    windows, and then these documents bound what its bucket holds.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
         for whole in batches:
             for batch in steps(whole, limit=STEP):
                 for runs in step_runs(batch, width, inner, None, seed):
                     runs = runs.filter(pc.is_valid(runs.column("codes")))
-                    total += np.bincount(_cell(runs.column("bucket").to_numpy().view(np.uint64)), weights=runs.column("n").to_numpy(), minlength=CELLS).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["cell", "n"])
+                    bucket, at = np.unique(runs.column("bucket").to_numpy(), return_inverse=True)
+                    n = np.bincount(at, weights=runs.column("n").to_numpy(), minlength=len(bucket)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
 
-    counted = texts.select("doc", "text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most CELLS rows
-    cells = got.cell[got.n > max(HOT, UNEVEN * got.n.sum() / CELLS)].to_numpy(int)
-    hot = np.zeros(CELLS, bool)
-    hot[cells] = True
-    return hot if len(cells) else None
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).select("doc", "text")
+    counted = some.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = counted.where(F.col("n") * SAMPLE > HOT / 2).select("bucket").limit(MOST + 1).toPandas().bucket.to_numpy(np.int64)
+    return None if not len(got) else np.zeros(0, np.uint64) if len(got) > MOST else np.sort(got.view(np.uint64))
 
 
 def dealt_runs(texts: DataFrame, width: int = WIDTH, inner: int = INNER, seed: int = 0) -> DataFrame:
     """The runs of all steps; equal windows that are left have equal buckets."""
-    hot = hot_cells(texts, width, inner, seed)
+    hot = hot_minimisers(texts, width, inner, seed)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

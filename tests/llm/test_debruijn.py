@@ -148,11 +148,17 @@ def test_hot_buckets_are_dealt_by_window(spark, monkeypatch):
     rows = [(i, " ".join([*own(i), *phrase, *own(-i)])) for i in range(400)]
     rows += [(1000 + k, rows[r.randrange(400)][1] + " tail") for k in range(30)]
     docs = debruijn.numbered(table(spark, rows).repartition(5))
-    largest = lambda: debruijn.dealt_runs(docs).where("codes is not null").groupBy("bucket").sum("n").toPandas()["sum(n)"].max()
+    largest = lambda docs=docs: debruijn.dealt_runs(docs).where("codes is not null").groupBy("bucket").sum("n").toPandas()["sum(n)"].max()
     assert largest() > 3000
     plain = {tuple(x) for x in debruijn.repeated_spans(docs).collect()}
+    monkeypatch.setattr(debruijn, "SAMPLE", 1)
     monkeypatch.setattr(debruijn, "HOT", 200)
     assert largest() <= 200
     assert plain == {tuple(x) for x in debruijn.repeated_spans(docs).collect()}
     got = removed(table(spark, rows))
     assert got == brute(rows) and sum(v[1] for v in got.values()) >= 30 * 45
+    # the bound stays as the corpus grows around the phrase
+    more = [(5000 + i, " ".join(f"m{i}x{j}" for j in range(300))) for i in range(200)]
+    assert largest(debruijn.numbered(table(spark, rows + more).repartition(5))) <= 200
+    monkeypatch.setattr(debruijn, "MOST", 0)  # too many to list: every window by itself
+    assert largest() <= 30 and plain == {tuple(x) for x in debruijn.repeated_spans(docs).collect()}

@@ -59,3 +59,17 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
 
 def test_near_duplicates_use_the_stated_rule():
     assert (ngram_join.WIDTH, ngram_join.THRESHOLD) == (5, 0.8)
+
+
+def test_the_first_of_rows_with_one_id_and_text_stays(spark):
+    """Rows that differ only in source or in another column: the same one stays in any order; rows without an id all stay."""
+    text = "the quick brown fox jumps over the lazy dog again"
+    rows = [(5, text, "en", s, n) for s in ("c", "b", None, "a") for n in (2, 1)] + [(None, text, "en", "x", 1), (None, text, "en", "y", 1), (None, text, "en", "y", 1), (9, text + " and again", "en", "z", 3), (9, "short", "en", "z", 3)] + [(7, "other words", "en", "k", 1)] * 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    found = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, schema).repartition(3)
+        found.append(sorted(map(tuple, corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=repr))
+    assert found[0] == found[1] == found[2]
+    assert [r for r in found[0] if r[0] == 5] == [(5, text, "en", None, 1)]
+    assert len([r for r in found[0] if r[0] is None]) == 3 and len([r for r in found[0] if r[0] == 7]) == 1 and len([r for r in found[0] if r[0] == 9]) == 2
