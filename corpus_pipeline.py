@@ -31,12 +31,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, told by doc_id and text; rows without a doc_id stay, exact repeats of a row count once."""
-    classes = ngram_join.near_duplicates(docs)
-    gone = classes.where("not stays").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    """One document of each class of near duplicates, told by doc_id and text; rows without a doc_id stay.
+
+    Rows that share doc_id and text are one document, and of those the first row by the
+    JSON of all its columns stays, so reruns agree.
+    """
+    classes = keep(ngram_join.near_duplicates(docs).select("doc_id", "stays", "text_key"), "pipeline-classes")
+    told = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__told"), F.col("text_key").alias("__told_key")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     keyed = docs.withColumn("__text", F.xxhash64("text"))
-    left = keyed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__gone_key")), "left_anti")
-    return left.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    same = (F.col("doc_id") == F.col("__told")) & (F.col("__text") == F.col("__told_key"))
+    gone, repeated = told.where("not stays"), told.where("stays and n > 1")
+    if not repeated.limit(1).count():
+        return keyed.join(gone, same, "left_anti").drop("__text")
+    alone = keyed.join(told.where("not stays or n > 1"), same, "left_anti").drop("__text")
+    first = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+    return alone.unionByName(keyed.join(repeated, same, "left_semi").groupBy("doc_id", "__text").agg(first.alias("row")).select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
