@@ -2,16 +2,26 @@
 
 A replicate draws subjects with replacement. A genuine pair weighs as often as
 its subject was drawn, an impostor pair the product of its two subjects' draws.
-Pairs and replicates are never crossed as rows: a task adds, for its share of the
-pairs, one vector of replicate weights a distinct score, so what is shuffled is
-(scores x replicates) numbers a task. The draws travel with the tasks; their size
-is checked and replicates are split into passes where it would be exceeded.
+Pairs and replicates are never crossed as rows, and no one holds the draws of all
+subjects:
+
+1. Draws are made where they are needed. A ``Draws`` function gives the counts of a range of
+   subjects; ``split_draws`` halves the subjects again and again and splits each
+   replicate's draws by a binomial that the seed and the range key, so any range costs its own
+   size and every task finds the same numbers.
+2. Pairs are dealt by a block of probes and a block of references, where there is more than
+   one. A batch is sorted by score and probe; the references' draws are summed over each
+   (score, probe) cell, multiplied once by the probe's, and summed over each score.
+3. What a task has summed, a row a score and block of replicates, is summed over the tasks
+   and then finished, a group and block of replicates at a time. That last step holds the
+   distinct scores of a group.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,30 +31,65 @@ from pyspark.sql import functions as F
 from pairlight.functions import SEPARATOR
 from pairlight.operators.keyed import offsets
 from pairlight.operators.rates import FAILED
+from pairlight.scratch import keep
+
+#: Subjects of a block, replicates that are finished together, rows summed together, and bytes of sums that a task holds.
+SUBJECTS, BLOCK, ROWS, HELD = 1 << 13, 50, 1024, 128 << 20
+
+#: Counts of the subjects from low to below high, (high - low, replicates).
+Draws = Callable[[int, int], np.ndarray]
 
-#: Bytes of draws that a task may carry, and replicates that are finished together.
-DRAW_BYTES, BLOCK = 64 << 20, 50
+
+@lru_cache(maxsize=4)
+def _split(n: int, replicates: int, seed: int, low: int, high: int) -> np.ndarray:
+    out = np.zeros((high - low, replicates), np.float32)
+    ahead = [(0, n, np.full(replicates, n))]
+    while ahead:
+        a, b, total = ahead.pop()
+        if b <= low or a >= high:
+            continue
+        if b - a == 1:
+            out[a - low] = total
+            continue
+        middle = (a + b) // 2
+        left = np.random.default_rng([seed, a, b]).binomial(total, (middle - a) / (b - a))
+        ahead += [(a, middle, left), (middle, b, total - left)]
+    return out
 
 
-def numpy_draws(n: int, replicates: int, seed: int) -> np.ndarray:
-    """(subjects, replicates) draw counts by numpy's default generator, one replicate after another."""
+def split_draws(n: int, replicates: int, seed: int) -> Draws:
+    """n draws from n subjects for every replicate, by binomial splitting keyed by seed and range."""
+    return lambda low, high: _split(n, replicates, seed, low, high)
+
+
+@lru_cache(maxsize=4)
+def _sequence(n: int, replicates: int, seed: int, low: int, high: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(replicates)], axis=1) if n else np.zeros((0, replicates), int)
+    return np.stack([np.bincount(rng.integers(0, n, n), minlength=n)[low:high] for _ in range(replicates)], axis=1).astype(np.float32)
 
 
-def keyed_draws(n: int, replicates: int, seed: str) -> np.ndarray:
-    """(subjects, replicates) draw counts by keyed hashes, which other engines can repeat."""
-    out = np.zeros((n, replicates), int)
-    for r in range(replicates):
-        for k in range(n):
-            digest = hashlib.sha256(SEPARATOR.join((seed, "draw", f"{r}:{k}")).encode()).hexdigest()
-            out[int(digest[:8], 16) % n, r] += 1
-    return out
+def sequence_draws(n: int, replicates: int, seed: int) -> Draws:
+    """Draws by numpy's default generator, one replicate after another. A task goes through all of them to find its range, so this is for fewer than some million subjects."""
+    return lambda low, high: _sequence(n, replicates, seed, low, high)
+
+
+def keyed_draws(n: int, replicates: int, seed: str) -> Draws:
+    """Draws by keyed hashes, which other engines can repeat; as slow as SHA-256 of every draw."""
+
+    def ranged(low: int, high: int) -> np.ndarray:
+        out = np.zeros((n, replicates), np.float32)
+        for r in range(replicates):
+            for k in range(n):
+                digest = hashlib.sha256(SEPARATOR.join((seed, "draw", f"{r}:{k}")).encode()).hexdigest()
+                out[int(digest[:8], 16) % n, r] += 1
+        return out[low:high]
+
+    return ranged
 
 
 def subject_index(subjects: DataFrame) -> DataFrame:
-    """subject, idx: 0-based in order of the subject, numbered by ranges, so that no task holds all subjects."""
-    return offsets(subjects.select("subject").distinct(), ["subject"]).select("subject", F.col("offset").cast("int").alias("idx"))
+    """subject, idx: 0-based in order of the subject, numbered by ranges, so that no task holds all subjects; written, so that its size is known to the joins."""
+    return keep(offsets(subjects.select("subject").distinct(), ["subject"]).select("subject", F.col("offset").cast("int").alias("idx")), "subjects")
 
 
 def replicate_rates(genuine: np.ndarray, impostor: np.ndarray, scores: np.ndarray, targets: tuple[float, ...]) -> dict[str, np.ndarray]:
@@ -68,75 +113,164 @@ def replicate_rates(genuine: np.ndarray, impostor: np.ndarray, scores: np.ndarra
     return out
 
 
-def subject_bootstrap(scores: DataFrame, index: DataFrame, draws: np.ndarray, by: list[str], targets: tuple[float, ...]) -> DataFrame:
-    """by, replicate, metric, value for scores (by, kind, score, probe_subject, reference_subject).
+def _codes(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, list[tuple]]:
+    """A number for each row's group, and the groups."""
+    code, groups = np.zeros(batch.num_rows, np.int64), [()]
+    for name in names:
+        found = batch.column(name).dictionary_encode(null_encoding="encode")
+        values = found.dictionary.to_pylist()
+        code = code * len(values) + found.indices.to_numpy(zero_copy_only=False)
+        groups = [(*g, v) for g in groups for v in values]
+    return code, groups
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    change = np.zeros(len(columns[0]), bool)
+    change[0] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
-    The draws of a replicate are shared by all groups, so their differences are
-    paired. A replicate that gives a class no weight has a null value.
-    """
-    width = max(BLOCK, int(DRAW_BYTES // (8 * max(1, len(draws)))) // BLOCK * BLOCK)
-    out = None
-    for first in range(0, draws.shape[1], width):
-        part = _one_pass(scores, index, draws[:, first : first + width], first, by, targets)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def weights(probe: np.ndarray, reference: np.ndarray, genuine: np.ndarray, group: np.ndarray, score: np.ndarray, drawn: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """group, genuine, score and the sum of weights in every replicate, a part of the rows at a time; groups can come again. ``drawn`` and ``other`` are the draws that probe and reference point into."""
+    order = np.lexsort((probe, score, genuine, group))
+    for low in range(0, len(order), ROWS):
+        at = order[low : low + ROWS]
+        p, g, k, s = probe[at], genuine[at], group[at], score[at]
+        each = other[reference[at]]
+        each[g] = 1
+        cell = _runs(k, g, s, p)
+        sums = np.add.reduceat(each, cell, axis=0) * drawn[p[cell]]
+        first = _runs(k[cell], g[cell], s[cell])
+        yield k[cell][first], g[cell][first], s[cell][first], np.add.reduceat(sums, first, axis=0)
 
-def _one_pass(scores, index, draws, first, by, targets):
-    spark = scores.sparkSession
-    held = spark.sparkContext.broadcast(draws.astype(np.float64))  # at most DRAW_BYTES
+
+def subject_bootstrap(scores: DataFrame, index: DataFrame, draws: Draws, replicates: int, by: list[str], targets: tuple[float, ...], channels: tuple[str, ...] = ()) -> DataFrame:
+    """by, replicate, metric, value for scores (by, kind, score, probe_subject, reference_subject).
+
+    ``index`` (subject, idx) numbers the subjects that draws are made from. With
+    ``channels`` the table has a score column for each of them instead of score, and the result a
+    column channel. The draws of a replicate are shared by all groups, so their
+    differences are paired. A replicate that gives a class no weight has a null value.
+    """
+    columns = list(channels) or ["score"]
+    n = index.agg(F.max("idx")).first()[0]
+    n = 0 if n is None else n + 1
     keyed = scores
     for side in ("probe", "reference"):
         named = index.select(F.col("subject").alias("s"), F.col("idx").alias(f"{side}_idx"))
         keyed = keyed.join(named, F.col(f"{side}_subject") == F.col("s")).drop("s")
-    keyed = keyed.select(*by, (F.col("kind") == "genuine").alias("genuine"), F.coalesce(F.col("score").cast("double"), F.lit(FAILED)).alias("score"), "probe_idx", "reference_idx")
-    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[: len(by)]]
+    keyed = keyed.select(*by, (F.col("kind") == "genuine").alias("genuine"), *[F.coalesce(F.col(c).cast("double"), F.lit(FAILED)).alias(c) for c in columns], "probe_idx", "reference_idx")
+    if n > SUBJECTS:
+        blocks = [F.floor(F.col(f"{side}_idx") / SUBJECTS).alias(f"{side}_block") for side in ("probe", "reference")]
+        salt = F.pmod(F.xxhash64("probe_idx"), F.lit(16))
+        keyed = keyed.select("*", *blocks, salt.alias("salt")).repartition("probe_block", "reference_block", "salt").sortWithinPartitions("probe_block", "reference_block").drop("probe_block", "reference_block", "salt")
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
+    keys = [*(f"`{c}` {kinds[c]}" for c in by), *(["channel string"] if channels else [])]
+    names = [*by, *(["channel"] if channels else [])]
+    last = -(-replicates // BLOCK) * BLOCK
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
-        total: dict[tuple, np.ndarray] = {}
+        place: dict[tuple, int] = {}
+        total = np.zeros((0, last))
+
+        def rows():
+            parts = total[: len(place)].reshape(-1, BLOCK)
+            each = [k for k in place for _ in range(last // BLOCK)]
+            found = [pa.array([k[j] for k in each]) for j in range(len(names))]
+            found += [pa.array([k[-2] for k in each]), pa.array([k[-1] for k in each], pa.float64()), pa.array(list(range(last // BLOCK)) * len(place), pa.int32())]
+            return pa.RecordBatch.from_arrays([*found, pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * BLOCK, pa.int32()), pa.array(parts.ravel()))], [*names, "genuine", "score", "block", "w"])
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in by]
-            genuine, score, p, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("genuine", "score", "probe_idx", "reference_idx"))
-            values, cell = np.unique(score, return_inverse=True)
-            groups: dict[tuple, int] = {}
-            group = np.fromiter((groups.setdefault(k, len(groups)) for k in (zip(*columns) if by else [()] * len(score))), np.int64, len(score))
-            cell = (group * 2 + genuine) * len(values) + cell
-            names = list(groups)
-            for low in range(0, len(cell), 2048):
-                part = slice(low, low + 2048)
-                weight = w[p[part]] * np.where(genuine[part][:, None], 1.0, w[r[part]])
-                found, at = np.unique(cell[part], return_inverse=True)
-                sums = np.zeros((len(found), w.shape[1]))
-                np.add.at(sums, at, weight)
-                for c, s in zip(found.tolist(), sums):
-                    g, rest = divmod(c, 2 * len(values))
-                    key = (*names[g], bool(rest // len(values)), float(values[rest % len(values)]))
-                    total[key] = total[key] + s if key in total else s
-        rows = [(*k, b // BLOCK, v[b : b + BLOCK].tolist()) for k, v in total.items() for b in range(0, w.shape[1], BLOCK)]
-        if rows:
-            kinds = [batch.schema.field(c).type for c in by]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*kinds, pa.bool_(), pa.float64(), pa.int32(), pa.list_(pa.float64())])], [*by, "genuine", "score", "block", "w"])
+            if not batch.num_rows:
+                continue
+            group, groups = _codes(batch, by)
+            genuine, probe, reference = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("genuine", "probe_idx", "reference_idx"))
+            cell = probe // SUBJECTS * (n // SUBJECTS + 1) + reference // SUBJECTS
+            for here in np.unique(cell):
+                at = np.flatnonzero(cell == here)
+                ranges = [(int(b) * SUBJECTS, min(n, (int(b) + 1) * SUBJECTS)) for b in divmod(here, n // SUBJECTS + 1)]
+                drawn = [draws(*r) for r in ranges]
+                p, q = probe[at] - ranges[0][0], reference[at] - ranges[1][0]
+                for c in columns:
+                    score = batch.column(c).to_numpy(zero_copy_only=False)[at]
+                    for g, k, s, w in weights(p, q, genuine[at], group[at], score, *drawn):
+                        for row, *key in zip(w, g.tolist(), k.tolist(), s.tolist()):
+                            key = (*groups[key[0]], *([c] if channels else []), *key[1:])
+                            if key not in place:
+                                if len(place) == len(total):
+                                    total = np.concatenate([total, np.zeros((max(64, len(total)), last))])
+                                place[key] = len(place)
+                            total[place[key], : len(row)] += row
+                if total.nbytes > HELD:
+                    yield rows()
+                    place, total = {}, np.zeros((0, last))
+        if place:
+            yield rows()
 
     partial = keyed.mapInArrow(weigh, ", ".join([*keys, "genuine boolean", "score double", "block int", "w array<double>"]))
+    return _finished(_summed(partial, names), names, keys, replicates, targets)
+
+
+def _matrix(column) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, BLOCK)
+
+
+def _summed(partial: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each of names, genuine, score, block: a task adds up one after another and holds one row."""
+    keys = [*names, "genuine", "score", "block"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema
+            found = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            begin = [0, *(k for k in range(1, len(found)) if found[k] != found[k - 1])]
+            sums = np.add.reduceat(_matrix(batch.column("w")), begin, axis=0)
+            rows = [[found[k], w] for k, w in zip(begin, sums)]
+            if held is not None:
+                if held[0] == rows[0][0]:
+                    rows[0][1] = rows[0][1] + held[1]
+                else:
+                    rows.insert(0, held)
+            held = rows.pop()
+            if rows:
+                yield out(rows, kind)
+        if held is not None:
+            yield out([held], kind)
+
+    def out(rows, kind):
+        cells = list(zip(*(r[0] for r in rows)))
+        w = np.concatenate([r[1] for r in rows])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BLOCK, pa.int32()), pa.array(w))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, kind.field(n).type) for n, c in zip(keys, cells)), lists], [*keys, "w"])
+
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, partial.schema)
+
+
+def _finished(summed: DataFrame, names: list[str], keys: list[str], replicates: int, targets: tuple[float, ...]) -> DataFrame:
+    """names, replicate, metric, value from the sums of every score."""
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         score = table.column("score").to_numpy()
         grid = np.unique(np.concatenate([score, [FAILED]]))[::-1]
         at = len(grid) - 1 - np.searchsorted(grid[::-1], score)
-        weights = np.array(table.column("w").to_pylist())
-        genuine = table.column("genuine").to_numpy()
-        sums = np.zeros((2, len(grid), weights.shape[1]))
-        np.add.at(sums, (genuine.astype(int), at), weights)
         block = table.column("block")[0].as_py()
+        n = min(BLOCK, replicates - block * BLOCK)
+        sums = np.zeros((2, len(grid), n))
+        sums[table.column("genuine").to_numpy().astype(int), at] = _matrix(table.column("w"))[:, :n]
         found = replicate_rates(sums[1], sums[0], grid, targets)
-        n = weights.shape[1]
-        replicate = first + block * BLOCK + np.arange(n)
-        groups = [pa.array([k.as_py() if hasattr(k, "as_py") else k] * (n * len(found))) for k in key[: len(by)]]
+        groups = [pa.array([k.as_py() if hasattr(k, "as_py") else k] * (n * len(found))) for k in key[: len(names)]]
         values = np.concatenate(list(found.values()))
-        return pa.Table.from_arrays([*groups, pa.array(np.tile(replicate, len(found)), pa.int32()), pa.array([m for m in found for _ in range(n)]), pa.array(values, mask=np.isnan(values))], names=[*by, "replicate", "metric", "value"])
+        replicate = block * BLOCK + np.arange(n)
+        return pa.Table.from_arrays([*groups, pa.array(np.tile(replicate, len(found)), pa.int32()), pa.array([m for m in found for _ in range(n)]), pa.array(values, mask=np.isnan(values))], names=[*names, "replicate", "metric", "value"])
 
-    return partial.groupBy(*by, "block").applyInArrow(finish, ", ".join([*keys, "replicate int", "metric string", "value double"]))
+    return summed.groupBy(*names, "block").applyInArrow(finish, ", ".join([*keys, "replicate int", "metric string", "value double"]))
 
 
 def intervals(values: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
