@@ -1,179 +1,163 @@
-"""Matchers: scores of image pairs from their features.
-
-Features are one row an image. A pair list is joined to both images' features and
-scored in Arrow batches; pairs are dealt by probe, so a probe's rows arrive
-together and its side of the distance matrix is prepared once.
+"""Scores of image pairs from their descriptors: mutual nearest neighbours with a ratio test.
+
+Descriptors are rows (image_id, row_id, vector). A pair of images is compared in blocks
+of at most ``BLOCK`` descriptors a side: a task takes one block against another
+and gives, for each row of both, its two nearest of the other side. These pairs of
+nearest are combined over the blocks, by a rank that Spark cuts to two before it
+shuffles, and that two rows are each other's nearest is a join. So no row and no task
+holds an image, however many descriptors it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RATIO = 0.7
-#: Cells of a distance matrix that are held at once.
-CELLS = 4_000_000
-
+from pairlight.operators.keyed import offsets
+from pairlight.scratch import keep
 
-class Matcher(Protocol):
-    """What a matcher gives: a score for two feature arrays, or None if they cannot be compared."""
-
-    def __call__(self, probe: np.ndarray, reference: np.ndarray) -> float | None: ...
+RATIO = 0.7
+#: Descriptors of a block, and images that are listed together.
+BLOCK, LISTED = 512, 64
+_PAIR = ["probe_image_id", "reference_image_id"]
+#: Distances of a matrix product are rounded; what lies this close to the second is computed again from the difference.
+_CLOSE = 1e-6
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
 
 
-def _nearest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its nearest column, that distance and the second (infinite with one column)."""
-    at = d.argmin(1)
-    rows = np.arange(len(d))
-    best = d[rows, at]
-    if d.shape[1] < 2:
-        return at, best, np.full(len(d), np.inf)
-    masked = d.copy()
-    masked[rows, at] = np.inf
-    return at, best, masked.min(1)
+def two_nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of a, row of b, squared distance of the two nearest of every row of a; of equally near ones the first."""
+    d = squared_distances(a, b)
+    second = np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else d[:, 0]
+    size = (a * a).sum(1) + (b * b).sum(1).max()
+    i, j = np.nonzero(d <= (second + _CLOSE * (size + 1e-300))[:, None])
+    exact = np.concatenate([((a[i[k : k + 65536]] - b[j[k : k + 65536]]) ** 2).sum(1) for k in range(0, len(i), 65536)])
+    order = np.lexsort((j, exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < 2], j[place < 2], exact[place < 2]
+
+
+def _nearest_in_blocks(rows: DataFrame) -> DataFrame:
+    """pair, side, id, other, d: the two nearest of each row, of each pair of blocks. ``rows`` has the pair, both blocks, side, id, vector."""
+    keys = [*_PAIR, "probe_block", "reference_block"]
+
+    def close(key, sides):
+        ids, vectors = zip(*((np.array(s[0], np.int64), np.concatenate(s[1])) for s in sides))
+        out = []
+        for side, at, to in ((0, 0, 1), (1, 1, 0)):
+            i, j, d = two_nearest(vectors[at], vectors[to])
+            out.append((np.full(len(i), side), ids[at][i], ids[to][j], d))
+        side, one, other, d = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([*(pa.array([k] * len(d), pa.string()) for k in key[:2]), pa.array(side, pa.int32()), pa.array(one), pa.array(other), pa.array(d)], [*_PAIR, "side", "id", "other", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, None
+        for batch in batches:
+            found = list(zip(*(batch.column(c).to_pylist() for c in [*keys, "side"])))
+            ids, vectors = batch.column("id").to_pylist(), batch.column("vector")
+            at = 0
+            while at < len(found):
+                to = at + 1
+                while to < len(found) and found[to] == found[at]:
+                    to += 1
+                if found[at][:4] != key:
+                    if key is not None and sides[0][0] and sides[1][0]:
+                        yield close(key, sides)
+                    key, sides = found[at][:4], (([], []), ([], []))
+                part = vectors.slice(at, to - at)
+                held = sides[found[at][4]]
+                held[0].extend(ids[at:to])
+                held[1].append(part.flatten().to_numpy(zero_copy_only=False).reshape(to - at, -1))
+                at = to
+        if key is not None and sides[0][0] and sides[1][0]:
+            yield close(key, sides)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "id")
+    return dealt.mapInArrow(run, "probe_image_id string, reference_image_id string, side int, id long, other long, d double")
 
 
-def mutual_ratio_score(probe: np.ndarray, reference: np.ndarray, ratio: float = RATIO) -> int:
-    """How many rows are each other's nearest and clearly so, on squared distances, in both directions.
+def mutual_matches(pairs: DataFrame, descriptors: DataFrame, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
+    """probe_image_id, reference_image_id, probe_row, reference_row, d: rows that are each other's nearest and clearly so.
 
-    Where a side has one row there is no second neighbour and only mutuality counts; an empty side scores 0.
+    Clearly: ``d`` is below ``ratio`` times the second distance, in both directions.
+    Where a side has one row there is no second and only mutuality counts. Of
+    equally near rows the smallest row_id is the nearest. pairs: probe_image_id,
+    reference_image_id, each once. descriptors: image_id, row_id, vector.
     """
-    if not len(probe) or not len(reference):
-        return 0
-    across, best_a, second_a = _nearest(squared_distances(probe.astype(np.float64), reference.astype(np.float64)))
-    back, best_b, second_b = _nearest(squared_distances(reference.astype(np.float64), probe.astype(np.float64)))
-    mutual = back[across] == np.arange(len(probe))
-    if min(len(probe), len(reference)) > 1:
-        mutual &= (best_a < ratio * second_a) & (best_b < ratio * second_b)[across]
-    return int(mutual.sum())
-
-
-def batched_scores(probe: np.ndarray, references: list[np.ndarray], ratio: float = RATIO, cells: int = CELLS) -> list[int]:
-    """mutual_ratio_score of one probe against many references, one matrix product a group of references of bounded size."""
-    out: list[int] = []
-    at = 0
-    while at < len(references):
-        to, width = at, 0
-        while to < len(references) and (to == at or (width + len(references[to])) * max(1, len(probe)) <= cells):
-            width += len(references[to])
-            to += 1
-        group = references[at:to]
-        filled = [r for r in group if len(r)]
-        whole = squared_distances(probe.astype(np.float64), np.concatenate(filled).astype(np.float64)) if filled and len(probe) else None
-        low = 0
-        for r in group:
-            if whole is None or not len(r):
-                out.append(0)
-                continue
-            d = whole[:, low : low + len(r)]
-            low += len(r)
-            across, best_a, second_a = _nearest(d)
-            back, best_b, second_b = _nearest(d.T)
-            keep = back[across] == np.arange(len(probe))
-            if min(len(r), len(probe)) > 1:
-                keep &= (best_a < ratio * second_a) & (best_b < ratio * second_b)[across]
-            out.append(int(keep.sum()))
-        at = to
-    return out
-
-
-def affine_inliers(source: np.ndarray, target: np.ndarray, seed: int, trials: int = 100, residual: float = 2.0) -> int:
-    """Most matches that one affine map explains, from seeded samples of three."""
-    n = len(source)
-    if n < 3:
-        return 0
-    rng = np.random.default_rng(seed)
-    ones = np.column_stack([source, np.ones(n)])
-    best = 0
-    for _ in range(trials):
-        pick = rng.choice(n, 3, replace=False)
-        try:
-            map_ = np.linalg.solve(ones[pick], target[pick])
-        except np.linalg.LinAlgError:
-            continue
-        best = max(best, int((np.hypot(*(ones @ map_ - target).T) < residual).sum()))
-    return best
-
-
-def window_match_score(probe: tuple[np.ndarray, np.ndarray], reference: tuple[np.ndarray, np.ndarray], weights: np.ndarray, seed: int) -> int | None:
-    """Corner matcher: each probe corner takes the reference corner with the least weighted squared window difference; the score is the affine consensus, None where a side has no corner."""
-    (points_a, windows_a), (points_b, windows_b) = probe, reference
-    if not len(points_a) or not len(points_b):
-        return None
-    root = np.sqrt(weights).ravel()
-    d = squared_distances(windows_a.reshape(len(points_a), -1) * root, windows_b.reshape(len(points_b), -1) * root)
-    return affine_inliers(points_a, points_b[d.argmin(1)], seed)
-
-
-def moving_affine(source: np.ndarray, target: np.ndarray, queries: np.ndarray, prior: np.ndarray, sigma: float, strength: float = 1e-6) -> np.ndarray:
-    """Moving least squares: at each query an affine map weighted by nearness, pulled towards ``prior`` (3x2)."""
-    ones = np.column_stack([source, np.ones(len(source))])
-    asked = np.column_stack([queries, np.ones(len(queries))])
-    weight = np.exp(-squared_distances(queries.astype(float), source.astype(float)) / (2 * sigma * sigma))
-    normal = np.einsum("qn,ni,nj->qij", weight, ones, ones) + strength * np.eye(3)
-    right = np.einsum("qn,ni,nk->qik", weight, ones, target) + strength * prior
-    return np.einsum("qi,qik->qk", asked, np.linalg.solve(normal, right))
-
-
-def semi_hard_triplet_loss(labels: np.ndarray, embeddings: np.ndarray, margin: float = 1.0) -> float:
-    """Mean over anchor-positive pairs of the hinge against the nearest negative beyond the positive, else the farthest negative."""
-    d = squared_distances(embeddings, embeddings)
-    same = labels[:, None] == labels[None, :]
-    losses = []
-    for a, p in zip(*np.nonzero(same & ~np.eye(len(labels), dtype=bool))):
-        negatives = d[a][~same[a]]
-        beyond = negatives[negatives > d[a, p]]
-        chosen = beyond.min() if len(beyond) else negatives.max(initial=0.0)
-        losses.append(max(0.0, margin + d[a, p] - chosen))
-    return float(np.mean(losses)) if losses else 0.0
-
-
-def score_pairs(pairs: DataFrame, features: DataFrame, compare: Callable[[np.ndarray, list[np.ndarray]], list] = batched_scores) -> DataFrame:
-    """``pairs`` with status, reason, score.
-
-    features: image_id, descriptors (array<array<float>>). A pair with an image
-    that has no features fails with a null score; it is kept.
+    sizes = keep(descriptors.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "descriptor-sizes")
+    placed = descriptors.join(sizes, "image_id").select("image_id", F.col("row_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int").alias("own"))
+    listed = pairs.select(*_PAIR)
+    for side in ("probe", "reference"):
+        named = sizes.select(F.col("image_id").alias(f"{side}_image_id"), F.col("blocks").alias(f"{side}_blocks"))
+        listed = listed.join(named, f"{side}_image_id")
+    rows = None
+    for k, (side, other) in enumerate((("probe", "reference"), ("reference", "probe"))):
+        met = listed.join(placed.withColumnRenamed("image_id", f"{side}_image_id"), f"{side}_image_id")
+        met = met.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))).withColumn(f"{side}_block", F.col("own"))
+        part = met.select(*_PAIR, "probe_block", "reference_block", F.lit(k).alias("side"), "id", "vector")
+        rows = part if rows is None else rows.unionByName(part)
+    near = _nearest_in_blocks(rows)
+    group = Window.partitionBy(*_PAIR, "side", "id").orderBy("d", "other")
+    two = near.withColumn("rank", F.row_number().over(group)).where("rank <= 2")
+    best = two.groupBy(*_PAIR, "side", "id").agg(F.min(F.struct("d", "other")).alias("b"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("second"))
+    best = keep(best.select(*_PAIR, "side", "id", "b.d", "b.other", "second"), "nearest")
+    p = best.where("side = 0").select(*_PAIR, F.col("id").alias("probe_row"), F.col("other").alias("reference_row"), "d", F.col("second").alias("second_p"))
+    r = best.where("side = 1").select(*_PAIR, F.col("other").alias("probe_row"), F.col("id").alias("reference_row"), F.col("second").alias("second_r"))
+    clear = F.col("second_p").isNull() | F.col("second_r").isNull() | ((F.col("d") < ratio * F.col("second_p")) & (F.col("d") < ratio * F.col("second_r")))
+    return p.join(r, [*_PAIR, "probe_row", "reference_row"]).where(clear).select(*_PAIR, "probe_row", "reference_row", "d")
+
+
+def score_pairs(pairs: DataFrame, descriptors: DataFrame, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
+    """``pairs`` with status, reason, score: the number of mutual matches.
+
+    A pair with an image that has no descriptors fails with a null score; it is kept.
     """
+    counts = mutual_matches(pairs.select(*_PAIR).distinct(), descriptors, ratio, block).groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("matched"))
+    there = descriptors.select("image_id").distinct()
     for side in ("probe", "reference"):
-        named = features.select(F.col("image_id").alias("i"), F.col("descriptors").alias(f"{side}_rows"))
-        pairs = pairs.join(named, F.col(f"{side}_image_id") == F.col("i"), "left").drop("i")
-    kept = [c for c in pairs.columns if not c.endswith("_rows")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in kept) + ", status string, reason string, score double"
+        pairs = pairs.join(there.select(F.col("image_id").alias(f"{side}_image_id"), F.lit(True).alias(f"has_{side}")), f"{side}_image_id", "left")
+    found = F.col("has_probe").isNotNull() & F.col("has_reference").isNotNull()
+    joined = pairs.join(counts, _PAIR, "left")
+    kept = [c for c in pairs.columns if not c.startswith("has_")]
+    return joined.select(*kept, F.when(found, "ok").otherwise("failed").alias("status"), F.when(found, "").otherwise("no features").alias("reason"), F.when(found, F.coalesce("matched", F.lit(0)).cast("double")).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            probe, reference = (batch.column(f"{s}_rows") for s in ("probe", "reference"))
-            ids = batch.column("probe_image_id").to_pylist()
-            scores: list[float | None] = [None] * batch.num_rows
-            at = 0
-            while at < batch.num_rows:  # rows of one probe stand together
-                to = at
-                while to < batch.num_rows and ids[to] == ids[at]:
-                    to += 1
-                good = [k for k in range(at, to) if probe[k].is_valid and reference[k].is_valid]
-                if good:
-                    rows = np.array(probe[at].as_py(), np.float64)
-                    for k, s in zip(good, compare(rows, [np.array(reference[k].as_py(), np.float64) for k in good])):
-                        scores[k] = None if s is None else float(s)
-                at = to
-            status = ["failed" if s is None else "ok" for s in scores]
-            reason = ["no features" if s is None else "" for s in scores]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(status), pa.array(reason), pa.array(scores, pa.float64())], [*kept, "status", "reason", "score"])
 
-    dealt = pairs.repartition("probe_image_id").sortWithinPartitions("probe_image_id")
-    return dealt.mapInArrow(run, schema)
+def every_pair(probes: DataFrame, references: DataFrame, listed: int = LISTED) -> DataFrame:
+    """probe_image_id, reference_image_id: every probe with every reference, which a closed study lists; references are met in blocks of their order."""
+    placed = keep(offsets(references.select(F.col("image_id").alias("reference_image_id")), ["reference_image_id"]), "references")
+    blocks = placed.agg((F.floor(F.max("offset") / listed) + 1).alias("n")).first()["n"] or 0
+    each = probes.select(F.col("image_id").alias("probe_image_id"), F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))).alias("block")) if blocks else probes.select(F.col("image_id").alias("probe_image_id"), F.lit(-1).alias("block"))
+    return each.join(placed.select("reference_image_id", F.floor(F.col("offset") / listed).cast("int").alias("block")), "block").select(*_PAIR)
 
 
 def differing_features(a: DataFrame, b: DataFrame, column: str = "descriptors") -> DataFrame:
     """image_ids whose features differ between two runs or are in one only."""
     left, right = a.select("image_id", F.col(column).alias("x")), b.select("image_id", F.col(column).alias("y"))
     return left.join(right, "image_id", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("image_id")
+
+
+def resolved_features(images: DataFrame, tables: list[tuple[str, DataFrame]], order: dict[str, list[str]]) -> DataFrame:
+    """``images`` with source and the columns of its feature row: the first table, in the order that its set has, that knows the image.
+
+    ``tables``: name and table (image_id and the same feature columns in each, an
+    image once). ``order``: names for each set code; a set without an order has no
+    features. All tables are gone over once, in one aggregation of priorities.
+    """
+    ranked = [(code, name, k) for code, names in order.items() for k, name in enumerate(names)]
+    rows = None
+    for name, table in tables:
+        part = table.select("image_id", F.lit(name).alias("source"), F.struct(*[c for c in table.columns if c != "image_id"]).alias("f"))
+        rows = part if rows is None else rows.unionByName(part)
+    place = F.lit(None).cast("int")
+    for code, name, k in ranked:
+        place = F.when((F.substring("image_id", 1, 1) == code) & (F.col("source") == name), k).otherwise(place)
+    first = rows.withColumn("place", place).where("place is not null").groupBy("image_id").agg(F.min_by(F.struct("source", "f"), "place").alias("x"))
+    return images.join(first, "image_id", "left").select(*[images[c] for c in images.columns], "x.source", "x.f.*")

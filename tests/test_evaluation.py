@@ -26,20 +26,45 @@ def naive_bootstrap(rows, draws, targets):
     return out
 
 
-def test_bootstrap_equals_naive(spark, monkeypatch):
+def test_bootstrap_equals_naive(spark):
     r, n = np.random.default_rng(4), 9
     rows = [("genuine", int(r.integers(3, 12)) if r.random() > 0.1 else None, k % n, k % n) for k in range(60)]
     rows += [("impostor", int(r.integers(0, 8)) if r.random() > 0.1 else None, int(a), int(b)) for a, b in r.integers(0, n, (200, 2)) if a != b]
     df = spark.createDataFrame([(k, None if s is None else float(s), f"{p}", f"{q}") for k, s, p, q in rows], "kind string, score double, probe_subject string, reference_subject string").withColumn("algorithm", F.lit("x")).repartition(3)
     index = bootstrap.subject_index(spark.createDataFrame([(f"{k}",) for k in range(n)], "subject string"))
-    draws = bootstrap.numpy_draws(n, 70, 5)
-    assert (draws.sum(0) == n).all()
-    want = naive_bootstrap(rows, draws, (0.1,))
-    got = bootstrap.subject_bootstrap(df, index, draws, ["algorithm"], (0.1,)).collect()
-    assert len(got) == 140 and all(abs(x.value - want[x.replicate, x.metric]) < 1e-9 for x in got)
-    monkeypatch.setattr(bootstrap, "DRAW_BYTES", 1)  # more than one pass
-    again = bootstrap.subject_bootstrap(df, index, draws, ["algorithm"], (0.1,)).collect()
-    assert sorted((x.replicate, x.metric, round(x.value, 9)) for x in got) == sorted((x.replicate, x.metric, round(x.value, 9)) for x in again)
+    for make in (bootstrap.split_draws, bootstrap.sequence_draws):
+        draws = make(n, 70, 5)
+        whole = draws(0, n)
+        assert (whole.sum(0) == n).all() and all((draws(a, a + 4) == whole[a : a + 4]).all() for a in range(6))
+        want = naive_bootstrap(rows, whole, (0.1,))
+        got = bootstrap.subject_bootstrap(df, index, draws, 70, ["algorithm"], (0.1,)).collect()
+        assert len(got) == 140 and all(abs(x.value - want[x.replicate, x.metric]) < 1e-9 for x in got)
+    two = df.withColumnRenamed("score", "one").withColumn("two", 12 - F.col("one"))
+    wide = bootstrap.subject_bootstrap(two, index, draws, 70, ["algorithm"], (0.1,), ("one", "two")).collect()
+    assert {(x.replicate, x.metric): x.value for x in wide if x.channel == "one"} == {(x.replicate, x.metric): x.value for x in got} and len(wide) == 280
+
+
+def test_bootstrap_in_blocks_of_subjects(spark, monkeypatch):
+    """Subjects in blocks, sums in parts, and tasks that give up what they hold: the same numbers."""
+    r, n = np.random.default_rng(9), 23
+    rows = [("genuine", float(r.integers(0, 9)), int(k), int(k)) for k in range(n)] + [("impostor", float(r.integers(0, 6)), int(a), int(b)) for a, b in r.integers(0, n, (300, 2)) if a != b]
+    df = spark.createDataFrame([(k, s, f"{p:02d}", f"{q:02d}") for k, s, p, q in rows], "kind string, score double, probe_subject string, reference_subject string").repartition(3)
+    index = bootstrap.subject_index(df.select(F.explode(F.array("probe_subject", "reference_subject")).alias("subject")))
+    draws = bootstrap.split_draws(n, 60, 2)
+    want = naive_bootstrap(rows, draws(0, n), (0.2,))
+    for name, value in (("SUBJECTS", 5), ("ROWS", 7), ("HELD", 1)):
+        monkeypatch.setattr(bootstrap, name, value)
+    got = bootstrap.subject_bootstrap(df, index, draws, 60, [], (0.2,)).collect()
+    assert len(got) == 120 and all(abs(x.value - want[x.replicate, x.metric]) < 1e-9 for x in got)
+
+
+def test_split_draws_are_those_of_a_bootstrap():
+    """Mean, variance and covariance of the counts are those of n draws from n subjects."""
+    n, r = 40, 20_000
+    w = bootstrap.split_draws(n, r, 11)(0, n).astype(float)
+    assert (w.sum(0) == n).all() and np.abs(w.mean(1) - 1).max() < 0.04
+    cov = np.cov(w)
+    assert np.abs(np.diag(cov) - (1 - 1 / n)).max() < 0.06 and np.abs(cov[~np.eye(n, dtype=bool)] + 1 / n).max() < 0.04
 
 
 def test_intervals_and_differences(spark):
@@ -100,45 +125,31 @@ def naive_matches(a, b, ratio):
     return count
 
 
-def test_mutual_matches(spark):
+@pytest.mark.parametrize("block", [512, 7])
+def test_mutual_matches_in_blocks(spark, block):
+    """Images of no, one and many descriptors, equal ones among them, whole and in blocks."""
     r = np.random.default_rng(3)
-    a, b = r.normal(size=(300, 128)), r.normal(size=(250, 128))
-    b[:100] = a[:100] + r.normal(size=(100, 128)) * 0.05
-    assert matching.mutual_ratio_score(a, b) == naive_matches(a, b, 0.7) >= 100
-    for n in (150, 1):
-        probe = r.normal(size=(n, 16))
-        refs = [r.normal(size=(k, 16)) for k in (90, 0, 1, 200, 2, 140)]
-        refs[3][:n] = probe[: len(refs[3])] + 0.01
-        want = [matching.mutual_ratio_score(probe, x) for x in refs]
-        assert matching.batched_scores(probe, refs) == matching.batched_scores(probe, refs, cells=500) == want
-        assert want == [naive_matches(probe, x, 0.7) if len(x) else 0 for x in refs]
-
-
-def test_score_pairs_keeps_failures(spark):
-    features = spark.createDataFrame([("a", [[0.0, 1.0], [5.0, 5.0]]), ("b", [[0.1, 1.0], [9.0, 1.0]])], "image_id string, descriptors array<array<float>>")
-    listed = spark.createDataFrame([("a", "b"), ("a", "none")], "probe_image_id string, reference_image_id string")
-    got = {r.reference_image_id: (r.status, r.score) for r in matching.score_pairs(listed, features).collect()}
-    assert got["none"] == ("failed", None) and got["b"][0] == "ok" and got["b"][1] >= 1
+    sizes = {"a": 60, "b": 45, "c": 1, "d": 2, "e": 33}
+    images = {k: r.normal(size=(n, 8)) for k, n in sizes.items()}
+    images["b"][:20] = images["a"][:20] + r.normal(size=(20, 8)) * 0.05
+    images["e"][:10] = images["a"][5:15]
+    images["e"][10:14] = images["e"][0]  # ties
+    images["d"][0] = images["a"][3] + 0.01
+    rows = [(k, i, v.tolist()) for k, x in images.items() for i, v in enumerate(x)]
+    descriptors = spark.createDataFrame(rows, "image_id string, row_id int, vector array<double>").repartition(3)
+    names = [*images, "none"]
+    listed = matching.every_pair(*[spark.createDataFrame([(n,) for n in names], "image_id string")] * 2, listed=2)
+    got = {(x.probe_image_id, x.reference_image_id): (x.status, x.score) for x in matching.score_pairs(listed, descriptors, 0.7, block).collect()}
+    assert len(got) == len(names) ** 2
+    for (p, q), (status, score) in got.items():
+        assert (status, score) == (("failed", None) if "none" in (p, q) else ("ok", naive_matches(images[p], images[q], 0.7)))
+    assert got["a", "b"][1] >= 20 and got["a", "a"][1] == 60
+    features = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "image_id string, descriptors array<double>")
     assert matching.differing_features(features, features.where("image_id = 'a'")).count() == 1
 
 
-def test_geometry():
-    r = np.random.default_rng(7)
-    points = r.uniform(0, 200, (60, 2))
-    affine = np.array([[1.1, -0.2], [0.15, 0.9], [12.0, -7.0]])
-    target = np.column_stack([points, np.ones(60)]) @ affine
-    assert np.abs(matching.moving_affine(points, target, points[:9], affine, 40.0) - target[:9]).max() < 1e-3
-    target[:20] += r.uniform(50, 90, (20, 2))
-    assert matching.affine_inliers(points, target, 1) == 40
-    x = r.normal(size=(12, 8))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    labels, d, losses = np.repeat(np.arange(6), 2), matching.squared_distances(x, x), []
-    for a in range(12):
-        p = a ^ 1
-        negatives = [d[a, k] for k in range(12) if labels[k] != labels[a]]
-        beyond = [v for v in negatives if v > d[a, p]]
-        losses.append(max(0, 1 + d[a, p] - (min(beyond) if beyond else max(negatives))))
-    assert np.isclose(matching.semi_hard_triplet_loss(labels, x), np.mean(losses))
-    windows = r.normal(size=(40, 5, 5))
-    assert matching.window_match_score((points[:40], windows), (points[:40] + 3, windows), np.ones((5, 5)), 2) == 40
-    assert matching.window_match_score((points[:0], windows[:0]), (points, windows), np.ones((5, 5)), 2) is None
+def test_resolved_features(spark):
+    images = spark.createDataFrame([(i,) for i in ("Q_1", "Q_2", "Q_3", "V_1", "X_1")], "image_id string")
+    tables = [(name, spark.createDataFrame(rows, "image_id string, n int, x double")) for name, rows in (("full", [("V_1", 1, 0.5), ("Q_1", 9, 9.0)]), ("method", [("Q_1", 2, 1.5), ("V_1", 8, 8.0)]), ("plain", [("Q_1", 3, 2.5), ("Q_2", 4, 3.5), ("X_1", 7, 7.0)]))]
+    got = {r.image_id: (r.source, r.n, r.x) for r in matching.resolved_features(images, tables, {"Q": ["method", "plain"], "V": ["full"]}).collect()}
+    assert got == {"Q_1": ("method", 2, 1.5), "Q_2": ("plain", 4, 3.5), "Q_3": (None, None, None), "V_1": ("full", 1, 0.5), "X_1": (None, None, None)}
