@@ -36,7 +36,8 @@ def build(images: DataFrame, checksums: DataFrame, exclusions: DataFrame, partic
     images: set, name, sha256, width, height, bit_depth, ppi_x, ppi_y.
     checksums: set, name, listed. exclusions: set, subject, frgp, decision, reason.
     participants: id, collection_day. sets: set, capture_label, impression,
-    device_model, directory. A file that does not belong to its set is an error.
+    device_model, directory. A file that does not belong to its set is an error, and so
+    is an exclusion that names no image.
     """
     fields = images.withColumn("f", parse_file_name(F.col("name"))).join(sets, "set")
     fits = (F.col("f.device") == F.col("set")) & (F.col("f.capture") == F.col("capture_label")) & (F.col("f.ppi") == NATIVE_PPI)
@@ -54,11 +55,15 @@ def build(images: DataFrame, checksums: DataFrame, exclusions: DataFrame, partic
         F.when(F.col("known").isNull(), F.lit("subject missing from participants.csv")),
     )
     out = joined.withColumn("checksum", checksum).withColumn("exclusion_reason", reasons)
-    return out.select(
+    made = out.select(
         image_id(F.col("set"), F.col("subject"), F.col("frgp")).alias("image_id"), "set", "subject", "frgp", "impression", "capture_label", "device_model",
         F.concat_ws("/", "directory", F.lit("png"), "name").alias("relpath"), "width", "height", "bit_depth", "ppi_x", "ppi_y", "sha256", "checksum",
         F.coalesce("collection_day", F.lit("")).alias("collection_day"), (F.col("exclusion_reason") != "").cast("int").alias("excluded"), "exclusion_reason",
     )
+    stray = unmatched_exclusions(exclusions, rows).agg(F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(" ", "set", "subject", F.col("frgp").cast("string"))).alias("one"))
+    # a filter, so that pruning columns cannot drop the check
+    wrong = stray.where(F.when(F.col("n") > 0, F.raise_error(F.concat_ws(" ", F.lit("exclusions that name no image:"), F.col("n").cast("string"), F.lit("of them, the first"), "one")).cast("boolean")).otherwise(False))
+    return made.unionByName(wrong.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema.fields]))
 
 
 def missing_files(checksums: DataFrame, images: DataFrame) -> DataFrame:

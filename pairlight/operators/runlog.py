@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlight.scratch import keep
+
 LOG = "stage string, chunk long, count long, first string, last string, expected_s double, started double, finished double"
 RECENT_S = 7200
 #: Chunks whose hashes are hashed together.
@@ -81,6 +83,40 @@ def log_rows(done: DataFrame, started: float, finished: float) -> DataFrame:
     return chunk_heads(done).select("*", F.lit(float(started)).alias("started"), F.lit(float(finished)).alias("finished"))
 
 
+def checked_results(results: DataFrame, plan: DataFrame) -> DataFrame:
+    """``results`` (stage, chunk, pos, item and others); chunks whose results are not the plan's items, each once and in its place, are an error."""
+    told = results.select("stage", "chunk", "pos", "item").groupBy("stage", "chunk", "pos", "item").agg(F.count(F.lit(1)).alias("n"))
+    asked = plan.join(results.select("stage", "chunk").distinct(), ["stage", "chunk"], "left_semi").select("stage", "chunk", "pos", F.col("item").alias("wanted"))
+    met = told.join(asked, ["stage", "chunk", "pos"], "full_outer")
+    bad = met.where("item is null or wanted is null or item != wanted or n > 1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("stage", "chunk")).alias("one"))
+    # a filter, so that pruning columns cannot drop the check
+    wrong = bad.where(F.when(F.col("n") > 0, F.raise_error(F.concat_ws(" ", F.lit("results do not match the plan, first in"), "one.stage", F.col("one.chunk").cast("string"))).cast("boolean")).otherwise(False))
+    return results.unionByName(wrong.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in results.schema.fields]))
+
+
+def commit(results: DataFrame, plan: DataFrame, path: str, log_path: str, started: float, finished: float) -> None:
+    """Write the results of whole chunks and then their log rows.
+
+    A chunk is a partition of both tables and a write replaces the partitions that it
+    has rows for. Committing a chunk again, or once more after a failure between the two
+    writes, leaves one copy of it; chunks without a log row count as not done. The
+    results are checked against the plan before anything is replaced.
+    """
+    spark = results.sparkSession
+    held = keep(checked_results(results, plan), "chunk-results")
+    write = lambda df, to: df.repartition("stage", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "chunk").parquet(to)
+    write(held, path)
+    done = plan.join(held.select("stage", "chunk").distinct(), ["stage", "chunk"], "left_semi")
+    write(log_rows(done, started, finished), log_path)
+    spark.catalog.refreshByPath(path)
+
+
+def committed(spark, path: str, log_path: str, schema: str) -> DataFrame:
+    """The results of all chunks that have a log row; ``schema`` is that of the results."""
+    results, log = spark.read.schema(schema).parquet(path), spark.read.schema(LOG).parquet(log_path)
+    return results.join(log.select("stage", "chunk"), ["stage", "chunk"], "left_semi")
+
+
 def stage_results(results: DataFrame, log: DataFrame) -> DataFrame:
     """Result rows of logged chunks, of the attempt that the log names."""
     return results.join(log.select("stage", "chunk", "started"), ["stage", "chunk", "started"], "left_semi")

@@ -29,8 +29,31 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("score", F.when(F.col("status") == "ok", F.expr("try_cast(score AS DOUBLE)")))
 
 
+_ORDER = ["scenario", "frgp", "probe_image_id", "reference_image_id"]
+
+
+def write_scores(pairs: DataFrame, compact: DataFrame, path: str, files: int | None = None) -> None:
+    """The score table in order of scenario, position, probe and reference, with ``compact``: whether a pair is among ``compact`` (pair_id).
+
+    ``pairs`` has the columns of SCORES but compact. Rows are dealt by range and a
+    file's number is its place, so the files in order of their names are the table in
+    order and nothing is gathered; there is no header, so they can be put together
+    whatever their number. Refuses to overwrite.
+    """
+    marked = pairs.join(compact.select("pair_id", F.lit(1).alias("compact")).distinct(), "pair_id", "left").withColumn("compact", F.coalesce("compact", F.lit(0)))
+    columns = [c.split(" ")[0] for c in SCORES.split(", ")]
+    dealt = marked.repartitionByRange(files, *_ORDER) if files else marked.repartitionByRange(*_ORDER)
+    dealt.sortWithinPartitions(*_ORDER).select(*columns).write.mode("errorifexists").csv(path, header=False, lineSep="\n", emptyValue="")
+
+
+def read_written_scores(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_scores`` has written; a status other than ok or an empty score is a null score."""
+    raw = spark.read.schema(SCORES).csv(path, header=False)
+    return raw.withColumn("score", F.when(F.col("status") == "ok", F.expr("try_cast(score AS DOUBLE)")))
+
+
 def read_ordered_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """The manifest rows that a listing names, with pos: their place in it."""
+    """The manifest rows that a listing names, with pos: their place in it. A listing names a sample and is read as one row, up to some million lines."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("pos", "line")).where("pos > 0")
     listed = lines.select("pos", F.split_part("line", F.lit(","), F.lit(1)).alias("image_id"))
     return listed.join(manifest, "image_id")

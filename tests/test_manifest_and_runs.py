@@ -28,8 +28,8 @@ def test_png_header():
 
 def test_file_names(spark):
     of = lambda n: spark.createDataFrame([(n,)], "n string").select(manifests.parse_file_name(F.col("n")).alias("f")).first().f
-    assert tuple(of("00002302_U_1000_roll_07.png")) == ("00002302", "U", 1000, "roll", 7)
-    for bad in ("2302_U_1000_roll_07.png", "00002302_u_1000_roll_07.png", "00002302_U_1000_roll_07.jpg"):
+    assert tuple(of("90417755_J_500_palm_10.png")) == ("90417755", "J", 500, "palm", 10)
+    for bad in ("90417755_J_500_palm_1.png", "90417755-J-500-palm-10.png", "x90417755_J_500_palm_10.png", "90417755_J_500_palm_10.png.bak", "90417755_J__palm_10.png", ""):
         with pytest.raises(Exception, match="not an image file name"):
             of(bad)
 
@@ -58,6 +58,9 @@ def test_manifest_from_files(spark, tmp_path):
     assert m["U_00000003_01"].exclusion_reason.endswith("subject missing from participants.csv") and m["U_00000003_01"].relpath == "dir/png/00000003_U_1000_roll_01.png"
     assert [r.name for r in manifests.missing_files(listed, found).collect()] == ["00000009_U_1000_roll_01.png"]
     assert manifests.unmatched_exclusions(exclusions, manifests.build(found, listed, exclusions, people, sets)).count() == 0
+    stray = spark.createDataFrame([("U", "00000002", 9, "C9", "smudged", "x")], sources.EXCLUSIONS)
+    with pytest.raises(Exception, match="name no image"):
+        manifests.build(found, listed, exclusions.union(stray), people, sets).select("set").collect()
     with pytest.raises(Exception, match="duplicate exclusion"):
         manifests.build(found, listed, exclusions.union(exclusions), people, sets).collect()
     with pytest.raises(Exception, match="does not belong"):
@@ -129,3 +132,77 @@ def test_forecast(spark):
     total = runlog.overall(runlog.progress(heads, log, stages, 1e6, 1)).first()
     assert total.remaining_s == pytest.approx(2 * left) and 0 < total.percent < 100
     assert runlog.runtime(log).first()["items"] == 30
+
+
+def test_headers_are_read_without_the_pixels(spark, tmp_path):
+    """Bytes read: a first look at each file, and the whole of it only for a digest."""
+    import hashlib
+
+    data = png() [:-12] + struct.pack(">I", 3_000_000) + b"tEXt" + bytes(3_000_004) + png()[-12:]
+    late = png(5)[:33] + struct.pack(">I4s", 2000, b"tEXt") + bytes(2004) + png(5)[33:]  # the resolution comes after a long text
+    for name, content in (("a.png", data), ("b.png", late), ("c.txt", b"no")):
+        (tmp_path / name).write_bytes(content)
+    heads = {r.name: r for r in images.read_images(spark, {"U": str(tmp_path)}, digest=False).collect()}
+    assert set(heads) == {"a.png", "b.png"} and heads["a.png"].bytes_read <= images.LOOK and heads["b.png"].bytes_read <= 2000 + 3 * images.LOOK
+    assert (heads["a.png"].width, heads["b.png"].width, heads["b.png"].ppi_x, heads["a.png"].sha256) == (6, 5, 1000.0, None)
+    whole = {r.name: r for r in images.read_images(spark, {"U": f"file://{tmp_path}"}).collect()}
+    assert whole["a.png"].sha256 == hashlib.sha256(data).hexdigest() and whole["a.png"].bytes_read >= len(data)
+    assert images.read_images(spark, {"U": str(tmp_path), "V": str(tmp_path)}).where("set = 'V'").count() == 2
+
+
+def test_scores_are_written_in_order_whatever_the_files(spark, tmp_path):
+    rows = [(f"p{k}", "UxV" if k % 3 else "RxV", "impostor", k % 10, f"a{k % 7}", f"b{k}", "ok" if k % 5 else "failed", "" if k % 5 else "few, or none", str(k) if k % 5 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "pair_id string, scenario string, kind string, frgp int, probe_image_id string, reference_image_id string, status string, reason string, score string")
+    compact = spark.createDataFrame([(f"p{k}",) for k in range(0, 200, 4)] * 2, "pair_id string")
+    found = []
+    for files in (1, 5):
+        sources.write_scores(df.repartition(files + 1), compact, str(tmp_path / f"s{files}"), files)
+        found.append(b"".join(p.read_bytes() for p in sorted((tmp_path / f"s{files}").glob("part-*.csv"))))
+    assert found[0] == found[1] and len(list((tmp_path / "s5").glob("part-*.csv"))) == 5
+    back = sources.read_written_scores(spark, str(tmp_path / "s5")).collect()
+    assert {(r.pair_id, r.compact, r.score, r.reason) for r in back} == {(r[0], int(int(r[0][1:]) % 4 == 0), float(r[8]) if r[8] else None, r[7] or None) for r in rows}
+    order = [(x.split(",")[1], int(x.split(",")[3]), *x.split(",")[4:6]) for x in found[0].decode().splitlines()]
+    assert order == sorted(order)
+    with pytest.raises(Exception, match="already exists"):
+        sources.write_scores(df, compact, str(tmp_path / "s5"))
+
+
+def test_reports_round_trip(spark, tmp_path):
+    import json
+
+    from pairlight.sources import reports
+
+    rows = [(name, s, a, far, far / 2, 1, 0.25, 4, 10, 0.75, t, 3) for name in ("one", "two") for s in ("UxV", "RxV") for a in ("קו", "b") for far, t in ((0.01, 5.0), (0.001, None))]
+    schema = "report string, scenario string, algorithm string, far_target double, far double, false_accepts long, frr double, genuine long, impostor long, tar double, threshold double, true_accepts long"
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "reports")
+    reports.write_reports(df, path)
+    assert sorted(map(tuple, reports.result_rows(reports.read_reports(spark, path)).select(*df.columns).collect()), key=repr) == sorted(rows, key=repr)
+    files = list((tmp_path / "reports").glob("report=one/part-*"))
+    text = files[0].read_text()
+    assert len(files) == 1 and text == reports.json_text(json.loads(text)) and "קו" in text and text.count("\n") > 20
+    with pytest.raises(Exception, match="already exists"):
+        reports.write_reports(df, path)
+
+
+def test_commit_leaves_one_copy(spark, tmp_path):
+    """A chunk committed twice, and one whose first attempt failed between results and log."""
+    plan, paths = plan_of(spark).cache(), (str(tmp_path / "results"), str(tmp_path / "log"))
+    schema = "stage string, chunk long, pos long, item string, score int, attempt int"
+    of = lambda chunks, attempt: plan.where(chunks).select("stage", "chunk", "pos", "item", F.length("item").alias("score"), F.lit(attempt).alias("attempt"))
+    runlog.commit(of("chunk < 4", 1), plan, *paths, 1.0, 2.0)
+    runlog.commit(of("chunk = 2", 2), plan, *paths, 3.0, 4.0)
+    runlog.commit(of("chunk = 4", 1), plan, paths[0], str(tmp_path / "lost"), 5.0, 6.0)  # its log rows never arrive
+    assert runlog.committed(spark, *paths, schema).count() == 40
+    left = runlog.remaining(plan, spark.read.schema(runlog.LOG).parquet(paths[1]))
+    assert {r.chunk for r in left.collect()} == {4, 5}
+    runlog.commit(of("chunk >= 4", 2), plan, *paths, 7.0, 8.0)
+    done = runlog.committed(spark, *paths, schema).collect()
+    assert len(done) == 53 == len({r.item for r in done}) and {r.chunk: r.attempt for r in done} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 2, 5: 2}
+    log = spark.read.schema(runlog.LOG).parquet(paths[1])
+    assert log.count() == 6 and runlog.checked_log(log, runlog.chunk_heads(plan)).count() == 6
+    wrong = of("chunk = 1", 9)
+    for bad in (wrong.where("pos != 12"), wrong.union(wrong.limit(1)), wrong.withColumn("pos", F.lit(29) - F.col("pos")), wrong.withColumn("item", F.lit("x"))):
+        with pytest.raises(Exception, match="do not match the plan"):
+            runlog.commit(bad, plan, *paths, 9.0, 9.0)
+    assert {r.attempt for r in runlog.committed(spark, *paths, schema).where("chunk = 1").collect()} == {1}
