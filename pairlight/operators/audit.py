@@ -25,20 +25,33 @@ def candidate_pairs(rows: DataFrame, references: DataFrame, extra: tuple[str, ..
     return own.unionByName(across)
 
 
-def classify(rows: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
-    """The audit record of every row from its scored candidates.
+def scores_of(scored: DataFrame) -> DataFrame:
+    """image_id, score, others, own, other: for each image and score, the candidates of other subjects, whether its own finger has it, and the least reference of another finger that has it.
 
-    ``scored`` has the columns of ``candidate_pairs`` and score (null: not scored).
-    Ties of the best other go to the smallest reference id. A row without
-    candidates has no reference. The pass over all pairs keeps two numbers an
-    image, which hash aggregation can; only pairs that reach the best are named.
+    One pass over the candidates (those of ``candidate_pairs`` with score, null if not
+    scored): with numbers for ids every task adds up in a hash table, and what the
+    threshold and the records need is in the result.
     """
     own = (F.col("reference_subject") == F.col("subject")) & (F.col("reference_frgp") == F.col("frgp"))
-    known = scored.where(F.col("score").isNotNull())
-    top = known.groupBy("image_id").agg(F.max(F.when(own, F.col("score"))).alias("own_score"), F.max(F.when(~own, F.col("score"))).alias("best_other_score"))
-    reach = known.where(~own).select("image_id", "score", "reference_image_id", "reference_subject").join(top.select("image_id", "best_other_score"), "image_id").where("score = best_other_score")
-    named = reach.groupBy("image_id").agg(F.min(F.struct(F.col("reference_image_id").alias("id"), F.col("reference_subject").alias("subject"))).alias("other"))
-    found = rows.join(top, "image_id", "left").join(named, "image_id", "left")
+    return scored.groupBy("image_id", F.col("score").cast("double").alias("score")).agg(
+        F.count_if(F.col("subject") != F.col("reference_subject")).alias("others"), F.max(own).alias("own"), F.min(F.when(~own, F.col("reference_image_id"))).alias("other"),
+    )
+
+
+def best_of(counted: DataFrame) -> DataFrame:
+    """image_id, own_score, best_other_score, other of ``scores_of``; ties of the best other go to the smallest reference."""
+    known = counted.where(F.col("score").isNotNull())
+    another = F.col("other").isNotNull()
+    return known.groupBy("image_id").agg(
+        F.max(F.when(F.col("own"), F.col("score"))).alias("own_score"), F.max(F.when(another, F.col("score"))).alias("best_other_score"),
+        F.max_by(F.when(another, F.col("other")), F.when(another, F.col("score"))).alias("other"),
+    )
+
+
+def records(rows: DataFrame, best: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
+    """The audit record of every row; a row without candidates has no reference. references: image_id, subject."""
+    named = references.select(F.col("image_id").alias("other"), F.col("subject").alias("other_subject"))
+    found = rows.join(best.join(named, "other", "left"), "image_id", "left")
     o, b, t = F.col("own_score"), F.col("best_other_score"), F.lit(float(threshold))
     category = (
         F.when(b.isNotNull() & (b > t) & (o.isNull() | (b > o)), "suspected")
@@ -47,6 +60,12 @@ def classify(rows: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
         .otherwise("undetermined")
     )
     return found.select(
-        "image_id", "set", "subject", "frgp", "own_score", "best_other_score", F.col("other.id").alias("best_other_image_id"),
-        (F.col("other.subject") == F.col("subject")).cast("int").alias("best_other_same_subject"), category.alias("category"),
+        "image_id", "set", "subject", "frgp", "own_score", "best_other_score", F.col("other").alias("best_other_image_id"),
+        (F.col("other_subject") == F.col("subject")).cast("int").alias("best_other_same_subject"), category.alias("category"),
     )
+
+
+def classify(rows: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """The audit record of every row from its scored candidates (those of ``candidate_pairs`` with score)."""
+    references = scored.select(F.col("reference_image_id").alias("image_id"), F.col("reference_subject").alias("subject")).distinct()
+    return records(rows, best_of(scores_of(scored)), references, threshold)

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlight.functions import failure_floor
+from pairlight.scratch import keep
 
 RIDGE, STEPS, SETTLED = 1e-9, 100, 1e-12
 
 
-def align_channels(channels: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """One row a pair with a score column for each channel; channels that list different pairs are an error. Null keys are equal to null keys."""
-    joined = None
+def align_channels(channels: dict[str, DataFrame], keys: list[str], carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """keys, carry and a score column for each channel, one row a pair; channels that list different pairs are an error.
+
+    Pairs are the same by ``keys``, null keys equal to null keys; ``carry`` is taken
+    from the first channel. Keys that are numbers make the joins cheap.
+    """
+    joined, first = None, next(iter(channels))
     for name, df in channels.items():
-        part = df.select(F.struct(*keys).alias("pair"), F.col("score").cast("double").alias(name), F.lit(True).alias(f"has_{name}"))
+        renamed = [F.col(k).alias(f"{k}__{name}") for k in keys]
+        part = df.select(*renamed, *(carry if name == first else ()), F.col("score").cast("double").alias(name), F.lit(True).alias(f"has_{name}"))
         if joined is None:
             joined = part
             continue
-        same = F.to_json("pair")  # equal for equal keys, nulls too, so the join stays an equi-join
-        left, right = joined.withColumn("key", same), part.select(same.alias("key"), F.col("pair").alias("other"), name, f"has_{name}")
-        joined = left.join(right, "key", "full_outer").withColumn("pair", F.coalesce("pair", "other")).drop("key", "other")
-    whole = F.lit(True)
-    for name in channels:
-        whole = whole & F.coalesce(F.col(f"has_{name}"), F.lit(False))
+        joined = joined.join(part, reduce(lambda a, b: a & b, [F.col(f"{k}__{first}").eqNullSafe(F.col(f"{k}__{name}")) for k in keys]), "full_outer")
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"has_{name}"), F.lit(False)) for name in channels])
     same = F.when(whole, True).otherwise(F.raise_error(F.lit("the channels do not list identical pairs")).cast("boolean"))
-    return joined.where(same).select(*[F.col(f"pair.{k}").alias(k) for k in keys], *channels)
+    return joined.where(same).select(*[F.col(f"{k}__{first}").alias(k) for k in keys], *carry, *channels)
 
 
 def floors(fit: DataFrame, channels: list[str]) -> dict[str, float]:
@@ -42,16 +46,19 @@ def with_features(scores: DataFrame, channels: list[str], low: dict[str, float])
 def fit_logistic(rows: DataFrame, features: list[str], label: str) -> np.ndarray:
     """Weights, the bias last, by Newton's method; both classes weigh the same in total.
 
-    Every step is one aggregate of the gradient and of the Hessian's upper half
-    over the rows, so only these few sums reach the driver.
+    Equal rows are counted once and written. Every step is one aggregate of the
+    gradient and of the Hessian's upper half over the counts, so only these few sums
+    reach the driver.
     """
+    rows = keep(rows.groupBy(*features, F.col(label).alias("__y")).agg(F.count(F.lit(1)).cast("double").alias("__n")), "fit-rows")
+    label, many = "__y", F.col("__n")
     names = [*features, None]
     x = [F.col(c) if c else F.lit(1.0) for c in names]
     y = F.col(label).cast("double")
-    counts = rows.agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")).first()
+    counts = rows.agg(F.sum(y * many).alias("p"), F.sum((1 - y) * many).alias("n")).first()
     if not counts["p"] or not counts["n"]:
         raise ValueError("both classes are needed")
-    share = F.when(y == 1, 0.5 / counts["p"]).otherwise(0.5 / counts["n"])
+    share = F.when(y == 1, 0.5 / counts["p"]).otherwise(0.5 / counts["n"]) * many
     w = np.zeros(len(x))
     for _ in range(STEPS):
         z = F.lit(0.0)

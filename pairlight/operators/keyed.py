@@ -36,9 +36,9 @@ def keyed_rank(df: DataFrame, seed: str, purpose: Column | str, key: Column, by:
     return df.withColumn(name, F.row_number().over(group))
 
 
-def keyed_top(df: DataFrame, seed: str, purpose: str, key: Column, k: int) -> DataFrame:
-    """The first k rows in keyed order over the whole table; a distributed top-k, not a sort."""
-    return df.orderBy(keyed_hash(seed, purpose, key), key).limit(k)
+def keyed_top(df: DataFrame, seed: str, purpose: str, key: Column, k: int, before: str | None = None) -> DataFrame:
+    """The first k rows in keyed order, or by column ``before`` and then in keyed order, over the whole table; a distributed top-k, not a sort."""
+    return df.orderBy(*([before] if before else []), keyed_hash(seed, purpose, key), key).limit(k)
 
 
 def keyed_sample(df: DataFrame, seed: str, purpose: Column | str, key: Column, by: list[str], k: int, exact: bool = True, size: str | None = None) -> DataFrame:

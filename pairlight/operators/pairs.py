@@ -160,15 +160,20 @@ def finger_views(manifest: DataFrame) -> DataFrame:
     return good.groupBy("subject", "frgp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("set", "image_id")))).alias("views"))  # at most one image a set
 
 
-def f1_sample(manifest: DataFrame, seed: str, fraction: float = 0.5, n_subjects: int = 10, n_fingers: int = 2) -> DataFrame:
-    """Pairs of the small sample: few positions, development subjects complete in U, V and R, all against all."""
+def f1_images(manifest: DataFrame, seed: str, fraction: float = 0.5, n_subjects: int = 10, n_fingers: int = 2) -> DataFrame:
+    """Images of the small sample: few positions, development subjects complete in U, V and R."""
     spark = manifest.sparkSession
     fingers = keyed_top(spark.range(1, 11).select(F.col("id").cast("int").alias("frgp")), seed, "f1-fingers", F.col("frgp").cast("string"), n_fingers)
     index = manifest.where(F.col("set").isin("U", "V", "R") & (F.col("excluded") == 0)).join(fingers, "frgp")
     complete = index.groupBy("subject").agg(F.count_distinct("set", "frgp").alias("n")).where(F.col("n") == 3 * n_fingers).select("subject")
     dev = development_split(manifest, seed, fraction).where("half = 'dev' and stratum = 'has_R'").select("subject")
     subjects = keyed_top(dev.join(complete, "subject"), seed, "f1-subjects", F.col("subject"), n_subjects)
-    return all_pairs(index.join(subjects, "subject", "left_semi"))
+    return index.join(subjects, "subject", "left_semi").select(*manifest.columns)
+
+
+def f1_sample(manifest: DataFrame, seed: str, fraction: float = 0.5, n_subjects: int = 10, n_fingers: int = 2) -> DataFrame:
+    """Pairs of the small sample, all against all."""
+    return all_pairs(f1_images(manifest, seed, fraction, n_subjects, n_fingers))
 
 
 def cross_position_pairs(manifest: DataFrame, images: DataFrame, probe_sets: list[str], reference_set: str, seed: str, purpose: str, scenario: str, n_pairs: int) -> DataFrame:
@@ -186,13 +191,16 @@ def cross_position_pairs(manifest: DataFrame, images: DataFrame, probe_sets: lis
     return _record(chosen, scenario, kind, ())
 
 
-def pilot_images(manifest: DataFrame, seed: str, sets: list[str], purpose: str, n: int, thumbs: bool = True, fraction: float = 0.5) -> DataFrame:
-    """The first n usable development images of the sets in keyed order."""
+def pilot_images(manifest: DataFrame, seed: str, sets: list[str], purpose: str, n: int, thumbs: bool = True, fraction: float = 0.5, first: DataFrame | None = None) -> DataFrame:
+    """The images of ``first`` and usable development images of the sets in keyed order, n in all."""
     dev = development_split(manifest, seed, fraction).where("half = 'dev'").select("subject")
     pool = manifest.where(F.col("set").isin(*sets) & (F.col("excluded") == 0)).join(dev, "subject", "left_semi")
     if not thumbs:
         pool = pool.where(~F.col("frgp").isin(1, 6))
-    return keyed_top(pool, seed, purpose, F.col("image_id"), n)
+    if first is None:
+        return keyed_top(pool, seed, purpose, F.col("image_id"), n)
+    marked = pool.join(first.select("image_id", F.lit(0).alias("later")), "image_id", "left").withColumn("later", F.coalesce("later", F.lit(1)))
+    return keyed_top(marked, seed, purpose, F.col("image_id"), n, "later").drop("later")
 
 
 def in_order(pairs: DataFrame, sets: str = "VUR") -> DataFrame:

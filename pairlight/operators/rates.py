@@ -149,9 +149,9 @@ def summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def share_threshold(scores: DataFrame, share: float, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """by, threshold: the lowest that at most ``share`` of the scores lie above; -Infinity where all may."""
-    counted = scores.groupBy(*by, F.coalesce(F.col("score").cast("double"), F.lit(FAILED)).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+def share_threshold(scores: DataFrame, share: float, by: list[str] | tuple[str, ...] = (), n: str | None = None) -> DataFrame:
+    """by, threshold: the lowest that at most ``share`` of the scores lie above; -Infinity where all may. ``n`` may name how many scores a row stands for."""
+    counted = scores.groupBy(*by, F.coalesce(F.col("score").cast("double"), F.lit(FAILED)).alias("score")).agg(F.sum(F.col(n) if n else F.lit(1)).alias("n"))
     placed = running(counted, by, "score", ["n"], descending=True)
     marked = placed.withColumn("allowed", F.floor(F.col("n_total") * F.lit(float(share)) + 1e-9)).withColumn("upto", F.col("n_before") + F.col("n"))
     found = F.max(F.when(F.col("upto") > F.col("allowed"), F.col("score")))

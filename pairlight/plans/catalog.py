@@ -13,17 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlight import sources
 from pairlight.functions import SEPARATOR
-from pairlight.operators import audit, bootstrap, fusion, keyed, matching, pairs, rates, runlog
+from pairlight.operators import audit, bootstrap, fusion, keyed, matching, pairs, rates, registration, runlog
 from pairlight.operators import manifest as manifests
 from pairlight.plans import stand_ins as S
 from pairlight.plans.stand_ins import GRID_SQL, MANIFEST_SQL, SCORED_SQL, SEED, SPLIT_SQL, hash_sql, pairs_sql
-from pairlight.scratch import keep
+from pairlight.scratch import keep, place
+from pairlight.sources import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TARGETS = (0.01, 0.001)
-#: The reference's parameters (protocol.toml, samples.py, evaluate.py, det.py).
+#: Parameters of a full study.
 IMPOSTORS, PILOT_PAIRS, REPLICATES, CURVE_POINTS, BOOT_TARGETS = 1000, 2000, 1000, 3000, (0.01, 0.001, 0.0001)
 #: The same for the forms named _small.
 SMALL_IMPOSTORS, SMALL_PAIRS, SMALL_REPLICATES, SMALL_POINTS = 20, 1000, 12, 40
@@ -130,21 +132,22 @@ def f1_sample_like(spark, sf_dir):
     return pairs.f1_sample(S.stored(spark, sf_dir), SEED)
 
 
-def _pilot_sql(sets: str, probes: str, reference: str, purpose: str, name: str, thumbs: str, n_pairs: int) -> str:
-    return with_(MANIFEST_SQL, SPLIT_SQL, f"""
-pool AS (SELECT u.* FROM u JOIN split USING (subject) WHERE half = 'dev' AND "set" IN ({sets}) {thumbs} ORDER BY {hash_sql(f"'{purpose}-images'", 'image_id')}, image_id LIMIT 100),
+def _pilot_sql(sets: str, probes: str, reference: str, purpose: str, name: str, thumbs: str, seeds: bool, n_pairs: int) -> str:
+    first = "(subject IN (SELECT subject FROM chosen) AND frgp IN (SELECT frgp FROM fingers)) DESC," if seeds else ""
+    return with_(MANIFEST_SQL, SPLIT_SQL, *([_F1_SQL] if seeds else []), f"""
+pool AS (SELECT u.* FROM u JOIN split USING (subject) WHERE half = 'dev' AND "set" IN ({sets}) {thumbs} ORDER BY {first} {hash_sql(f"'{purpose}-images'", 'image_id')}, image_id LIMIT 100),
 both_ AS (SELECT p.image_id AS probe_image_id, r.image_id AS reference_image_id, p.frgp, p.subject AS probe_subject, r.subject AS reference_subject,
                  CASE WHEN p.subject = r.subject AND p.frgp = r.frgp THEN 'genuine' ELSE 'impostor' END AS kind
           FROM pool p, pool r WHERE p."set" IN ({probes}) AND r."set" = '{reference}')""",
         select=f"SELECT '{name}:' || probe_image_id || ':' || reference_image_id AS pair_id, '{name}' AS scenario, * FROM both_ ORDER BY {hash_sql(f"'{purpose}-pairs'", "probe_image_id || '|' || reference_image_id")} LIMIT {n_pairs}")
 
 
-_CROSS, _PLAIN_PILOT = ("'U', 'V', 'R'", "'U', 'R'", "V", "pilot", "pilot", ""), ("'R', 'Q', 'J'", "'R', 'Q'", "J", "pilot-plain", "pilot-plain", "AND frgp NOT IN (1, 6)")
+_CROSS, _PLAIN_PILOT = ("'U', 'V', 'R'", "'U', 'R'", "V", "pilot", "pilot", "", True), ("'R', 'Q', 'J'", "'R', 'Q'", "J", "pilot-plain", "pilot-plain", "AND frgp NOT IN (1, 6)", False)
 
 
 def _pilot_cross(spark, sf_dir, n_pairs: int) -> DataFrame:
     m = S.stored(spark, sf_dir)
-    images = pairs.pilot_images(m, SEED, ["U", "V", "R"], "pilot-images", 100)
+    images = pairs.pilot_images(m, SEED, ["U", "V", "R"], "pilot-images", 100, first=pairs.f1_images(m, SEED))
     return pairs.cross_position_pairs(m, images, ["U", "R"], "V", SEED, "pilot-pairs", "pilot", n_pairs)
 
 
@@ -368,15 +371,22 @@ FROM u LEFT JOIN o ON u.image_id = o.image_id LEFT JOIN b ON u.image_id = b.imag
 
 @register(_AUDIT_SQL)
 def label_audit(spark, sf_dir):
-    m = S.stored(spark, sf_dir).where("excluded = 0")
-    rows, references = m.where("set in ('Q', 'J')"), m.where("set = 'V'")
-    c = audit.candidate_pairs(rows, references, ("trait",))
+    """Images and subjects go by their number in order of id, so that the pass over all candidates has numbers only."""
+    m = S.stored(spark, sf_dir).where("excluded = 0 and set in ('Q', 'J', 'V')")
+    placed = keyed.offsets(m, ["image_id"]).withColumnRenamed("offset", "number")
+    images = keep(placed.join(bootstrap.subject_index(m), "subject"), "numbered")
+    numbers = images.select(F.col("number").alias("image_id"), "set", F.col("idx").alias("subject"), "frgp", "trait")
+    c = audit.candidate_pairs(numbers.where("set in ('Q', 'J')"), numbers.where("set = 'V'"), ("trait",))
     own = (F.col("subject") == F.col("reference_subject")) & (F.col("frgp") == F.col("reference_frgp"))
     a, b = F.col("trait"), F.col("reference_trait")
     score = (a * 31 + b * 17) % 97 + F.when(own, 20).otherwise(0)
-    c = c.withColumn("score", F.when((a + b) % 53 != 0, score.cast("double"))).drop("trait", "reference_trait")
-    t = rates.share_threshold(c.where("subject != reference_subject"), 0.0001).first()["threshold"]
-    return audit.classify(rows.drop("trait", "excluded"), c, t)
+    counted = keep(audit.scores_of(c.withColumn("score", F.when((a + b) % 53 != 0, score.cast("double")))), "audit-scores")
+    t = rates.share_threshold(counted.where("others > 0"), 0.0001, n="others").first()["threshold"]
+    best = audit.best_of(counted)
+    back = images.select("number", F.col("image_id").alias("own_id"))
+    best = best.join(back.withColumnRenamed("number", "image_id"), "image_id").drop("image_id").withColumnRenamed("own_id", "image_id")
+    best = best.join(back.withColumnRenamed("number", "other"), "other", "left").drop("other").withColumnRenamed("own_id", "other")
+    return audit.records(images.where("set in ('Q', 'J')").select("image_id", "set", "subject", "frgp"), best, images.where("set = 'V'"), t)
 
 
 _NN_SQL = """
@@ -390,13 +400,29 @@ SELECT probe_image_id, reference_image_id, count(*) FILTER (ri = 1 AND rj = 1 AN
 
 @register(_NN_SQL)
 def mutual_nn_ratio(spark, sf_dir):
-    """embeddings as descriptors: a label's even vectors are a probe, its odd ones a reference."""
+    """embeddings as descriptors: a label's even vectors are a probe, its odd ones a reference; every probe meets every reference."""
     vectors = S.table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
     image = F.concat_ws("_", F.col("label").cast("string"), (F.col("vec_id") % 2).cast("string"))
-    features = vectors.groupBy(image.alias("image_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("descriptors"))
-    ids = features.select("image_id", F.substring_index("image_id", "_", -1).alias("parity"), F.lit(1).alias("k"))
-    listed = ids.where("parity = '0'").select(F.col("image_id").alias("probe_image_id"), "k").join(ids.where("parity = '1'").select(F.col("image_id").alias("reference_image_id"), "k"), "k").drop("k")
-    return matching.score_pairs(listed, features, lambda p, r: matching.batched_scores(p, r, 0.95)).select("probe_image_id", "reference_image_id", "score")
+    descriptors = keep(vectors.select(image.alias("image_id"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), "descriptors")
+    images = descriptors.select("image_id").distinct()
+    listed = matching.every_pair(images.where("image_id like '%\\_0'"), images.where("image_id like '%\\_1'"))
+    return matching.score_pairs(listed, descriptors, 0.95).select("probe_image_id", "reference_image_id", "score")
+
+
+_RESOLVED_SQL = """
+f AS (SELECT image_id, 1 AS k, 'method' AS source, trait % 1000 AS n FROM u WHERE "set" IN ('Q', 'J') AND trait % 3 = 0
+      UNION ALL SELECT image_id, 2, 'plain', trait % 100 FROM u WHERE "set" IN ('Q', 'J') AND trait % 5 <> 0
+      UNION ALL SELECT image_id, 1, 'full', trait % 10 FROM u WHERE "set" IN ('U', 'V', 'R') AND trait % 7 <> 0)"""
+
+
+@register(with_(MANIFEST_SQL, _RESOLVED_SQL, select="SELECT u.image_id, coalesce(source, 'none') AS source, coalesce(n, -1) AS n FROM u LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY k) AS rn FROM f) WHERE rn = 1) b ON u.image_id = b.image_id"))
+def feature_sources(spark, sf_dir):
+    """Where each image's features are: Q and J in the method's table, else the plain run's; the others in the full run's."""
+    m = S.stored(spark, sf_dir).where("excluded = 0")
+    table = lambda sets, some, n: m.where(f"set in ({sets}) and {some}").select("image_id", (F.col("trait") % n).alias("n"))
+    tables = [("method", table("'Q', 'J'", "trait % 3 = 0", 1000)), ("plain", table("'Q', 'J'", "trait % 5 != 0", 100)), ("full", table("'U', 'V', 'R'", "trait % 7 != 0", 10))]
+    order = {**dict.fromkeys("QJ", ["method", "plain"]), **dict.fromkeys("UVR", ["full"])}
+    return matching.resolved_features(m.select("image_id"), tables, order).select("image_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("n", F.lit(-1)).alias("n"))
 
 
 _WEIGHTS = (1.25, 0.75)
@@ -406,9 +432,12 @@ fu AS (SELECT z.pair_id, z.scenario, z.kind, {_WEIGHTS[0]}::DOUBLE * ln(1 + coal
 
 
 def _channels(spark, sf_dir) -> DataFrame:
-    """scenario, kind, both subjects, one, two, group of every pair, made once."""
-    made = _with_group(S.both_channels(_flagged(spark, sf_dir)))
-    return keep(made.select("scenario", "kind", "probe_subject", "reference_subject", "one", "two", "group"), "channels")
+    """scenario, kind, both subjects by number, one, two, group of every pair, made once."""
+    m = S.stored(spark, sf_dir)
+    images = m.join(bootstrap.subject_index(m), "subject")
+    made = pairs.all_pairs(pairs.with_flag(images, keyed.development_split(m, SEED).where("half = 'dev'"), "dev"), MAIN, ("trait", "dev", "idx"))
+    made = _with_group(S.both_channels(made)).select("scenario", "kind", F.col("probe_idx").alias("probe_subject"), F.col("reference_idx").alias("reference_subject"), "one", "two", "group")
+    return keep(made, "channels")
 
 
 _PAIR_KEYS = ["pair_id", "scenario", "kind", "frgp", "probe_subject", "reference_subject"]
@@ -417,8 +446,10 @@ _PAIR_KEYS = ["pair_id", "scenario", "kind", "frgp", "probe_subject", "reference
 @register(with_(*MAIN_SCORES, select=f"SELECT {', '.join(_PAIR_KEYS)}, score AS one, score2 AS two FROM y WHERE kind = 'genuine'"))
 def aligned_channels(spark, sf_dir):
     """The genuine pairs of two score tables side by side; tables of different pairs are an error."""
-    genuine = lambda second: _scored(spark, sf_dir, second=second).where("kind = 'genuine'")
-    return fusion.align_channels({"one": genuine(False), "two": genuine(True)}, _PAIR_KEYS)
+    m = S.stored(spark, sf_dir)
+    numbered = keep(keyed.offsets(m, ["image_id"]).withColumnRenamed("offset", "number"), "numbered")
+    made = pairs.all_pairs(numbered, MAIN, ("trait", "number")).where("kind = 'genuine'")
+    return fusion.align_channels({"one": S.scored(made), "two": S.second_channel(made)}, ["scenario", "probe_number", "reference_number"], [k for k in _PAIR_KEYS if k != "scenario"]).drop("probe_number", "reference_number")
 
 
 @register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, _FUSED_SQL, select="SELECT scenario, kind, count(*) AS pairs, round(min(fused), 9) AS low, round(max(fused), 9) AS high, round(sum(round(fused, 6)), 3) AS total FROM fu GROUP BY 1, 2"))
@@ -459,44 +490,35 @@ def fusion_fit(spark, sf_dir):
     """Weights of the fitted fusion, to six decimals."""
     z = _channels(spark, sf_dir).where("scenario = 'UxV' and group = 'dev'")
     low = fusion.floors(z, ["one", "two"])
-    rows = fusion.with_features(z, ["one", "two"], low).withColumn("y", (F.col("kind") == "genuine").cast("int")).persist()
+    rows = fusion.with_features(z, ["one", "two"], low).withColumn("y", (F.col("kind") == "genuine").cast("int"))
     w = fusion.fit_logistic(rows, ["x_one", "x_two"], "y")
-    rows.unpersist()
     return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(("one", "two", "bias"), w)], "channel string, weight double")
 
 
 def _designs(spark, sf_dir) -> dict[str, DataFrame]:
     """Scores of both channels and scenarios by design: every pair, and the pairs without a development subject."""
-    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in ("one", "two")])).alias("c")
-    every =  _channels(spark, sf_dir).select("*", listed)
-    every = every.select("scenario", F.col("c.channel").alias("channel"), "kind", F.col("c.score").alias("score"), "probe_subject", "reference_subject", "group")
+    every = _channels(spark, sf_dir)
     return {"full": every.drop("group"), "test": every.where("group = 'test'").drop("group")}
 
 
 def _boot(spark, sf_dir, replicates: int = REPLICATES) -> DataFrame:
-    """Every replicate of each design; a design draws from the subjects of its own pairs, as evaluate.py does."""
+    """Every replicate of each design, written; a design draws from the subjects of its own pairs."""
     out = None
     for design, scores in _designs(spark, sf_dir).items():
-        index = bootstrap.subject_index(scores.where("channel = 'one'").select(F.explode(F.array("probe_subject", "reference_subject")).alias("subject")))
+        index = bootstrap.subject_index(scores.select(F.explode(F.array("probe_subject", "reference_subject")).alias("subject")))
         seed = int(hashlib.sha256(SEPARATOR.join((SEED, f"bootstrap:{design}", "")).encode()).hexdigest()[:16], 16)
-        draws = bootstrap.numpy_draws(index.count(), replicates, seed)
-        part = bootstrap.subject_bootstrap(scores, index, draws, ["scenario", "channel"], BOOT_TARGETS).withColumn("design", F.lit(design))
+        draws = bootstrap.split_draws(index.count(), replicates, seed)
+        part = bootstrap.subject_bootstrap(scores, index, draws, replicates, ["scenario"], BOOT_TARGETS, ("one", "two")).withColumn("design", F.lit(design))
         out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _both_channels(spark, sf_dir) -> DataFrame:
-    keep = ["channel", "kind", "score", "probe_subject", "reference_subject"]
-    chosen = lambda second, name: _scored(spark, sf_dir, {"UxV": MAIN["UxV"]}, second).withColumn("channel", F.lit(name)).select(*keep)
-    return chosen(False, "one").unionByName(chosen(True, "two"))
+    return keep(out, "replicates")
 
 
 def _boot_small(spark, sf_dir) -> DataFrame:
-    scores = _both_channels(spark, sf_dir)
     m = S.stored(spark, sf_dir).where("excluded = 0 and set in ('U', 'V')")
+    scores = S.both_channels(pairs.all_pairs(m, {"UxV": MAIN["UxV"]}, ("trait",)))
     index = bootstrap.subject_index(m)
     draws = bootstrap.keyed_draws(index.count(), SMALL_REPLICATES, SEED)
-    return bootstrap.subject_bootstrap(scores, index, draws, ["channel"], (0.01,))
+    return bootstrap.subject_bootstrap(scores, index, draws, SMALL_REPLICATES, [], (0.01,), ("one", "two"))
 
 
 _BOOT_SQL = (MANIFEST_SQL, pairs_sql({"UxV": MAIN["UxV"]}), SCORED_SQL, f"""
@@ -701,3 +723,102 @@ def manifest_build(spark, sf_dir):
     number = F.col("subject").cast("long")
     people = files.select("subject").distinct().where(number % 13 != 0).select(F.col("subject").alias("id"), F.concat(F.lit("day "), (number % 28).cast("string")).alias("collection_day"))
     return manifests.build(images, checksums, exclusions, people, sets)
+
+
+_IDENTITIES, _SMALL_IDENTITIES = registration.IDENTITIES, 20
+_MATCH_SQL = """
+l AS (SELECT lpad(l_suppkey::VARCHAR, 8, '0') AS subject, l_linenumber::INT AS frgp, l_suppkey AS s, l_partkey AS p, CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'N' THEN 'U' ELSE 'J' END AS "view" FROM lineitem),
+mt AS (SELECT DISTINCT subject, frgp, "view", aligned, points, CASE WHEN aligned AND p % 997 < points THEN (p % 997)::INT END AS point
+       FROM (SELECT *, (s + frgp * 3 + ascii("view")) % 5 <> 0 AS aligned, (200 + s % 50)::INT AS points FROM l))"""
+
+
+def _identity_sql(most: int) -> str:
+    rank = hash_sql("'descriptor-identities:' || subject || ':' || lpad(frgp::VARCHAR, 2, '0')", "point::VARCHAR")
+    return f"""
+WITH {_MATCH_SQL.strip()},
+ids AS (SELECT subject, frgp, point, row_number() OVER (PARTITION BY subject, frgp ORDER BY {rank}, point::VARCHAR) AS rn FROM (SELECT DISTINCT subject, frgp, point FROM mt WHERE point IS NOT NULL))
+SELECT subject, frgp, point, row_number() OVER (ORDER BY subject, frgp, rn) - 1 AS label FROM ids WHERE rn <= {most}"""
+
+
+def _matches(spark, sf_dir) -> DataFrame:
+    """lineitem as found points: supplier and line as a finger, the part as a point; views whose code and finger ask for it do not align."""
+    view = F.when(F.col("l_returnflag") == "A", "R").when(F.col("l_returnflag") == "N", "U").otherwise("J")
+    rows = S.table(spark, sf_dir, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("subject"), F.col("l_linenumber").cast("int").alias("frgp"), "l_suppkey", "l_partkey", view.alias("view"))
+    rows = rows.withColumn("aligned", (F.col("l_suppkey") + F.col("frgp") * 3 + F.ascii("view")) % 5 != 0).withColumn("points", (200 + F.col("l_suppkey") % 50).cast("int"))
+    point = (F.col("l_partkey") % 997).cast("int")
+    return rows.select("subject", "frgp", "view", F.lit("V").alias("reference"), "aligned", "points", F.when(F.col("aligned") & (point < F.col("points")), point).alias("point")).distinct()
+
+
+@register(_identity_sql(_IDENTITIES))
+def point_identities(spark, sf_dir):
+    """Labels of the found points, numbered through over all fingers."""
+    return registration.identities(_matches(spark, sf_dir), SEED)
+
+
+@register(_identity_sql(_SMALL_IDENTITIES))
+def point_identities_small(spark, sf_dir):
+    return registration.identities(_matches(spark, sf_dir), SEED, _SMALL_IDENTITIES)
+
+
+@register(f"""
+WITH {_MATCH_SQL.strip()}
+SELECT "view", count(*) FILTER (aligned) AS registered, count(*) AS of, coalesce(quantile_cont(share, 0.5) FILTER (aligned), 0) AS median_share
+FROM (SELECT subject, frgp, "view", bool_or(aligned) AS aligned, count(point) / greatest(1, max(points)) AS share FROM mt GROUP BY ALL) GROUP BY 1""")
+def registration_rates(spark, sf_dir):
+    """How many fingers align in each view, and the median share of points found there."""
+    return registration.registration_summary(_matches(spark, sf_dir))
+
+
+@register(with_(MANIFEST_SQL, SPLIT_SQL, _VALIDATION_SQL, """
+bt AS (SELECT subject, frgp, max(image_id) FILTER ("set" = 'U') AS a, max(image_id) FILTER ("set" = 'V') AS b FROM u JOIN tv USING (subject) WHERE role = 'validation' AND "set" IN ('U', 'V') GROUP BY 1, 2)""",
+    select="""SELECT p.frgp, p.subject AS probe_subject, p.a AS probe_image_id, r.subject AS reference_subject, r.b AS reference_image_id, CASE WHEN p.subject = r.subject THEN 'genuine' ELSE 'impostor' END AS kind
+FROM bt p JOIN bt r USING (frgp) WHERE p.a IS NOT NULL AND p.b IS NOT NULL AND r.a IS NOT NULL AND r.b IS NOT NULL"""))
+def validation_finger_pairs(spark, sf_dir):
+    """U x V pairs of one position among the validation subjects' fingers that have both."""
+    m = S.stored(spark, sf_dir)
+    return registration.validation_pairs(m, keyed.train_validation_split(m, SEED).where("role = 'validation'"))
+
+
+@register(with_(MANIFEST_SQL, """
+ex AS (SELECT "set", subject, frgp FROM m WHERE excluded = 1 UNION ALL SELECT "set", subject, frgp + 10 FROM m WHERE trait % 31 = 0)""",
+    select='SELECT "set", subject, frgp FROM ex WHERE ("set", subject, frgp) NOT IN (SELECT ("set", subject, frgp) FROM m)'))
+def exclusions_without_image(spark, sf_dir):
+    """Exclusions that name no image: a list from the manifest, and one of positions that no finger has."""
+    m = S.stored(spark, sf_dir)
+    stray = m.where("trait % 31 = 0").select("set", "subject", (F.col("frgp") + 10).alias("frgp"))
+    return manifests.unmatched_exclusions(m.where("excluded = 1").select("set", "subject", "frgp").unionByName(stray), m)
+
+
+@register(with_(*MAIN_SCORES, GRID_SQL, select=f"SELECT scenario || '-' || far_target::VARCHAR AS report, scenario, 'one' AS algorithm, far_target, far, false_accepts, frr, genuine, impostor, tar, threshold, true_accepts FROM ({_tar_sql()})"))
+def report_scan(spark, sf_dir):
+    """Result tables written as one JSON report for each scenario and rate, and all reports read back."""
+    found = rates.result_tables(_scored(spark, sf_dir), ["scenario"], TARGETS).withColumn("algorithm", F.lit("one"))
+    named = found.withColumn("report", F.concat_ws("-", "scenario", F.col("far_target").cast("string")))
+    path = place(spark, "reports")
+    reports.write_reports(named, path)
+    return reports.result_rows(reports.read_reports(spark, path))
+
+
+@register(with_(*MAIN_SCORES, _sample_sql(IMPOSTORS), """
+w AS (SELECT scenario, frgp, status, compact, score FROM (SELECT *, CASE WHEN kind = 'genuine' OR pair_id IN (SELECT pair_id FROM c) THEN 1 ELSE 0 END AS compact, CASE WHEN score IS NULL THEN 'failed' ELSE 'ok' END AS status FROM y))""",
+    select="SELECT scenario, frgp, compact, status, count(*) AS pairs, min(score) AS low, max(score) AS high FROM w GROUP BY 1, 2, 3, 4"))
+def written_scores(spark, sf_dir):
+    """All pairs written as ordered score files, the compact design marked, and read back."""
+    failed = F.col("score").isNull()
+    table = _scored(spark, sf_dir).select(*pairs.PAIR_COLUMNS[:6], F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, "no features").otherwise("").alias("reason"), F.col("score").cast("string").alias("score"))
+    path = place(spark, "scores")
+    sources.write_scores(table, genuine_pairs(spark, sf_dir).unionByName(impostor_sample_keyed(spark, sf_dir)), path)
+    return sources.read_written_scores(spark, path).groupBy("scenario", "frgp", "compact", "status").agg(F.count(F.lit(1)).alias("pairs"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+@register(with_(MANIFEST_SQL, _PLAN_SQL, select="SELECT 'extract' AS stage, chunk, count, CASE WHEN chunk % 3 = 1 THEN 2 ELSE 1 END AS attempt FROM hd WHERE chunk % 3 <> 2"))
+def committed_chunks(spark, sf_dir):
+    """Results of a plan committed chunk by chunk: one of three twice, one of three without its log rows."""
+    plan = keep(runlog.chunk_plan(S.stored(spark, sf_dir).where("excluded = 0"), "extract", _CHUNK, ["set", "image_id"], "image_id"), "plan")
+    of = lambda chunks, attempt: plan.where(chunks).select("stage", "chunk", "pos", "item", F.lit(attempt).alias("attempt"))
+    results, log = place(spark, "chunks"), place(spark, "log")
+    runlog.commit(of("chunk % 3 != 2", 1), plan, results, log, 1.0, 2.0)
+    runlog.commit(of("chunk % 3 = 2", 1), plan, results, place(spark, "lost-log"), 3.0, 4.0)
+    runlog.commit(of("chunk % 3 = 1", 2), plan, results, log, 5.0, 6.0)
+    done = runlog.committed(spark, results, log, "stage string, chunk long, pos long, item string, attempt int")
+    return done.groupBy("stage", "chunk").agg(F.count(F.lit(1)).alias("count"), F.max("attempt").alias("attempt"))
