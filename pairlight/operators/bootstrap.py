@@ -9,9 +9,10 @@ subjects:
    subjects; ``split_draws`` halves the subjects again and again and splits each
    replicate's draws by a binomial that the seed and the range key, so any range costs its own
    size and every task finds the same numbers.
-2. Pairs are dealt by a block of probes and a block of references, where there is more than
-   one. A batch is sorted by score and probe; the references' draws are summed over each
-   (score, probe) cell, multiplied once by the probe's, and summed over each score.
+2. Pairs are dealt by blocks of probes and references. A task sums one probe's pairs at a
+   time: how often each reference has each score, a matrix of counts, times the
+   references' draws, and once by the probe's own. Where scores hardly repeat, the
+   draws themselves are summed instead.
 3. What a task has summed, a row a score and block of replicates, is summed over the tasks
    and then finished, a group and block of replicates at a time. That last step holds the
    distinct scores of a group.
@@ -33,8 +34,10 @@ from pairlight.operators.keyed import offsets
 from pairlight.operators.rates import FAILED
 from pairlight.scratch import keep
 
-#: Subjects of a block, replicates that are finished together, rows summed together, and bytes of sums that a task holds.
-SUBJECTS, BLOCK, ROWS, HELD = 1 << 13, 50, 1024, 128 << 20
+#: Subjects of a block, parts of a pair of blocks, replicates that are finished together, rows summed together, and bytes of sums that a task holds.
+SUBJECTS, PARTS, BLOCK, ROWS, HELD = 1 << 13, 32, 50, 256, 128 << 20
+#: A matrix of counts is used while it has no more than so many cells a pair.
+DENSE = 50
 
 #: Counts of the subjects from low to below high, (high - low, replicates).
 Draws = Callable[[int, int], np.ndarray]
@@ -113,38 +116,44 @@ def replicate_rates(genuine: np.ndarray, impostor: np.ndarray, scores: np.ndarra
     return out
 
 
-def _codes(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, list[tuple]]:
-    """A number for each row's group, and the groups."""
+def _codes(batch: pa.RecordBatch, names: list[str], known: dict[tuple, int]) -> np.ndarray:
+    """A number for each row's group, the same in every batch; ``known`` takes new groups up."""
     code, groups = np.zeros(batch.num_rows, np.int64), [()]
     for name in names:
         found = batch.column(name).dictionary_encode(null_encoding="encode")
         values = found.dictionary.to_pylist()
         code = code * len(values) + found.indices.to_numpy(zero_copy_only=False)
         groups = [(*g, v) for g in groups for v in values]
-    return code, groups
+    return np.array([known.setdefault(g, len(known)) for g in groups], np.int64)[code]
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows begin."""
-    change = np.zeros(len(columns[0]), bool)
-    change[0] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(change)
-
-
-def weights(probe: np.ndarray, reference: np.ndarray, genuine: np.ndarray, group: np.ndarray, score: np.ndarray, drawn: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """group, genuine, score and the sum of weights in every replicate, a part of the rows at a time; groups can come again. ``drawn`` and ``other`` are the draws that probe and reference point into."""
-    order = np.lexsort((probe, score, genuine, group))
+def impostor_sums(cell: np.ndarray, cells: int, reference: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """For each cell the sum of the draws of its rows' references, a row a cell."""
+    n, replicates = drawn.shape
+    if cells * n <= DENSE * len(cell) and len(cell) * float(drawn.max(initial=0)) < 1 << 24:  # whole numbers below 2^24 are exact
+        counts = np.bincount(cell * n + reference, minlength=cells * n).astype(np.float32).reshape(cells, n)
+        return counts @ drawn
+    order = np.argsort(cell, kind="stable")
+    out, held = np.zeros((cells, replicates)), np.empty((ROWS, replicates), drawn.dtype)
     for low in range(0, len(order), ROWS):
         at = order[low : low + ROWS]
-        p, g, k, s = probe[at], genuine[at], group[at], score[at]
-        each = other[reference[at]]
-        each[g] = 1
-        cell = _runs(k, g, s, p)
-        sums = np.add.reduceat(each, cell, axis=0) * drawn[p[cell]]
-        first = _runs(k[cell], g[cell], s[cell])
-        yield k[cell][first], g[cell][first], s[cell][first], np.add.reduceat(sums, first, axis=0)
+        rows = np.take(drawn, reference[at], axis=0, out=held[: len(at)], mode="clip")
+        first = np.flatnonzero(np.concatenate([[True], cell[at][1:] != cell[at][:-1]]))
+        out[cell[at][first]] += np.add.reduceat(rows, first, axis=0)
+    return out
+
+
+def probe_sums(genuine: np.ndarray, group: np.ndarray, score: np.ndarray, reference: np.ndarray, own: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """group, genuine, score and weights in every replicate, a row for each that one probe's pairs have; ``own`` are the probe's draws, ``drawn`` those that ``reference`` points into."""
+    values, at = np.unique(score, return_inverse=True)
+    keys, cell = np.unique((group * 2 + genuine) * len(values) + at, return_inverse=True)
+    of, place = np.divmod(keys, len(values))
+    sums = np.bincount(cell, minlength=len(keys)).astype(float)[:, None] * own
+    other = np.flatnonzero(of % 2 == 0)
+    if len(other):
+        some = ~genuine
+        sums[other] = impostor_sums(np.searchsorted(other, cell[some]), len(other), reference[some], drawn) * own
+    return of // 2, of % 2 == 1, values[place], sums
 
 
 def subject_bootstrap(scores: DataFrame, index: DataFrame, draws: Draws, replicates: int, by: list[str], targets: tuple[float, ...], channels: tuple[str, ...] = ()) -> DataFrame:
@@ -163,10 +172,10 @@ def subject_bootstrap(scores: DataFrame, index: DataFrame, draws: Draws, replica
         named = index.select(F.col("subject").alias("s"), F.col("idx").alias(f"{side}_idx"))
         keyed = keyed.join(named, F.col(f"{side}_subject") == F.col("s")).drop("s")
     keyed = keyed.select(*by, (F.col("kind") == "genuine").alias("genuine"), *[F.coalesce(F.col(c).cast("double"), F.lit(FAILED)).alias(c) for c in columns], "probe_idx", "reference_idx")
-    if n > SUBJECTS:
-        blocks = [F.floor(F.col(f"{side}_idx") / SUBJECTS).alias(f"{side}_block") for side in ("probe", "reference")]
-        salt = F.pmod(F.xxhash64("probe_idx"), F.lit(16))
-        keyed = keyed.select("*", *blocks, salt.alias("salt")).repartition("probe_block", "reference_block", "salt").sortWithinPartitions("probe_block", "reference_block").drop("probe_block", "reference_block", "salt")
+    blocks = [F.floor(F.col(f"{side}_idx") / SUBJECTS).alias(f"{side}_block") for side in ("reference", "probe")]
+    part = F.pmod(F.xxhash64("probe_idx"), F.lit(PARTS)).alias("part")
+    dealt = keyed.select("*", *blocks, part).repartition("reference_block", "probe_block", "part").sortWithinPartitions("reference_block", "probe_idx")
+    keyed = dealt.drop("reference_block", "probe_block", "part")
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
     keys = [*(f"`{c}` {kinds[c]}" for c in by), *(["channel string"] if channels else [])]
     names = [*by, *(["channel"] if channels else [])]
@@ -183,30 +192,40 @@ def subject_bootstrap(scores: DataFrame, index: DataFrame, draws: Draws, replica
             found += [pa.array([k[-2] for k in each]), pa.array([k[-1] for k in each], pa.float64()), pa.array(list(range(last // BLOCK)) * len(place), pa.int32())]
             return pa.RecordBatch.from_arrays([*found, pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * BLOCK, pa.int32()), pa.array(parts.ravel()))], [*names, "genuine", "score", "block", "w"])
 
+        def add(key, parts):
+            nonlocal total
+            group, genuine, reference, *scored = (np.concatenate(c) for c in zip(*parts))
+            low = key[0], key[1] // SUBJECTS * SUBJECTS
+            drawn, own = (draws(x, min(n, x + SUBJECTS)) for x in low)
+            for name, score in zip(columns, scored):
+                of, kind, value, sums = probe_sums(genuine, group, score, reference - low[0], own[key[1] - low[1]], drawn)
+                named = [(*groups[g], *([name] if channels else []), k, v) for g, k, v in zip(of.tolist(), kind.tolist(), value.tolist())]
+                at = [place.setdefault(k, len(place)) for k in named]
+                if len(place) > len(total):
+                    total = np.concatenate([total, np.zeros((max(64, len(total), len(place) - len(total)), last))])
+                total[at, :replicates] += sums
+
+        key, parts, known, groups = None, [], {}, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group, groups = _codes(batch, by)
-            genuine, probe, reference = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("genuine", "probe_idx", "reference_idx"))
-            cell = probe // SUBJECTS * (n // SUBJECTS + 1) + reference // SUBJECTS
-            for here in np.unique(cell):
-                at = np.flatnonzero(cell == here)
-                ranges = [(int(b) * SUBJECTS, min(n, (int(b) + 1) * SUBJECTS)) for b in divmod(here, n // SUBJECTS + 1)]
-                drawn = [draws(*r) for r in ranges]
-                p, q = probe[at] - ranges[0][0], reference[at] - ranges[1][0]
-                for c in columns:
-                    score = batch.column(c).to_numpy(zero_copy_only=False)[at]
-                    for g, k, s, w in weights(p, q, genuine[at], group[at], score, *drawn):
-                        for row, *key in zip(w, g.tolist(), k.tolist(), s.tolist()):
-                            key = (*groups[key[0]], *([c] if channels else []), *key[1:])
-                            if key not in place:
-                                if len(place) == len(total):
-                                    total = np.concatenate([total, np.zeros((max(64, len(total)), last))])
-                                place[key] = len(place)
-                            total[place[key], : len(row)] += row
-                if total.nbytes > HELD:
-                    yield rows()
-                    place, total = {}, np.zeros((0, last))
+            group = _codes(batch, by, known)
+            groups = list(known)
+            genuine, probe, reference, *scored = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("genuine", "probe_idx", "reference_idx", *columns))
+            first = np.flatnonzero(np.concatenate([[True], (probe[1:] != probe[:-1]) | (reference[1:] // SUBJECTS != reference[:-1] // SUBJECTS)]))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(probe)]):
+                here = int(reference[a]) // SUBJECTS * SUBJECTS, int(probe[a])
+                if here != key:
+                    if parts:
+                        add(key, parts)
+                    key, parts = here, []
+                parts.append([x[a:b] for x in (group, genuine, reference, *scored)])
+            if total.nbytes > HELD:
+                yield rows()
+                place.clear()
+                total = np.zeros((0, last))
+        if parts:
+            add(key, parts)
         if place:
             yield rows()
 

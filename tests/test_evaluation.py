@@ -44,7 +44,8 @@ def test_bootstrap_equals_naive(spark):
     assert {(x.replicate, x.metric): x.value for x in wide if x.channel == "one"} == {(x.replicate, x.metric): x.value for x in got} and len(wide) == 280
 
 
-def test_bootstrap_in_blocks_of_subjects(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_bootstrap_in_blocks_of_subjects(spark, monkeypatch, dense):
     """Subjects in blocks, sums in parts, and tasks that give up what they hold: the same numbers."""
     r, n = np.random.default_rng(9), 23
     rows = [("genuine", float(r.integers(0, 9)), int(k), int(k)) for k in range(n)] + [("impostor", float(r.integers(0, 6)), int(a), int(b)) for a, b in r.integers(0, n, (300, 2)) if a != b]
@@ -52,7 +53,7 @@ def test_bootstrap_in_blocks_of_subjects(spark, monkeypatch):
     index = bootstrap.subject_index(df.select(F.explode(F.array("probe_subject", "reference_subject")).alias("subject")))
     draws = bootstrap.split_draws(n, 60, 2)
     want = naive_bootstrap(rows, draws(0, n), (0.2,))
-    for name, value in (("SUBJECTS", 5), ("ROWS", 7), ("HELD", 1)):
+    for name, value in (("SUBJECTS", 5), ("PARTS", 3), ("ROWS", 7), ("HELD", 1), ("DENSE", dense)):
         monkeypatch.setattr(bootstrap, name, value)
     got = bootstrap.subject_bootstrap(df, index, draws, 60, [], (0.2,)).collect()
     assert len(got) == 120 and all(abs(x.value - want[x.replicate, x.metric]) < 1e-9 for x in got)
