@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import boosting, bottom_k, chat, debruijn, fertility, fim, jpeg, merkle, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
+from pairlight.llm import base_columns, boosting, bottom_k, chat, debruijn, fertility, fim, jpeg, merkle, mixing, ngram_join, pii_crf, piece_bpe, secret_scan
 
 QUERIES = {
     "op1_tokenizer_fertility": fertility.op1_tokenizer_fertility,
@@ -18,9 +18,15 @@ QUERIES = {
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_bottom_k_sketches": bottom_k.op13_bottom_k_sketches,
+    "base_quality_counts": base_columns.base_quality_counts,
+    "base_personal_spans": base_columns.base_personal_spans,
+    "base_secret_spans": base_columns.base_secret_spans,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "base_quality_counts": base_columns.QUALITY_SQL,
+    "base_personal_spans": base_columns.PERSONAL_SQL,
+    "base_secret_spans": base_columns.SECRET_SQL,
 }

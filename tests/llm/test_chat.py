@@ -70,3 +70,48 @@ def test_query_has_the_control_conversation(spark, sf_dir):
     rows = {r.conv_id: r for r in chat.op4_incremental_rendering(spark, sf_dir).collect()}
     said = "</s>[INST] ok [/INST]"
     assert rows[-1].loss_chars == len(said) and rows[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def decoded(formatted):
+    """Roles and texts of an output, character by character, without the module's own patterns."""
+    assert formatted[:3] == "<s>"
+    at, turns = 3, []
+
+    def until(end):
+        nonlocal at
+        out = []
+        while formatted[at : at + len(end)] != end:
+            if formatted[at] == "\\":
+                assert formatted[at + 1] in "\\:"
+                out.append("\\" if formatted[at + 1] == "\\" else "")
+                at += 2
+            else:
+                out.append(formatted[at])
+                at += 1
+        at += len(end)
+        return "".join(out)
+
+    while at < len(formatted):
+        assert formatted[at : at + 2] == "<|"
+        at += 2
+        turns.append((until("|>\n"), until("</s>\n")))
+    return turns
+
+
+def test_query_equals_an_independent_reading(spark, sf_dir):
+    """The whole result, from the table's own rows and from the outputs read by another decoder."""
+    rows = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        rows.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    said = "</s>[INST] ok [/INST]"
+    rows[-1] = [(0, "user", said), (1, "assistant", said)]
+    table = spark.createDataFrame([(i, *t) for i, turns in rows.items() for t in turns], "conv_id long, turn long, role string, text string")
+    formatted = {r.conv_id: r for r in chat.format_chats(table).collect()}
+    got = {r.conv_id: r for r in chat.op4_incremental_rendering(spark, sf_dir).collect()}
+    assert set(got) == set(rows) == set(formatted)
+    for i, turns in rows.items():
+        turns = [t[1:] for t in sorted(turns)]
+        assert decoded(formatted[i].formatted) == turns
+        loss = "".join(t for role, t in turns if role == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted[i].formatted))
+        assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256, got[i].formatted_chars) == want
