@@ -43,14 +43,14 @@ def with_features(scores: DataFrame, channels: list[str], low: dict[str, float])
     return scores.select("*", *[failure_floor(F.col(c), F.lit(low[c])).alias(f"x_{c}") for c in channels])
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str) -> np.ndarray:
-    """Weights, the bias last, by Newton's method; both classes weigh the same in total.
+def fit_logistic(rows: DataFrame, features: list[str], label: str, n: str | None = None) -> np.ndarray:
+    """Weights, the bias last, by Newton's method; both classes weigh the same in total. ``n`` may name how many rows a row stands for.
 
     Equal rows are counted once and written. Every step is one aggregate of the
     gradient and of the Hessian's upper half over the counts, so only these few sums
     reach the driver.
     """
-    rows = keep(rows.groupBy(*features, F.col(label).alias("__y")).agg(F.count(F.lit(1)).cast("double").alias("__n")), "fit-rows")
+    rows = keep(rows.groupBy(*features, F.col(label).alias("__y")).agg(F.sum(F.col(n) if n else F.lit(1)).cast("double").alias("__n")), "fit-rows")
     label, many = "__y", F.col("__n")
     names = [*features, None]
     x = [F.col(c) if c else F.lit(1.0) for c in names]

@@ -431,13 +431,22 @@ fl AS (SELECT scenario, min(score) AS f1, min(score2) AS f2 FROM z WHERE "group"
 fu AS (SELECT z.pair_id, z.scenario, z.kind, {_WEIGHTS[0]}::DOUBLE * ln(1 + coalesce(score, f1)) + {_WEIGHTS[1]}::DOUBLE * ln(1 + coalesce(score2, f2)) AS fused FROM z JOIN fl USING (scenario) WHERE "group" = 'test')"""
 
 
-def _channels(spark, sf_dir) -> DataFrame:
-    """scenario, kind, both subjects by number, one, two, group of every pair, made once."""
+def _with_channels(spark, sf_dir) -> DataFrame:
+    """scenario, kind, both subjects by number, one, two, group of every pair."""
     m = S.stored(spark, sf_dir)
     images = m.join(bootstrap.subject_index(m), "subject")
     made = pairs.all_pairs(pairs.with_flag(images, keyed.development_split(m, SEED).where("half = 'dev'"), "dev"), MAIN, ("trait", "dev", "idx"))
-    made = _with_group(S.both_channels(made)).select("scenario", "kind", F.col("probe_idx").alias("probe_subject"), F.col("reference_idx").alias("reference_subject"), "one", "two", "group")
-    return keep(made, "channels")
+    return _with_group(S.both_channels(made)).select("scenario", "kind", F.col("probe_idx").alias("probe_subject"), F.col("reference_idx").alias("reference_subject"), "one", "two", "group")
+
+
+def _channels(spark, sf_dir) -> DataFrame:
+    """The pairs with both channels, made once."""
+    return keep(_with_channels(spark, sf_dir), "channels")
+
+
+def _channel_counts(spark, sf_dir) -> DataFrame:
+    """scenario, kind, group, one, two, n: how many pairs have the same scores; the pairs are gone over once."""
+    return keep(_with_channels(spark, sf_dir).groupBy("scenario", "kind", "group", "one", "two").agg(F.count(F.lit(1)).alias("n")), "channel-counts")
 
 
 _PAIR_KEYS = ["pair_id", "scenario", "kind", "frgp", "probe_subject", "reference_subject"]
@@ -454,13 +463,13 @@ def aligned_channels(spark, sf_dir):
 
 @register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, _FUSED_SQL, select="SELECT scenario, kind, count(*) AS pairs, round(min(fused), 9) AS low, round(max(fused), 9) AS high, round(sum(round(fused, 6)), 3) AS total FROM fu GROUP BY 1, 2"))
 def fusion_fused_scores(spark, sf_dir):
-    z, out = _channels(spark, sf_dir), None
+    z, out = _channel_counts(spark, sf_dir), None
     for scenario in MAIN:
         part = z.where(F.col("scenario") == scenario)
         low = fusion.floors(part.where("group = 'dev'"), ["one", "two"])
         done = fusion.fused(part.where("group = 'test'"), ["one", "two"], low, _WEIGHTS)
         out = done if out is None else out.unionByName(done)
-    stats = [F.count(F.lit(1)).alias("pairs"), F.round(F.min("fused"), 9).alias("low"), F.round(F.max("fused"), 9).alias("high"), F.round(F.sum(F.round("fused", 6)), 3).alias("total")]
+    stats = [F.sum("n").alias("pairs"), F.round(F.min("fused"), 9).alias("low"), F.round(F.max("fused"), 9).alias("high"), F.round(F.sum(F.round("fused", 6) * F.col("n")), 3).alias("total")]
     return out.groupBy("scenario", "kind").agg(*stats)
 
 
@@ -488,10 +497,10 @@ fs AS MATERIALIZED (SELECT x1, x2, y, n * 0.5 / sum(n) OVER (PARTITION BY y) AS
 @register(with_(*MAIN_SCORES, SPLIT_SQL, _GROUPED_SQL, _FIT_SQL, select="SELECT unnest(['one', 'two', 'bias']) AS channel, unnest([round(a, 6), round(b, 6), round(c, 6)]) AS weight FROM wf"))
 def fusion_fit(spark, sf_dir):
     """Weights of the fitted fusion, to six decimals."""
-    z = _channels(spark, sf_dir).where("scenario = 'UxV' and group = 'dev'")
+    z = _channel_counts(spark, sf_dir).where("scenario = 'UxV' and group = 'dev'")
     low = fusion.floors(z, ["one", "two"])
     rows = fusion.with_features(z, ["one", "two"], low).withColumn("y", (F.col("kind") == "genuine").cast("int"))
-    w = fusion.fit_logistic(rows, ["x_one", "x_two"], "y")
+    w = fusion.fit_logistic(rows, ["x_one", "x_two"], "y", "n")
     return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(("one", "two", "bias"), w)], "channel string, weight double")
 
 

@@ -46,6 +46,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
+    jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)  # when the driver ends, if not swept before
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
