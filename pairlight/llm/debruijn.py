@@ -17,8 +17,8 @@ kept only where it starts first (smallest doc_id, then smallest start).
    the source; every later one is repeated. Successive repeated edges whose
    sources also succeed each other form a path that does not branch between the
    copy and its source, and are compacted to one piece with both coordinates.
-3. Pieces that continue each other, in the document and in the source, are glued
-   into spans.
+3. Pieces that continue each other, in the document and in the source, are compacted into
+   paths by joins: two find where paths begin and end, one puts the two ends together.
 4. The texts are dealt once more, with what is asked of each: the words of a span at
    the copy and at the source. Both sides answer with a 128-bit digest of the words
    themselves, in blocks of the source, so that a source answers a bounded number
@@ -245,16 +245,23 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, inner: int = INNER, see
     ``texts`` has doc and text (see ``numbered``). A span covers the words from start to start + n + width - 2.
     """
     dealt = dealt_runs(texts, width, inner, seed).repartition("bucket").sortWithinPartitions("bucket", "doc", "start")
-    found = dealt.mapInArrow(_resolve, PIECES)
-    along = Window.partitionBy("doc").orderBy("start")
-    before = F.lag(F.struct("start", "n", "src_doc", "src_start")).over(along)
-    goes_on = (before["start"] + before["n"] == F.col("start")) & (before["src_doc"] == F.col("src_doc")) & (before["src_start"] + before["n"] == F.col("src_start"))
-    path = F.sum(F.when(goes_on, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        found.withColumn("path", path).groupBy("doc", "path")
-        .agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_start").alias("src_start"))
-        .select("doc", "start", "n", "src_doc", "src_start")
-    )
+    return compacted(keep(dealt.mapInArrow(_resolve, PIECES), "span-pieces"))
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """Paths of ``found`` (PIECES): pieces that continue each other in the document and in the source are one, by joins.
+
+    A piece that no other leads to begins a path and one that leads to no other ends
+    it; paths on one diagonal of a document and its source do not overlap, so the k-th
+    beginning and the k-th end there are those of one path.
+    """
+    line = ["doc", "src_doc", "diagonal"]
+    piece = found.select("doc", "src_doc", (F.col("src_start") - F.col("start")).alias("diagonal"), "start", (F.col("start") + F.col("n")).alias("stop"))
+    begins = piece.join(piece.select(*line, F.col("stop").alias("start")), [*line, "start"], "left_anti").select(*line, "start")
+    ends = piece.join(piece.select(*line, F.col("start").alias("stop")), [*line, "stop"], "left_anti").select(*line, "stop")
+    nth = lambda rows, at: rows.withColumn("k", F.row_number().over(Window.partitionBy(*line).orderBy(at)))
+    paths = nth(begins, "start").join(nth(ends, "stop"), [*line, "k"])
+    return paths.select("doc", "start", (F.col("stop") - F.col("start")).cast("int").alias("n"), "src_doc", (F.col("start") + F.col("diagonal")).cast("int").alias("src_start"))
 
 
 def questions(spans: DataFrame) -> DataFrame:
