@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.operators.pairs import SALTS, salted_by, salts_of
+from pairlight.operators.pairs import SALTS, salted_by, salts_of, spread
 
 
 def candidate_pairs(rows: DataFrame, references: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -19,7 +19,7 @@ def candidate_pairs(rows: DataFrame, references: DataFrame, extra: tuple[str, ..
     b = references.select(*[F.col(c).alias(f"reference_{c}") for c in ("image_id", "subject", "frgp", *extra)])
     own = a.join(b, F.col("subject") == F.col("reference_subject"))
     salts = max(SALTS, salts_of(a))
-    dealt = salted_by(a, "image_id", salts)
+    dealt = spread(salted_by(a, "image_id", salts), "image_id", salts)
     every = b.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     across = dealt.join(every, (F.col("frgp") == F.col("reference_frgp")) & (F.col("salt") == F.col("r_salt")) & (F.col("subject") != F.col("reference_subject"))).drop("salt", "r_salt")
     return own.unionByName(across)

@@ -56,10 +56,15 @@ def salted_by(probe: DataFrame, key: str, salts: int) -> DataFrame:
     return probe.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
 
 
+def spread(probe: DataFrame, key: str, salts: int) -> DataFrame:
+    """``probe`` over many tasks: its table is small and may be a file or two, but what a join makes of it is not."""
+    return probe.repartition(max(2 * probe.sparkSession.sparkContext.defaultParallelism, 10 * (salts - SALTS)), key)
+
+
 def salted(probe: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with a salt: one for each probe, every one for each reference; their number grows with the probes."""
     salts = max(SALTS, salts_of(probe))
-    return salted_by(probe, "probe_image_id", salts), reference.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread(salted_by(probe, "probe_image_id", salts), "probe_image_id", salts), reference.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def impostor_pairs(manifest: DataFrame, scenario: str, probe_set: str, reference_set: str, extra: tuple[str, ...] = ()) -> DataFrame:
