@@ -131,3 +131,27 @@ def test_several_texts_under_one_id(spark):
     rows = [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (9, "something else"), (None, a), (5, b)]
     got = sorted((r.doc_id, r.class_id, r.n_links, r.stays) for r in ngram_join.near_duplicates(table(spark, rows)).collect() if r.doc_id is not None)
     assert got == [(3, 3, 1, True), (5, 3, 1, False), (5, 5, 1, True), (5, 5, 1, True), (7, 5, 1, False), (9, 9, 0, True)]
+
+
+def test_close_copies_cost_one_comparison_each(spark, monkeypatch):
+    """A home of M close copies: M sets measured against the pivot, none compared in pairs, all links counted."""
+    monkeypatch.setattr(set_links, "EVEN", 16)
+    work = {}
+
+    def counted(name):
+        plain = getattr(set_links, name)
+
+        def run(rows, *args):
+            work[name] = rows.count()
+            return plain(rows, *args)
+
+        monkeypatch.setattr(set_links, name, run)
+
+    for name in ("measured", "verified"):
+        counted(name)
+    base = [f"w{k}" for k in range(600)]
+    for m in (60, 120):
+        rows = [(i, " ".join([*base[: 5 * i], f"e{i}", *base[5 * i + 1 :]])) for i in range(m)] + [(1000, "on its own " + " ".join(f"x{k}" for k in range(50)))]
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
+        assert got == {**{i: (0, m - 1) for i in range(m)}, 1000: (1000, 0)}
+        assert work["verified"] == 0 and m <= work["measured"] <= m + 16
