@@ -38,10 +38,13 @@ def test_entry(spark):
 
 
 def test_the_rest_stands_without_the_corpus_package(tmp_path):
-    """Without the llm folders and the pipeline the entry still imports and lists its other queries."""
+    """Without the llm folders and the pipeline the entry still imports, lists its other queries and runs one; the oracle SQL has no others."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') and n[2:3].isdigit()] and 'pipeline' not in q; print(len(q))"
+    code = """import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') and n[2:3].isdigit()] and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()
+assert q['mutual_nn_ratio'](spark, '/root/testdata/sf0.001').count() == 100 and q['set_summary'](spark, '/root/testdata/sf0.001').count() == 5"""
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
