@@ -8,7 +8,7 @@ from pairlight import sources
 from pairlight.operators import manifest as manifests
 from pairlight.operators import runlog
 from pairlight.sources import images
-from pairlight.streaming import stage_totals, start_totals
+from pairlight.streaming import stage_totals, start_commits, start_totals
 
 
 def png(width=6, height=4, ppm=39370, unit=1):
@@ -115,10 +115,8 @@ def test_resume_runs_every_chunk_once(spark, tmp_path):
     assert results.count() == 53 and results.select("item").distinct().count() == 53
     with pytest.raises(Exception, match="not of this plan"):
         runlog.checked_log(log, runlog.chunk_heads(plan_of(spark, 40))).collect()
-    query = start_totals(spark, paths[1], "totals", str(tmp_path / "checkpoint"))
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("totals").first()["items"] == 53 == stage_totals(log).first()["items"]
+    start_totals(spark, paths[1], str(tmp_path / "totals"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "totals")).first()["items"] == 53 == stage_totals(log).first()["items"]
 
 
 def test_forecast(spark):
@@ -206,3 +204,21 @@ def test_commit_leaves_one_copy(spark, tmp_path):
         with pytest.raises(Exception, match="do not match the plan"):
             runlog.commit(bad, plan, *paths, 9.0, 9.0)
     assert {r.attempt for r in runlog.committed(spark, *paths, schema).where("chunk = 1").collect()} == {1}
+
+
+def test_results_of_a_stream_are_committed_once(spark, tmp_path):
+    plan, paths = plan_of(spark).cache(), (str(tmp_path / "results"), str(tmp_path / "log"))
+    schema, inbox = "stage string, chunk long, pos long, item string, score int", str(tmp_path / "inbox")
+    send = lambda chunks: plan.where(chunks).select("stage", "chunk", "pos", "item", F.length("item").alias("score")).coalesce(1).write.mode("append").parquet(inbox)
+    go = lambda: start_commits(spark.readStream.schema(schema).parquet(inbox), plan, *paths, str(tmp_path / "checkpoint"), 1.0, 2.0).awaitTermination()
+    send("chunk < 2")
+    go()
+    assert runlog.committed(spark, *paths, schema).count() == 20
+    send("chunk >= 1")  # chunk 1 comes again
+    go()
+    done = runlog.committed(spark, *paths, schema).collect()
+    assert len(done) == 53 == len({r.item for r in done})
+    send("chunk = 3 and pos != 31")
+    with pytest.raises(Exception, match="do not match the plan"):
+        go()
+    assert runlog.committed(spark, *paths, schema).count() == 53
