@@ -6,7 +6,8 @@ become the root of the table in the same way.
 
 1. Leaves are computed once and written. They are numbered inside their source by a
    range partitioning with the counts of the partitions before, so no task holds a
-   source, and one source may have most rows.
+   source, and one source may have most rows, or one doc_id: equal rows are told apart
+   by where they were written.
 2. The levels are cut into blocks of 3^6 = 729 aligned leaves. A task goes through a
    block by postorder recursion: a call returns the digest of its subtree, and while
    the recursion unwinds, what stands beside a subtree is appended to the proofs of the
@@ -179,7 +180,8 @@ def paths(nodes: DataFrame, run: int = RUN, depth: int = DEPTH) -> DataFrame:
 def manifest(docs: DataFrame, *more: Column, run: int = RUN, depth: int = DEPTH) -> DataFrame:
     """doc_id, digest (the leaf), subroot, root (as bytes), proof and ``more``, for every row of ``docs`` (FIELDS)."""
     made = leaves(docs, *more)
-    nodes = numbered(keep(made, "merkle-leaves"), ["doc_id", "digest"])
+    made = keep(made.withColumn("tie", F.monotonically_increasing_id()), "merkle-leaves")  # written, so that equal rows have an order that stays
+    nodes = numbered(made, ["doc_id", "digest", "tie"]).drop("tie")
     blocks = keep(block_roots(nodes, run, depth), "merkle-blocks")
     inside = paths(blocks, run, depth)  # from the blocks of a source to its root
     top = inside.where("pos = 0").select(F.lit("").alias("tree"), F.col("tree").alias("named"), F.col("root").alias("digest"))
