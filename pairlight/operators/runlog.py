@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlight.operators.keyed import offsets
 from pairlight.scratch import keep
 
 LOG = "stage string, chunk long, count long, first string, last string, expected_s double, started double, finished double"
@@ -23,17 +24,14 @@ MARGIN_MB = 2000.0
 def chunk_plan(items: DataFrame, stage: str, size: int, order: list, item: str, cost: DataFrame | None = None) -> DataFrame:
     """stage, chunk, item, pos, expected_s: items in order, ``size`` of them a chunk.
 
-    Positions come from a range sort and per-partition offsets, so no task ever
-    holds the whole list. ``cost`` has set, seconds.
+    Positions come from ``keyed.offsets``, so no task ever holds the whole list, and the
+    dealt items are written: a second run of the range partitioning may draw other
+    bounds, and its counts would not be those of the numbered rows. ``cost`` has set, seconds.
     """
     chosen = items.withColumn("item", F.col(item))
     seconds = chosen.withColumn("set", F.substring("item", 1, 1)) if "set" not in items.columns else chosen
     priced = seconds.join(cost, "set", "left").withColumn("expected_s", F.coalesce("seconds", F.lit(0.0))) if cost is not None else seconds.withColumn("expected_s", F.lit(0.0))
-    ranged = priced.select("item", "expected_s", F.struct(*order).alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    within = Window.partitionBy("part").orderBy("key", "item")
-    counts = ranged.groupBy("part").count()
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")  # a row a partition
-    placed = ranged.withColumn("pos", F.row_number().over(within) - 1).join(offsets, "part").withColumn("pos", F.col("pos") + F.col("offset"))
+    placed = offsets(priced.select("item", "expected_s", F.struct(*order).alias("key")), ["key", "item"]).withColumnRenamed("offset", "pos")
     return placed.select(F.lit(stage).alias("stage"), F.floor(F.col("pos") / size).alias("chunk"), "item", F.col("pos").cast("long").alias("pos"), "expected_s")
 
 

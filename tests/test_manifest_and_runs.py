@@ -96,6 +96,20 @@ def test_chunks_are_contiguous(spark):
     assert len(digests) == 1 and runlog.fingerprint(plan_of(spark, 52)).first().digest not in digests
 
 
+def test_positions_of_a_plan_in_many_partitions(spark):
+    """The numbered rows and the counts before them are of one dealing, however Spark coalesces what it reads of each."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = plan_of(spark, 100_000, 200).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert tuple(found) == (100_000, 100_000, 0, 99_999)
+
+
 def test_resume_runs_every_chunk_once(spark, tmp_path):
     plan, paths = plan_of(spark).cache(), (str(tmp_path / "results"), str(tmp_path / "log"))
 
