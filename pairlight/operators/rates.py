@@ -101,18 +101,18 @@ def eer(rate_table: DataFrame, by: list[str]) -> DataFrame:
     return at.select(*by, F.coalesce(F.when(F.col("zero").isNull(), F.col("one.mean")).otherwise(between), F.col("last")).alias("eer"))
 
 
-def auc(scores: DataFrame, by: list[str]) -> DataFrame:
+def auc(scores: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """by, auc: chance that a genuine score exceeds an impostor one, ties half; null scores are left out, an empty class is an error."""
-    counted = grid(scores.where(F.col("score").isNotNull()), by)
+    counted = grid(scores.where(F.col("score").isNotNull()), by, weight)
     won = running(counted, by, "score", ["impostor"]).withColumn("won", F.col("genuine") * (F.col("impostor_before") + F.col("impostor") / 2))
     total = F.sum("genuine") * F.sum("impostor")
     return won.groupBy(*by).agg(F.when(total > 0, F.sum("won") / total).otherwise(F.raise_error(F.lit("both classes are needed")).cast("double")).alias("auc"))
 
 
-def no_false_accept_point(scores: DataFrame, by: list[str]) -> DataFrame:
-    """by, threshold, genuine, true_accepts, false_rejects, impostor, tar, frr: accepted only above every impostor score."""
+def no_false_accept_point(scores: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """by, threshold, genuine, true_accepts, false_rejects, impostor, tar, frr: accepted only above every impostor score; ``weight`` is how many pairs a row stands for."""
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counted = scores.groupBy(*by, "kind", "score").agg(F.count(F.lit(1)).alias("n"))
+    counted = scores.groupBy(*by, "kind", "score").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     top = F.max(F.when(F.col("kind") == "impostor", F.col("score").cast("double"))).over(group)
     accepted = F.col("score").isNotNull() & (F.col("top").isNull() | (F.col("score") > F.col("top")))
     genuine = F.col("kind") == "genuine"
@@ -133,9 +133,9 @@ def accepts_by_finger(scores: DataFrame, by: list[str]) -> DataFrame:
     return fingers.groupBy(*by, "frgp").agg(F.concat_ws("/", F.count_if(accepted).cast("string"), F.count(F.lit(1)).cast("string")).alias("accepted"))
 
 
-def summary(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, count, mean, median, p95 (nearest rank, half-even), min, max of the values that are not null."""
-    counted = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def summary(values: DataFrame, by: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """by, count, mean, median, p95 (nearest rank, half-even), min, max of the values that are not null; ``weight`` is how many a row stands for."""
+    counted = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     placed = running(counted, by, "v", ["n"]).withColumn("upto", F.col("n_before") + F.col("n")).withColumnRenamed("n_total", "total")
     rank = lambda r: F.min(F.when(F.col("upto") >= r, F.col("v")))  # noqa: E731  the r-th smallest
     p95 = F.greatest(F.lit(1), F.least(F.col("total"), F.bround(F.col("total") * 0.95).cast("long")))
@@ -176,10 +176,11 @@ def operational(fit: DataFrame, test: DataFrame, by: list[str], target: float, w
     )
 
 
-def result_tables(scores: DataFrame, by: list[str], targets: tuple[float, ...]) -> DataFrame:
-    """tar_at_far of every group and target, with the group's number of failures."""
-    failures = scores.groupBy(*by).agg(F.count_if(F.col("score").isNull()).alias("failures"))
-    return tar_at_far(rates(grid(scores, by), by), by, targets).join(failures, by)
+def result_tables(scores: DataFrame, by: list[str], targets: tuple[float, ...], weight: Column | None = None) -> DataFrame:
+    """tar_at_far of every group and target, with the group's number of failures; ``weight`` is how many pairs a row stands for."""
+    n = F.lit(1) if weight is None else weight
+    failures = scores.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("score").isNull(), n)), F.lit(0)).cast("long").alias("failures"))
+    return tar_at_far(rates(grid(scores, by, weight), by), by, targets).join(failures, by)
 
 
 def det_points(rate_table: DataFrame, by: list[str], most: int = 3000) -> DataFrame:
