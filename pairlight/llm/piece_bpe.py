@@ -58,11 +58,14 @@ class PieceBpe:
             if MARK in piece.lstrip(MARK):
                 raise ValueError(f"piece {i} joins words")
             self.ids[piece], self.rank[piece] = i, -library.get_score(i)
-            self.automaton.add_word(piece, piece)
+            if len(piece) > 1:  # single characters are always candidates
+                self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
         self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | self.id_byte | {i: b"" for i in self.control}
         self.unknown = next(i for i in range(n) if library.is_unknown(i))
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.decimal = {p: str(i) for p, i in self.ids.items()}
+        self.raw_of = {str(i): b for i, b in self.raw.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.memo: dict[str, str] = {}
@@ -96,33 +99,41 @@ class PieceBpe:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a normalised segment; characters outside the vocabulary stand alone."""
-        n = len(text)
+        n, whole, fits = len(text), self.whole, self.fits
         found: list[list[str]] = [[c] for c in text]
-        for end, piece in self.automaton.iter(text):
-            if len(piece) > 1 and self.reachable(piece):
-                found[end - len(piece) + 1].append(piece)
-        failed = bytearray(n // 8 + 1)
+        for end, (back, piece) in self.automaton.iter(text):
+            known = whole.get(piece)
+            if self.reachable(piece) if known is None else known:
+                found[end - back].append(piece)
+        failed: bytearray | None = None  # made when a place fails first
         taken: list[str] = []
         tried: list[int] = []  # index of the candidate taken at each place on the way
-        at, k = 0, len(found[0]) - 1 if n else -1
+        last, at, k = None, 0, len(found[0]) - 1 if n else -1
         while at < n:
             options = found[at]
             while k >= 0:
                 piece = options[k]
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or self.compatible(taken[-1], piece)):
-                    break
+                if failed is None or not failed[to >> 3] >> (to & 7) & 1:
+                    if last is None:
+                        break
+                    known = fits.get((last, piece))
+                    if self.compatible(last, piece) if known is None else known:
+                        break
                 k -= 1
             if k >= 0:
                 taken.append(piece)
                 tried.append(k)
-                at = to
+                last, at = piece, to
                 k = len(found[at]) - 1 if at < n else -1
             else:
                 if not taken:
                     raise ValueError("no encoding")  # single characters always fit at the start
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(taken.pop())
+                last = taken[-1] if taken else None
                 k = tried.pop() - 1
         return taken
 
@@ -138,7 +149,11 @@ class PieceBpe:
 
     def segment_ids(self, segment: str) -> str:
         """Decimal ids joined by commas."""
-        ids = ",".join(map(str, self.to_ids(self.split(segment))))
+        pieces = self.split(segment)
+        try:
+            ids = ",".join([self.decimal[p] for p in pieces])
+        except KeyError:  # characters outside the vocabulary
+            ids = ",".join(map(str, self.to_ids(pieces)))
         if len(segment) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_SEGMENTS:
                 self.memo.clear()
@@ -158,7 +173,7 @@ class PieceBpe:
 
     def bytes_of(self, joined: str) -> bytes:
         if (known := self.back.get(joined)) is None:
-            known = b"".join([self.raw[int(i)] for i in joined.split(",")])
+            known = b"".join([self.raw_of[i] for i in joined.split(",")])
             if len(joined) <= 4 * MEMO_CHARS and len(self.back) < MEMO_SEGMENTS:
                 self.back[joined] = known
         return known
