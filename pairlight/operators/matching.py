@@ -1,11 +1,13 @@
 """Scores of image pairs from their descriptors: mutual nearest neighbours with a ratio test.
 
 Descriptors are rows (image_id, row_id, vector). A pair of images is compared in blocks
-of at most ``BLOCK`` descriptors a side: a task takes one block against another
-and gives, for each row of both, its two nearest of the other side. These pairs of
+of at most ``BLOCK`` descriptors a side: a task takes one block against another, tile by
+tile, and gives, for each row of both, its two nearest of the other side. These pairs of
 nearest are combined over the blocks, by a rank that Spark cuts to two before it
 shuffles, and that two rows are each other's nearest is a join. So no row and no task
-holds an image, however many descriptors it has.
+holds an image, however many descriptors it has. A descriptor is sent once for each block
+of each image that its own is paired with, so what is shuffled grows with the descriptors
+until images have more than ``BLOCK``.
 """
 
 from __future__ import annotations
@@ -21,36 +23,51 @@ from pairlight.operators.keyed import offsets
 from pairlight.scratch import keep
 
 RATIO = 0.7
-#: Descriptors of a block, and images that are listed together.
-BLOCK, LISTED = 512, 64
+#: Descriptors of a block (268 million distances for two, some seconds), those of a tile, whose distances are held at once, and images that are listed together.
+BLOCK, TILE, LISTED = 16_384, 512, 64
 _PAIR = ["probe_image_id", "reference_image_id"]
 #: Distances of a matrix product are rounded; what lies this close to the second is computed again from the difference.
 _CLOSE = 1e-6
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
-
-
-def two_nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of a, row of b, squared distance of the two nearest of every row of a; of equally near ones the first."""
-    d = squared_distances(a, b)
-    second = np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else d[:, 0]
-    size = (a * a).sum(1) + (b * b).sum(1).max()
-    i, j = np.nonzero(d <= (second + _CLOSE * (size + 1e-300))[:, None])
-    exact = np.concatenate([((a[i[k : k + 65536]] - b[j[k : k + 65536]]) ** 2).sum(1) for k in range(0, len(i), 65536)])
+def _first_two(i: np.ndarray, j: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((j, exact, i))
     i, j, exact = i[order], j[order], exact[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
     return i[place < 2], j[place < 2], exact[place < 2]
 
 
+def two_nearest(a: np.ndarray, b: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of a, row of b, squared distance of the two nearest of every row of a; of equally near ones the first.
+
+    Of a tile only what is as near as the second nearest so far, or too close to it to tell, is looked at.
+    """
+    square, turned, out = (b * b).sum(1), np.ascontiguousarray(-2 * b.T), []
+    for x in range(0, len(a), tile):
+        part = a[x : x + tile]
+        own = (part * part).sum(1)
+        slack, limit, near = _CLOSE * (own + square.max() + 1e-300), None, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for y in range(0, len(b), tile):
+            d = part @ turned[:, y : y + tile]  # without the row's own square
+            d += square[y : y + tile]
+            if limit is None:
+                limit = (np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else d[:, 0]) + slack
+            i, j = np.nonzero(d <= limit[:, None])
+            if not len(i):
+                continue
+            exact = np.concatenate([((part[i[k : k + 65536]] - b[y + j[k : k + 65536]]) ** 2).sum(1) for k in range(0, len(i), 65536)])
+            near = _first_two(*(np.concatenate(c) for c in zip(near, (i, j + y, exact))))
+            limit = near[2].reshape(len(part), -1)[:, -1] - own + slack
+        out.append((near[0] + x, *near[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _nearest_in_blocks(rows: DataFrame) -> DataFrame:
     """pair, side, id, other, d: the two nearest of each row, of each pair of blocks. ``rows`` has the pair, both blocks, side, id, vector."""
     keys = [*_PAIR, "probe_block", "reference_block"]
 
     def close(key, sides):
-        ids, vectors = zip(*((np.array(s[0], np.int64), np.concatenate(s[1])) for s in sides))
+        ids, vectors = zip(*((np.array(s[0], np.int64), np.concatenate(s[1]).astype(np.float64, copy=False)) for s in sides))
         out = []
         for side, at, to in ((0, 0, 1), (1, 1, 0)):
             i, j, d = two_nearest(vectors[at], vectors[to])
@@ -92,8 +109,10 @@ def mutual_matches(pairs: DataFrame, descriptors: DataFrame, ratio: float = RATI
     equally near rows the smallest row_id is the nearest. pairs: probe_image_id,
     reference_image_id, each once. descriptors: image_id, row_id, vector.
     """
+    number = descriptors.schema["vector"].dataType.elementType.simpleString()
+    held = F.col("vector") if number in ("float", "double") else F.col("vector").cast("array<double>")  # computed as doubles, sent as they are
     sizes = keep(descriptors.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "descriptor-sizes")
-    placed = descriptors.join(sizes, "image_id").select("image_id", F.col("row_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int").alias("own"))
+    placed = descriptors.join(sizes, "image_id").select("image_id", F.col("row_id").cast("long").alias("id"), held.alias("vector"), F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int").alias("own"))
     listed = pairs.select(*_PAIR)
     for side in ("probe", "reference"):
         named = sizes.select(F.col("image_id").alias(f"{side}_image_id"), F.col("blocks").alias(f"{side}_blocks"))

@@ -151,6 +151,20 @@ def test_mutual_matches_in_blocks(spark, block):
     assert matching.differing_features(features, features.where("image_id = 'a'")).count() == 1
 
 
+def test_a_descriptor_is_sent_once_a_pair(spark, monkeypatch):
+    """Images of more descriptors than a tile are not cut into blocks that each meet all blocks of the other; floats are sent as floats."""
+    r = np.random.default_rng(4)
+    images = {k: r.normal(size=(1300, 4)).astype(np.float32) for k in "ab"}
+    images["b"][:30] = images["a"][:30]
+    images["b"][1290:] = images["a"][0]  # ties in two tiles
+    descriptors = spark.createDataFrame([(k, i, v.tolist()) for k, x in images.items() for i, v in enumerate(x)], "image_id string, row_id int, vector array<float>")
+    sent, close = [], matching._nearest_in_blocks
+    monkeypatch.setattr(matching, "_nearest_in_blocks", lambda rows: sent.append((rows.count(), rows.schema["vector"].dataType.elementType.simpleString())) or close(rows))
+    got = matching.score_pairs(spark.createDataFrame([("a", "b")], "probe_image_id string, reference_image_id string"), descriptors).collect()
+    assert sent == [(2600, "float")]
+    assert got[0].score == naive_matches(*(x.astype(float) for x in images.values()), 0.7) > 10
+
+
 def test_resolved_features(spark):
     images = spark.createDataFrame([(i,) for i in ("Q_1", "Q_2", "Q_3", "V_1", "X_1")], "image_id string")
     tables = [(name, spark.createDataFrame(rows, "image_id string, n int, x double")) for name, rows in (("full", [("V_1", 1, 0.5), ("Q_1", 9, 9.0)]), ("method", [("Q_1", 2, 1.5), ("V_1", 8, 8.0)]), ("plain", [("Q_1", 3, 2.5), ("Q_2", 4, 3.5), ("X_1", 7, 7.0)]))]
