@@ -9,7 +9,8 @@ kept only where it starts first (smallest doc_id, then smallest start).
    bucket of their minimiser and a run costs one row. Before the shuffle each step
    of a task drops windows it has seen: only the first of a step travels, so a
    passage that very many documents share sends a row a step and not a row a
-   document. A minimiser that more windows share than a bucket may hold is hot, and its
+   document. What a text repeats of itself refers to its occurrence before, so a word or line
+   over and over is one piece; all else refers to the first. A minimiser that more windows share than a bucket may hold is hot, and its
    windows are dealt by minimiser and window together, since only equal windows must
    meet. Which are hot is told by a sample of the documents; it decides how windows are
    dealt and never what is found, and the bound of a bucket is the same for any corpus.
@@ -18,7 +19,7 @@ kept only where it starts first (smallest doc_id, then smallest start).
    sources also succeed each other form a path that does not branch between the
    copy and its source, and are compacted to one piece with both coordinates.
 3. Pieces that continue each other, in the document and in the source, are compacted into
-   paths by joins: two find where paths begin and end, one puts the two ends together.
+   paths by joins: one finds where paths begin and end, one puts the two ends together.
 4. The texts are dealt once more, with what is asked of each: the words of a span at
    the copy and at the source. Both sides answer with a 128-bit digest of the words
    themselves, in blocks of the source, so that a source answers a bounded number
@@ -126,7 +127,10 @@ def step_runs(batch: pa.RecordBatch, width: int, inner: int, hot: np.ndarray | N
     begins = np.concatenate([[True], (packed[1:] ^ packed[:-1]) > low])
     source = at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
     again = (at != source) & (edge[at] == edge[source])
-    at, source = at[again], source[again]
+    # the one before in the same text, if any, goes for the first of all: words that cycle then follow each other at their source too, and are one piece
+    before = np.concatenate([at[:1], at[:-1]])
+    near = again & (row[at] == row[before]) & (edge[at] == edge[before])
+    at, source = at[again], np.where(near, before, source)[again]
     known = np.zeros(len(edge), bool)
     known[at] = True
     later = (doc[at] != doc[source]) | (start[at] != start[source])
@@ -257,8 +261,9 @@ def compacted(found: DataFrame) -> DataFrame:
     """
     line = ["doc", "src_doc", "diagonal"]
     piece = found.select("doc", "src_doc", (F.col("src_start") - F.col("start")).alias("diagonal"), "start", (F.col("start") + F.col("n")).alias("stop"))
-    begins = piece.join(piece.select(*line, F.col("stop").alias("start")), [*line, "start"], "left_anti").select(*line, "start")
-    ends = piece.join(piece.select(*line, F.col("start").alias("stop")), [*line, "stop"], "left_anti").select(*line, "stop")
+    side = lambda at, name: piece.select(*line, F.col(at).alias("at"), F.lit(True).alias(name))
+    loose = keep(side("start", "begins").join(side("stop", "ends"), [*line, "at"], "full_outer").where("begins is null or ends is null"), "span-ends")
+    begins, ends = loose.where("begins").select(*line, F.col("at").alias("start")), loose.where("ends").select(*line, F.col("at").alias("stop"))
     nth = lambda rows, at: rows.withColumn("k", F.row_number().over(Window.partitionBy(*line).orderBy(at)))
     paths = nth(begins, "start").join(nth(ends, "stop"), [*line, "k"])
     return paths.select("doc", "start", (F.col("stop") - F.col("start")).cast("int").alias("n"), "src_doc", (F.col("start") + F.col("diagonal")).cast("int").alias("src_start"))

@@ -125,6 +125,17 @@ def test_spans_are_compact(spark):
     assert spans == {(2, 2, 141, 1, 40), (3, 0, 81, 1, 0)}
 
 
+def test_words_that_cycle_are_one_span(spark):
+    """A word, a line or both over and over, and a copy of them, cost some rows and not one for each window."""
+    cycles = [["spam"] * 500, ["buy", "now"] * 300, [f"l{k}" for k in range(30)] * 12]
+    rows = [(k, " ".join(words)) for k, words in enumerate(cycles)] + [(10, " ".join([f"w{k}" for k in range(25)] + cycles[0] + cycles[2])), (11, " ".join(cycles[1][1:]))]
+    docs = debruijn.numbered(table(spark, rows))
+    spans = [tuple(x) for x in debruijn.repeated_spans(docs).collect()]
+    assert sorted(spans)[:3] == [(0, 1, 480, 0, 0), (1, 2, 579, 1, 0), (2, 30, 311, 2, 0)]
+    assert len(spans) < 30
+    assert removed(table(spark, rows)) == brute(rows)
+
+
 def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for width in (1, 2, 5, 16, 17):
