@@ -37,6 +37,16 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(manifest(spark, sf_dir), "manifest")
 
 
+#: What the scores of ``scored`` and of ``second_channel`` tell traits apart by: traits that agree modulo this have equal scores against any other.
+FIRST_MODULUS, SECOND_MODULUS = 97 * 53, 89 * 41
+
+
+def with_residue(images: DataFrame, modulus: int, name: str = "residue") -> DataFrame:
+    """``images`` with the trait modulo ``modulus``, so that there is a bounded number of them however many traits there are; with a negative trait among them, whose remainders are signed, the trait itself."""
+    signed = images.where("trait < 0").limit(1).count()
+    return images.withColumn(name, F.col("trait") if signed else F.col("trait") % modulus)
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Pairs with an integer score from both images' traits; every 53rd sum of traits is a failure."""
     p, r = F.col("probe_trait"), F.col("reference_trait")
